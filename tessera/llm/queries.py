@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matroska, mixing, packing, toxicity
+from . import langid, matroska, mixing, packing, toxicity
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -19,6 +19,10 @@ def vocabulary(name: str = BYTE_BPE) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(table(spark, sf_dir, "documents"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.features(matroska.store(table(spark, sf_dir, "documents"))).drop("error")
 
@@ -36,7 +40,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_media_columns, op4_toxicity, op8_mix_sources, op10_pack]
+    found = [op1_language_id, op3_media_columns, op4_toxicity, op8_mix_sources, op10_pack]
     return {f.__name__: f for f in found}
 
 
