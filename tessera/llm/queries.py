@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, matroska, mixing, packing, toxicity
+from . import hilbert, langid, matroska, mixing, packing, toxicity
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -35,12 +35,16 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op3_media_columns, op4_toxicity, op8_mix_sources, op10_pack]
+    found = [op1_language_id, op3_media_columns, op4_toxicity, op8_mix_sources, op9_neighbours, op10_pack]
     return {f.__name__: f for f in found}
 
 
