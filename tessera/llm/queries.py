@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import hilbert, langid, matroska, mixing, packing, substrings, toxicity
+from . import chosenpath, hilbert, langid, matroska, mixing, packing, substrings, toxicity
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -31,6 +31,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op3_media_columns, op4_toxicity, op6_substring_dedup, op8_mix_sources, op9_neighbours, op10_pack]
+    found = [op1_language_id, op3_media_columns, op4_toxicity, op5_jaccard_join, op6_substring_dedup, op8_mix_sources, op9_neighbours, op10_pack]
     return {f.__name__: f for f in found}
 
 
