@@ -263,9 +263,15 @@ def _switching(rng: np.random.Generator, sizes: list[int], sequences: int, lengt
 def sample(docs: DataFrame, per_language: int, max_languages: int, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
     """The bounded sample of labelled texts to learn from."""
     known = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang")).where("lang is not null").where(~held_out())
-    top = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    if not counts:
+        return []
+    # a share of each language that holds several times the documents wanted, so that few rows are ranked
+    unit = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("double") / 2.0**32
+    share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, 8.0 * per_language / n))])
+    known = known.where(unit <= share[F.col("lang")])
     order = W.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    picked = known.where(F.col("lang").isin(top)).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id", F.col("lang").alias("picked_lang"))
+    picked = known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id", F.col("lang").alias("picked_lang"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.join(F.broadcast(picked.distinct()), "doc_id").where("lang = picked_lang and text is not null").select("doc_id", "lang", "text")
     return [(r["lang"], r["text"]) for r in sorted(rows.toLocalIterator(), key=lambda r: (r["doc_id"], r["text"]))]

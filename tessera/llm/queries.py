@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chosenpath, hilbert, langid, matroska, mixing, packing, substrings, toxicity
+from . import chosenpath, cotraining, hilbert, langid, matroska, mixing, packing, substrings, toxicity, wordpiece
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -23,6 +23,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.features(matroska.store(table(spark, sf_dir, "documents"))).drop("error")
 
@@ -39,6 +43,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -52,7 +60,10 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op3_media_columns, op4_toxicity, op5_jaccard_join, op6_substring_dedup, op8_mix_sources, op9_neighbours, op10_pack]
+    found = [
+        op1_language_id, op2_token_counts, op3_media_columns, op4_toxicity, op5_jaccard_join,
+        op6_substring_dedup, op7_quality, op8_mix_sources, op9_neighbours, op10_pack,
+    ]
     return {f.__name__: f for f in found}
 
 
