@@ -30,7 +30,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import materialize, release
@@ -226,9 +225,9 @@ def settle(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
                 open_ = ~copy & ~(batch.column(3).is_null().to_numpy(zero_copy_only=False) & batch.column(4).is_null().to_numpy(zero_copy_only=False))
                 digests = [None if o else EMPTY if c else hashlib.sha256(b" ".join(data[at[r] : at[r + 1]].tobytes().split())).hexdigest() for r, (o, c) in enumerate(zip(open_.tolist(), copy.tolist(), strict=True))]
                 removed = pa.array(np.where(copy, n, 0), mask=open_)
-                keep = pa.array(open_ | (with_text & ~copy))
-                text = pc.if_else(keep, batch.column(1), pa.scalar(None, batch.column(1).type))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), removed, pa.array(digests, pa.string()), text.cast(pa.string()), batch.column(3), batch.column(4)], names=[x.split()[0] for x in SETTLED.split(", ")])
+                keep = open_ | (with_text & ~copy)
+                text = batch.column(1).take(pa.array(np.arange(len(n)), mask=~keep))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), removed, pa.array(digests, pa.string()), text, batch.column(3), batch.column(4)], names=[x.split()[0] for x in SETTLED.split(", ")])
 
     return texts.mapInArrow(run, SETTLED)
 
