@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .session import ship
+
 #: The same as common table expressions; a query's SQL takes those it names.
 SQL = {
     "files": """files as (select doc_id + 1 as id, md5(coalesce(text, '')) as file_md5, 'doc-' || doc_id || '.txt' as file_name, strlen(coalesce(text, ''))::bigint as total_size,
@@ -30,7 +32,7 @@ def sql(*names: str, body: str, recursive: bool = False) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _text() -> Column:
