@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import ship
+
 #: Rows up to which a lookup table counts as small enough to broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -49,4 +51,4 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
