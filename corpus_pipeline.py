@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tessera.llm import chosenpath, langid, mixing, packing, substrings
 from tessera.llm.common import materialize, table
 from tessera.llm.queries import vocabulary
+from tessera.session import ship
 
 #: Documents whose language the model is less sure of than this, on average over their words, go.
 LEAST_LANGUAGE_SCORE = 0.4
@@ -20,18 +21,21 @@ LEAST_LANGUAGE_SCORE = 0.4
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language the model knows: not ``und``, and not below the least score."""
+    ship(spark)
     known = langid.language_id(docs).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
     return docs.join(known.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id."""
+    ship(spark)
     kept = chosenpath.similar_documents(docs).where("doc_id = class_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that occur earlier; documents of which nothing is left go."""
+    ship(spark)
     cut = substrings.remove_repeats(docs, with_text=True).select(F.col("doc_id").alias("cut_id"), F.col("n_removed").alias("cut_words"), F.col("kept_text").alias("cut_text"), (F.col("n_words") > F.col("n_removed")).alias("cut_some"))
     joined = docs.drop("text").join(cut, F.col("doc_id") == F.col("cut_id")).where(F.col("cut_some") | (F.col("cut_words") == 0))
     joined = joined.withColumn("text", F.col("cut_text")).withColumn("n_chars", F.length("text").cast("long"))
@@ -46,6 +50,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences of 1024; copies of a document share its doc_id."""
+    ship(spark)
     return packing.pack(docs, vocabulary())
 
 
