@@ -4,7 +4,8 @@ In each run and at each level a document chooses a few of its shingles: those wh
 a bound inverse to the size of its set, so similar sets choose the same ones with a probability that
 grows with their similarity. Documents that choose the same shingle share a bucket. Buckets of up to
 ``limit`` documents are compared by brute force; larger ones are split by the shingles chosen at the
-next level. What is still large after the last level is compared in blocks, all against all, so no
+next level. A bucket that a level hardly split holds sets alike, which no further level parts; it is
+compared in blocks, all against all, and so is what is still large after the last level, so no
 bucket is ever cut short. Runs repeat with other hashes until the ``recall`` aimed at holds for pairs
 at the bound itself; closer pairs are found more surely.
 
@@ -330,12 +331,12 @@ def similar_documents(
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     about = materialize(describe(rows), "join-about")
     firsts = materialize(about.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "join-firsts")
-    level = materialize(paths(rows, runs_for(recall, similarity, sample), sample, seed), "join-paths")
+    level = materialize(paths(rows, runs_for(recall, similarity, sample), sample, seed), "join-paths").withColumn("parent", F.lit(None).cast("long"))
     columns = ["key", "node", "size", "sketch"]
     found = None
     for k in range(LEVELS):
         # keys that more than one set has; large ones go on to the next level
-        keys = materialize(level.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), f"join-keys-{k}")
+        keys = materialize(level.groupBy("key").agg(F.count("*").alias("members"), F.first("parent").alias("parent")).where("members > 1"), f"join-keys-{k}")
         some = keys.where(F.col("members") <= limit)
         small = level.join(some, "key", "left_semi").select(*columns, F.lit(0).alias("side"))
         edges = materialize(compare(small.repartition("key").sortWithinPartitions("key"), similarity), f"join-edges-{k}")
@@ -343,15 +344,17 @@ def similar_documents(
         large = keys.where(F.col("members") > limit)
         if large.limit(1).count() == 0:
             break
-        big = level.join(large, "key")
+        # what the last level hardly split holds sets alike; it is compared as it is, and so is all that is left at the end
+        alike_ = F.lit(k == LEVELS - 1) | F.coalesce(F.col("members") * 2 > F.col("parent"), F.lit(False))
+        parts = F.ceil(F.col("members") / limit).cast("int")
+        big = level.drop("parent").join(large.withColumn("alike", alike_), "key")
+        own = F.pmod(F.xxhash64("node"), parts).cast("int")
+        dealt = in_blocks(big.where("alike").withColumn("parts", parts).withColumn("own", own), "key").select("group", "side", "node", "size", "sketch").withColumnRenamed("group", "key")
+        found = found.union(materialize(compare(dealt.repartition("key").sortWithinPartitions("key"), similarity), f"join-blocks-{k}"))
         if k == LEVELS - 1:
-            parts = F.ceil(F.col("members") / block).cast("int")
-            own = F.pmod(F.xxhash64("node"), parts).cast("int")
-            dealt = in_blocks(big.withColumn("parts", parts).withColumn("own", own), "key").select("group", "side", "node", "size", "sketch").withColumnRenamed("group", "key")
-            found = found.union(materialize(compare(dealt.repartition("key").sortWithinPartitions("key"), similarity), "join-edges-blocks"))
             break
         wanted = F.filter("deeper", lambda x, k=k: x.bitwiseAND(F.lit(3)) == k + 1)
-        level = materialize(big.withColumn("token", F.explode(wanted)).select(F.xxhash64("key", "token").alias("key"), "node", "size", "sketch", "deeper"), f"join-paths-{k + 1}")
+        level = materialize(big.where("not alike").withColumn("token", F.explode(wanted)).select(F.xxhash64("key", "token").alias("key"), "node", "size", "sketch", "deeper", F.col("members").alias("parent")), f"join-paths-{k + 1}")
         release(spark)
     loose = materialize(components(found), "join-loose")
     release(spark)
