@@ -192,8 +192,8 @@ def sample(features: DataFrame, labels: DataFrame, label: str, labelled: int, un
     rows = features.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "content", "metadata", "label").collect()
     rows.sort(key=lambda r: (hash_order(r["doc_id"]), r["doc_id"]))
     pool = features.where(~held_out()).orderBy(order, "doc_id").limit(unlabelled).select("content", "metadata").collect()
-    x = [np.array([r[k] for r in rows], float).reshape(len(rows), -1) for k in ("content", "metadata")]
-    u = [np.array([r[k] for r in pool], float).reshape(len(pool), -1) for k in ("content", "metadata")]
+    x = [np.array([r[k] for r in rows], float).reshape(len(rows), -1) if rows else np.zeros((0, 1)) for k in ("content", "metadata")]
+    u = [np.array([r[k] for r in pool], float).reshape(len(pool), -1) if pool else np.zeros((0, x[i].shape[1])) for i, k in enumerate(("content", "metadata"))]
     return (x[0], x[1], np.array([r["label"] for r in rows], float)), (u[0], u[1])
 
 

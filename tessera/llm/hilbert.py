@@ -118,19 +118,21 @@ def search(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), *own], names=["vec_id", "vector", *[f"key{o}" for o in range(orderings)]])
 
     keyed = materialize(rows.mapInArrow(keys, "vec_id long, vector binary, " + ", ".join(f"key{o} long" for o in range(orderings))), "curve-keys")
-    cuts = [i / ranges for i in range(1, ranges)]
+    # no range holds fewer vectors than some times what is asked for
+    ranges = max(1, min(ranges, count // (4 * k)))
+    cuts = [i / ranges for i in range(1, ranges)] or [0.5]
     edges = keyed.agg(*[F.percentile_approx(f"key{o}", cuts, 10_000).alias(f"e{o}") for o in range(orderings)]).first()
     parts = []
     for o in range(orderings):
         own = F.col(f"key{o}")
         number = F.lit(0)
-        for cut in edges[f"e{o}"] or []:
-            number = number + (own > F.lit(int(cut))).cast("int")
-        parts.append(F.struct(F.lit(o).alias("ordering"), number.alias("range")))
+        distinct = sorted({int(c) for c in edges[f"e{o}"] or []}) if ranges > 1 else []
+        for cut in distinct:
+            number = number + (own > F.lit(cut)).cast("int")
+        parts.append(F.struct(F.lit(o).alias("ordering"), number.alias("range"), F.lit(len(distinct)).alias("last")))
     placed = keyed.select("vec_id", "vector", is_query.alias("asks"), F.explode(F.array(*parts)).alias("at")).select("vec_id", "vector", "asks", "at.*")
-    width = min(ranges, 2 * reach + 1)
-    begin = F.least(F.greatest(F.col("range") - reach, F.lit(0)), F.lit(ranges - width))
-    asked = placed.where("asks").select("vec_id", "vector", "ordering", F.explode(F.sequence(begin, begin + width - 1)).alias("range"))
+    begin = F.greatest(F.least(F.col("range") - reach, F.col("last") - 2 * reach), F.lit(0))
+    asked = placed.where("asks").select("vec_id", "vector", "ordering", F.explode(F.sequence(begin, F.least(begin + 2 * reach, F.col("last")))).alias("range"))
     sizes = placed.groupBy("ordering", "range").agg(F.count("*").alias("members"), F.lit(0).cast("long").alias("askers"))
     asks = asked.groupBy("ordering", "range").agg(F.lit(0).cast("long").alias("members"), F.count("*").alias("askers"))
     # at most orderings * ranges rows
