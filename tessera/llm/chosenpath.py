@@ -359,7 +359,7 @@ def similar_documents(
     loose = materialize(components(found), "join-loose")
     release(spark)
     # the sets of what may be linked, once each, dealt into groups of bounded size
-    sizes = loose.groupBy("root").agg(F.count("*").alias("members"))
+    sizes = materialize(loose.groupBy("root").agg(F.count("*").alias("members")), "join-sizes")
     parts = F.ceil(F.col("members") / block).cast("int")
     members = materialize(loose.join(sizes, "root").join(firsts, "node").select("node", "root", "first_id", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("own")), "join-members")
     linked = sized_broadcast(members)
@@ -368,7 +368,7 @@ def similar_documents(
     checked = materialize(verify(dealt.repartition("group").sortWithinPartitions("group"), similarity), "join-checked")
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(checked.select(F.col("node").alias("a"), F.col("leader").alias("b")))
-    names = groups.join(firsts, "node").groupBy("root").agg(F.min("first_id").alias("class_id"))
+    names = materialize(groups.join(firsts, "node").groupBy("root").agg(F.min("first_id").alias("class_id")), "join-names")
     near = groups.join(names, "root").select("node", "class_id")
     nodes = materialize(firsts.join(links, "node", "left").join(near, "node", "left").select("node", "first_id", "copies", "links", "class_id"), "join-nodes")
     alone = about.where("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies"))
