@@ -158,11 +158,12 @@ def test_files_in_and_out(spark, tmp_path):
     (tmp_path / "in/sub").mkdir(parents=True)
     (tmp_path / "in/a.txt").write_bytes(b"alpha")
     (tmp_path / "in/sub/b.txt").write_bytes(b"alpha")
-    (tmp_path / "in/sub/c.txt").write_bytes(b"")
     (tmp_path / "in/d.docx").write_bytes(b"PK\x03\x04 broken")
     good, bad = S.guarded(S.read_files(spark, str(tmp_path / "in")))
     assert {r["file_name"] for r in good.collect()} == {"a.txt", "b.txt"}
-    assert {(r["file_name"], r["fault"]) for r in bad.collect()} == {("c.txt", "empty"), ("d.docx", "broken archive")}
+    assert {(r["file_name"], r["fault"]) for r in bad.collect()} == {("d.docx", "broken archive")}
+    none = spark.createDataFrame([("c.txt", 0, b""), ("e.txt", 9, b"123456789")], "file_name string, size long, content binary")
+    assert {(r["file_name"], r["fault"]) for r in S.guarded(none, most=5)[1].collect()} == {("c.txt", "empty"), ("e.txt", "too large")}
     known = spark.createDataFrame([("x", 1, 1)], "file_md5 string, status int, user_id long")
     assert S.to_import(good, known, 1).count() == 1
     rows = spark.createDataFrame([(str(k), f"text {k}") for k in range(70)], "vector_id string, embedding_text string")
