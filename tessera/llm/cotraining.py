@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out, materialize
+from .common import hash_thinned, held_out, materialize
 from .textbytes import SpanHasher, pieces, slices, word_spans
 
 WORD_BUCKETS, NAME_BUCKETS = 64, 32
@@ -188,10 +188,10 @@ def sample(features: DataFrame, labels: DataFrame, label: str, labelled: int, un
     """Vectors of labelled documents outside the held-out fold, and of others, by hash of the id."""
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("double").alias("label")).where("label is not null").where(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
     order = F.md5(F.col("doc_id").cast("string"))
-    picked = known.orderBy(order).limit(labelled)
+    picked = hash_thinned(known, labelled).orderBy(order).limit(labelled)
     rows = features.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "content", "metadata", "label").collect()
     rows.sort(key=lambda r: (hash_order(r["doc_id"]), r["doc_id"]))
-    pool = features.where(~held_out()).orderBy(order, "doc_id").limit(unlabelled).select("content", "metadata").collect()
+    pool = hash_thinned(features.where(~held_out()), unlabelled).orderBy(order, "doc_id").limit(unlabelled).select("content", "metadata").collect()
     x = [np.array([r[k] for r in rows], float).reshape(len(rows), -1) if rows else np.zeros((0, 1)) for k in ("content", "metadata")]
     u = [np.array([r[k] for r in pool], float).reshape(len(pool), -1) if pool else np.zeros((0, x[i].shape[1])) for i, k in enumerate(("content", "metadata"))]
     return (x[0], x[1], np.array([r["label"] for r in rows], float)), (u[0], u[1])
