@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .. import roles
 from ..operators import chunking, validation
+from ..session import spread
 
 QUERIES, SQL = {}, {}
 
@@ -21,12 +22,12 @@ def query(sql: str | None = None):
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    d = roles.table(spark, sf_dir, "documents")
+    d = spread(roles.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select((F.col("doc_id") + 1).alias("document_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
 
 
 def pages(spark, sf_dir) -> DataFrame:
-    return roles.table(spark, sf_dir, "pages").select(F.col("page_id").alias("document_id"), F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".html")).alias("file_name"), F.col("html").cast("binary").alias("content"))
+    return spread(roles.table(spark, sf_dir, "pages").select("page_id", "html")).select(F.col("page_id").alias("document_id"), F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".html")).alias("file_name"), F.col("html").cast("binary").alias("content"))
 
 
 @query("select doc_id, k as line_no, line from (select doc_id, unnest(l) as line, generate_subscripts(l, 1)::int as k from (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\n]+') as l from documents))")

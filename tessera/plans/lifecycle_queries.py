@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 PARTS_SQL = """parts as (select l_orderkey % 500 + 1 as document_id, (l_linenumber - 1)::int as chunk_index from lineitem where l_suppkey % 3 <> 0),
-up as (select doc_id + 1 as id, (doc_id % 9) * 5242880 - 7 as total_size from documents where doc_id < 500)"""
+up as (select doc_id + 1 as id, (doc_id % 9) * 5242880 - 7 as total_size from documents)"""
 
 
 def _parts(spark, sf_dir) -> DataFrame:
@@ -31,7 +31,7 @@ def _parts(spark, sf_dir) -> DataFrame:
 
 
 def _uploads(spark, sf_dir) -> DataFrame:
-    return roles.table(spark, sf_dir, "documents").where("doc_id < 500").select((F.col("doc_id") + 1).alias("id"), ((F.col("doc_id") % 9) * 5242880 - 7).alias("total_size"))
+    return roles.table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("id"), ((F.col("doc_id") % 9) * 5242880 - 7).alias("total_size"))
 
 
 @query(f"""with {PARTS_SQL}, t as (select id, case when total_size <= 0 then 0 else (total_size - 1) // 5242880 + 1 end::bigint as total from up),
@@ -54,13 +54,13 @@ def bitmap_indexes(spark, sf_dir) -> DataFrame:
     return L.parts_of_bitmap(rows).select("id", F.transform("parts", lambda x: x.cast("long")).alias("parts"))
 
 
-@query("""with p as (select doc_id % 50 as id, (doc_id // 50)::int as k, doc_id, coalesce(text, '') as t from documents where doc_id < 200),
+@query("""with p as (select doc_id // 4 as id, (doc_id % 4)::int as k, doc_id, coalesce(text, '') as t from documents),
 w as (select id, count(*) as n, md5(string_agg(t, '' order by k)) as m from p where not (id % 5 = 0 and k = 2) group by id)
 select id, case when n = 4 then m end as md5, case when n < 4 then 'incomplete' when id % 7 = 0 then 'corrupt' else 'ready' end as outcome from w""")
 def merge_uploads(spark, sf_dir) -> DataFrame:
     d = F.col("doc_id")
     text = F.coalesce(F.col("text"), F.lit(""))
-    p = roles.table(spark, sf_dir, "documents").where("doc_id < 200").select((d % 50).alias("document_id"), F.floor(d / 50).cast("int").alias("chunk_index"), text.alias("t"), d.alias("seq"))
+    p = roles.table(spark, sf_dir, "documents").select(F.floor(d / 4).alias("document_id"), (d % 4).cast("int").alias("chunk_index"), text.alias("t"), d.alias("seq"))
     whole = p.groupBy(F.col("document_id").alias("id")).agg(F.md5(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "t"))), lambda x: x["t"])).cast("binary")).alias("m"))
     files = whole.select("id", F.when(F.col("id") % 7 == 0, F.lit("0" * 32)).otherwise(F.upper("m")).alias("file_md5"), F.lit(4 * 5242880).cast("long").alias("total_size"))
     # a part that was uploaded twice: the later content counts

@@ -154,13 +154,13 @@ def batch_hybrid_steps(spark, sf_dir) -> DataFrame:
 
 
 # three steps of hits over documents, with a chunk that a step finds twice
-STEP_HITS_SQL = """sh as (select s.step_id, row_number() over (partition by s.step_id order by (d.doc_id * (s.step_id * 2 + 1)) % 101, d.doc_id)::int as rank, d.doc_id from documents d, (values (1), (2), (3)) s(step_id) where d.doc_id < 40 and d.doc_id % (s.step_id + 1) = 0),
+STEP_HITS_SQL = """sh as (select s.step_id, row_number() over (partition by s.step_id order by (d.doc_id * (s.step_id * 2 + 1)) % 101, d.doc_id)::int as rank, d.doc_id from documents d, (values (1), (2), (3)) s(step_id) where d.doc_id % (s.step_id + 1) = 0),
 hx as (select step_id, rank, ((doc_id // 6) * 6 % 7)::varchar as owner, 'f' || doc_id // 6 as file_md5, doc_id // 6 + 1 as document_id, 'v1' as version, 'c' || doc_id // 6 as chunk_key, (doc_id // 6)::int as chunk from sh)"""
 IDENTITY = "owner, file_md5, document_id, version, chunk_key, chunk"
 
 
 def step_hits(spark, sf_dir) -> DataFrame:
-    d = roles.table(spark, sf_dir, "documents").where("doc_id < 40").select("doc_id")
+    d = roles.table(spark, sf_dir, "documents").select("doc_id")
     rows = d.withColumn("step_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).where(F.col("doc_id") % (F.col("step_id") + 1) == 0)
     order = W.partitionBy("step_id").orderBy((F.col("doc_id") * (F.col("step_id") * 2 + 1)) % 101, "doc_id")
     k = F.floor(F.col("doc_id") / 6)
@@ -273,13 +273,13 @@ def parent_attachment(spark, sf_dir) -> DataFrame:
     return R.attach_parents(hits, parents).select("query_id", "rank", F.col("parent_text").isNotNull().alias("expanded"))
 
 
-SPANS_SQL = """sp as (select l_orderkey % 300 as doc, 'b' || l_partkey % 3 as block_id, l_orderkey * 10 + l_linenumber as span_id, (l_suppkey % 40)::int as start, (l_suppkey % 40 + l_linenumber * 6)::int as stop, case when l_partkey % 4 = 0 then null else (l_partkey % 2)::int end as page_no from lineitem where l_orderkey < 4000)"""
+SPANS_SQL = """sp as (select l_orderkey // 8 as doc, 'b' || l_partkey % 3 as block_id, l_orderkey * 10 + l_linenumber as span_id, (l_suppkey % 40)::int as start, (l_suppkey % 40 + l_linenumber * 6)::int as stop, case when l_partkey % 4 = 0 then null else (l_partkey % 2)::int end as page_no from lineitem)"""
 
 
 def spans(spark, sf_dir) -> DataFrame:
     p, u = F.col("l_partkey"), F.col("l_suppkey") % 40
-    return roles.table(spark, sf_dir, "lineitem").where("l_orderkey < 4000").select(
-        (F.col("l_orderkey") % 300).alias("doc"), F.concat(F.lit("b"), (p % 3).cast("string")).alias("block_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("span_id"),
+    return roles.table(spark, sf_dir, "lineitem").select(
+        F.floor(F.col("l_orderkey") / 8).alias("doc"), F.concat(F.lit("b"), (p % 3).cast("string")).alias("block_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("span_id"),
         u.cast("int").alias("start"), (u + F.col("l_linenumber") * 6).cast("int").alias("end"), F.when(p % 4 == 0, F.lit(None).cast("int")).otherwise((p % 2).cast("int")).alias("page_no"),
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .session import ship
+from .session import ship, spread
 
 #: The same as common table expressions; a query's SQL takes those it names.
 SQL = {
@@ -60,7 +60,7 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    return table(spark, sf_dir, "documents").join(v, "doc_id", "left").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).join(v, "doc_id", "left").select(
         (d + 1).alias("document_id"), F.concat(F.lit("v"), (d % 3).cast("string")).alias("version"), F.lit("c0").alias("chunk_key"), (d % 7 + 1).alias("user_id"),
         F.md5(_text().cast("binary")).alias("file_md5"), F.concat(F.lit("m"), (d % 2).cast("string")).alias("model_version"), _text().alias("text_content"), "lang", "vector",
     )

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -23,6 +23,17 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan's rows over all cores, where its files give fewer parts than there are cores.
+
+    Work that costs far more than moving the rows (parsing, splitting texts into words) gains by it. Tables of
+    many parts stay where they lie, so nothing large is shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    parts = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    return scan if parts >= cores else scan.repartition(cores)
+
+
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     return (

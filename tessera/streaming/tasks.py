@@ -86,39 +86,50 @@ def upload_sessions(parts: DataFrame) -> DataFrame:
     return parts.groupBy("document_id").applyInPandasWithState(step, SESSION, SESSION_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-LEASE_STATE = "attempts int, token string"
+LEASE_STATE = "attempts int, leased boolean, due bigint"
 LEASE = "document_id bigint, action string, attempts int"
 
 
+def backoff_ms(attempts: int) -> int:
+    """As long as a failed delivery waits before it is handed out again."""
+    return 1000 * min(2 ** min(max(attempts, 1), 6), 60)
+
+
 def leases(events: DataFrame, lease_ms: int = 30_000) -> DataFrame:
     """The outbox as a stream: (document_id, action, attempts); action is claim, ack, retry or expired.
 
-    events: document_id, kind (enqueue, ack, fail). Enqueueing a document that is queued changes nothing;
-    a lease that isn't answered in time is handed out again.
+    events: document_id, kind (enqueue, ack, fail). Enqueueing a document that is queued changes nothing. A
+    lease that isn't answered in time is handed out again at once, a failed delivery after its backoff. Answers
+    for a document that holds no lease change nothing. The timers run on the clock, so the stream goes on
+    until it is stopped; with a trigger of availableNow it would not end either.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
+        held = tuple(state.get) if state.exists else None  # attempts, whether leased, when its timer is due
+        now, out = state.getCurrentProcessingTimeMs(), []
         if state.hasTimedOut:
-            attempts = state.get[0] + 1
-            out += [(key[0], "expired", attempts), (key[0], "claim", attempts)]
-            state.update((attempts, "lease"))
-            state.setTimeoutDuration(lease_ms)
-        else:
-            for batch in batches:
-                for kind in batch["kind"].tolist():
-                    if kind == "enqueue" and not state.exists:
-                        state.update((0, "lease"))
-                        out.append((key[0], "claim", 0))
-                    elif kind == "ack" and state.exists:
-                        out.append((key[0], "ack", state.get[0]))
-                        state.remove()
-                    elif kind == "fail" and state.exists:
-                        attempts = state.get[0] + 1
-                        state.update((attempts, "lease"))
-                        out.append((key[0], "retry", attempts))
-            if state.exists:
-                state.setTimeoutDuration(lease_ms)
+            attempts, leased, _ = held
+            if leased:
+                attempts += 1
+                out.append((key[0], "expired", attempts))
+            out.append((key[0], "claim", attempts))
+            held = (attempts, True, now + lease_ms)
+        for batch in batches:
+            for kind in batch["kind"].tolist():
+                if kind == "enqueue" and held is None:
+                    held = (0, True, now + lease_ms)
+                    out.append((key[0], "claim", 0))
+                elif kind == "ack" and held is not None and held[1]:
+                    out.append((key[0], "ack", held[0]))
+                    held = None
+                elif kind == "fail" and held is not None and held[1]:
+                    held = (held[0] + 1, False, now + backoff_ms(held[0] + 1))
+                    out.append((key[0], "retry", held[0]))
+        if held is not None:
+            state.update(held)
+            state.setTimeoutDuration(max(held[2] - now, 1))  # each call clears the timer
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["document_id", "action", "attempts"])
 
     return events.groupBy("document_id").applyInPandasWithState(step, LEASE, LEASE_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)

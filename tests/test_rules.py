@@ -203,3 +203,35 @@ def test_stream_failure_is_terminal_and_kept(spark, tmp_path):
 
     tasks.consume(spark.readStream.text(str(tmp_path / "in")), broken, str(tmp_path / "done"), str(tmp_path / "failed"), str(tmp_path / "check")).awaitTermination()
     assert [(r["document_id"], r["error"]) for r in spark.read.parquet(str(tmp_path / "failed")).collect()] == [(3, "never")]
+
+
+def test_stream_of_leases(spark, tmp_path):
+    import time
+
+    source, seen = tmp_path / "in", []
+    source.mkdir()
+
+    def give(name, *rows):
+        (tmp_path / "part").write_text("".join(f"{document},{kind}\n" for document, kind in rows))
+        (tmp_path / "part").rename(source / name)
+
+    def wait(row):
+        end = time.time() + 60
+        while row not in seen and time.time() < end:
+            time.sleep(0.1)
+        assert row in seen
+
+    give("a", (1, "enqueue"), (1, "enqueue"), (2, "enqueue"), (3, "ack"))
+    events = spark.readStream.schema("document_id long, kind string").csv(str(source))
+    query = tasks.leases(events, lease_ms=20_000).writeStream.foreachBatch(lambda rows, _: seen.extend(tuple(r) for r in rows.collect())).option("checkpointLocation", str(tmp_path / "check")).trigger(processingTime="1 second").start()
+    try:
+        wait((2, "claim", 0))
+        give("b", (1, "ack"), (2, "fail"))
+        wait((2, "retry", 1))
+        wait((2, "claim", 1))  # after the backoff, without an attempt more
+        give("c", (2, "enqueue"))  # changes nothing, its timer least of all
+        wait((2, "expired", 2))  # nobody answered the second lease
+    finally:
+        query.stop()
+    assert seen.count((1, "claim", 0)) == 1 and (1, "ack", 0) in seen
+    assert not any(r[0] == 3 for r in seen) and (2, "claim", 2) in seen
