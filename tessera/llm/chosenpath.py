@@ -4,7 +4,8 @@ In each run and at each level a document chooses a few of its shingles: those wh
 a bound inverse to the size of its set, so similar sets choose the same ones with a probability that
 grows with their similarity. Documents that choose the same shingle share a bucket. Buckets of up to
 ``limit`` documents are compared by brute force; larger ones are split by the shingles chosen at the
-next level. A bucket that a level hardly split holds sets alike, which no further level parts; it is
+next level, which each path draws by a hash of its own, so that a pair may go on along any of the
+shingles it shares, independently of the others. A bucket that a level hardly split holds sets alike, which no further level parts; it is
 compared in blocks, all against all, and so is what is still large after the last level, so no
 bucket is ever cut short. Runs repeat with other hashes until the ``recall`` aimed at holds for pairs
 at the bound itself; closer pairs are found more surely.
@@ -32,12 +33,13 @@ from pyspark.sql import DataFrame, functions as F
 from .common import materialize, release, sized_broadcast
 from .components import components
 from .substrings import Words
-from .textbytes import mix, slices
+from .textbytes import mix, ragged, slices
 
 _U = np.uint64
 BINS = 64
 NOTHING = 15
 LEVELS = 4
+LEVEL_BITS, PARENT_BITS = 2, 16
 SHINGLE = 5
 
 
@@ -80,7 +82,10 @@ class Sets:
 
 
 def runs_for(recall: float, similarity: float, sample: float, levels: int = LEVELS) -> int:
-    """Runs until a pair at the bound, one set inside the other, is found with that probability."""
+    """Runs until a pair at the bound, one set inside the other, is found with that probability.
+
+    A pair stays together at a level if it does along one of the paths it shares; these are independent.
+    """
     p = 1.0
     for _ in range(levels):
         p = 1 - math.exp(-similarity / sample * p)
@@ -105,7 +110,7 @@ def describe(rows: DataFrame) -> DataFrame:
 
 def paths(rows: DataFrame, runs: int, sample: float, seed: int) -> DataFrame:
     """First-level buckets of every set, one row for each shingle chosen in each run, copies in a task once."""
-    odd = np.random.default_rng(seed).integers(0, 1 << 63, size=(runs, LEVELS), dtype=np.uint64) * _U(2) + _U(1)
+    odd = np.random.default_rng(seed).integers(0, 1 << 63, size=runs, dtype=np.uint64) * _U(2) + _U(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -120,25 +125,25 @@ def paths(rows: DataFrame, runs: int, sample: float, seed: int) -> DataFrame:
                             seen.add(node)
                 codes = s.sketches()
                 packed = codes[:, ::2] << 4 | codes[:, 1::2]
-                bound = (2.0**64 * np.minimum(1 / (sample * np.maximum(s.size, 1)), 1 - 1e-16)).astype(_U)
-                bound = np.where(fresh, bound, _U(0))[s.row]
+                least = (2.0**64 * np.minimum(1 / (sample * np.maximum(s.size, 1)), 1 - 1e-16)).astype(_U)
+                bound = np.where(fresh, least, _U(0))[s.row]
                 keys, who, deeper, deeper_n = [], [], [], []
                 for k in range(runs):
-                    chosen = [np.flatnonzero(s.tokens * odd[k, level] < bound) for level in range(LEVELS)]
-                    first = chosen[0]
+                    first = np.flatnonzero(s.tokens * odd[k] < bound)
                     if not len(first):
                         continue
-                    later_row = np.concatenate([s.row[c] for c in chosen[1:]])
-                    later = np.concatenate([(mix(s.tokens[c] ^ odd[k, level]) & ~_U(3)) | _U(level) for level, c in enumerate(chosen) if level])
-                    order = np.argsort(later_row, kind="stable")
-                    later_row, later = later_row[order], later[order]
-                    begin, end = np.searchsorted(later_row, s.row[first]), np.searchsorted(later_row, s.row[first], side="right")
-                    keys.append(mix(s.tokens[first] ^ odd[k, 0]))
-                    who.append(s.row[first])
-                    size = end - begin
-                    before = np.cumsum(size) - size
-                    deeper.append(later[np.repeat(begin - before, size) + np.arange(int(size.sum()))])
-                    deeper_n.append(size)
+                    row, value, root = s.row[first], mix(s.tokens[first] ^ odd[k]), np.arange(len(first))
+                    keys.append(value)
+                    who.append(row)
+                    later, later_root = [], []
+                    for level in range(1, LEVELS):
+                        path, value = continued(s, least, row, value, level)
+                        row, root = row[path], root[path]
+                        later.append(value)
+                        later_root.append(root)
+                    later, later_root = np.concatenate(later), np.concatenate(later_root)
+                    deeper.append(later[np.argsort(later_root, kind="stable")])
+                    deeper_n.append(np.bincount(later_root, minlength=len(first)))
                 if not keys:
                     continue
                 row = np.concatenate(who)
@@ -150,6 +155,41 @@ def paths(rows: DataFrame, runs: int, sample: float, seed: int) -> DataFrame:
     return rows.mapInArrow(run, PATHS)
 
 
+def continued(s: Sets, least: np.ndarray, row: np.ndarray, value: np.ndarray, level: int, some: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that paths (their rows and values) choose at a level: number of the path, and value.
+
+    A value holds a hash of the path, PARENT_BITS of the path it continues, and its level.
+    """
+    path, out = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
+    own, size = mix(value + _U(level)) | _U(1), s.size[row]
+    tag = (value >> _U(64 - PARENT_BITS)) << _U(LEVEL_BITS)
+    until = np.cumsum(size)
+    for part in np.split(np.arange(len(row)), np.flatnonzero(np.diff(until // some)) + 1):
+        if not len(part):
+            continue
+        n = size[part]
+        t = s.tokens[ragged(s.at[row[part]], n)]
+        hit = np.flatnonzero(t * np.repeat(own[part], n) < np.repeat(least[row[part]], n))
+        who = part[np.searchsorted(np.cumsum(n), hit, side="right")]
+        path.append(who)
+        out.append((mix(t[hit] ^ own[who]) >> _U(PARENT_BITS + LEVEL_BITS) << _U(PARENT_BITS + LEVEL_BITS)) | tag[who] | _U(level))
+    return np.concatenate(path), np.concatenate(out)
+
+
+def next_level(rows: DataFrame, k: int) -> DataFrame:
+    """Paths of level ``k`` continued to the next: one row for each shingle that a path chooses there.
+
+    rows: key, token (the path's value), node, size, sketch, deeper, members.
+    """
+    parent = F.shiftrightunsigned("token", 64 - PARENT_BITS)
+
+    def wanted(x):
+        return (x.bitwiseAND(F.lit((1 << LEVEL_BITS) - 1)) == k + 1) & (F.shiftrightunsigned(x, LEVEL_BITS).bitwiseAND(F.lit((1 << PARENT_BITS) - 1)) == parent)
+
+    chosen = rows.withColumn("next", F.explode(F.filter("deeper", wanted)))
+    return chosen.select(F.xxhash64("key", "next").alias("key"), F.col("next").alias("token"), "node", "size", "sketch", "deeper", F.col("members").alias("parent"))
+
+
 def alike(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, similarity: float) -> np.ndarray:
     """Whether sketches (broadcast against each other on the last axis) may belong to sets that similar."""
     used = ((a != NOTHING) | (b != NOTHING)).sum(-1)
@@ -331,7 +371,7 @@ def similar_documents(
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     about = materialize(describe(rows), "join-about")
     firsts = materialize(about.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "join-firsts")
-    level = materialize(paths(rows, runs_for(recall, similarity, sample), sample, seed), "join-paths").withColumn("parent", F.lit(None).cast("long"))
+    level = materialize(paths(rows, runs_for(recall, similarity, sample), sample, seed), "join-paths").withColumn("parent", F.lit(None).cast("long")).withColumn("token", F.col("key"))
     columns = ["key", "node", "size", "sketch"]
     found = None
     for k in range(LEVELS):
@@ -353,8 +393,7 @@ def similar_documents(
         found = found.union(materialize(compare(dealt.repartition("key").sortWithinPartitions("key"), similarity), f"join-blocks-{k}"))
         if k == LEVELS - 1:
             break
-        wanted = F.filter("deeper", lambda x, k=k: x.bitwiseAND(F.lit(3)) == k + 1)
-        level = materialize(big.where("not alike").withColumn("token", F.explode(wanted)).select(F.xxhash64("key", "token").alias("key"), "node", "size", "sketch", "deeper", F.col("members").alias("parent")), f"join-paths-{k + 1}")
+        level = materialize(next_level(big.where("not alike"), k), f"join-paths-{k + 1}")
         release(spark)
     loose = materialize(components(found), "join-loose")
     release(spark)

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, chosenpath, components, cotraining, hilbert, langid, matroska, mixing, packing, queries, substrings, toxicity, wordpiece
+from tessera.llm.common import materialize
 
 from ..oracle import check, connect
 from . import brute
@@ -255,6 +256,21 @@ def test_join_of_dense_groups_and_shared_passages(spark):
     assert got == want
 
 
+def test_join_recall_at_the_deepest_level(spark):
+    # pairs at the bound, one set inside the other, followed down all levels; the registered recall is 0.999
+    n, rows = 1000, []
+    for i in range(n):
+        words = [f"w{i}_{k}" for k in range(104)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:84]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    pairs = materialize(chosenpath.describe(docs).select("node", F.floor(F.col("doc_id") / 2).alias("pair")), "test-pairs")
+    level = materialize(chosenpath.paths(docs, chosenpath.runs_for(0.999, 0.8, 0.7), 0.7, 3), "test-paths").withColumn("token", F.col("key"))
+    for k in range(chosenpath.LEVELS - 1):
+        level = materialize(chosenpath.next_level(level.withColumn("members", F.lit(2)), k), "test-paths")
+    met = level.join(pairs, "node").groupBy("pair", "key").agg(F.countDistinct("node").alias("sets")).where("sets = 2")
+    assert met.select("pair").distinct().count() >= 0.998 * n
+
+
 def test_join_edges(odd, empty):
     rows = {i: t for i, t in texts_of(odd)}
     got, want = joined(odd), brute.joined(rows.items())
