@@ -288,6 +288,20 @@ def roots(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         root = after
 
 
+OWN = "node long, root long, parts int, own int, text string"
+
+
+def own_texts(rows: DataFrame) -> DataFrame:
+    """The rows whose text has the set of their node: other texts may share its first id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 4):
+                yield batch.filter(pa.array(Sets(batch.column(4)).node == batch.column(0).to_numpy()))
+
+    return rows.mapInArrow(run, OWN)
+
+
 VERIFIED = "node long, links long, leader long"
 
 
@@ -402,7 +416,8 @@ def similar_documents(
     parts = F.ceil(F.col("members") / block).cast("int")
     members = materialize(loose.join(sizes, "root").join(firsts, "node").select("node", "root", "first_id", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("own")), "join-members")
     linked = sized_broadcast(members)
-    texts = rows.join(linked, F.col("doc_id") == F.col("first_id")).select("node", "root", "parts", "own", "text").dropDuplicates(["node"])
+    texts = rows.join(linked, F.col("doc_id") == F.col("first_id")).select("node", "root", "parts", "own", "text")
+    texts = own_texts(texts).dropDuplicates(["node"])
     dealt = in_blocks(texts, "root").select("group", "side", "node", "text")
     checked = materialize(verify(dealt.repartition("group").sortWithinPartitions("group"), similarity), "join-checked")
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))

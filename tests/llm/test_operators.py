@@ -271,6 +271,19 @@ def test_join_recall_at_the_deepest_level(spark):
     assert met.select("pair").distinct().count() >= 0.998 * n
 
 
+def test_join_of_texts_that_share_an_id(spark):
+    # ids 0 to 19 have two texts each, every one with a near copy under an id of its own
+    rows = []
+    for i in range(20):
+        for side in (0, 1):
+            words = [f"s{i}_{side}_{k}" for k in range(60)]
+            rows += [(i, " ".join(words)), (100 + 2 * i + side, " ".join(words[:57]))]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        got = [(r["doc_id"], r["class_id"], r["n_links"]) for r in chosenpath.similar_documents(docs).collect()]
+        assert sorted(got) == sorted((i, i if i < 100 else (i - 100) // 2, 1) for i, _ in rows)
+
+
 def test_join_edges(odd, empty):
     rows = {i: t for i, t in texts_of(odd)}
     got, want = joined(odd), brute.joined(rows.items())
