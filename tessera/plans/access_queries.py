@@ -188,7 +188,16 @@ def users_page(spark, sf_dir) -> DataFrame:
 
 @query("select o_orderkey as turn_id, c_name as username, c_custkey is null as missing from orders left join customer on c_custkey = o_custkey where o_orderkey % 50 = 0")
 def admin_conversation(spark, sf_dir) -> DataFrame:
-    o, c = roles.table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0"), roles.table(spark, sf_dir, "customer")
+    return _admin_conversation(spark, sf_dir, roles.table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0"))
+
+
+@query("select o_orderkey as turn_id, c_name as username, c_custkey is null as missing from orders left join customer on c_custkey = o_custkey")
+def admin_conversation_all(spark, sf_dir) -> DataFrame:
+    return _admin_conversation(spark, sf_dir, roles.table(spark, sf_dir, "orders"))
+
+
+def _admin_conversation(spark, sf_dir, o: DataFrame) -> DataFrame:
+    c = roles.table(spark, sf_dir, "customer")
     return o.join(c, o["o_custkey"] == c["c_custkey"], "left").select(F.col("o_orderkey").alias("turn_id"), F.col("c_name").alias("username"), F.col("c_custkey").isNull().alias("missing"))
 
 

@@ -236,7 +236,16 @@ def binding_input_trim(spark, sf_dir) -> DataFrame:
 
 @query("""select o_custkey as plan_id, o_orderkey as step_id, case when o_custkey % 4 = 0 then 'blocked_service' when o_custkey % 4 = 1 then 'blocked_no_evidence' else 'pending' end as status from orders where o_orderkey % 5 = 0""")
 def step_status(spark, sf_dir) -> DataFrame:
-    o = roles.table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("plan_id"), F.col("o_orderkey").alias("step_id"))
+    return _step_status(roles.table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0"))
+
+
+@query("""select o_custkey as plan_id, o_orderkey as step_id, case when o_custkey % 4 = 0 then 'blocked_service' when o_custkey % 4 = 1 then 'blocked_no_evidence' else 'pending' end as status from orders""")
+def step_status_all(spark, sf_dir) -> DataFrame:
+    return _step_status(roles.table(spark, sf_dir, "orders"))
+
+
+def _step_status(orders: DataFrame) -> DataFrame:
+    o = orders.select(F.col("o_custkey").alias("plan_id"), F.col("o_orderkey").alias("step_id"))
     c = F.col("plan_id") % 4
     roots = o.select("plan_id").distinct().select("plan_id", F.explode(F.array(F.lit(-1).cast("long"), F.lit(-2).cast("long"))).alias("step_id")).withColumn("depends_on", F.array().cast("array<bigint>"))
     roots = roots.withColumn("status", F.when((F.col("step_id") == -1) & (c == 0), "failed").when((F.col("step_id") == -2) & (c <= 1), "empty").otherwise("retrieved"))

@@ -264,7 +264,21 @@ r as (with recursive g as (select distinct query_id, 0::bigint as n, 3000::bigin
  select query_id, ps from (select *, row_number() over (partition by query_id order by n desc) as k from g) where k = 1)
 select h.query_id, h.rank::int as rank, coalesce(list_contains(r.ps, h.p), false) as expanded from h left join r using (query_id)""")
 def parent_attachment(spark, sf_dir) -> DataFrame:
-    o = roles.table(spark, sf_dir, "orders").where("o_custkey % 10 = 0")
+    return _parent_attachment(spark, roles.table(spark, sf_dir, "orders").where("o_custkey % 10 = 0"))
+
+
+@query("""with h as (select o_custkey as query_id, row_number() over (partition by o_custkey order by o_orderkey) as rank, o_orderkey % 5 as p, o_orderkey as id from orders),
+f as (select query_id, p, min(rank) as spot, (case when p = 4 then null else 700 + p * 500 end) as cost from h group by query_id, p),
+c as (select *, row_number() over (partition by query_id order by spot) as n from f where cost is not null),
+r as (with recursive g as (select distinct query_id, 0::bigint as n, 3000::bigint as room, []::bigint[] as ps from c union all
+ select c.query_id, c.n, case when cost <= room then room - cost else room end, case when cost <= room then list_append(ps, c.p) else ps end from g join c on c.query_id = g.query_id and c.n = g.n + 1)
+ select query_id, ps from (select *, row_number() over (partition by query_id order by n desc) as k from g) where k = 1)
+select h.query_id, h.rank::int as rank, coalesce(list_contains(r.ps, h.p), false) as expanded from h left join r using (query_id)""")
+def parent_attachment_all(spark, sf_dir) -> DataFrame:
+    return _parent_attachment(spark, roles.table(spark, sf_dir, "orders"))
+
+
+def _parent_attachment(spark, o: DataFrame) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
     p = F.col("o_orderkey") % 5
     hits = o.select(F.col("o_custkey").alias("query_id"), rank.alias("rank"), F.lit(1).cast("long").alias("document_id"), F.lit("v1").alias("version"), F.concat(F.lit("p"), p.cast("string")).alias("parent_id"), F.lit(7).alias("user_id"))

@@ -21,3 +21,9 @@ def test_query(spark, sf_dir, con, name):
         check(df, con, SQL[name])
     else:
         assert df.count() > 0
+
+
+def test_queries_over_whole_orders(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    for name in ("parent_attachment_all", "step_status_all", "admin_conversation_all"):
+        assert QUERIES[name](spark, sf_dir).count() == orders
