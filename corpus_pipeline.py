@@ -15,14 +15,11 @@ from tessera.llm.common import materialize, table
 from tessera.llm.queries import vocabulary
 from tessera.session import ship
 
-#: Documents whose language the model is less sure of than this, on average over their words, go.
-LEAST_LANGUAGE_SCORE = 0.4
-
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language the model knows: not ``und``, and not below the least score."""
+    """Documents in languages the model knows, one or several: all but ``und``."""
     ship(spark)
-    known = langid.language_id(docs).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    known = langid.language_id(docs).where(F.col("lang_pred") != langid.UNKNOWN)
     return docs.join(known.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
 
 

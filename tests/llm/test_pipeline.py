@@ -43,6 +43,16 @@ def test_rejected_languages(spark, odd):  # noqa: F811
     assert not kept & {0, 1, 2, 4} and langid.UNKNOWN == "und"
 
 
+def test_documents_of_several_languages_stay(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    parts = {r["lang"]: r["text"].split() for r in docs.where("lang is not null and length(text) > 600").orderBy("doc_id").collect()}
+    assert len(parts) >= 3
+    text = " ".join(w for name in sorted(parts) for w in parts[name][:60])
+    mixed = docs.limit(1).select(F.lit(10_000_000).cast("long").alias("doc_id"), F.lit(text).alias("text"), F.lit(None).cast("string").alias("lang"), "source", F.lit(len(text)).cast("long").alias("n_chars"))
+    kept = corpus_pipeline.keep_known_languages(spark, docs.union(mixed.select(docs.columns)), sf_dir)
+    assert kept.where("doc_id = 10000000").count() == 1
+
+
 def test_stages_take_odd_documents(spark, odd):  # noqa: F811
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:
