@@ -7,8 +7,9 @@ languages, so code-switched text splits into runs; a document gets the language
 mean probability, which is its score.
 
 Training maximises the conditional likelihood on sequences that switch between texts of different
-languages, cut from a bounded sample: at most ``per_language`` documents of each of the
-``max_languages`` most frequent values of lang, by hash of the id, outside the held-out fold.
+languages, cut from a bounded sample: at most ``per_language`` documents of each value of lang, by hash
+of the id, outside the held-out fold; fewer of each, but one at least, where there are more than
+``max_languages`` values, so that rows are bounded over all of them and no language is left out.
 
 Long texts are handled in blocks of words: transfer matrices of all blocks are built side by side,
 messages are passed from block to block, then all blocks are completed side by side. The result is
@@ -263,9 +264,11 @@ def _switching(rng: np.random.Generator, sizes: list[int], sequences: int, lengt
 def sample(docs: DataFrame, per_language: int, max_languages: int, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
     """The bounded sample of labelled texts to learn from."""
     known = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang")).where("lang is not null").where(~held_out())
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return []
+    if len(counts) > max_languages:
+        per_language = max(1, per_language * max_languages // len(counts))
     # a share of each language that holds several times the documents wanted, so that few rows are ranked
     unit = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("double") / 2.0**32
     share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, 8.0 * per_language / n))])

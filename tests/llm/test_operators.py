@@ -96,6 +96,12 @@ def test_language_spans_of_switching_text(spark, sf_dir):
     assert right >= 0.85 * sum(s["words"] for s in spans)
 
 
+def test_languages_beyond_the_bound_are_learned_too(spark):
+    rows = [(100 * k + i, f"w{k} x{k}", f"l{k}") for k in range(6) for i in range(60 - 9 * k)]
+    got = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 6, 2)
+    assert {x for x, _ in got} == {f"l{k}" for k in range(6)} and len(got) <= 12
+
+
 def test_language_edges(odd, empty):
     got = {r["doc_id"]: r for r in langid.language_id(odd).collect()}
     for i in (0, 1, 2, 4):
