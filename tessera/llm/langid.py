@@ -9,7 +9,8 @@ mean probability, which is its score.
 Training maximises the conditional likelihood on sequences that switch between texts of different
 languages, cut from a bounded sample: at most ``per_language`` documents of each value of lang, by hash
 of the id, outside the held-out fold; fewer of each, but one at least, where there are more than
-``max_languages`` values, so that rows are bounded over all of them and no language is left out.
+``max_languages`` values, so that rows are bounded over all of them and no language is left out. Weights
+are fitted on ``sequences`` such sequences of 64 words for each language, 1500 at least.
 
 Long texts are handled in blocks of words: transfer matrices of all blocks are built side by side,
 messages are passed from block to block, then all blocks are completed side by side. The result is
@@ -37,6 +38,8 @@ from .textbytes import SpanHasher, mix, pieces, slices, word_spans
 UNKNOWN = "und"
 TABLE_BITS = 17
 BLOCK = 32
+#: Sequences fitted at once.
+CHUNK = 1500
 LETTER = re.compile(r"[^\W\d_]")
 
 NO_LETTER = np.ones(256, bool)
@@ -145,8 +148,8 @@ def lowered(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column.fill_null(""))
 
 
-def train(texts: list[tuple[str, str]], length: int = 64, sequences: int = 1500, rounds: int = 12, lexicon_words: int = 400, seed: int = 5) -> Model | None:
-    """A model from (language, text) pairs; None if there are none with words."""
+def train(texts: list[tuple[str, str]], length: int = 64, sequences: int = 375, rounds: int = 12, lexicon_words: int = 400, seed: int = 5) -> Model | None:
+    """A model from (language, text) pairs, fitted on ``sequences`` a language; None if there are none with words."""
     languages = sorted({x for x, _ in texts})
     pools = []
     for name in languages:
@@ -168,7 +171,7 @@ def train(texts: list[tuple[str, str]], length: int = 64, sequences: int = 1500,
     feats = [word_features(*p) for p in pools]
     lexicon, lexicon_of = _lexicon([f[0] for f in feats], lexicon_words)
     rng = np.random.default_rng(seed)
-    picked_lang, picked_word = _switching(rng, [len(p[1]) for p in pools], sequences, length)
+    picked_lang, picked_word = _switching(rng, [len(p[1]) for p in pools], max(1500, sequences * k), length)
     flat_lang, flat_word = picked_lang.T.ravel(), picked_word.T.ravel()  # sequence after sequence
     n = len(flat_lang)
     fixed = np.empty((n, feats[0][1].shape[1]), np.int32)
@@ -185,28 +188,36 @@ def train(texts: list[tuple[str, str]], length: int = 64, sequences: int = 1500,
         gram_index.append(feats[i][2][np.repeat(s - before, size) + np.arange(int(size.sum()))])
     gram_word, gram_index = np.concatenate(gram_word), np.concatenate(gram_index)
     place = np.minimum(np.searchsorted(lexicon, whole), max(0, len(lexicon) - 1))
-    lex = np.where((lexicon[place] == whole)[:, None], lexicon_of[place], 0.0) if len(lexicon) else np.zeros((n, k))
+    known = lexicon[place] == whole if len(lexicon) else np.zeros(n, bool)
     rows = np.concatenate([np.repeat(np.arange(n), fixed.shape[1]), gram_word])
     index = np.concatenate([fixed.ravel(), gram_index])
     size = 1 << TABLE_BITS
     weights, by_lexicon, transitions = np.zeros((size, k)), np.zeros((k, k)), np.zeros((k, k))
     sums = [np.full_like(x, 1e-2) for x in (weights, by_lexicon, transitions)]
-    truth = np.eye(k)[flat_lang]
-    at = np.arange(0, n + 1, length)
     inner = np.ones(n, bool)
-    inner[at[1:] - 1] = False
+    inner[length - 1 :: length] = False
     pair = np.zeros((k, k))
     np.add.at(pair, (flat_lang[:-1][inner[:-1]], flat_lang[1:][inner[:-1]]), 1)
+    # gradients are sums over sequences, taken a few at a time: with more languages fewer, so that memory stays
+    step = max(1, min(CHUNK, CHUNK * 8 // k)) * length
+    chunks = []
+    for a in range(0, n, step):
+        b = min(n, a + step)
+        mine = np.flatnonzero((rows >= a) & (rows < b))
+        chunks.append((a, b, (rows[mine] - a).astype(np.int32), index[mine].astype(np.int32)))
+    del rows, index
     for _ in range(rounds):
-        scores = np.stack([np.bincount(rows, weights[index, j], n) for j in range(k)], 1) + lex @ by_lexicon
-        p = posteriors(scores, at, transitions)
-        d = truth - p
-        expected = _pairs(scores, p, transitions, inner, at)
-        grads = (
-            np.stack([np.bincount(index, d[rows, j], size) for j in range(k)], 1) - 0.05 * weights,
-            lex.T @ d - 0.05 * by_lexicon,
-            pair - expected - 0.05 * transitions,
-        )
+        grads = [-0.05 * weights, -0.05 * by_lexicon, pair - 0.05 * transitions]
+        for a, b, rows, index in chunks:
+            at = np.arange(0, b - a + 1, length)
+            lex = np.where(known[a:b, None], lexicon_of[place[a:b]], 0.0) if len(lexicon) else np.zeros((b - a, k))
+            scores = np.stack([np.bincount(rows, weights[index, j], b - a) for j in range(k)], 1) + lex @ by_lexicon
+            p = posteriors(scores, at, transitions)
+            d = np.eye(k)[flat_lang[a:b]] - p
+            for j in range(k):
+                grads[0][:, j] += np.bincount(index, d[rows, j], size)
+            grads[1] += lex.T @ d
+            grads[2] -= _pairs(scores, p, transitions, inner[a:b], at)
         for x, g, q in zip((weights, by_lexicon, transitions), grads, sums, strict=True):
             q += g * g
             x += 0.5 * g / np.sqrt(q)
@@ -357,8 +368,8 @@ def spans(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SPANS)
 
 
-def language_id(docs: DataFrame, per_language: int = 250, max_languages: int = 48) -> DataFrame:
+def language_id(docs: DataFrame, per_language: int = 250, max_languages: int = 48, sequences: int = 375) -> DataFrame:
     """Learn from the bounded sample, then predict every document."""
-    model = train(sample(docs, per_language, max_languages))
+    model = train(sample(docs, per_language, max_languages), sequences=sequences)
     found = identify(docs, model)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_words", "switches")

@@ -102,6 +102,19 @@ def test_languages_beyond_the_bound_are_learned_too(spark):
     assert {x for x, _ in got} == {f"l{k}" for k in range(6)} and len(got) <= 12
 
 
+def test_sequences_to_learn_from_grow_with_languages(monkeypatch):
+    rng, made, whole = random.Random(6), [], langid._switching
+    monkeypatch.setattr(langid, "_switching", lambda *args: made.append(whole(*args)) or made[-1])
+    names = [f"l{k:02}" for k in range(10)]
+    text = lambda x: " ".join(f"{x}{'abcdefghij'[rng.randrange(10)]}{'klmnopqrst'[rng.randrange(10)]}" for _ in range(60))
+    letters = dict(zip(names, ["ba", "ce", "di", "fo", "gu", "ha", "je", "ki", "lo", "mu"], strict=True))
+    model = langid.train([(x, text(letters[x])) for x in names for _ in range(5)])
+    lang, _ = made[0]
+    assert lang.shape == (64, 375 * len(names))
+    found, *_ = langid._documents(pa.array([text(letters[x]) for x in names]), model)
+    assert found == names
+
+
 def test_language_edges(odd, empty):
     got = {r["doc_id"]: r for r in langid.language_id(odd).collect()}
     for i in (0, 1, 2, 4):
