@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
 from .. import roles
+from ..session import shared_folder
 from ..streaming import tasks as T
 
 QUERIES, SQL = {}, {}
@@ -25,8 +25,7 @@ def query(sql: str | None = None):
 
 def scratch(spark) -> str:
     """A folder of this run's own, in the session's shared folder where it names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-stream-")
-    return f"{base.rstrip('/')}/tessera-stream/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/tessera-stream/{uuid.uuid4().hex}"
 
 
 def events(spark, sf_dir) -> DataFrame:

@@ -23,6 +23,20 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see, which the session names in ``spark.checkpoint.dir``.
+
+    Where it names none, a session on one machine gets a temporary one; a cluster has no such folder.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir: a folder that the driver and all executors share is needed")
+        path = tempfile.mkdtemp(prefix="tessera-scratch-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A scan's rows over all cores, where its files give fewer parts than there are cores.
 
