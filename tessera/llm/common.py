@@ -3,24 +3,28 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import ship
+from ..session import shared_folder, ship
 
 #: Rows up to which a lookup table counts as small enough to broadcast.
 BROADCAST_ROWS = 200_000
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; where it names none (tests), a temporary one is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="tessera-scratch-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+#: What stands for a null id inside operators: null counts as the largest id.
+NO_ID = (1 << 63) - 1
+
+
+def order_id(doc_id: str = "doc_id") -> Column:
+    """The id as a number that is never null."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
+
+
+def shown_id(name: str) -> Column:
+    """An order_id as it is given back."""
+    return F.when(F.col(name) < NO_ID, F.col(name)).alias(name)
 
 
 def materialize(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
@@ -29,9 +33,21 @@ def materialize(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     The table survives lost executors, and its two uses cost one computation.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tessera/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/tessera/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing still to be computed reads; frames of other kinds stay as they are."""
+    for df in tables:
+        path = getattr(df, "_tessera_scratch", None)
+        if path:
+            jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:

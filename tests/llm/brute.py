@@ -27,6 +27,27 @@ def repeats(docs, window=20):
     return out
 
 
+def repeats_of_rows(docs, window=20):
+    """(doc_id, n_words, n_removed, sha256 of what is kept) of each row; a null id is the largest, rows of one id are apart."""
+    first, out = {}, []
+    number = lambda i: float("inf") if i is None else i
+    for i, t in docs:
+        x = words(t)
+        for p in range(len(x) - window + 1):
+            k = tuple(x[p : p + window])
+            first[k] = min(first.get(k, number(i)), number(i))
+    for i, t in docs:
+        x, seen = words(t), set()
+        gone = [False] * len(x)
+        for p in range(len(x) - window + 1):
+            k = tuple(x[p : p + window])
+            if first[k] < number(i) or k in seen:
+                gone[p : p + window] = [True] * window
+            seen.add(k)
+        out.append((i, len(x), sum(gone), hashlib.sha256(b" ".join(a for a, g in zip(x, gone) if not g)).hexdigest()))
+    return sorted(out, key=str)
+
+
 def shingles(text, n=5):
     w = words(text)
     return frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
@@ -80,3 +101,12 @@ def greedy_pieces(word, starting, continuing):
             return 0
         n, at, entries = n + 1, end, continuing
     return n
+
+
+def joined_rows(docs):
+    """One (doc_id, text) of each group of near duplicates of rows unlike each other: all of them."""
+    sets = [shingles(t) for _, t in docs]
+    for a in range(len(docs)):
+        for b in range(a):
+            assert 9 * len(sets[a] & sets[b]) < 4 * (len(sets[a]) + len(sets[b]))
+    return docs

@@ -183,6 +183,36 @@ def test_media_unknown_sizes_and_block_groups():
     assert [(p[0], p[1], p[2], raw[p[3] : p[3] + p[4]]) for p in got.packets] == [(1, 0, 15_000_000, b"abcd"), (1, 1, 15_000_000, b"abcd")]
 
 
+def test_media_files_with_deep_or_huge_numbers_are_errors(spark):
+    def whole(tracks, time=b"\x05"):
+        cluster = matroska.element(0x1F43B675, matroska.element(0xE7, time) + matroska.element(0xA3, b"\x81\x00\x05\x00abcd"))
+        return matroska.element(0x1A45DFA3, b"") + matroska.element(0x18538067, matroska.element(0x1654AE6B, tracks) + cluster)
+
+    deep = b""
+    for _ in range(5000):
+        deep = matroska.element(0xE1, deep)
+    files = [whole(matroska.element(0xAE, deep)), whole(b"", b"\xff" * 8), whole(b"", b"\x01" * 9), whole(b"")]
+    media = spark.createDataFrame([(None if k == 1 else k, 0, f) for k, f in enumerate(files)], "doc_id long, n_bytes long, media binary")
+    got = sorted((str(r["doc_id"]), r["error"] is None) for r in matroska.packets(media).collect())
+    assert got == [("0", True), ("2", False), ("3", True), ("None", False)]
+    assert sorted(r["error"] is None for r in matroska.features(media).collect()) == [False, False, True, True]
+
+
+def test_long_texts_and_null_ids(spark, labels):
+    long = " ".join(f"word{k % 977} über {k}" for k in range(150_000))
+    rows = [(1, long, "en", "s", len(long)), (None, long, "en", None, 1), (None, "short one", "de", "s", 1), (2, long + " end", None, "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    path = queries.vocabulary()
+    for found in (
+        langid.language_id(docs), wordpiece.token_counts(docs, path), matroska.features(matroska.store(docs)), toxicity.toxicity(docs, labels), chosenpath.similar_documents(docs),
+        substrings.remove_repeats(docs), cotraining.quality(docs, labels), mixing.mix_sources(docs),
+    ):
+        assert sorted(str(r["doc_id"]) for r in found.collect()) == ["1", "2", "None", "None"]
+    assert {str(r["doc_id"]): r["class_id"] for r in chosenpath.similar_documents(docs).where("n_copies > 0 or n_links > 0").collect()} == {"1": 1, "2": 1, "None": 1}
+    pieces = packing.pack(docs, path).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
+    assert {r["doc_id"]: r["n"] - r["t"] for r in pieces if r["doc_id"] is not None} == {1: 0, 2: 0}
+
+
 def test_media_columns(odd, empty, spark):
     got = {(r["doc_id"], r["n_bytes"]): r for r in matroska.features(matroska.store(odd)).collect()}
     for i, t in texts_of(odd):
@@ -226,6 +256,32 @@ def test_lexicon_learns_words_and_beginnings_with_exceptions():
     assert toxicity.matched(a, toxicity.fold("what n4sty w"))[0] > 0
 
 
+def test_matching_is_that_of_a_plain_search():
+    rng = random.Random(6)
+    for _ in range(300):
+        text = " " + " ".join("".join(rng.choice("ab") for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(12))) + " "
+        entries = {rng.choice([" {} ", " {}"]).format("".join(rng.choice("ab") for _ in range(rng.randrange(1, 4)))): rng.random() + 0.1 for _ in range(5)}
+        clear = [f" {'a' * rng.randrange(1, 3)} {'b' * rng.randrange(1, 3)} "]
+        lexicon = toxicity.Lexicon(bias=0.0)
+        lexicon.entries.update(entries)
+        lexicon.exceptions = clear
+        excepted = [(k, k + len(x) - 1) for x in clear for k in range(len(text)) if text.startswith(x, k)]
+        weight = hits = 0
+        for k in range(len(text)):
+            here = [e for e in entries if text.startswith(e, k)]
+            if here and not any(a <= k and k + len(max(here, key=len)) - 1 <= b for a, b in excepted):
+                weight, hits = weight + entries[max(here, key=len)], hits + 1
+        got = toxicity.matched(lexicon.automaton(), text)
+        assert got[1] == hits and abs(got[0] - weight) < 1e-9
+
+
+def test_toxicity_of_null_and_shared_ids_whatever_the_order(spark, labels):
+    rows = [(i, t, "en", "s", 1) for i, t in clashing()]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = [sorted(map(str, toxicity.toxicity(docs.repartition(n), labels).collect())) for n in (1, 3)]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+
+
 def test_toxicity_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
@@ -282,8 +338,8 @@ def test_join_recall_at_the_deepest_level(spark):
         words = [f"w{i}_{k}" for k in range(104)]
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:84]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    pairs = materialize(chosenpath.describe(docs).select("node", F.floor(F.col("doc_id") / 2).alias("pair")), "test-pairs")
-    level = materialize(chosenpath.paths(docs, chosenpath.runs_for(0.999, 0.8, 0.7), 0.7, 3), "test-paths").withColumn("token", F.col("key"))
+    pairs = materialize(chosenpath.describe(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")).select("node", F.floor(F.col("doc_id") / 2).alias("pair")), "test-pairs")
+    level = materialize(chosenpath.paths(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), chosenpath.runs_for(0.999, 0.8, 0.7), 0.7, 3), "test-paths").withColumn("token", F.col("key"))
     for k in range(chosenpath.LEVELS - 1):
         level = materialize(chosenpath.next_level(level.withColumn("members", F.lit(2)), k), "test-paths")
     met = level.join(pairs, "node").groupBy("pair", "key").agg(F.countDistinct("node").alias("sets")).where("sets = 2")
@@ -367,6 +423,28 @@ def test_repeats_edges(odd, empty):
             assert kept[i][1] == (t or "")
 
 
+def clashing(seed=8, n=60):
+    """Rows of shared and null ids, with texts of their own, repeated rows and passages in common."""
+    rng = random.Random(seed)
+    passages = [[f"p{k}_{j}" for j in range(30)] for k in range(4)]
+    rows = []
+    for i in range(n):
+        own = [f"w{rng.randrange(10_000)}" for _ in range(rng.randrange(40))]
+        rows.append((rng.choice([None, 1, 5, 5, i, i, i]), " ".join(own + rng.choice(passages) * rng.choice([0, 1, 1, 2]) + own[:3])))
+    rows += [(5, " ".join(passages[0] + ["tail"] * 25)), (5, " ".join(f"u{k}" for k in range(40))), (None, None), (None, "")]
+    return rows + rows[::7]
+
+
+def test_repeats_of_shared_and_null_ids(spark):
+    rows = clashing()
+    for parts in (1, 5):
+        docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, place long").repartition(parts)
+        got = substrings.remove_repeats(docs, with_text=True, carry=["place", "text"]).collect()
+        assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got), key=str) == brute.repeats_of_rows(rows)
+        assert sorted(r["carried"]["place"] for r in got) == list(range(len(rows)))
+        assert all((r["doc_id"], r["carried"]["text"]) == rows[r["carried"]["place"]] for r in got)
+
+
 # quality
 
 
@@ -377,6 +455,40 @@ def test_quality_of_held_out_documents(spark):
     assert sum(r["predicted"] == r["quality"] for r in rows) >= 0.93 * len(rows)
 
 
+def test_co_training_over_a_table_is_that_over_arrays(spark, sf_dir):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = documents(spark, sf)
+    docs = docs.union(docs.limit(200)).union(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long"))).repartition(5)
+    got = {r["doc_id"]: r["score"] for r in cotraining.quality(docs, labels).collect()}
+    # the same by plain Python: every unlabelled document outside the fold, none of the labelled ones
+    label = {}
+    for r in labels.where("quality is not null").collect():
+        label[r["doc_id"]] = max(label.get(r["doc_id"], 0), r["quality"])
+    fold = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    vectors = {r["doc_id"]: (np.array(r["content"], float), np.array(r["metadata"], float)) for r in cotraining.views(docs).collect()}
+    taught = sorted((i for i in label if not fold(i) and i in vectors), key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i))
+    pool = [i for i in vectors if i is not None and not fold(i) and i not in label]
+    assert len(pool) > 100 and len(taught) > 100
+    told = []
+
+    def choose(models, used, downs, ups, sure):
+        out = []
+        for pupil in (0, 1):
+            p = {i: float(cotraining.sigmoid(models[1 - pupil].logit(vectors[i][1 - pupil][None]))[0].round(9)) for i in pool if i not in used[pupil]}
+            low = sorted((i for i in p if 1 - p[i] >= sure), key=lambda i: (p[i] - 1, i))[:downs]
+            high = sorted((i for i in p if p[i] >= sure), key=lambda i: (-p[i], i))[:ups]
+            told.extend(low + high)
+            out.append((np.array(low + high, np.int64), np.array([0.0] * len(low) + [1.0] * len(high)), np.array([vectors[i][pupil] for i in low + high]).reshape(len(low + high), len(models[pupil].mean))))
+        return out
+
+    model = cotraining.co_train((np.array([vectors[i][0] for i in taught]), np.array([vectors[i][1] for i in taught]), np.array([label[i] for i in taught], float)), choose)
+    assert told and not set(told) & set(label)
+    assert len(got) == len(vectors)
+    for i, (c, m) in ((i, x) for i, x in vectors.items() if i is not None):
+        assert abs(got[i] - model.score(c[None], m[None])[0][0]) < 1e-4
+
+
 def test_quality_edges(odd, empty, labels):
     got = cotraining.quality(odd, labels)
     assert got.count() == odd.count() and got.where("score is null or score < 0 or score > 1").count() == 0
@@ -409,10 +521,20 @@ def test_water_filling(spark):
 def test_the_mix_itself_has_the_words_taken(spark, sf_dir):
     docs = documents(spark, sf_dir)
     mixed = mixing.mix_sources(docs)
-    rows = mixing.repeated(docs, mixed).groupBy("doc_id").agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD))).alias("n"))
+    rows = mixing.repeated(docs).groupBy("doc_id").agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD))).alias("n"))
     assert mixed.where("taken > 0").join(rows, "doc_id", "left").where("n is null or n <> taken").count() == 0
 
 
+def test_the_mix_of_shared_and_null_ids_takes_each_row_by_itself(spark):
+    rows = [(i, t, "en", "ab"[k % 2], 1) for k, (i, t) in enumerate(clashing())]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    mixed = mixing.mix_sources(docs, carry=["text", "doc_id"]).collect()
+    assert sorted((r["carried"]["doc_id"], r["carried"]["text"]) for r in mixed if r["doc_id"] is not None) == sorted((i, t) for i, t, *_ in rows if i is not None)
+    assert all(r["size"] == len(brute.words(r["carried"]["text"])) and r["doc_id"] == r["carried"]["doc_id"] for r in mixed)
+    words = sum(len(brute.words(r["text"])) for r in mixing.repeated(docs).collect())
+    assert words == sum(r["taken"] for r in mixed) and abs(words - sum(len(brute.words(t)) for _, t, *_ in rows)) <= 2
+
+
 # nearest neighbours
 
 
@@ -439,6 +561,57 @@ def test_neighbours_recall(spark, sf_dir):
     assert hits >= 0.9 * total
 
 
+def vectors_of(kind, n=3000, dims=48):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(n, dims))
+    if kind == "clustered":
+        x = rng.normal(size=(40, dims))[rng.integers(40, size=n)] + 0.3 * x
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    return x * np.exp(rng.normal(size=n))[:, None] if kind == "varied" else x
+
+
+@pytest.mark.parametrize("kind", ["unit", "clustered", "varied"])
+def test_neighbours_recall_by_inner_product(spark, kind):
+    x = vectors_of(kind)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = hilbert.search(v, F.col("vec_id") % 20 == 0).toPandas()
+    hits = 0
+    for q, group in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        best = np.argsort(-s)[:20]
+        assert len(group) == 20
+        hits += len(set(best) & set(group["vec_id"]))
+        np.testing.assert_allclose(group.sort_values("rank")["score"], s[group.sort_values("rank")["vec_id"]])
+    assert hits >= 0.9 * 20 * len(x[::20])
+
+
+def test_neighbours_of_clusters_need_few_ranges(spark, monkeypatch):
+    seen, whole = [], hilbert.needed_reach
+    monkeypatch.setattr(hilbert, "needed_reach", lambda *args: seen.append(whole(*args)) or seen[-1])
+    for kind in ("clustered", "unit"):
+        v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(vectors_of(kind))], "vec_id long, embedding array<double>")
+        hilbert.search(v, F.col("vec_id") % 20 == 0)
+    assert seen[0] <= 1 < 3 <= seen[1]
+
+
+def test_neighbours_of_repeated_and_null_ids(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([None, *range(30)]), [rng.uniform(-1, 1) for _ in range(3)]) for _ in range(600)]
+    rows += rows[::5]
+    got = [tuple(r) for r in hilbert.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 2 == 0).orderBy("query_id", "rank").collect()]
+    one = {}
+    for i, x in rows:
+        if i is not None:
+            one[i] = min(one.get(i, x), x)
+    want = []
+    for q in sorted(one):
+        if q % 2 == 0:
+            best = sorted((-sum(a * b for a, b in zip(one[q], x, strict=True)), i) for i, x in one.items() if i != q)[:20]
+            want += [(q, n, i) for n, (_, i) in enumerate(best, 1)]
+    assert [r[:3] for r in got] == want
+
+
 def test_neighbours_edges(spark):
     nan, inf = float("nan"), float("inf")
     vectors = [None, [], [0.0, 0.0], [nan, 1.0], [inf, 1.0], [None, 1.0], [1.0, 0.0, 0.0], [1.0, 0.0], [1.0, 0.0], [0.0, 1.0], [0.5, 0.5]]
@@ -521,7 +694,56 @@ def test_packing_edges(odd, empty, spark):
 
 
 def test_large_numbers_of_tokens_stay_exact():
-    total, size = 10**13 + 7, 1024
-    w = np.array([0, 1, 10**9, total // size, total // size + 1])
-    for up_to in (1, 12345, total // 3, total):
-        assert packing.served(w, up_to, total, size).tolist() == [min(int(k) * size, total) * up_to // total for k in w]
+    rng = random.Random(4)
+    for total in (1, 1024, 2**31 - 1, 2**31 + 11, 10**13 + 7, 2**60 + 3):
+        for up_to in {0, 1, min(12345, total), total // 3, total - 1, total}:
+            a = [0, total, total // 2, *(rng.randrange(total + 1) for _ in range(50))]
+            assert packing.times_over(np.array(a), up_to, total).tolist() == [x * up_to // total for x in a]
+    sums = [10**13, 7, 10**12 + 1]
+    plan = packing.Schedule(sums, 1024)
+    w = np.array([0, 1, 10**9, plan.windows - 1, plan.windows, plan.windows + 1])
+    for q in range(4):
+        assert plan.served(w, q).tolist() == [min(int(x) * 1024, plan.total) * sum(sums[:q]) // plan.total for x in w]
+    position = np.array([0, 1, 5 * 10**12, 10**13 - 1])
+    got = plan.window(position, 0)
+    assert (plan.before(got, 0) <= position).all() and (plan.before(got + 1, 0) > position).all()
+
+
+def test_schedule_of_weights_is_the_rounds_it_stands_for():
+    sums, shares = [5000, 800, 0, 3000, 400], [1.0, 3.0, 1.0, 0.5, 0.0]
+    plan = packing.Schedule(sums, 64, shares)
+    w = np.arange(plan.windows + 1)
+    served = np.array([plan.before(w, q) for q in range(5)])
+    assert served[:, 0].tolist() == [0] * 5 and served[:, -1].tolist() == sums
+    assert (np.diff(served.sum(0))[:-1] == 64).all() and (np.diff(served) >= 0).all()
+    # while all with a weight have tokens, windows hold them by weight; who has none comes last
+    full = np.diff(served)[:, :15]
+    assert (np.abs(full - 64 * np.array([1, 3, 0, 0.5, 0])[:, None] / 4.5) < 2).all()
+    assert served[4][served[0] < 5000].max() == 0
+
+
+def test_packing_to_target_proportions(spark, sf_dir):
+    docs = documents(spark, sf_dir).repartition(3)
+    names = sorted({r[0] for r in docs.select("source").distinct().collect() if r[0] is not None})
+    rows = packing.pack(docs, queries.vocabulary(), weights={names[0]: 1.0, names[1]: 2.0}).collect()
+    pieces_are_whole(rows, texts_of(docs))
+    first = {}
+    for r in rows:
+        if r["sequence_id"] < 5:
+            first[r["queue"]] = first.get(r["queue"], 0) + r["length"]
+    a, b = sorted(first.values())
+    assert abs(b - 2 * a) <= 4 and a + b == 5 * 1024
+
+
+def test_packing_of_shared_and_null_ids(spark):
+    rows = [(i, t, "en", "s", 1) for i, t in clashing(n=30)]
+    for parts in (1, 4):
+        docs = spark.createDataFrame(rows, SCHEMA).repartition(parts)
+        got = packing.pack(docs, queries.vocabulary()).collect()
+        encoder = bpe.ids_of(queries.vocabulary()).tokenizer
+        want, have = {}, {}
+        for i, t, *_ in rows:
+            want[i] = want.get(i, 0) + len(encoder.encode(t or "", add_special_tokens=False).ids) + 1
+        for r in got:
+            have[r["doc_id"]] = have.get(r["doc_id"], 0) + r["length"]
+        assert have == want

@@ -60,6 +60,26 @@ def test_stages_take_odd_documents(spark, odd):  # noqa: F811
     assert docs.agg(F.count("*")).first()[0] > 0
 
 
+def test_stages_keep_row_counts_of_shared_null_and_repeated_ids(spark, sf_dir):
+    known = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en' and length(text) > 300").orderBy("doc_id").limit(12).collect()]
+    texts = sorted({" ".join(t.split()[:40]) for t in known})
+    # every text unlike the others; ids shared, null or given twice
+    ids = [1, 1, None, None, 2, 3, 4, 5, 6, 7, 8, 9][: len(texts)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in zip(ids, texts, strict=True)]
+    docs = spark.createDataFrame(rows + rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("first", F.lit("x")).withColumn("row", F.lit(1))
+    stages = dict(corpus_pipeline.STAGES)
+    named = lambda df: sorted((str(r["doc_id"]), r["text"]) for r in df.collect())
+    twice = sorted((str(i), t) for i, t, *_ in rows + rows)
+    assert named(corpus_pipeline.keep_known_languages(spark, docs.union(docs.limit(1).withColumn("text", F.lit("12 34"))), sf_dir)) == twice
+    got = stages["n-gram Jaccard join"](spark, docs, sf_dir)
+    classes = brute.joined_rows([(i, t) for i, t, *_ in rows])
+    assert got.columns == docs.columns and named(got) == sorted((str(i), t) for i, t in classes)
+    cut = stages["substring dedup"](spark, docs, sf_dir)
+    assert cut.columns == docs.columns and sorted(str(r["doc_id"]) for r in cut.collect()) == [x for x, _ in twice]
+    mixed = stages["mixing sources"](spark, docs, sf_dir)
+    assert named(mixed) == twice
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
