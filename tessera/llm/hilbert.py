@@ -1,23 +1,28 @@
-"""Nearest neighbours by shifted space-filling curves.
+"""Nearest neighbours by inner product, by shifted space-filling curves.
 
-Vectors are projected onto a few random directions, several times; each projection is put on a
+Curves order by position, so positions are made to tell inner products: with ``M`` the largest length,
+a candidate ``x`` stands at ``(x / M, sqrt(1 - |x|^2 / M^2))`` and a query at ``(x / |x|, 0)``, both on the
+unit sphere, where the nearer candidate is the one with the larger inner product.
+
+Positions are projected onto a few random directions, several times; each projection is put on a
 randomly shifted grid and ordered along a Hilbert curve. Every ordering is cut into ranges of equal
-size by the quantiles of its keys. A query looks at the ranges around its own key in every ordering;
-in each, exact inner products with the original vectors pick the best, and the best of all ranges
-and orderings are merged.
+size by the quantiles of its candidates' keys. A query looks at the ranges around its own key in every
+ordering; in each, exact inner products with the original vectors pick the best, and the best of all
+ranges and orderings are merged.
+
+How many ranges to each side (``reach``) is measured, unless given: the true neighbours of ``tuning``
+queries, found by a scan, say which reach finds the share ``recall`` of them. Where directions are spread
+evenly in many dimensions that is a third of each ordering; where vectors cluster, a range or two.
 
 A range's vectors and the queries that look at it meet in groups of bounded size: both are dealt
 into chunks by the actual counts, so equal vectors, which no ordering can part, fill several groups
 and none grows with the table.
 
-``ranges`` and ``reach`` say what part of each ordering a query sees. On data without structure in
-few dimensions a neighbour is hardly closer along a curve than a stranger, so the part must be large
-for high recall; where vectors cluster, many narrow ranges do. The defaults hold recall above 0.9
-for directions spread evenly in 64 dimensions, at any table size.
-
 Edge cases: vectors that are null, empty, zero, of another length than most, or with null or
-non-finite components take no part; repeated ids are answered once each (the smallest vector in
-order); tables with fewer candidates than asked for give all; an empty table gives an empty result.
+non-finite components take no part, nor do null ids; of rows that share an id the smallest vector
+(component by component) counts; ties in nearness go to the smaller id; tables with fewer candidates
+than asked for give all; an empty table gives an empty result; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 BITS = 10
 CANDIDATES, QUERIES = 32_768, 4_096
@@ -81,25 +86,33 @@ def valid(vectors: DataFrame, vec_id: str, embedding: str) -> tuple[DataFrame, i
 
 
 def search(
-    vectors: DataFrame, is_query: Column, k: int = 20, orderings: int = 6, axes: int = 3, ranges: int = 16, reach: int = 2, seed: int = 11, vec_id: str = "vec_id", embedding: str = "embedding"
-) -> DataFrame:
+    vectors: DataFrame, is_query: Column, k: int = 20, orderings: int = 6, axes: int = 3, ranges: int = 32, reach: int | None = None, recall: float = 0.95, tuning: int = 128, seed: int = 11,
+    vec_id: str = "vec_id", embedding: str = "embedding",
+) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row where ``is_query`` (over vec_id) holds."""
     out = "query_id long, rank int, vec_id long, score double"
     spark = vectors.sparkSession
     rows, dims = valid(vectors, vec_id, embedding)
     if not dims:
         return spark.createDataFrame([], out)
+    rows = materialize(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).select("vec_id", is_query.alias("asks"), "embedding"), "curve-vectors")
     axes = min(axes, dims)
-    project, shift = directions(dims, orderings, axes, seed)
+    project, shift = directions(dims + 1, orderings, axes, seed)
     columns = project.shape[1]
 
     def matrix(column: pa.Array) -> np.ndarray:
         return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), dims)
 
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = [length_of(matrix(batch.column(0))).max() for batch in batches if batch.num_rows]
+        yield pa.RecordBatch.from_pydict({"most": [max(most, default=0.0)]})
+
+    longest = float(rows.select("embedding").mapInArrow(lengths, "most double").agg(F.max("most")).first()[0] or 0.0) or 1.0
+
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s1, s2 = 0, np.zeros(columns), np.zeros(columns)
         for batch in batches:
-            y = matrix(batch.column(0)) @ project
+            y = standing(matrix(batch.column(0)), longest) @ project
             n, s1, s2 = n + len(y), s1 + y.sum(0), s2 + (y * y).sum(0)
         yield pa.RecordBatch.from_pydict({"n": [n], **{f"a{i}": [s1[i]] for i in range(columns)}, **{f"b{i}": [s2[i]] for i in range(columns)}})
 
@@ -109,30 +122,41 @@ def search(
     mean = np.array([m[f"a{i}"] or 0.0 for i in range(columns)]) / count
     spread = np.sqrt(np.maximum(np.array([m[f"b{i}"] or 0.0 for i in range(columns)]) / count - mean**2, 1e-18))
 
+    def curve(position: np.ndarray) -> list[np.ndarray]:
+        u = 1 / (1 + np.exp(-1.702 * np.clip((position @ project - mean) / spread, -8, 8)))  # near the normal distribution's
+        grid = ((u + shift) / 2 * (1 << BITS)).astype(np.int64)
+        return [hilbert_keys(grid[:, o * axes : (o + 1) * axes]) for o in range(orderings)]
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column(1))
-            u = 1 / (1 + np.exp(-1.702 * np.clip((x @ project - mean) / spread, -8, 8)))  # near the normal distribution's
-            grid = ((u + shift) / 2 * (1 << BITS)).astype(np.int64)
-            own = [pa.array(hilbert_keys(grid[:, o * axes : (o + 1) * axes])) for o in range(orderings)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), *own], names=["vec_id", "vector", *[f"key{o}" for o in range(orderings)]])
-
-    keyed = materialize(rows.mapInArrow(keys, "vec_id long, vector binary, " + ", ".join(f"key{o} long" for o in range(orderings))), "curve-keys")
-    # no range holds fewer vectors than some times what is asked for
-    ranges = max(1, min(ranges, count // (4 * k)))
+            x = matrix(batch.column(2))
+            own = [pa.array(key) for key in curve(standing(x, longest))]
+            asks = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False)
+            where = np.cumsum(asks) - 1
+            asked = [pa.array(key[where] if asks.any() else np.zeros(len(x), np.int64), mask=~asks) for key in curve(asking(x[asks]))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), *own, *asked], names=["vec_id", "vector", *[f"{c}{o}" for c in ("key", "ask") for o in range(orderings)]])
+
+    every = ", ".join(f"{c}{o} long" for c in ("key", "ask") for o in range(orderings))
+    keyed = materialize(rows.mapInArrow(keys, f"vec_id long, vector binary, {every}"), "curve-keys")
     cuts = [i / ranges for i in range(1, ranges)] or [0.5]
-    edges = keyed.agg(*[F.percentile_approx(f"key{o}", cuts, 10_000).alias(f"e{o}") for o in range(orderings)]).first()
-    parts = []
-    for o in range(orderings):
-        own = F.col(f"key{o}")
-        number = F.lit(0)
-        distinct = sorted({int(c) for c in edges[f"e{o}"] or []}) if ranges > 1 else []
-        for cut in distinct:
-            number = number + (own > F.lit(cut)).cast("int")
-        parts.append(F.struct(F.lit(o).alias("ordering"), number.alias("range"), F.lit(len(distinct)).alias("last")))
-    placed = keyed.select("vec_id", "vector", is_query.alias("asks"), F.explode(F.array(*parts)).alias("at")).select("vec_id", "vector", "asks", "at.*")
-    begin = F.greatest(F.least(F.col("range") - reach, F.col("last") - 2 * reach), F.lit(0))
-    asked = placed.where("asks").select("vec_id", "vector", "ordering", F.explode(F.sequence(begin, F.least(begin + 2 * reach, F.col("last")))).alias("range"))
+    found = keyed.agg(*[F.percentile_approx(f"key{o}", cuts, 10_000).alias(f"e{o}") for o in range(orderings)]).first()
+    edges = [sorted({int(c) for c in found[f"e{o}"] or []}) if ranges > 1 else [] for o in range(orderings)]
+    if reach is None:
+        # a window holds some times what is asked for, and what the sample needs
+        least = -(-(4 * k * ranges // count + 1) // 2)
+        reach = min(ranges, max(least, needed_reach(rows, keyed, edges, k, recall, tuning, orderings)))
+    discard(rows)
+
+    def number(column: str, o: int) -> Column:
+        own, at = F.col(f"{column}{o}"), F.lit(0)
+        for cut in edges[o]:
+            at = at + (own > F.lit(cut)).cast("int")
+        return at
+
+    parts = [F.struct(F.lit(o).alias("ordering"), number("key", o).alias("range"), number("ask", o).alias("center"), F.lit(len(edges[o])).alias("last")) for o in range(orderings)]
+    placed = keyed.select("vec_id", "vector", F.explode(F.array(*parts)).alias("at")).select("vec_id", "vector", "at.*")
+    begin = F.greatest(F.least(F.col("center") - reach, F.col("last") - 2 * reach), F.lit(0))
+    asked = placed.where("center is not null").select("vec_id", "vector", "ordering", F.explode(F.sequence(begin, F.least(begin + 2 * reach, F.col("last")))).alias("range"))
     sizes = placed.groupBy("ordering", "range").agg(F.count("*").alias("members"), F.lit(0).cast("long").alias("askers"))
     asks = asked.groupBy("ordering", "range").agg(F.lit(0).cast("long").alias("members"), F.count("*").alias("askers"))
     # at most orderings * ranges rows
@@ -147,19 +171,84 @@ def search(
         asks_ = group["asks"].to_numpy(bool)
         ids = group["vec_id"].to_numpy(np.int64)
         x = np.frombuffer(b"".join(group["vector"]), np.float64).reshape(len(ids), -1)
-        order = np.argsort(ids[~asks_], kind="stable")
-        cid, cx = ids[~asks_][order], x[~asks_][order]
-        qid, qx = ids[asks_], x[asks_]
-        found = []
-        for a in range(0, len(qid) if len(cid) else 0, 256):
-            found.append(best_of(qid[a : a + 256], qx[a : a + 256], cid, cx, k))
-        got = [np.concatenate(z) for z in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pd.DataFrame({"query_id": got[0], "vec_id": got[1], "score": got[2]})
-
-    pairs = members.union(askers).groupBy("ordering", "range", "cc", "qc").applyInPandas(nearest, "query_id long, vec_id long, score double")
+        return scan(ids[asks_], x[asks_], ids[~asks_], x[~asks_], k)
+
+    pairs = members.union(askers).groupBy("ordering", "range", "cc", "qc").applyInPandas(nearest, FOUND)
+    return ranked(pairs, k).select("query_id", "rank", "vec_id", "score")
+
+
+FOUND = "query_id long, vec_id long, score double"
+
+
+def length_of(x: np.ndarray) -> np.ndarray:
+    """Lengths of rows; large and small components don't overflow when squared."""
+    most = np.maximum(np.abs(x).max(1), 1e-300)
+    return np.minimum(most * np.sqrt(((x / most[:, None]) ** 2).sum(1)), 1e300)
+
+
+def standing(x: np.ndarray, longest: float) -> np.ndarray:
+    """Positions of candidates on the unit sphere, one more coordinate than they have."""
+    x = x / longest
+    return np.concatenate([x, np.sqrt(np.maximum(1 - (x * x).sum(1, keepdims=True), 0))], 1)
+
+
+def asking(x: np.ndarray) -> np.ndarray:
+    """Positions of queries on that sphere."""
+    if not len(x):
+        return np.zeros((0, x.shape[1] + 1))
+    x = x / np.abs(x).max(1, keepdims=True)
+    return np.concatenate([x / np.sqrt((x * x).sum(1, keepdims=True)), np.zeros((len(x), 1))], 1)
+
+
+def ranked(pairs: DataFrame, k: int) -> DataFrame:
+    """The k best of each query, each candidate once."""
     once = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def needed_reach(rows: DataFrame, keyed: DataFrame, edges: list[list[int]], k: int, recall: float, tuning: int, orderings: int) -> int:
+    """The least reach at which the share ``recall`` of true neighbours of ``tuning`` queries is seen.
+
+    The queries are those with the smallest hashes of their ids; each task scans its own candidates.
+    """
+    asked = [f"ask{o}" for o in range(orderings)]
+    some = keyed.where("ask0 is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(tuning).select("vec_id", "vector", *asked).collect()
+    if not some:
+        return 0
+    qid = np.array([r["vec_id"] for r in some], np.int64)
+    qx = np.stack([np.frombuffer(r["vector"], np.float64) for r in some])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_pandas(scan(qid, qx, batch.column(0).to_numpy(), x, k), preserve_index=False)
+
+    true = ranked(rows.select("vec_id", "embedding").mapInArrow(near, FOUND), k).select("query_id", "vec_id")
+    # at most ``tuning`` times k rows
+    pairs = keyed.join(F.broadcast(true), "vec_id").select("query_id", *[f"key{o}" for o in range(orderings)]).collect()
+    if not pairs:
+        return 0
+    centers = {r["vec_id"]: r for r in some}
+    last = np.array([len(e) for e in edges])
+    at = np.array([[np.searchsorted(edges[o], r[f"key{o}"]) for o in range(orderings)] for r in pairs])
+    center = np.array([[np.searchsorted(edges[o], centers[r["query_id"]][f"ask{o}"]) for o in range(orderings)] for r in pairs])
+    reach = 0
+    while reach < last.max():
+        begin = np.maximum(np.minimum(center - reach, last - 2 * reach), 0)
+        if ((begin <= at) & (at <= begin + 2 * reach)).any(1).mean() >= recall:
+            break
+        reach += 1
+    return reach
+
+
+def scan(qid: np.ndarray, qx: np.ndarray, cid: np.ndarray, cx: np.ndarray, k: int) -> pd.DataFrame:
+    """The k nearest candidates of each query."""
+    order = np.argsort(cid, kind="stable")
+    cid, cx = cid[order], cx[order]
+    found = [best_of(qid[a : a + 256], qx[a : a + 256], cid, cx, k) for a in range(0, len(qid) if len(cid) else 0, 256)]
+    got = [np.concatenate(z) for z in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    return pd.DataFrame({"query_id": got[0], "vec_id": got[1], "score": got[2]})
 
 
 def best_of(qid: np.ndarray, qx: np.ndarray, cid: np.ndarray, cx: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
