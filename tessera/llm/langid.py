@@ -18,19 +18,21 @@ that of the plain recursion over the whole text.
 
 Edge cases: null text and text without letters are ``und`` with score 0, and so is everything if
 there is no labelled row to learn from; ties go to the first language in code point order; equal
-texts get equal results; other columns of the input are ignored.
+texts get equal results; a null id is given back as null and never learned from; rows that share an id
+are predicted each by their own text; very long texts are handled whole; an empty table gives an empty
+result; columns of the input are ignored, whatever their names, unless ``carry`` names them.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from .common import held_out
 from .textbytes import SpanHasher, mix, pieces, slices, word_spans
@@ -291,19 +293,25 @@ def sample(docs: DataFrame, per_language: int, max_languages: int, doc_id: str =
     return [(r["lang"], r["text"]) for r in sorted(rows.toLocalIterator(), key=lambda r: (r["doc_id"], r["text"]))]
 
 
-PREDICTED = "doc_id long, lang_pred string, score double, n_words long, switches long"
+PREDICTED = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("n_words", T.LongType()), ("switches", T.LongType())]
 
 
-def identify(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: doc_id, lang_pred, score, n_words, switches (neighbouring words of different languages)."""
+def identify(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """Per row: doc_id, lang_pred, score, n_words, switches (neighbouring words of different languages).
+
+    ``row``, if ``carry`` names columns, is a struct of these, as they are in that row.
+    """
+    told = [F.col(doc_id).cast("long").alias("doc_id"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else [])]
+    rows = docs.select(F.col(text).cast("string").alias("text"), *told)
+    schema = T.StructType([*rows.schema[1:], *(T.StructField(*x) for x in PREDICTED)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 1):
-                names, score, words, turns = _documents(batch.column(1), model)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), *map(pa.array, (score, words, turns))], names=[x.split()[0] for x in PREDICTED.split(", ")])
+            for batch in slices(whole, 0):
+                names, score, words, turns = _documents(batch.column(0), model)
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), *map(pa.array, (score, words, turns))], names=schema.names)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, PREDICTED)
+    return rows.mapInArrow(run, schema)
 
 
 def _documents(column: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -368,8 +376,8 @@ def spans(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SPANS)
 
 
-def language_id(docs: DataFrame, per_language: int = 250, max_languages: int = 48, sequences: int = 375) -> DataFrame:
-    """Learn from the bounded sample, then predict every document."""
+def language_id(docs: DataFrame, per_language: int = 250, max_languages: int = 48, sequences: int = 375, carry: Sequence[str] = ()) -> DataFrame:
+    """Learn from the bounded sample, then predict every row; ``carry`` as in identify."""
     model = train(sample(docs, per_language, max_languages), sequences=sequences)
-    found = identify(docs, model)
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_words", "switches")
+    found = identify(docs, model, carry=carry)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_words", "switches", *(["row"] if carry else []))

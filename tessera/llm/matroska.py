@@ -8,8 +8,10 @@ Parsing covers variable-length ids and sizes, unknown sizes of segments and clus
 and BlockGroups, all four kinds of lacing (none, Xiph, EBML, fixed) and cues.
 
 Edge cases: null text is stored as empty, and empty text as 64 zero bytes; equal texts give equal
-files; a file that can't be parsed gives one row with ``error`` set and no packets; other columns
-of the input are ignored.
+files; a file that can't be parsed, or whose numbers pass 64 bits, gives one row with ``error`` set and
+no packets; null ids are given back as null, and rows that share an id are files of their own; very long
+texts are one file each; an empty table gives an empty result; other columns of the input are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -141,6 +143,8 @@ def unknown_end(raw: bytes, at: int, end: int) -> int:
         if kind in TOP:
             return at
         size, body = read_vint(raw, body, end)
+        if size == UNKNOWN:
+            raise ValueError(f"element {kind:#x} has no size")
         at = body + size
     return end
 
@@ -160,6 +164,8 @@ def parse(raw: bytes) -> Media:
 
 
 def uint(raw: bytes, at: int, end: int) -> int:
+    if end - at > 8:
+        raise ValueError(f"integer of {end - at} bytes at byte {at}")
     return int.from_bytes(raw[at:end], "big")
 
 
@@ -183,12 +189,13 @@ def segment(raw: bytes, begin: int, stop: int, out: Media) -> None:
                     cue(raw, a, e, out)
 
 
-def track(raw: bytes, at: int, end: int) -> dict:
+def track(raw: bytes, at: int, end: int, inner: bool = False) -> dict:
+    """Settings of a track entry, or of the audio element in one (``inner``), which holds no other."""
     got: dict = {}
     names = {NUMBER: "number", TRACK_TYPE: "type", DEFAULT_DURATION: "duration", CHANNELS: "channels", DEPTH: "depth"}
     for k, _, a, e in children(raw, at, end, TRACK_ENTRY):
-        if k == AUDIO:
-            got |= track(raw, a, e)
+        if k == AUDIO and not inner:
+            got |= track(raw, a, e, inner=True)
         elif k in names:
             got[names[k]] = uint(raw, a, e)
         elif k == CODEC:
@@ -234,6 +241,8 @@ def block(raw: bytes, at: int, end: int, time: int, key: bool | None, out: Media
     sizes, at = laced(raw, at, end, flags >> 1 & 3)
     step = out.tracks.get(number_, {}).get("duration", 0)
     begin = (time + relative) * out.scale
+    if not -(1 << 63) <= begin <= begin + (len(sizes) - 1) * step < 1 << 63:
+        raise ValueError(f"timestamp out of range in the block before byte {at}")
     for i, n in enumerate(sizes):
         out.packets.append((number_, len(out.clusters) - 1, begin + i * step, at, n, i, bool(flags & 0x80) if key is None else key))
         at += n

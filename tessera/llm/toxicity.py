@@ -11,8 +11,10 @@ documents use with an entry become exceptions: a match inside one doesn't count.
 logistic function of the matched weight and of that weight per word.
 
 Edge cases: null or empty text matches nothing and gets the base score; without labelled rows of
-both classes the lexicon is empty and every score is the share of label 1 (0 without labels);
-repeated rows are scored each; other columns of the input are ignored.
+both classes the lexicon is empty and every score is the share of label 1 (0 without labels); a null
+id is given back as null and never learned from; rows with the same id, repeated or not, are scored each;
+of entries that begin at one place the longest counts; very long texts are matched whole; an empty table
+gives an empty result; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -117,7 +119,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, per_class: int, label: s
     order = F.md5(F.col("doc_id").cast("string"))
     picked = known.where("label = 1").orderBy(order).limit(per_class).union(known.where("label = 0").orderBy(order).limit(per_class))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(picked), "doc_id").select("text", "label")
-    return [(r["text"] or "", r["label"]) for r in rows.toLocalIterator()]
+    return sorted((r["text"] or "", r["label"]) for r in rows.toLocalIterator())  # so that sums don't depend on how rows are dealt
 
 
 def label_share(labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id") -> float:

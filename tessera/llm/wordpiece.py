@@ -9,7 +9,9 @@ its bytes and no piece is ever built.
 Words are what white space parts. Counts of words met before are looked up by hash.
 
 Edge cases: null, empty and blank texts have no words and no tokens; very long words take time in
-proportion to their length; repeated rows are counted each; other columns of the input are ignored.
+proportion to their length; null ids are given back as null; rows with the same id, repeated or not, are
+counted each; an empty table gives an empty result; other columns of the input are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
