@@ -11,9 +11,11 @@ they run out gives a fraction of itself. The order is cut into 4096 seeded bucke
 (source, bucket) say in which bucket the words run out, so only that bucket is ever sorted, and no
 task holds a whole source.
 
-Edge cases: null text has size 0 and is taken 0 times; a null source is a source of its own, last
-in order; an empty table gives an empty result; repeated rows are separate documents; an all-empty
-table has targets 0. Other columns of the input are ignored.
+Edge cases: null text has size 0 and is taken 0 times, or as often as whole repetitions where the mix
+itself is made; a null source is a source of its own, last in order; null ids are kept and share one
+place in the order; rows with the same id, repeated or not, are separate documents, in order of size;
+very long texts are handled whole; an empty table gives an empty result; an all-empty table has targets
+0. Columns of the input are ignored, whatever their names, unless ``carry`` names them.
 """
 
 from __future__ import annotations
@@ -22,17 +24,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import materialize
+from .common import discard, materialize, sized_broadcast
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 4096
 
 
-def mix_sources(docs: DataFrame, seed: int = 7, max_epochs: int = 3, weights: Sequence[float] = (1, 2, 3), doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken, epochs (whole), part (words of the fraction).
+def mix_sources(docs: DataFrame, seed: int = 7, max_epochs: int = 3, weights: Sequence[float] = (1, 2, 3), doc_id: str = "doc_id", text: str = "text", source: str = "source", carry: Sequence[str] = ()) -> DataFrame:
+    """Per row: doc_id, size, source_size, target, taken, epochs (whole), part (words of the fraction).
 
-    ``weights`` go to the sources in code point order, null last, repeating.
+    ``weights`` go to the sources in code point order, null last, repeating. ``carried``, if ``carry`` names
+    columns, is a struct of these, as they are in that row.
     """
+    more = ["carried"] if carry else []
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
     sized = materialize(
         docs.select(
@@ -41,6 +45,7 @@ def mix_sources(docs: DataFrame, seed: int = 7, max_epochs: int = 3, weights: Se
             F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source_key"),
             F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             key.alias("order_key"),
+            *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []),
         ).withColumn("bucket", (F.conv(F.substring("order_key", 1, 3), 16, 10)).cast("int")),
         "mix-sizes",
     )
@@ -49,7 +54,9 @@ def mix_sources(docs: DataFrame, seed: int = 7, max_epochs: int = 3, weights: Se
     plan = source_targets(buckets.groupBy(*of).agg(F.sum("bucket_size").alias("source_size")), max_epochs, weights)
     until = W.partitionBy(*of).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     spread = buckets.withColumn("before", F.coalesce(F.sum("bucket_size").over(until), F.lit(0))).join(plan, of)
-    rows = materialize(sized.join(spread.drop("docs"), [*of, "bucket"]), "mix-rows")
+    spread = materialize(spread.drop("docs"), "mix-spread")
+    rows = materialize(sized.join(sized_broadcast(spread), [*of, "bucket"]), "mix-rows")
+    discard(sized, buckets)
     whole = rows.withColumn(
         "part",
         F.when(F.col("before") + F.col("bucket_size") <= F.col("extra"), F.col("size")).when(F.col("before") >= F.col("extra"), F.lit(0)),
@@ -58,7 +65,7 @@ def mix_sources(docs: DataFrame, seed: int = 7, max_epochs: int = 3, weights: Se
     edge = whole.where("part is null").withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     edge = edge.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("extra") - F.col("ahead")))).drop("ahead")
     return whole.where("part is not null").unionByName(edge).select(
-        "doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"), "epochs", F.col("part").cast("long").alias("part")
+        "doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"), "epochs", F.col("part").cast("long").alias("part"), *more
     )
 
 
@@ -91,21 +98,20 @@ def source_targets(sources: DataFrame, max_epochs: int, weights: Sequence[float]
     return out.select("no_source", "source_key", "source_size", "target", "epochs", "extra")
 
 
-def repeated(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The mix itself: each document's whole repetitions as rows, and one row with its first ``part`` words.
+def repeated(docs: DataFrame, text: str = "text", **how) -> DataFrame:
+    """The mix itself, in the columns of ``docs``: each row's whole repetitions, and one row with its first ``part`` words.
 
-    ``mixed`` is what mix_sources gives for ``docs``; document ids are taken to be unique.
+    ``how`` is what mix_sources takes. Every row is mixed by itself, whatever other rows share its id.
     """
     names = docs.columns
-    plan = mixed.select(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"), F.col("epochs").alias("_mix_epochs"), F.col("part").alias("_mix_part"))
-    joined = docs.join(plan, F.col(doc_id) == F.col("_mix_id"))
-    whole = (F.col("_mix_epochs") + (F.col("_mix_part") == F.col("_mix_size")).cast("long")).cast("int")
-    some = (F.col("_mix_part") > 0) & (F.col("_mix_part") < F.col("_mix_size"))
-    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole), F.when(some, F.array(F.col("_mix_part"))).otherwise(F.array().cast("array<long>")))
-    rows = joined.withColumn("_mix_take", F.explode(copies))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD), 0), F.lit(1), F.col("_mix_take").cast("int")), " ")
-    value = F.when(F.col("_mix_take") < 0, F.col(text)).otherwise(cut)
-    return rows.select(*[value.alias(c) if c == text else F.col(f"`{c}`") for c in names])
+    mixed = mix_sources(docs, text=text, carry=names, **how)
+    whole = (F.col("epochs") + (F.col("part") == F.col("size")).cast("long")).cast("int")
+    some = (F.col("part") > 0) & (F.col("part") < F.col("size"))
+    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole), F.when(some, F.array(F.col("part"))).otherwise(F.array().cast("array<long>")))
+    rows = mixed.select("carried", F.explode(copies).alias("take"))
+    own = {c: F.col("carried").getField(c) for c in names}
+    cut = F.array_join(F.slice(F.regexp_extract_all(own[text], F.lit(WORD), 0), F.lit(1), F.col("take").cast("int")), " ")
+    return rows.select(*[(F.when(F.col("take") < 0, own[c]).otherwise(cut) if c == text else own[c]).alias(c) for c in names])
 
 
 def oracle_sql(seed: int = 7, max_epochs: int = 3) -> str:
