@@ -5,9 +5,11 @@ a bound inverse to the size of its set, so similar sets choose the same ones wit
 grows with their similarity. Documents that choose the same shingle share a bucket. Buckets of up to
 ``limit`` documents are compared by brute force; larger ones are split by the shingles chosen at the
 next level, which each path draws by a hash of its own, so that a pair may go on along any of the
-shingles it shares, independently of the others. A bucket that a level hardly split holds sets alike, which no further level parts; it is
-compared in blocks, all against all, and so is what is still large after the last level, so no
-bucket is ever cut short. Runs repeat with other hashes until the ``recall`` aimed at holds for pairs
+shingles it shares, independently of the others. A bucket that a level hardly split holds sets alike,
+which no further level parts; it is compared in blocks, all against all, and so is what is still large
+after the last level, so no bucket is ever cut short. Such buckets hold the same sets many times over:
+two sets whose largest bucket is the same meet in that one and are not compared again in the others.
+Runs repeat with other hashes until the ``recall`` aimed at holds for pairs
 at the bound itself; closer pairs are found more surely.
 
 Comparison is by small sketches (one-permutation minima, 4 bits each), with a margin of five standard
@@ -17,8 +19,9 @@ are one node throughout.
 
 Edge cases: texts of fewer than five words have one shingle, all their words; texts without words
 (null, empty, blank) stand alone, without links; rows that share a doc_id but not a text are joined
-on their own sets; repeated rows are copies; an empty table gives an empty result; other columns of
-the input are ignored.
+on their own sets; a null id counts as the largest one and is given back as null; repeated rows are
+copies, ties between rows of one id go to the smaller text_key; very long texts are handled whole; an
+empty table gives an empty result; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,9 +31,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import materialize, release, sized_broadcast
+from .common import discard, materialize, order_id, release, shown_id, sized_broadcast
 from .components import components
 from .substrings import Words
 from .textbytes import mix, ragged, slices
@@ -92,18 +95,18 @@ def runs_for(recall: float, similarity: float, sample: float, levels: int = LEVE
     return math.ceil(math.log(1 - recall) / math.log(1 - p))
 
 
-ABOUT = "doc_id long, node long, size int, words long"
+ABOUT = "doc_id long, text_key long, node long, size int"
 PATHS = "key long, node long, size int, sketch binary, deeper array<long>"
 
 
 def describe(rows: DataFrame) -> DataFrame:
-    """doc_id, node (a hash of its set), set size (0 without words) and words."""
+    """doc_id, text_key, node (a hash of its set) and set size (0 without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 1):
-                s = Sets(batch.column(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s.node), pa.array(s.size.astype(np.int32)), pa.array(s.size.astype(np.int64))], names=[x.split()[0] for x in ABOUT.split(", ")])
+            for batch in slices(whole, 2):
+                s = Sets(batch.column(2))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s.node), pa.array(s.size.astype(np.int32))], names=[x.split()[0] for x in ABOUT.split(", ")])
 
     return rows.mapInArrow(run, ABOUT)
 
@@ -115,8 +118,8 @@ def paths(rows: DataFrame, runs: int, sample: float, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for whole in batches:
-            for batch in slices(whole, 1):
-                s = Sets(batch.column(1))
+            for batch in slices(whole, 2):
+                s = Sets(batch.column(2))
                 fresh = np.zeros(len(s.size), bool)
                 for r, (node, n) in enumerate(zip(s.node.tolist(), s.size.tolist(), strict=True)):
                     if n and node not in seen:
@@ -288,20 +291,6 @@ def roots(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         root = after
 
 
-OWN = "node long, root long, parts int, own int, text string"
-
-
-def own_texts(rows: DataFrame) -> DataFrame:
-    """The rows whose text has the set of their node: other texts may share its first id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, 4):
-                yield batch.filter(pa.array(Sets(batch.column(4)).node == batch.column(0).to_numpy()))
-
-    return rows.mapInArrow(run, OWN)
-
-
 VERIFIED = "node long, links long, leader long"
 
 
@@ -376,69 +365,108 @@ def overlaps(s: Sets, columns: int = 8192) -> np.ndarray:
 
 
 def similar_documents(
-    docs: DataFrame, similarity: float = 0.8, recall: float = 0.999, limit: int = 1000, block: int = 512, sample: float = 0.7, seed: int = 3, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, similarity: float = 0.8, recall: float = 0.999, limit: int = 1000, block: int = 512, block_shingles: int = 2_000_000, sample: float = 0.7, seed: int = 3, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """Per document: doc_id, class_id (smallest id of its group of near duplicates), copy_of (smallest id with
-    the same set), n_links (other sets at least that similar), n_copies (other documents with the same set).
+    """Per row: doc_id, class_id (smallest id of its group of near duplicates), copy_of (smallest id with
+    the same set), n_links (other sets at least that similar), n_copies (other rows with the same set),
+    text_key (a hash of the text) and first (whether no row of the group has a smaller id, or the same id and a
+    smaller text_key).
+
+    Sets are verified in blocks of about ``block`` sets and ``block_shingles`` shingles.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    told = docs.select(order_id(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = told.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     about = materialize(describe(rows), "join-about")
-    firsts = materialize(about.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "join-firsts")
-    level = materialize(paths(rows, runs_for(recall, similarity, sample), sample, seed), "join-paths").withColumn("parent", F.lit(None).cast("long")).withColumn("token", F.col("key"))
+    named = F.min(F.struct("doc_id", "text_key"))
+    firsts = materialize(about.where("size > 0").groupBy("node").agg(named.alias("first"), F.count("*").alias("copies"), F.max("size").alias("size")), "join-firsts")
+    paths_ = materialize(paths(rows, runs_for(recall, similarity, sample), sample, seed), "join-paths")
+    level = paths_.withColumn("parent", F.lit(None).cast("long")).withColumn("token", F.col("key"))
     columns = ["key", "node", "size", "sketch"]
-    found = None
+    edges = []
     for k in range(LEVELS):
         # keys that more than one set has; large ones go on to the next level
         keys = materialize(level.groupBy("key").agg(F.count("*").alias("members"), F.first("parent").alias("parent")).where("members > 1"), f"join-keys-{k}")
         some = keys.where(F.col("members") <= limit)
         small = level.join(some, "key", "left_semi").select(*columns, F.lit(0).alias("side"))
-        edges = materialize(compare(small.repartition("key").sortWithinPartitions("key"), similarity), f"join-edges-{k}")
-        found = edges if found is None else found.union(edges)
+        edges.append(materialize(compare(small.repartition("key").sortWithinPartitions("key"), similarity), f"join-edges-{k}"))
         large = keys.where(F.col("members") > limit)
         if large.limit(1).count() == 0:
             break
         # what the last level hardly split holds sets alike; it is compared as it is, and so is all that is left at the end
         alike_ = F.lit(k == LEVELS - 1) | F.coalesce(F.col("members") * 2 > F.col("parent"), F.lit(False))
-        parts = F.ceil(F.col("members") / limit).cast("int")
         big = level.drop("parent").join(large.withColumn("alike", alike_), "key")
-        own = F.pmod(F.xxhash64("node"), parts).cast("int")
-        dealt = in_blocks(big.where("alike").withColumn("parts", parts).withColumn("own", own), "key").select("group", "side", "node", "size", "sketch").withColumnRenamed("group", "key")
-        found = found.union(materialize(compare(dealt.repartition("key").sortWithinPartitions("key"), similarity), f"join-blocks-{k}"))
+        held = materialize(big.where("alike").select(*columns, "members").withColumn("home", home()), f"join-alike-{k}")
+        dealt = in_blocks(unmet(held, limit), "key").select("group", "side", "node", "size", "sketch").withColumnRenamed("group", "key")
+        edges.append(materialize(compare(dealt.repartition("key").sortWithinPartitions("key"), similarity), f"join-blocks-{k}"))
+        discard(held)
         if k == LEVELS - 1:
             break
         level = materialize(next_level(big.where("not alike"), k), f"join-paths-{k + 1}")
         release(spark)
+    discard(paths_)
+    found = edges[0]
+    for more in edges[1:]:
+        found = found.union(more)
     loose = materialize(components(found), "join-loose")
+    discard(*edges)
     release(spark)
     # the sets of what may be linked, once each, dealt into groups of bounded size
-    sizes = materialize(loose.groupBy("root").agg(F.count("*").alias("members")), "join-sizes")
-    parts = F.ceil(F.col("members") / block).cast("int")
-    members = materialize(loose.join(sizes, "root").join(firsts, "node").select("node", "root", "first_id", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("own")), "join-members")
+    joined = materialize(loose.join(firsts, "node").select("node", "root", "first", "size"), "join-loose-sizes")
+    sizes = materialize(joined.groupBy("root").agg(F.count("*").alias("members"), F.sum("size").alias("shingles")), "join-sizes")
+    parts = F.ceil(F.greatest(F.col("members") / block, F.col("shingles") / block_shingles)).cast("int")
+    members = materialize(joined.join(sizes, "root").select("node", "root", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key"), parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("own")), "join-members")
     linked = sized_broadcast(members)
-    texts = rows.join(linked, F.col("doc_id") == F.col("first_id")).select("node", "root", "parts", "own", "text")
-    texts = own_texts(texts).dropDuplicates(["node"])
+    texts = rows.join(linked, (F.col("doc_id") == F.col("first_id")) & (F.col("text_key") == F.col("first_key"))).select("node", "root", "parts", "own", "text")
+    texts = texts.dropDuplicates(["node"]).withColumn("from", F.lit(0))
     dealt = in_blocks(texts, "root").select("group", "side", "node", "text")
     checked = materialize(verify(dealt.repartition("group").sortWithinPartitions("group"), similarity), "join-checked")
+    discard(members, sizes, joined, loose)
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
-    groups = components(checked.select(F.col("node").alias("a"), F.col("leader").alias("b")))
-    names = materialize(groups.join(firsts, "node").groupBy("root").agg(F.min("first_id").alias("class_id")), "join-names")
-    near = groups.join(names, "root").select("node", "class_id")
-    nodes = materialize(firsts.join(links, "node", "left").join(near, "node", "left").select("node", "first_id", "copies", "links", "class_id"), "join-nodes")
-    alone = about.where("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies"))
+    groups = materialize(components(checked.select(F.col("node").alias("a"), F.col("leader").alias("b"))), "join-groups")
+    names = materialize(groups.join(firsts, "node").groupBy("root").agg(F.min("first").alias("class_first")), "join-names")
+    near = groups.join(names, "root").select("node", "class_first")
+    nodes = materialize(firsts.join(links, "node", "left").join(near, "node", "left").select("node", "first", "copies", "links", F.coalesce("class_first", "first").alias("class_first")), "join-nodes")
+    discard(checked, groups, names, firsts)
+    none = F.lit(0).cast("long")
+    alone = about.where("size = 0").select("doc_id", "text_key", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), none.alias("n_links"), none.alias("n_copies"), F.lit(True).alias("first"))
     rest = about.where("size > 0").join(nodes, "node").select(
-        "doc_id", F.coalesce("class_id", "first_id").alias("class_id"), F.col("first_id").alias("copy_of"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), (F.col("copies") - 1).cast("long").alias("n_copies")
-    )
-    return rest.union(alone)
+        "doc_id", "text_key", F.col("class_first.doc_id").alias("class_id"), F.col("first.doc_id").alias("copy_of"), F.coalesce("links", none).alias("n_links"), (F.col("copies") - 1).cast("long").alias("n_copies"),
+        F.expr("doc_id = class_first.doc_id and text_key = class_first.text_key").alias("first"),
+    )
+    ids = [shown_id(c) for c in ("doc_id", "class_id", "copy_of")]
+    return rest.union(alone).select(*ids, "n_links", "n_copies", "text_key", "first")
+
+
+def home() -> Column:
+    """Over rows (key, node, members): the largest bucket of each node. Two nodes of one home meet there."""
+    return F.max(F.struct("members", "key")).over(W.partitionBy("node")).getField("key")
+
+
+def unmet(rows: DataFrame, limit: int) -> DataFrame:
+    """Parts of large buckets so that nodes meet unless they do in another bucket: the home of both.
+
+    Of each bucket the most nodes with one home elsewhere don't meet among themselves. Adds parts, own and
+    from (in_blocks); buckets where no two nodes have to meet go.
+    """
+    away = rows.where("home <> key").groupBy("key", "home").count()
+    most = away.groupBy("key").agg(F.max(F.struct("count", "home")).alias("most")).select("key", F.col("most.home").alias("met_home"), F.col("most.count").alias("met"))
+    met, rest = F.coalesce(F.col("met"), F.lit(0)), F.col("members") - F.coalesce(F.col("met"), F.lit(0))
+    a, b = F.ceil(met / limit).cast("int"), F.ceil(rest / limit).cast("int")
+    is_met = F.coalesce(F.col("home") == F.col("met_home"), F.lit(False))
+    h = F.xxhash64("node")
+    dealt = rows.join(most, "key", "left").where(rest > 0).withColumn("a", a).withColumn("parts", a + b)
+    own = F.when(is_met, F.pmod(h, F.greatest("a", F.lit(1)))).otherwise(F.col("a") + F.pmod(h, F.greatest(F.col("parts") - F.col("a"), F.lit(1)))).cast("int")
+    return dealt.withColumn("own", own).withColumn("from", F.when(is_met, F.col("a")).otherwise(0))
 
 
 def in_blocks(rows: DataFrame, by: str) -> DataFrame:
     """Deal groups (``by``, in ``parts`` parts, each row in its ``own``) so that every two parts meet once.
 
     A group in one part stays as it is, side 0. Else each part is a group of its own, side 0, and each two parts
-    are one, sides 1 and 2, where only rows of different sides count.
+    are one, sides 1 and 2, where only rows of different sides count. A row meets the parts from ``from`` on.
     """
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    other = F.explode(F.sequence(F.col("from"), F.col("parts") - 1))
     met = rows.withColumn("other", other)
     low, high = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -22,6 +22,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         small = now.join(least, "a").select("b", "m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).union(least.where("a <> m").select("a", F.col("m").alias("b")))
         after = materialize(large.union(small).where("a <> b").distinct(), f"components-{k}")
         # a forest of stars: every left node once, no right node on the left
+        discard(now, least)
         left = after.groupBy("a").count()
         if left.where("count > 1").limit(1).count() == 0 and after.join(after.select(F.col("a").alias("c")), F.col("b") == F.col("c"), "left_semi").limit(1).count() == 0:
             now = after
