@@ -18,7 +18,8 @@ CREDENTIAL = (
 FILE_TYPES = {"pdf": "PDF文档", "doc": "Word文档", "docx": "Word文档", "xls": "Excel表格", "xlsx": "Excel表格", "ppt": "PowerPoint演示文稿", "pptx": "PowerPoint演示文稿", "txt": "文本文件", "md": "Markdown文档"}
 
 #: One token for each Han character, one for each run of other letters and digits.
-TOKEN = r"(\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+)"
+#: ASCII stands first, as the rest takes a look at each character's script.
+TOKEN = r"([a-z0-9[\p{L}\p{N}&&[^\p{IsHan}]]]+|\p{IsHan})"
 
 
 def normalized(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import tags as tag_list
 from ..schemas import COMPLETE, MAX_REFS
+from ..session import written
 
 
 def visible(user_id: int, tags: Sequence[str], user: str = "user_id") -> Column:
@@ -45,46 +46,54 @@ def active_states(states: DataFrame, files: DataFrame) -> DataFrame:
     return s.join(f, (s["document_id"] == f["document_id"]) & (s["user_id"] == f["owner"])).select(s["document_id"], "owner", "file_md5", "file_name", "active_version", "status")
 
 
+def searchable(chunks: DataFrame, files: DataFrame, states: DataFrame, user_id: int, tags: Sequence[str], model: str) -> DataFrame:
+    """Chunks that a user's search may find: of files they may see, in the active version, with the model's vectors."""
+    return of_model(gated(chunks, accessible_files(files, user_id, tags), states), model)
+
+
 def of_model(hits: DataFrame, model: str) -> DataFrame:
     return hits.where(F.col("model_version") == model)
 
 
-def ancestors(tags: DataFrame, most: int = 64) -> DataFrame:
-    """(tag, ancestor) over the parent relation, each tag its own ancestor; cycles end where nothing new is found.
+def ancestors(tags: DataFrame) -> DataFrame:
+    """(tag, ancestor) over the parent relation, each tag with a parent its own ancestor too, however deep.
 
-    The frontier's joins double no path: a round adds the parents of what the last one found. Rounds are as
-    many as the deepest chain; the tag table is small against what it guards.
+    Rounds double the distance: what is found is joined with itself, so rounds are the logarithm of the longest
+    chain, and they end where nothing new is found, cycles or not.
     """
-    parent = tags.where(F.coalesce("parent_tag", F.lit("")) != "").select(F.col("tag_id").alias("child"), "parent_tag").distinct().cache()
-    found = parent.select(F.col("child").alias("tag"), F.col("child").alias("ancestor")).distinct()
-    frontier = found
-    for _ in range(most):
-        step = frontier.join(parent, frontier["ancestor"] == parent["child"]).select("tag", F.col("parent_tag").alias("ancestor")).distinct()
-        frontier = step.join(found, ["tag", "ancestor"], "left_anti").cache()
-        if frontier.isEmpty():
-            break
-        found = found.union(frontier)
-    return found
+    parent = tags.where(F.coalesce("parent_tag", F.lit("")) != "").select(F.col("tag_id").alias("tag"), F.col("parent_tag").alias("ancestor")).distinct()
+    found = written(parent, "ancestors")
+    fresh = found
+    while not fresh.isEmpty():
+        upper = found.select(F.col("tag").alias("middle"), F.col("ancestor").alias("above"))
+        further = fresh.join(upper, fresh["ancestor"] == upper["middle"]).select("tag", F.col("above").alias("ancestor")).distinct()
+        fresh = written(further.join(found, ["tag", "ancestor"], "left_anti"), "ancestors-new")
+        found = written(found.union(fresh), "ancestors")
+    return found.union(found.select("tag", F.col("tag").alias("ancestor"))).distinct()
 
 
 def effective_tags(users: DataFrame, tags: DataFrame) -> DataFrame:
     """(user_id, tag): the user's own tags and all above them, even those without a row of their own."""
     own = users.select(F.col("id").alias("user_id"), F.explode(tag_list(F.col("org_tags"))).alias("tag")).distinct()
-    up = ancestors(tags)
-    return own.join(up, "tag").select("user_id", F.col("ancestor").alias("tag")).union(own).distinct()
-
-
-def tag_paths(tags: DataFrame, most: int = 64) -> DataFrame:
-    """(tag_id, root, path, depth) of tags reached from a root; tags under a missing parent or in a cycle are not."""
-    level = tags.where(F.coalesce("parent_tag", F.lit("")) == "").select("tag_id", F.col("tag_id").alias("root"), F.col("tag_id").alias("path"), F.lit(0).alias("depth"))
-    out = level
-    children = tags.where(F.coalesce("parent_tag", F.lit("")) != "").select(F.col("tag_id").alias("child"), "parent_tag").cache()
-    for depth in range(1, most):
-        level = level.join(children, level["tag_id"] == children["parent_tag"]).select(F.col("child").alias("tag_id"), "root", F.concat_ws("/", "path", "child").alias("path"), F.lit(depth).alias("depth")).cache()
-        if level.isEmpty():
+    return own.join(ancestors(tags), "tag").select("user_id", F.col("ancestor").alias("tag")).union(own).distinct()
+
+
+def tag_paths(tags: DataFrame) -> DataFrame:
+    """(tag_id, root, path, depth) of tags reached from a root, however deep; tags under a missing parent or in a cycle are not.
+
+    Each tag's way upwards is joined with the way of its highest tag so far, so rounds are the logarithm of the depth.
+    """
+    rooted = F.coalesce("parent_tag", F.lit("")) == ""
+    ways = tags.select(F.col("tag_id").alias("tag"), rooted.alias("whole"), F.when(rooted, F.array("tag_id")).otherwise(F.array("parent_tag", "tag_id")).alias("way")).distinct()
+    while True:
+        ways = written(ways, "tag-paths")
+        open_ = ways.where("not whole")
+        if open_.isEmpty():
             break
-        out = out.union(level)
-    return out
+        above = ways.select(F.col("tag").alias("top"), F.col("whole").alias("top_whole"), F.slice("way", F.lit(1), F.size("way") - 1).alias("rest"))
+        longer = open_.join(above, F.get("way", F.lit(0)) == above["top"]).where(~F.arrays_overlap("rest", "way"))
+        ways = ways.where("whole").union(longer.select("tag", F.col("top_whole").alias("whole"), F.concat("rest", "way").alias("way")))
+    return ways.select(F.col("tag").alias("tag_id"), F.get("way", F.lit(0)).alias("root"), F.array_join("way", "/").alias("path"), (F.size("way") - 1).alias("depth"))
 
 
 def tag_details(users: DataFrame, tags: DataFrame, trim: bool) -> DataFrame:
@@ -108,11 +117,11 @@ def uploaded(requests: DataFrame, files: DataFrame, there: bool = True) -> DataF
 
 
 def parents(chunks: DataFrame, files: DataFrame, states: DataFrame, refs: DataFrame, user_id: int, tags: Sequence[str]) -> DataFrame:
-    """Parent chunks that are asked for (distinct document_id, version, chunk_id), active and accessible."""
+    """Parent chunks that are asked for (distinct document_id, version, chunk_id), active for their owner and accessible."""
     allowed = accessible_files(files, user_id, tags).select(F.col("id").alias("document_id"), F.col("user_id").alias("owner"))
-    active = states.select("document_id", F.col("active_version").alias("version"))
+    active = states.where("active_version <> ''").select("document_id", F.col("active_version").alias("version"), "user_id")
     c = chunks.where("is_parent").join(refs.select("document_id", "version", "chunk_id").distinct(), ["document_id", "version", "chunk_id"], "left_semi")
-    return c.join(active, ["document_id", "version"], "left_semi").join(allowed, (c["document_id"] == allowed["document_id"]) & (c["user_id"] == allowed["owner"]), "left_semi")
+    return c.join(active, ["document_id", "version", "user_id"], "left_semi").join(allowed, (c["document_id"] == allowed["document_id"]) & (c["user_id"] == allowed["owner"]), "left_semi")
 
 
 def too_many_refs(refs: DataFrame) -> bool:

@@ -1,6 +1,7 @@
 """Reciprocal-rank fusion of step results, selection with pins, citations and evidence budgets.
 
-Hits carry ``step_id``, ``rank`` (from 1) and the six parts of a chunk's identity.
+Hits carry ``plan_id``, ``step_id``, ``rank`` (from 1) and the six parts of a chunk's identity. Plans are fused side by
+side: every window and every join goes by plan, and a plan's few steps bound what one of them holds.
 """
 
 from __future__ import annotations
@@ -10,65 +11,69 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..schemas import FUSED_RESULTS, RRF_OFFSET
 from .retrieval import DIGITS
 
+PLAN = "plan_id"
 #: Owner is compared as text.
 IDENTITY = ["owner", "file_md5", "document_id", "version", "chunk_key", "chunk"]
 
 
 def fused(hits: DataFrame, digits: int = 12) -> DataFrame:
-    """(identity, score, position): each step adds 1 / (60 + rank) for a chunk's best rank in it; ranks keep their gaps."""
-    once = hits.groupBy("step_id", *IDENTITY).agg(F.min("rank").alias("rank"))
-    scored = once.groupBy(*IDENTITY).agg(F.round(F.sum(1 / (F.lit(float(RRF_OFFSET)) + F.col("rank"))), digits).alias("score"))
-    return scored
+    """(plan_id, identity, score): each step adds 1 / (60 + rank) for a chunk's best rank in it; ranks keep their gaps."""
+    once = hits.groupBy(PLAN, "step_id", *IDENTITY).agg(F.min("rank").alias("rank"))
+    return once.groupBy(PLAN, *IDENTITY).agg(F.round(F.sum(1 / (F.lit(float(RRF_OFFSET)) + F.col("rank"))), digits).alias("score"))
 
 
-def ordered(scored: DataFrame, per: list[str] | None = None) -> DataFrame:
-    """With ``position`` by score, then identity; ``per`` names the columns that part one fusion from another."""
-    order = W.partitionBy(*(per or [])).orderBy(F.desc("score"), *IDENTITY)
-    return scored.withColumn("position", F.row_number().over(order))
+def ordered(scored: DataFrame) -> DataFrame:
+    """With ``position`` in the plan by score, then identity."""
+    return scored.withColumn("position", F.row_number().over(W.partitionBy(PLAN).orderBy(F.desc("score"), *IDENTITY)))
+
+
+def first_hits(hits: DataFrame) -> DataFrame:
+    """The first hit of each step."""
+    return hits.withColumn("n", F.row_number().over(W.partitionBy(PLAN, "step_id").orderBy("rank", *IDENTITY))).where("n = 1")
 
 
 def selected(hits: DataFrame, pins: DataFrame, most: int = FUSED_RESULTS) -> DataFrame:
-    """(identity, number): pins in order if they are candidates, then each step's first hit, then by score.
+    """(plan_id, number, identity): pins in order if they are candidates, then each step's first hit, then by score.
 
-    pins: identity and pin_order. A fusion has a plan's few steps, so what is ordered here is at most their hits.
+    pins: plan_id, identity and pin_order.
     """
     scored = ordered(fused(hits))
-    order = IDENTITY
+    order = [PLAN, *IDENTITY]
     pinned = pins.join(scored.select(*order), order, "left_semi").select(*order, F.lit(0).alias("kind"), F.col("pin_order").alias("place"))
-    tops = hits.withColumn("n", F.row_number().over(W.partitionBy("step_id").orderBy("rank", *order))).where("n = 1").select(*order, F.lit(1).alias("kind"), F.col("step_id").alias("place"))
+    tops = first_hits(hits).select(*order, F.lit(1).alias("kind"), F.col("step_id").alias("place"))
     rest = scored.select(*order, F.lit(2).alias("kind"), F.col("position").alias("place"))
     first = pinned.unionByName(tops).unionByName(rest).groupBy(*order).agg(F.min(F.struct("kind", "place")).alias("at"))
-    return first.orderBy("at", *order).limit(most).withColumn("number", F.row_number().over(W.orderBy("at", *order))).select("number", *order)
+    numbered = first.withColumn("number", F.row_number().over(W.partitionBy(PLAN).orderBy("at", *IDENTITY)))
+    return numbered.where(F.col("number") <= most).select(PLAN, "number", *IDENTITY)
 
 
 def mandatory(hits: DataFrame, pins: DataFrame) -> DataFrame:
-    """Identities that no budget may drop: pins, and the first hit of each step."""
-    tops = hits.withColumn("n", F.row_number().over(W.partitionBy("step_id").orderBy("rank", *IDENTITY))).where("n = 1").select(*IDENTITY)
-    return pins.select(*IDENTITY).union(tops).distinct()
+    """Identities that no budget may drop: a plan's pins, and the first hit of each of its steps."""
+    return pins.select(PLAN, *IDENTITY).union(first_hits(hits).select(PLAN, *IDENTITY)).distinct()
 
 
 def step_citations(hits: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(step_id, sources): the numbers of chosen results that each step found."""
-    found = hits.select("step_id", *IDENTITY).distinct().join(chosen, IDENTITY)
-    return found.groupBy("step_id").agg(F.sort_array(F.collect_list("number")).alias("sources"))
+    """(plan_id, step_id, sources): the numbers of chosen results that each step found."""
+    found = hits.select(PLAN, "step_id", *IDENTITY).distinct().join(chosen, [PLAN, *IDENTITY])
+    return found.groupBy(PLAN, "step_id").agg(F.sort_array(F.collect_list("number")).alias("sources"))
 
 
 def interleaved(hits: DataFrame) -> DataFrame:
-    """Hits of parent steps by rank, then step: ``place`` from 1."""
-    return hits.withColumn("place", F.row_number().over(W.orderBy("rank", "step_id")))
+    """Hits of a plan's parent steps by rank, then step: ``place`` from 1."""
+    return hits.withColumn("place", F.row_number().over(W.partitionBy(PLAN).orderBy("rank", "step_id", *IDENTITY)))
 
 
 def citation_numbers(results: DataFrame) -> DataFrame:
-    """(number, kind, key): results keep their numbers, their parents, each once, follow in order of first use.
+    """(plan_id, number, kind, key): results keep their numbers, their parents, each once, follow in order of first use.
 
-    results: number, document_id, version, chunk_key, parent_id, has_parent. Without identity there is no citation.
+    results: plan_id, number, document_id, version, chunk_key, parent_id, has_parent. Without identity there is no citation.
     """
     known = results.where((F.col("document_id") != 0) & (F.col("version") != ""))
-    children = known.select("number", F.lit("child").alias("kind"), "document_id", "version", F.col("chunk_key").alias("key"))
-    n = results.agg(F.count("*").alias("n"))
-    first = results.where("has_parent").groupBy("document_id", "version", "parent_id").agg(F.min("number").alias("at"))
-    numbered = first.withColumn("k", F.row_number().over(W.orderBy("at"))).crossJoin(F.broadcast(n))
-    parents = numbered.where("document_id <> 0 and version <> ''").select((F.col("n") + F.col("k")).cast("int").alias("number"), F.lit("parent_context").alias("kind"), "document_id", "version", F.col("parent_id").alias("key"))
+    children = known.select(PLAN, "number", F.lit("child").alias("kind"), "document_id", "version", F.col("chunk_key").alias("key"))
+    n = results.groupBy(PLAN).agg(F.count("*").alias("n"))
+    first = results.where("has_parent").groupBy(PLAN, "document_id", "version", "parent_id").agg(F.min("number").alias("at"))
+    numbered = first.withColumn("k", F.row_number().over(W.partitionBy(PLAN).orderBy("at"))).join(n, PLAN)
+    parents = numbered.where("document_id <> 0 and version <> ''").select(PLAN, (F.col("n") + F.col("k")).cast("int").alias("number"), F.lit("parent_context").alias("kind"), "document_id", "version", F.col("parent_id").alias("key"))
     return children.union(parents)
 
 
@@ -96,17 +101,21 @@ def fitted(evidence: DataFrame, budget: int) -> DataFrame:
     """
     items = F.col("items")
     # the first item of each parent pays for it
-    seen = F.aggregate(
-        items,
-        F.array().cast("array<struct<parent:string,cost:bigint>>"),
-        lambda s, x: F.when((x["parent"] == "") | F.exists(s, lambda y: y["parent"] == x["parent"]), s).otherwise(F.concat(s, F.array(F.struct(x["parent"].alias("parent"), x["parent_cost"].cast("long").alias("cost"))))),
-    )
+    named = F.transform(items, lambda x: x["parent"])
+    firsts = F.filter(F.array_distinct(named), lambda p: p != "")
+    seen = F.transform(firsts, lambda p: F.struct(p.alias("parent"), F.get(items, F.array_position(named, p).cast("int") - 1)["parent_cost"].cast("long").alias("cost")))
     rows = evidence.withColumn("seen", seen)
     own = F.aggregate(items, F.lit(0).cast("long"), lambda s, x: s + x["cost"])
     # parents are dropped as a suffix: keep the longest beginning that fits
     room = F.lit(budget) - F.col("base") - F.col("own")
-    sums = F.transform(F.sequence(F.lit(0), F.size("seen")), lambda n: F.aggregate(F.slice("seen", F.lit(1), n), F.lit(0).cast("long"), lambda s, x: s + x["cost"]))
-    rows = rows.withColumn("own", own).withColumn("sums", sums).withColumn("n_parents", F.greatest(F.size(F.filter("sums", lambda s: s <= room)) - 1, F.lit(0)))
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.when(room >= 0, 0).otherwise(-1).alias("n"), F.lit(True).alias("open"))
+
+    def hold(s: Column, x: Column) -> Column:
+        total = s["sum"] + x["cost"]
+        open_ = s["open"] & (total <= room)
+        return F.struct(total.alias("sum"), F.when(open_, s["n"] + 1).otherwise(s["n"]).alias("n"), open_.alias("open"))
+
+    rows = rows.withColumn("own", own).withColumn("n_parents", F.greatest(F.aggregate("seen", start, hold)["n"], F.lit(0)))
     over = F.greatest(F.col("own") + F.col("base") - F.lit(budget), F.lit(0))
     state = F.struct(over.cast("long").alias("over"), F.array().cast("array<string>").alias("kept"))
 
@@ -119,4 +128,4 @@ def fitted(evidence: DataFrame, budget: int) -> DataFrame:
     return rows.select("case_id", F.col("end.kept").alias("kept"), F.transform(F.slice("seen", F.lit(1), F.col("n_parents")), lambda x: x["parent"]).alias("parents"), (F.col("end.over") <= 0).alias("fits"))
 
 
-__all__ = ["DIGITS", "IDENTITY", "citation_numbers", "contained", "covers", "fitted", "fused", "interleaved", "mandatory", "ordered", "selected", "step_citations"]
+__all__ = ["DIGITS", "IDENTITY", "citation_numbers", "contained", "covers", "first_hits", "fitted", "fused", "interleaved", "mandatory", "ordered", "selected", "step_citations"]

@@ -7,10 +7,13 @@ below each top-k, where Catalyst can't move them by itself. Ties go to the small
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from dataclasses import dataclass
 
-from ..functions.text import context_text, estimate, search_text, tokens
-from ..schemas import CANDIDATES_PER_RESULT, PARENT_BYTES
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.types import StructType
+
+from ..functions.text import context_text, estimate, normalized, search_text, tokens
+from ..schemas import CANDIDATES_PER_RESULT, MAX_RESULTS, PARENT_BYTES
 
 #: fixed values: the ranking function's defaults and the weights of its parts
 K1, B = 1.2, 0.75
@@ -21,70 +24,134 @@ KEY = ["document_id", "version", "chunk_key"]
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, question, terms in order, distinct terms) of the normalised questions."""
-    words = tokens(search_text(F.col("question")))
-    return queries.select("*", words.alias("phrase"), F.array_distinct(words).alias("terms"))
+    """With ``terms``, the distinct words to match, and ``phrase``, the words in order.
 
+    A question of nothing but asking words is matched by its own words, and has no phrase.
+    """
+    return queries.select("*", F.array_distinct(tokens(search_text(F.col("question")))).alias("terms"), tokens(normalized(F.col("question"))).alias("phrase"))
 
-def postings(index: DataFrame) -> DataFrame:
-    """(key, term, tf, positions) of every chunk's body."""
-    rows = index.select(*KEY, F.posexplode(tokens(F.col("text_content"))).alias("pos", "term"))
-    return rows.groupBy(*KEY, "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
+def lengths(chunks: DataFrame) -> DataFrame:
+    return chunks.select(*KEY, F.size(tokens(F.col("text_content"))).alias("n_tokens"))
 
-def lengths(index: DataFrame) -> DataFrame:
-    return index.select(*KEY, F.size(tokens(F.col("text_content"))).alias("n_tokens"))
 
+def postings(chunks: DataFrame) -> DataFrame:
+    """(key, n_tokens, term, tf, positions) of every chunk's body; positions count from 0.
 
-def corpus_stats(index: DataFrame) -> DataFrame:
+    Each chunk's words are grouped where it lies: no row of it moves.
+    """
+    words = chunks.select(*KEY, tokens(F.col("text_content")).alias("words")).where(F.size("words") > 0)
+    # sorting (word, place) puts a word's places together, in order
+    placed = F.array_sort(F.arrays_zip(F.col("words").alias("term"), F.sequence(F.lit(0), F.size("words") - 1).alias("pos")))
+    rows = words.select(*KEY, F.size("words").alias("n_tokens"), placed.alias("placed"))
+    at = F.sequence(F.lit(0), F.col("n_tokens") - 1)
+    firsts = F.filter(at, lambda i: (i == 0) | (F.get("placed", i)["term"] != F.get("placed", i - 1)["term"]))
+    begins = rows.withColumn("firsts", firsts)
+    ends = F.concat(F.slice("firsts", 2, F.size("firsts")), F.array("n_tokens"))
+    each = begins.select(*KEY, "n_tokens", "placed", F.explode(F.arrays_zip(F.col("firsts").alias("a"), ends.alias("z"))).alias("run"))
+    own = F.slice("placed", F.col("run.a") + 1, F.col("run.z") - F.col("run.a"))
+    return each.select(*KEY, "n_tokens", F.get("placed", F.col("run.a"))["term"].alias("term"), (F.col("run.z") - F.col("run.a")).cast("long").alias("tf"), F.transform(own, lambda x: x["pos"]).alias("positions"))
+
+
+def corpus_stats(chunks: DataFrame) -> DataFrame:
     """One row: documents and their mean length, over the whole index whoever may see it."""
-    return lengths(index).agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avg_len"))
+    return lengths(chunks).agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avg_len"))
 
 
-def idf(n_docs: Column, df: Column) -> Column:
-    return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+@dataclass(frozen=True)
+class Index:
+    """What searches read: postings by term, statistics of the whole corpus (one row), chunks with vectors.
 
+    ``term_parts`` is into how many parts terms are dealt where postings are stored; 0 if they aren't.
+    """
 
-def saturation(tf: Column, length: Column, average: Column) -> Column:
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
+    postings: DataFrame
+    stats: DataFrame
+    chunks: DataFrame
+    term_parts: int = 0
 
+    def of(self, terms: DataFrame, *columns: str) -> DataFrame:
+        """Postings of the given terms: only their parts of a stored index are read."""
+        rows = self.postings
+        if not self.term_parts:
+            return rows.join(F.broadcast(terms), "term").select(*columns)
+        dealt = F.broadcast(terms.withColumn("part", part_of("term", self.term_parts)))
+        return rows.join(dealt, ["part", "term"]).select(*columns)
 
-def spaced(words: str) -> Column:
-    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
 
+def part_of(term: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
 
-def occurrences(words: Column, phrase: Column) -> Column:
-    """How often a sequence of words occurs, by position."""
-    n = F.size(phrase)
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(starts, lambda i: F.slice(words, i, n) == phrase))
 
+def index(chunks: DataFrame) -> Index:
+    """An index that is computed as it is read."""
+    return Index(postings(chunks), corpus_stats(chunks), chunks)
 
-def matches(index: DataFrame, queries: DataFrame, phrases: bool = True) -> DataFrame:
-    """(query_id, key, bm_or, matched, n_terms, bm_phrase) of chunks with a term of the question.
 
-    Terms meet chunks by an equi-join on the term, so only postings of asked terms move; statistics are
-    those of the whole index. Phrases are looked for only in chunks that hold every term.
+def store_index(chunks: DataFrame, path: str, term_parts: int = 64) -> Index:
+    """Write an index once, for any number of searches, and give what reads it.
+
+    Postings are stored in parts by term, inside these in order of terms, so that a search reads the parts of its
+    terms and in these the row groups that hold them. A frequent term's postings are dealt over several files.
     """
-    q = query_terms(queries).where(F.size("terms") > 0).select("query_id", "phrase", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    asked = F.broadcast(q.select("term").distinct())  # as many as the batch's questions have words
-    words = tokens(F.col("text_content"))
-    held = index.select(*KEY, words.alias("words")).withColumn("n_tokens", F.size("words"))
-    stats = F.broadcast(held.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avg_len")))
-    counted = held.select(*KEY, "n_tokens", F.explode("words").alias("term")).join(asked, "term").groupBy(*KEY, "n_tokens", "term").agg(F.count("*").alias("tf"))
-    df = F.broadcast(counted.groupBy("term").agg(F.count("*").alias("df")))
-    scored = counted.join(df, "term").crossJoin(stats).select(*KEY, "term", (idf(F.col("n_docs"), F.col("df")) * saturation(F.col("tf"), F.col("n_tokens"), F.col("avg_len"))).alias("part"))
-    found = scored.join(F.broadcast(q), "term").groupBy("query_id", *KEY).agg(F.sum("part").alias("bm_or"), F.count("*").alias("matched"), F.first("n_terms").alias("n_terms"))
+    spark = chunks.sparkSession
+    chunks.write.parquet(f"{path}/chunks")
+    held = spark.read.schema(chunks.schema).parquet(f"{path}/chunks")
+    spread_key = F.pmod(F.xxhash64(*KEY), F.lit(8))
+    rows = postings(held).withColumn("part", part_of("term", term_parts)).repartition("part", spread_key).sortWithinPartitions("part", "term")
+    rows.write.partitionBy("part").parquet(f"{path}/postings")
+    corpus_stats(held.select(*KEY, "text_content")).write.parquet(f"{path}/stats")
+    return open_index(spark, path, chunks.schema, rows.schema, term_parts)
+
+
+def open_index(spark: SparkSession, path: str, chunks: StructType, rows: StructType, term_parts: int) -> Index:
+    stats = spark.read.schema("n_docs long, avg_len double").parquet(f"{path}/stats")
+    return Index(spark.read.schema(rows).parquet(f"{path}/postings"), stats, spark.read.schema(chunks).parquet(f"{path}/chunks"), term_parts)
+
+
+def idf(n_docs: Column, df: Column) -> Column:
+    return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+
+
+def saturation(tf: Column, length: Column, average: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
+
+
+def matches(index: Index, queries: DataFrame, allowed: DataFrame | None = None, phrases: bool = True) -> DataFrame:
+    """(query_id, key, bm_or, matched, n_terms, bm_phrase) of allowed chunks with a term of the question.
+
+    Only postings of asked terms are read; statistics are those of the whole index, whoever may see it. Chunks
+    that may not be seen go before anything is scored, and phrases are looked for only in chunks that hold every
+    term, by the positions of their words.
+    """
+    q = query_terms(queries).where(F.size("terms") > 0).select("query_id", "phrase", "terms", F.size("terms").alias("n_terms"))
+    # a batch has a plan's few steps, so these are as many rows as their questions have words
+    asked = q.select("query_id", "n_terms", F.explode("terms").alias("term"))
+    terms = asked.select("term").distinct()
+    stats = F.broadcast(index.stats)
+    counts = index.of(terms, "term", *KEY, "n_tokens", "tf")
+    df = F.broadcast(counts.groupBy("term").agg(F.count("*").alias("df")))
+    seen = counts if allowed is None else counts.join(allowed.select(*KEY).distinct(), KEY, "left_semi")
+    scored = seen.join(df, "term").crossJoin(stats).select(*KEY, "term", (idf(F.col("n_docs"), F.col("df")) * saturation(F.col("tf"), F.col("n_tokens"), F.col("avg_len"))).alias("part"))
+    found = scored.join(F.broadcast(asked), "term").groupBy("query_id", *KEY).agg(F.sum("part").alias("bm_or"), F.count("*").alias("matched"), F.first("n_terms").alias("n_terms"))
     if not phrases:
         return found.withColumn("bm_phrase", F.lit(0.0))
-    whole = q.select("query_id", "phrase").distinct()
-    every = found.where("matched = n_terms").join(F.broadcast(whole), "query_id").join(held, KEY)
-    # words hold no spaces, so most chunks without the phrase go by one search of their joined words
-    every = every.where(F.contains(spaced("words"), spaced("phrase"))).select("query_id", *KEY, "n_tokens", occurrences(F.col("words"), F.col("phrase")).alias("tf")).where("tf > 0")
+    phrase = q.where(F.size("phrase") > 0).select("query_id", F.col("phrase").alias("words"))
+    whole = found.where("matched = n_terms").select("query_id", *KEY).join(F.broadcast(phrase.select("query_id")), "query_id", "left_semi")
+    spoken = phrase.select("query_id", F.explode(F.array_distinct("words")).alias("term"))
+    places = index.of(terms, "term", *KEY, "n_tokens", "positions").join(F.broadcast(spoken), "term").join(whole, ["query_id", *KEY], "left_semi")
+    held = places.groupBy("query_id", *KEY).agg(F.first("n_tokens").alias("n_tokens"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("places"))
+    told = held.join(F.broadcast(phrase), "query_id").withColumn("tf", occurrences(F.col("places"), F.col("words"))).where("tf > 0")
     # a phrase weighs as the sum of its terms' weights, at the phrase's own frequency
-    weights = q.join(df, "term").crossJoin(stats).groupBy("query_id").agg(F.sum(idf(F.col("n_docs"), F.col("df"))).alias("idf"), F.first("avg_len").alias("avg_len"))
-    phrase = every.join(F.broadcast(weights), "query_id").select("query_id", *KEY, (F.col("idf") * saturation(F.col("tf"), F.col("n_tokens"), F.col("avg_len"))).alias("bm_phrase"))
-    return found.join(phrase, ["query_id", *KEY], "left").withColumn("bm_phrase", F.coalesce("bm_phrase", F.lit(0.0)))
+    weights = asked.join(df, "term").crossJoin(stats).groupBy("query_id").agg(F.sum(idf(F.col("n_docs"), F.col("df"))).alias("idf"), F.first("avg_len").alias("avg_len"))
+    heard = told.join(F.broadcast(weights), "query_id").select("query_id", *KEY, (F.col("idf") * saturation(F.col("tf"), F.col("n_tokens"), F.col("avg_len"))).alias("bm_phrase"))
+    return found.join(heard, ["query_id", *KEY], "left").withColumn("bm_phrase", F.coalesce("bm_phrase", F.lit(0.0)))
+
+
+def occurrences(places: Column, words: Column) -> Column:
+    """How often words follow one another, from a map of each word's positions: starts that all of them allow."""
+    offsets = F.transform(words, lambda w, i: F.transform(F.element_at(places, w), lambda p: p - i))
+    return F.size(F.aggregate(F.slice(offsets, F.lit(2), F.greatest(F.size(offsets) - 1, F.lit(0))), F.get(offsets, F.lit(0)), lambda held, own: F.array_intersect(held, own)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -104,27 +171,30 @@ def best(rows: DataFrame, score: str, k: int | Column, rank: str = "rank") -> Da
 
 
 def nearest(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, key, cos, rank) of the k chunks nearest to each question's vector, exactly.
+    """(query_id, key, cosine, cos, rank) of the k chunks nearest to each question's vector, exactly; ranked by the rounded ``cos``.
 
     A batch holds a plan's few steps, so each chunk is compared with each of them where it lies.
     """
     q = F.broadcast(queries.where("vector is not null").select("query_id", F.col("vector").alias("q_vector")))
     rows = index.where("vector is not null").select(*KEY, "vector").join(q, F.size("vector") == F.size("q_vector"))
-    rows = rows.select("query_id", *KEY, F.round(cosine(F.col("vector"), F.col("q_vector")), DIGITS).alias("cos")).where("cos is not null")
-    return best(rows, "cos", k)
+    rows = rows.select("query_id", *KEY, cosine(F.col("vector"), F.col("q_vector")).alias("cosine")).where("cosine is not null")
+    return best(rows.withColumn("cos", F.round("cosine", DIGITS)), "cos", k)
 
 
-def hybrid_search(index: DataFrame, allowed: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
+def hybrid_search(index: Index, allowed: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
     """(query_id, rank, key, first_score, final_score).
 
     index: all chunks (they give the statistics); allowed: keys of those that may be seen; queries:
     query_id, question, vector. Lexical and vector candidates are combined; the best
     30 * top_k are scored again, where chunks with all terms count with their full lexical score.
     """
+    if not 1 <= top_k <= MAX_RESULTS:
+        raise ValueError(f"top_k: 1 to {MAX_RESULTS}")
     wide = CANDIDATES_PER_RESULT * top_k
-    seen = index.join(allowed.select(*KEY).distinct(), KEY, "left_semi")
-    lexical = matches(index, queries).join(allowed.select(*KEY).distinct(), KEY, "left_semi").withColumn("lex", F.col("bm_or") + PHRASE_BOOST * F.col("bm_phrase"))
-    vector = nearest(seen, queries, wide).withColumn("near", (1 + F.col("cos")) / 2).select("query_id", *KEY, "near")
+    keys = allowed.select(*KEY).distinct()
+    lexical = matches(index, queries, keys).withColumn("lex", F.col("bm_or") + PHRASE_BOOST * F.col("bm_phrase"))
+    seen = index.chunks.select(*KEY, "vector").join(keys, KEY, "left_semi")
+    vector = nearest(seen, queries, wide).withColumn("near", (1 + F.col("cosine")) / 2).select("query_id", *KEY, "near")
     both = lexical.join(vector, ["query_id", *KEY], "full_outer")
     both = both.withColumn("first_score", F.round(F.coalesce("lex", F.lit(0.0)) + F.coalesce("near", F.lit(0.0)), DIGITS))
     candidates = best(both, "first_score", wide, "first_rank")
@@ -138,6 +208,23 @@ def checked_again(hits: DataFrame, allowed_now: DataFrame) -> DataFrame:
     return hits.join(allowed_now.select(*KEY).distinct(), KEY, "left_semi")
 
 
+#: What a chunk shows of itself in a result, where the table of chunks has it.
+SHOWN = ["file_md5", "text_content", "context_prefix", "org_tag", "is_public", "parent_id", "heading_path", "source_spans", "token_count", "kind", "table_id", "row_range", "column_paths"]
+
+
+def presented(hits: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """Hits as they are shown: with the chunk's text, places and labels, its file's name, and its owner as text.
+
+    files: those that may be seen now (id, user_id, file_md5, file_name, org_tag, is_public). Hits whose file isn't among
+    them, or isn't the chunk's, go.
+    """
+    shown = [c for c in SHOWN if c in chunks.columns]
+    f = files.select(F.col("id").alias("document_id"), F.col("user_id").alias("owner_id"), F.col("file_md5").alias("owner_md5"), "file_name", *[c for c in ("org_tag", "is_public") if c not in shown])
+    # hits are at most top_k of each question
+    rows = chunks.select(*KEY, "user_id", *shown).join(F.broadcast(hits), KEY).join(f, "document_id").where("owner_id = user_id and owner_md5 = file_md5")
+    return rows.withColumn("user_id", F.col("user_id").cast("string")).drop("owner_id", "owner_md5")
+
+
 def greedy(items: Column, budget: int, most: int | None = None) -> Column:
     """Of (id, cost) in order, the ids taken by skipping what doesn't fit what is left."""
     taken = F.array().cast("array<string>")
@@ -153,16 +240,23 @@ def greedy(items: Column, budget: int, most: int | None = None) -> Column:
 
 
 def attach_parents(hits: DataFrame, parents: DataFrame, budget: int = PARENT_BYTES) -> DataFrame:
-    """Hits (query_id, rank, document_id, version, parent_id, user_id, ...) with ``parent_text``, or null.
+    """Hits (query_id, rank, document_id, version, parent_id, user_id, ...) with parent_text, parent_spans,
+    parent_row_range and parent_column_paths, or nulls.
 
-    parents: document_id, version, chunk_id, user_id, context_prefix, body_text. A parent of the same owner
-    with a body costs its bytes once, at its first hit; what doesn't fit what is left is skipped.
+    parents: document_id, version, chunk_id, user_id, is_parent, context_prefix, body_text, source_spans, row_range,
+    column_paths. A parent of the same owner with a body and a place costs its bytes once, at its first hit; what
+    doesn't fit what is left is skipped.
     """
-    p = parents.select("document_id", "version", F.col("chunk_id").alias("parent_id"), F.col("user_id").alias("parent_owner"), context_text(F.col("context_prefix"), F.col("body_text")).alias("text"), F.trim("body_text").alias("trimmed"))
-    joined = hits.join(p, ["document_id", "version", "parent_id"], "left").withColumn("usable", F.coalesce((F.col("parent_owner") == F.col("user_id")) & (F.col("trimmed") != ""), F.lit(False)))
+    usable = F.coalesce(F.col("is_parent") & (F.trim("body_text") != "") & (F.size("source_spans") > 0), F.lit(False))
+    p = parents.where(usable).select(
+        "document_id", "version", F.col("chunk_id").alias("parent_id"), F.col("user_id").alias("parent_owner"),
+        F.struct(context_text(F.col("context_prefix"), F.col("body_text")).alias("text"), "source_spans", "row_range", "column_paths").alias("parent"),
+    )
+    joined = hits.join(p, ["document_id", "version", "parent_id"], "left").withColumn("usable", F.coalesce(F.col("parent_owner").cast("string") == F.col("user_id").cast("string"), F.lit(False)))
     ref = F.concat_ws("/", F.col("document_id").cast("string"), "version", "parent_id")
-    first = joined.where("usable").groupBy("query_id", ref.alias("ref")).agg(F.min("rank").alias("at"), F.first(estimate(F.col("text"))).alias("cost"))
+    first = joined.where("usable").groupBy("query_id", ref.alias("ref")).agg(F.min("rank").alias("at"), F.first(estimate(F.col("parent.text"))).alias("cost"))
     chosen = first.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("at", F.col("ref").alias("id"), "cost"))).alias("items")).select("query_id", greedy(F.col("items"), budget).alias("chosen"))
-    out = joined.join(chosen, "query_id", "left")
     keep = F.col("usable") & F.array_contains("chosen", ref)
-    return out.withColumn("parent_text", F.when(keep, F.col("text"))).drop("text", "trimmed", "usable", "chosen", "parent_owner")
+    out = joined.join(chosen, "query_id", "left").withColumn("parent", F.when(keep, F.col("parent")))
+    given = [("text", "parent_text"), ("source_spans", "parent_spans"), ("row_range", "parent_row_range"), ("column_paths", "parent_column_paths")]
+    return out.select(*hits.columns, *[F.col(f"parent.{a}").alias(b) for a, b in given])

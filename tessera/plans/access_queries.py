@@ -108,7 +108,7 @@ def not_uploaded(spark, sf_dir) -> DataFrame:
     return access.uploaded(_requests(spark, sf_dir), roles.files(spark, sf_dir), there=False).select("request_id")
 
 
-@query(roles.sql("files", "states", body=f"""select f.id as document_id, 'v' || ((f.id - 1) % 3) as version from files f join states s on s.document_id = f.id and s.active_version = 'v' || ((f.id - 1) % 3)
+@query(roles.sql("files", "states", body=f"""select f.id as document_id, 'v' || ((f.id - 1) % 3) as version from files f join states s on s.document_id = f.id and s.user_id = f.user_id and s.active_version = 'v' || ((f.id - 1) % 3)
 where f.status = 1 and (f.id - 1) % 4 = 1 and {VISIBLE.replace("user_id", "f.user_id")}"""))
 def parent_lookup(spark, sf_dir) -> DataFrame:
     f = roles.files(spark, sf_dir)
@@ -176,6 +176,27 @@ def archive_page(spark, sf_dir) -> DataFrame:
     return conversation.page(rows.select("o_orderkey", "o_custkey", "o_orderdate"), 20, 2, F.desc("o_orderdate"), F.desc("o_orderkey"))
 
 
+CHAIN = "chain as (select c_custkey as k, 'T' || c_custkey as tag_id, case when c_custkey % 100 = 1 then null else 'T' || (c_custkey - 1) end as parent_tag from customer)"
+
+
+def _chain(spark, sf_dir) -> DataFrame:
+    """Chains of 100 tags each."""
+    k = F.col("c_custkey")
+    name = F.concat(F.lit("T"), k.cast("string"))
+    return roles.table(spark, sf_dir, "customer").select(name.alias("tag_id"), name.alias("name"), F.when(k % 100 != 1, F.concat(F.lit("T"), (k - 1).cast("string"))).alias("parent_tag"), k.alias("k"))
+
+
+@query(f"""with recursive {CHAIN}, walk as (select k as user_id, tag_id as tag from chain where k % 100 = 0 union select w.user_id, c.parent_tag from walk w join chain c on c.tag_id = w.tag where c.parent_tag is not null) select user_id, tag from walk""")
+def deep_tags(spark, sf_dir) -> DataFrame:
+    tags = _chain(spark, sf_dir)
+    return access.effective_tags(tags.where("k % 100 = 0").select(F.col("k").alias("id"), F.col("tag_id").alias("org_tags")), tags)
+
+
+@query(f"""with recursive {CHAIN}, tree as (select tag_id, 0 as depth from chain where parent_tag is null union all select c.tag_id, t.depth + 1 from chain c join tree t on c.parent_tag = t.tag_id) select tag_id, depth from tree""")
+def deep_tag_paths(spark, sf_dir) -> DataFrame:
+    return access.tag_paths(_chain(spark, sf_dir)).select("tag_id", "depth")
+
+
 @query("select count(*) as total, ceil(count(*) / 7)::bigint as pages from customer")
 def page_counts(spark, sf_dir) -> DataFrame:
     return roles.table(spark, sf_dir, "customer").agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / 7).cast("long"))
@@ -186,13 +207,8 @@ def users_page(spark, sf_dir) -> DataFrame:
     return conversation.page(roles.users(spark, sf_dir).select("id", "username"), 10, 4, F.asc("id"))
 
 
-@query("select o_orderkey as turn_id, c_name as username, c_custkey is null as missing from orders left join customer on c_custkey = o_custkey where o_orderkey % 50 = 0")
-def admin_conversation(spark, sf_dir) -> DataFrame:
-    return _admin_conversation(spark, sf_dir, roles.table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0"))
-
-
 @query("select o_orderkey as turn_id, c_name as username, c_custkey is null as missing from orders left join customer on c_custkey = o_custkey")
-def admin_conversation_all(spark, sf_dir) -> DataFrame:
+def admin_conversation(spark, sf_dir) -> DataFrame:
     return _admin_conversation(spark, sf_dir, roles.table(spark, sf_dir, "orders"))
 
 

@@ -41,9 +41,9 @@ def text_lines(spark, sf_dir) -> DataFrame:
 def line_spans(spark, sf_dir) -> DataFrame:
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     rows = roles.table(spark, sf_dir, "documents").select("doc_id", lines.alias("l"))
-    # running ends in one fold, so that a long text needs no window of its lines
-    ends = F.aggregate("l", F.array().cast("array<bigint>"), lambda s, x: F.concat(s, F.array((F.coalesce(F.try_element_at(s, F.lit(-1)) + 1, F.lit(0)) + F.char_length(x)).cast("long"))))
-    return rows.select("doc_id", F.posexplode(F.arrays_zip("l", ends.alias("e"))).alias("k", "x")).select("doc_id", (F.col("k") + 1).alias("line_no"), (F.col("x.e") - F.char_length("x.l")).cast("long").alias("start"), F.col("x.e").alias("end"))
+    lines_ = rows.select("doc_id", F.posexplode("l").alias("k", "line"))
+    end = F.sum(F.char_length("line") + 1).over(W.partitionBy("doc_id").orderBy("k")) - 1
+    return lines_.select("doc_id", (F.col("k") + 1).alias("line_no"), "line", end.alias("end")).withColumn("start", F.col("end") - F.char_length("line")).select("doc_id", "line_no", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
 @query("select doc_id + 1 as document_id, 'paragraph' as type, text from documents where trim(coalesce(text, '')) <> ''")
@@ -88,7 +88,7 @@ select doc, min(start) = 0 and not bool_or(coalesce(start > reach, false)) and (
 def span_coverage(spark, sf_dir) -> DataFrame:
     s = F.col("l_suppkey") % 20
     rows = roles.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.collect_list(F.struct(s.cast("int").alias("start"), (s + F.col("l_linenumber") * 5).cast("int").alias("end"))).alias("spans"))
-    ordered = F.array_sort("spans")
-    gap = F.exists(F.sequence(F.lit(1), F.size("spans")), lambda i: (i > 1) & (F.get(ordered, i - 1)["start"] > F.array_max(F.transform(F.slice(ordered, F.lit(1), F.greatest(i - 1, F.lit(1))), lambda x: x["end"]))))
-    whole = validation.covered(F.col("spans"), F.lit(0), F.lit(25))
-    return rows.select("doc", (whole & ~gap & (F.get(ordered, F.lit(0))["start"] == 0)).alias("covered"))
+    # how far the spans so far reach, and whether one begins beyond that: spans apart must not lie outside either
+    start = F.struct(F.lit(0).alias("reach"), F.lit(False).alias("gap"))
+    walk = F.aggregate(F.array_sort("spans"), start, lambda s, x: F.struct(F.greatest(s["reach"], x["end"]).alias("reach"), (s["gap"] | (x["start"] > s["reach"])).alias("gap")))
+    return rows.select("doc", (validation.covered(F.col("spans"), F.lit(0), F.lit(25)) & ~walk["gap"]).alias("covered"))

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .. import roles
-from ..functions.text import context_text, normalized, tokens
+from ..functions.text import context_text, normalized
 from ..operators import access, fusion, retrieval as R
 from ..operators.retrieval import KEY
+from ..session import shared_folder
 from .access_queries import TAGS, USER
 
 QUERIES, SQL = {}, {}
 
-QUESTIONS = [(1, "What of the thing and", 0), (2, "le la de que?", 7), (3, "und der die 区别", 11)]
-QUESTIONS_SQL = "qs as (select * from (values (1, 'What of the thing and', 0), (2, 'le la de que?', 7), (3, 'und der die 区别', 11)) q(query_id, question, v))"
+QUESTIONS = [(1, "Of the?", 0), (2, "le la de que?", 7), (3, "und der die 区别", 11), (4, "é è?", 5)]
+QUESTIONS_SQL = "qs as (select * from (values (1, 'Of the?', 0), (2, 'le la de que?', 7), (3, 'und der die 区别', 11), (4, 'é è?', 5)) q(query_id, question, v))"
+MODEL = "m1"
 
 
 def query(sql: str | None = None):
@@ -32,10 +36,28 @@ def questions(spark, sf_dir) -> DataFrame:
     return e.join(F.broadcast(q), "v", "right").drop("v")
 
 
-def allowed(spark, sf_dir) -> DataFrame:
-    """Keys of chunks that the user may see, in the active version."""
-    files = access.accessible_files(roles.files(spark, sf_dir), USER, TAGS)
-    return access.gated(roles.hits(spark, sf_dir), files, roles.states(spark, sf_dir)).select(*KEY)
+#: Stored indexes of this process, by application and folder of tables.
+_stored: dict[tuple[str, str], R.Index] = {}
+
+
+def chunks(spark, sf_dir) -> DataFrame:
+    """Chunks as the index holds them, with what a result shows of them."""
+    h = roles.hits(spark, sf_dir)
+    return h.withColumns({"context_prefix": F.concat(F.lit("doc / "), "version"), "org_tag": F.concat(F.lit("ORG_"), "lang"), "is_public": (F.col("document_id") - 1) % 9 == 0}).drop("lang")
+
+
+def stored(spark, sf_dir) -> R.Index:
+    """The index of these tables: written once a session, in the shared folder, and read by all its searches."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _stored:
+        _stored[key] = R.store_index(chunks(spark, sf_dir), f"{shared_folder(spark).rstrip('/')}/tessera-index/{uuid.uuid4().hex}")
+    return _stored[key]
+
+
+def allowed(spark, sf_dir, tags: list[str] | None = None) -> DataFrame:
+    """Keys of chunks that the user's search may find: files by permission, the active version, the model's vectors."""
+    held = stored(spark, sf_dir).chunks.select(*KEY, "user_id", "file_md5", "model_version")
+    return access.searchable(held, roles.files(spark, sf_dir), roles.states(spark, sf_dir), USER, TAGS if tags is None else tags, MODEL).select(*KEY)
 
 
 STOPS = ["是谁", "是什么", "是啥", "请问", "怎么", "如何", "告诉我", "严格", "按照", "不要补充", "的区别", "区别", "吗", "呢", "？", "?"]
@@ -48,9 +70,6 @@ def _normalized_sql(x: str) -> str:
     return f"trim(regexp_replace(regexp_replace({out}, '[^\\p{{Han}}a-z0-9 \\t\\n\\f\\r]', ' ', 'g'), '[ \\t\\n\\f\\r]+', ' ', 'g'))"
 
 
-TOKEN_SQL = r"(\p{Han}|[^\P{L}\p{Han}]+|\p{N}+)"
-
-
 def _tokens_sql(x: str) -> str:
     # one Han character, or a run of other letters and digits
     return f"regexp_extract_all(regexp_replace(lower({x}), '(\\p{{Han}})', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}]+')"
@@ -68,6 +87,14 @@ def tokens_per_doc(spark, sf_dir) -> DataFrame:
     return R.lengths(roles.hits(spark, sf_dir)).select("document_id", "n_tokens")
 
 
+@query(roles.sql("hits", body=f"select term, count(*) as docs, sum(tf)::bigint as uses from (select document_id, term, count(*) as tf from (select document_id, unnest({_tokens_sql('text_content')}) as term from hits) group by all) group by term"))
+def stored_index(spark, sf_dir) -> DataFrame:
+    """Writes an index anew and reads its terms."""
+    held = R.store_index(chunks(spark, sf_dir), f"{shared_folder(spark).rstrip('/')}/tessera-index/{uuid.uuid4().hex}")
+    _stored[spark.sparkContext.applicationId, sf_dir] = held
+    return held.postings.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("uses"))
+
+
 @query(roles.sql("hits", body=f"""select document_id, term, count(*)::bigint as tf, min(pos)::int as first_pos from (select document_id, unnest(t) as term, generate_subscripts(t, 1) - 1 as pos from (select document_id, {_tokens_sql('text_content')} as t from hits)) group by 1, 2"""))
 def postings(spark, sf_dir) -> DataFrame:
     return R.postings(roles.hits(spark, sf_dir)).select("document_id", "term", "tf", F.element_at("positions", 1).alias("first_pos"))
@@ -78,20 +105,20 @@ def doc_stats(spark, sf_dir) -> DataFrame:
     return R.corpus_stats(roles.hits(spark, sf_dir)).select("n_docs", F.round("avg_len", 6).alias("avg_len"))
 
 
-def _search(gate: bool = True) -> str:
-    seen = f"""ok as (select h.document_id from hits h join files f on f.id = h.document_id and f.user_id = h.user_id and f.file_md5 = h.file_md5 and f.status = 1 and {"(f.user_id = 3 or f.is_public or f.org_tag in ('ORG_en', 'ORG_fr'))" if gate else "true"}
- join states s on s.document_id = h.document_id and s.user_id = h.user_id and s.active_version = h.version and s.active_version <> '')"""
+def _search() -> str:
+    seen = """ok as (select h.document_id, f.user_id, f.org_tag, f.is_public, f.file_name from hits h join files f on f.id = h.document_id and f.user_id = h.user_id and f.file_md5 = h.file_md5 and f.status = 1 and (f.user_id = 3 or f.is_public or f.org_tag in ('ORG_en', 'ORG_fr'))
+ join states s on s.document_id = h.document_id and s.user_id = h.user_id and s.active_version = h.version and s.active_version <> '' where h.model_version = 'm1')"""
     return ",\n".join([roles.SQL["files"], roles.SQL["states"], roles.SQL["hits"], seen, QUESTIONS_SQL]) + f""",
 tk as (select document_id, version, chunk_key, {_tokens_sql('text_content')} as words from hits),
 st as (select count(*)::double as n_docs, avg(len(words)) as avg_len from tk),
-qt as (select query_id, {_tokens_sql("case when " + _normalized_sql('question') + " = '' then question else " + _normalized_sql('question') + " end")} as phrase from qs),
-q1 as (select query_id, phrase, len(list_distinct(phrase)) as n_terms from qt where len(phrase) > 0),
-qx as (select distinct query_id, n_terms, unnest(phrase) as term from q1),
+qt as (select query_id, {_tokens_sql("case when " + _normalized_sql('question') + " = '' then question else " + _normalized_sql('question') + " end")} as terms, {_tokens_sql(_normalized_sql('question'))} as phrase from qs),
+q1 as (select query_id, phrase, terms, len(list_distinct(terms)) as n_terms from qt where len(terms) > 0),
+qx as (select distinct query_id, n_terms, unnest(terms) as term from q1),
 ct as (select document_id, version, chunk_key, len(words) as n, term, count(*)::double as tf from (select *, unnest(words) as term from tk) where term in (select term from qx) group by all),
 df as (select term, count(*)::double as df from ct group by term),
 w as (select ct.*, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * n / avg_len))) as part from ct join df using (term), st),
 bm as (select query_id, document_id, version, chunk_key, sum(part) as bm_or, count(*) as matched, any_value(n_terms) as n_terms from w join qx using (term) group by all),
-pt as (select b.query_id, b.document_id, len(words) as n, len(list_filter(range(1, len(words) - len(phrase) + 2), lambda i: words[i:i + len(phrase) - 1] = phrase))::double as tf from bm b join q1 using (query_id) join tk using (document_id) where matched = b.n_terms),
+pt as (select b.query_id, b.document_id, len(words) as n, len(list_filter(range(1, len(words) - len(phrase) + 2), lambda i: words[i:i + len(phrase) - 1] = phrase))::double as tf from bm b join q1 using (query_id) join tk using (document_id) where matched = b.n_terms and len(phrase) > 0),
 pw as (select query_id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5))) as idf, any_value(avg_len) as avg_len from qx join df using (term), st group by query_id),
 ph as (select query_id, document_id, idf * (tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * n / avg_len))) as bm_phrase from pt join pw using (query_id) where tf > 0),
 lx as (select b.*, coalesce(bm_phrase, 0) as bm_phrase, bm_or + 3.0 * coalesce(bm_phrase, 0) as lex from bm b left join ph using (query_id, document_id))"""
@@ -99,13 +126,13 @@ lx as (select b.*, coalesce(bm_phrase, 0) as bm_phrase, bm_or + 3.0 * coalesce(b
 
 @query(f"with {_search()} select query_id, rank::int as rank, document_id, score from (select *, row_number() over (partition by query_id order by score desc, document_id) as rank from (select query_id, document_id, round(bm_or, 6) as score from bm)) where rank <= 10")
 def bm25_topk(spark, sf_dir) -> DataFrame:
-    m = R.matches(roles.hits(spark, sf_dir), questions(spark, sf_dir), phrases=False).withColumn("score", F.round("bm_or", 6))
+    m = R.matches(stored(spark, sf_dir), questions(spark, sf_dir), phrases=False).withColumn("score", F.round("bm_or", 6))
     return R.best(m, "score", 10).select("query_id", F.col("rank").cast("int").alias("rank"), "document_id", "score")
 
 
 @query(f"with {_search()} select query_id, document_id, round(bm_phrase, 6) as score from lx where bm_phrase > 0")
 def phrase_match(spark, sf_dir) -> DataFrame:
-    return R.matches(roles.hits(spark, sf_dir), questions(spark, sf_dir)).where("bm_phrase > 0").select("query_id", "document_id", F.round("bm_phrase", 6).alias("score"))
+    return R.matches(R.index(chunks(spark, sf_dir)), questions(spark, sf_dir)).where("bm_phrase > 0").select("query_id", "document_id", F.round("bm_phrase", 6).alias("score"))
 
 
 def _knn(where: str) -> str:
@@ -116,19 +143,19 @@ select query_id, rank::int as rank, document_id, cos from (select *, row_number(
 
 @query(_knn(""))
 def knn_topk(spark, sf_dir) -> DataFrame:
-    return R.nearest(roles.hits(spark, sf_dir), questions(spark, sf_dir), 10).select("query_id", F.col("rank").cast("int").alias("rank"), "document_id", "cos")
+    return R.nearest(stored(spark, sf_dir).chunks, questions(spark, sf_dir), 10).select("query_id", F.col("rank").cast("int").alias("rank"), "document_id", "cos")
 
 
 @query(_knn("and document_id in (select document_id from ok)"))
 def knn_filtered(spark, sf_dir) -> DataFrame:
-    seen = roles.hits(spark, sf_dir).join(allowed(spark, sf_dir), KEY, "left_semi")
+    seen = stored(spark, sf_dir).chunks.join(allowed(spark, sf_dir), KEY, "left_semi")
     return R.nearest(seen, questions(spark, sf_dir), 10).select("query_id", F.col("rank").cast("int").alias("rank"), "document_id", "cos")
 
 
 def _hybrid(k: int, body: str) -> str:
     return f"""with {_search()}, qv as (select query_id, embedding::double[] as v from qs join embeddings on vec_id = qs.v),
-vr as (select *, row_number() over (partition by query_id order by cos desc, document_id) as r from (select query_id, document_id, version, chunk_key, round(list_cosine_similarity(vector::double[], v), 6) as cos from hits, qv where vector is not null and document_id in (select document_id from ok))),
-fs as (select coalesce(l.query_id, v.query_id) as query_id, coalesce(l.document_id, v.document_id) as document_id, coalesce(l.version, v.version) as version, coalesce(l.chunk_key, v.chunk_key) as chunk_key, matched, n_terms, bm_or, round(coalesce(lex, 0) + coalesce((1 + cos) / 2, 0), 6) as first_score
+vr as (select *, row_number() over (partition by query_id order by cos desc, document_id) as r from (select query_id, document_id, version, chunk_key, list_cosine_similarity(vector::double[], v) as raw, round(raw, 6) as cos from hits, qv where vector is not null and document_id in (select document_id from ok))),
+fs as (select coalesce(l.query_id, v.query_id) as query_id, coalesce(l.document_id, v.document_id) as document_id, coalesce(l.version, v.version) as version, coalesce(l.chunk_key, v.chunk_key) as chunk_key, matched, n_terms, bm_or, round(coalesce(lex, 0) + coalesce((1 + raw) / 2, 0), 6) as first_score
  from (select * from lx where document_id in (select document_id from ok)) l full join (select * from vr where r <= {30 * k}) v on l.query_id = v.query_id and l.document_id = v.document_id),
 cd as (select * from (select *, row_number() over (partition by query_id order by first_score desc, document_id) as fr from fs) where fr <= {30 * k}),
 fin as (select *, round(0.2 * first_score + case when matched = n_terms then bm_or else 0 end, 6) as final_score from cd),
@@ -138,84 +165,96 @@ res as (select * from (select *, row_number() over (partition by query_id order
 
 @query(_hybrid(10, "select query_id, rank::int as rank, document_id, version, chunk_key, first_score, final_score from res"))
 def hybrid_search(spark, sf_dir) -> DataFrame:
-    return R.hybrid_search(roles.hits(spark, sf_dir), allowed(spark, sf_dir), questions(spark, sf_dir), 10)
+    return R.hybrid_search(stored(spark, sf_dir), allowed(spark, sf_dir), questions(spark, sf_dir), 10)
 
 
-@query(_hybrid(10, "select query_id, rank::int as rank, document_id from res where document_id % 2 = 0"))
+@query(_hybrid(10, "select query_id, rank::int as rank, document_id from res join ok using (document_id) where user_id = 3 or is_public or org_tag = 'ORG_en'"))
 def hybrid_rescored_post_acl(spark, sf_dir) -> DataFrame:
-    found = R.hybrid_search(roles.hits(spark, sf_dir), allowed(spark, sf_dir), questions(spark, sf_dir), 10)
-    return R.checked_again(found, allowed(spark, sf_dir).where("document_id % 2 = 0")).select("query_id", "rank", "document_id")
+    found = R.hybrid_search(stored(spark, sf_dir), allowed(spark, sf_dir), questions(spark, sf_dir), 10)
+    # meanwhile the user has lost a tag
+    return R.checked_again(found, allowed(spark, sf_dir, ["ORG_en"])).select("query_id", "rank", "document_id")
+
+
+@query(_hybrid(10, """select query_id, rank::int as rank, document_id, version, chunk_key, final_score, h.user_id::varchar as user_id, h.file_md5, f.file_name, h.text_content, 'doc / ' || version as context_prefix, f.org_tag, f.is_public
+from res join hits h using (document_id, version, chunk_key) join ok f using (document_id)"""))
+def hybrid_search_shown(spark, sf_dir) -> DataFrame:
+    held = stored(spark, sf_dir)
+    found = R.hybrid_search(held, allowed(spark, sf_dir), questions(spark, sf_dir), 10)
+    files = access.accessible_files(roles.files(spark, sf_dir), USER, TAGS)
+    return R.presented(R.checked_again(found, allowed(spark, sf_dir)), held.chunks, files).drop("first_score")
 
 
 @query(_hybrid(5, "select query_id as step_id, count(*) as hits, min(document_id) as least, round(max(final_score), 6) as best from res group by query_id"))
 def batch_hybrid_steps(spark, sf_dir) -> DataFrame:
-    found = R.hybrid_search(roles.hits(spark, sf_dir), allowed(spark, sf_dir), questions(spark, sf_dir), 5)
+    found = R.hybrid_search(stored(spark, sf_dir), allowed(spark, sf_dir), questions(spark, sf_dir), 5)
     return found.groupBy(F.col("query_id").alias("step_id")).agg(F.count("*").alias("hits"), F.min("document_id").alias("least"), F.round(F.max("final_score"), 6).alias("best"))
 
 
-# three steps of hits over documents, with a chunk that a step finds twice
-STEP_HITS_SQL = """sh as (select s.step_id, row_number() over (partition by s.step_id order by (d.doc_id * (s.step_id * 2 + 1)) % 101, d.doc_id)::int as rank, d.doc_id from documents d, (values (1), (2), (3)) s(step_id) where d.doc_id % (s.step_id + 1) = 0),
-hx as (select step_id, rank, ((doc_id // 6) * 6 % 7)::varchar as owner, 'f' || doc_id // 6 as file_md5, doc_id // 6 + 1 as document_id, 'v1' as version, 'c' || doc_id // 6 as chunk_key, (doc_id // 6)::int as chunk from sh)"""
-IDENTITY = "owner, file_md5, document_id, version, chunk_key, chunk"
+# five plans of three steps of hits over documents, with a chunk that a step finds twice
+STEP_HITS_SQL = """sh as (select s.step_id, d.doc_id // 6 % 5 as plan_id, row_number() over (partition by s.step_id, d.doc_id // 6 % 5 order by (d.doc_id * (s.step_id * 2 + 1)) % 101, d.doc_id)::int as rank, d.doc_id from documents d, (values (1), (2), (3)) s(step_id) where d.doc_id % (s.step_id + 1) = 0),
+hx as (select plan_id, step_id, rank, ((doc_id // 6) * 6 % 7)::varchar as owner, 'f' || doc_id // 6 as file_md5, doc_id // 6 + 1 as document_id, 'v1' as version, 'c' || doc_id // 6 as chunk_key, (doc_id // 6)::int as chunk from sh)"""
+IDENTITY = "plan_id, owner, file_md5, document_id, version, chunk_key, chunk"
+BY_PLAN = "owner, file_md5, document_id, version, chunk_key, chunk"
 
 
 def step_hits(spark, sf_dir) -> DataFrame:
     d = roles.table(spark, sf_dir, "documents").select("doc_id")
     rows = d.withColumn("step_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).where(F.col("doc_id") % (F.col("step_id") + 1) == 0)
-    order = W.partitionBy("step_id").orderBy((F.col("doc_id") * (F.col("step_id") * 2 + 1)) % 101, "doc_id")
     k = F.floor(F.col("doc_id") / 6)
+    rows = rows.withColumn("plan_id", k % 5)
+    order = W.partitionBy("plan_id", "step_id").orderBy((F.col("doc_id") * (F.col("step_id") * 2 + 1)) % 101, "doc_id")
     return rows.withColumn("rank", F.row_number().over(order)).select(
-        "step_id", "rank", (k * 6 % 7).cast("string").alias("owner"), F.concat(F.lit("f"), k.cast("string")).alias("file_md5"), (k + 1).alias("document_id"), F.lit("v1").alias("version"), F.concat(F.lit("c"), k.cast("string")).alias("chunk_key"), k.cast("int").alias("chunk"),
+        "plan_id", "step_id", "rank", (k * 6 % 7).cast("string").alias("owner"), F.concat(F.lit("f"), k.cast("string")).alias("file_md5"), (k + 1).alias("document_id"), F.lit("v1").alias("version"), F.concat(F.lit("c"), k.cast("string")).alias("chunk_key"), k.cast("int").alias("chunk"),
     )
 
 
 def pins(spark, sf_dir) -> DataFrame:
-    h = step_hits(spark, sf_dir).select(*fusion.IDENTITY).distinct()
-    known = h.where("chunk in (5, 2)").withColumn("pin_order", F.when(F.col("chunk") == 5, 1).otherwise(2))
-    return known.union(known.where("chunk = 5").select("owner", F.lit("gone").alias("file_md5"), "document_id", "version", "chunk_key", "chunk", F.lit(0).alias("pin_order")))
+    h = step_hits(spark, sf_dir).select("plan_id", *fusion.IDENTITY).distinct()
+    known = h.where("chunk in (5, 2, 10)").withColumn("pin_order", F.when(F.col("chunk") == 5, 1).otherwise(2))
+    return known.union(known.where("chunk = 5").select("plan_id", "owner", F.lit("gone").alias("file_md5"), "document_id", "version", "chunk_key", "chunk", F.lit(0).alias("pin_order")))
 
 
 FUSED_SQL = f"""fu as (select {IDENTITY}, round(sum(1 / (60.0::double + rank)), 12) as score from (select step_id, {IDENTITY}, min(rank) as rank from hx group by all) group by {IDENTITY}),
-fo as (select *, row_number() over (order by score desc, {IDENTITY}) as position from fu)"""
-SELECTED_SQL = f"""pk as (select {IDENTITY}, case chunk when 5 then 1 else 2 end as place, 0 as kind from fu where chunk in (5, 2)),
-tp as (select {IDENTITY}, step_id as place, 1 as kind from (select *, row_number() over (partition by step_id order by rank, {IDENTITY}) as n from hx) where n = 1),
+fo as (select *, row_number() over (partition by plan_id order by score desc, {BY_PLAN}) as position from fu)"""
+SELECTED_SQL = f"""pk as (select {IDENTITY}, case chunk when 5 then 1 else 2 end as place, 0 as kind from fu where chunk in (5, 2, 10)),
+tp as (select {IDENTITY}, step_id as place, 1 as kind from (select *, row_number() over (partition by plan_id, step_id order by rank, {BY_PLAN}) as n from hx) where n = 1),
 al as (select * from pk union all select * from tp union all select {IDENTITY}, position, 2 from fo),
-se as (select {IDENTITY}, min(kind * 1000000 + place) as spot from al group by {IDENTITY} order by spot limit 12),
-sn as (select *, row_number() over (order by spot, {IDENTITY})::int as number from se)"""
+se as (select {IDENTITY}, min(kind * 1000000 + place) as spot from al group by {IDENTITY}),
+sn as (select * from (select *, row_number() over (partition by plan_id order by spot, {BY_PLAN})::int as number from se) where number <= 12)"""
 
 
-@query(f"with {STEP_HITS_SQL}, {FUSED_SQL} select document_id, score, position::int as position from fo")
+@query(f"with {STEP_HITS_SQL}, {FUSED_SQL} select plan_id, document_id, score, position::int as position from fo")
 def rrf_fuse(spark, sf_dir) -> DataFrame:
-    return fusion.ordered(fusion.fused(step_hits(spark, sf_dir))).select("document_id", "score", "position")
+    return fusion.ordered(fusion.fused(step_hits(spark, sf_dir))).select("plan_id", "document_id", "score", "position")
 
 
-@query(f"with {STEP_HITS_SQL}, {FUSED_SQL}, {SELECTED_SQL} select number, document_id, chunk from sn")
+@query(f"with {STEP_HITS_SQL}, {FUSED_SQL}, {SELECTED_SQL} select plan_id, number, document_id, chunk from sn")
 def rrf_select_with_pins(spark, sf_dir) -> DataFrame:
-    return fusion.selected(step_hits(spark, sf_dir), pins(spark, sf_dir)).select("number", "document_id", "chunk")
+    return fusion.selected(step_hits(spark, sf_dir), pins(spark, sf_dir)).select("plan_id", "number", "document_id", "chunk")
 
 
-@query(f"with {STEP_HITS_SQL}, {FUSED_SQL}, {SELECTED_SQL} select distinct file_md5, chunk from (select file_md5, chunk from pk union all select file_md5, chunk from tp union all select 'gone', 5)")
+@query(f"with {STEP_HITS_SQL}, {FUSED_SQL}, {SELECTED_SQL} select distinct plan_id, file_md5, chunk from (select plan_id, file_md5, chunk from pk union all select plan_id, file_md5, chunk from tp union all select plan_id, 'gone', 5 from fu where chunk = 5)")
 def mandatory_sources(spark, sf_dir) -> DataFrame:
-    return fusion.mandatory(step_hits(spark, sf_dir), pins(spark, sf_dir)).select("file_md5", "chunk")
+    return fusion.mandatory(step_hits(spark, sf_dir), pins(spark, sf_dir)).select("plan_id", "file_md5", "chunk")
 
 
-@query(f"with {STEP_HITS_SQL}, {FUSED_SQL}, {SELECTED_SQL} select step_id, list(number order by number) as sources from (select distinct h.step_id, n.number from hx h join sn n using ({IDENTITY})) group by step_id")
+@query(f"with {STEP_HITS_SQL}, {FUSED_SQL}, {SELECTED_SQL} select plan_id, step_id, list(number order by number) as sources from (select distinct plan_id, h.step_id, n.number from hx h join sn n using ({IDENTITY})) group by plan_id, step_id")
 def step_citations(spark, sf_dir) -> DataFrame:
     h = step_hits(spark, sf_dir)
     return fusion.step_citations(h, fusion.selected(h, pins(spark, sf_dir)))
 
 
-@query(f"with {STEP_HITS_SQL} select step_id, rank, row_number() over (order by rank, step_id)::int as place from hx")
+@query(f"with {STEP_HITS_SQL} select plan_id, step_id, rank, row_number() over (partition by plan_id order by rank, step_id)::int as place from hx")
 def interleaved_sources(spark, sf_dir) -> DataFrame:
-    return fusion.interleaved(step_hits(spark, sf_dir)).select("step_id", "rank", "place")
+    return fusion.interleaved(step_hits(spark, sf_dir)).select("plan_id", "step_id", "rank", "place")
 
 
-@query(f"""with {STEP_HITS_SQL}, {FUSED_SQL}, {SELECTED_SQL}, rs as (select number, document_id, version, chunk_key, 'p' || chunk % 3 as parent_id, chunk % 2 = 0 as has_parent from sn)
-select number, 'child' as kind, document_id, chunk_key as key from rs union all
-select ((select count(*) from rs) + row_number() over (order by spot))::int, 'parent_context', document_id, parent_id from (select document_id, version, parent_id, min(number) as spot from rs where has_parent group by all)""")
+@query(f"""with {STEP_HITS_SQL}, {FUSED_SQL}, {SELECTED_SQL}, rs as (select plan_id, number, document_id, version, chunk_key, 'p' || chunk % 3 as parent_id, chunk % 2 = 0 as has_parent from sn)
+select plan_id, number, 'child' as kind, document_id, chunk_key as key from rs union all
+select plan_id, ((select count(*) from rs r where r.plan_id = x.plan_id) + row_number() over (partition by plan_id order by spot))::int, 'parent_context', document_id, parent_id from (select plan_id, document_id, version, parent_id, min(number) as spot from rs where has_parent group by all) x""")
 def citation_numbers(spark, sf_dir) -> DataFrame:
-    rs = fusion.selected(step_hits(spark, sf_dir), pins(spark, sf_dir)).select("number", "document_id", "version", "chunk_key", F.concat(F.lit("p"), (F.col("chunk") % 3).cast("string")).alias("parent_id"), (F.col("chunk") % 2 == 0).alias("has_parent"))
-    return fusion.citation_numbers(rs).select("number", "kind", "document_id", "key")
+    rs = fusion.selected(step_hits(spark, sf_dir), pins(spark, sf_dir)).select("plan_id", "number", "document_id", "version", "chunk_key", F.concat(F.lit("p"), (F.col("chunk") % 3).cast("string")).alias("parent_id"), (F.col("chunk") % 2 == 0).alias("has_parent"))
+    return fusion.citation_numbers(rs).select("plan_id", "number", "kind", "document_id", "key")
 
 
 GREEDY_SQL = """it as (select o_custkey as case_id, row_number() over (partition by o_custkey order by o_orderkey) as spot, o_orderkey as id, (o_orderkey % 1900 + 50)::bigint as cost from orders)"""
@@ -256,35 +295,30 @@ def evidence_parents(spark, sf_dir) -> DataFrame:
     return fusion.fitted(packed, 2500).where(F.size("parents") > 0).select("case_id", "parents")
 
 
-@query("""with h as (select o_custkey as query_id, row_number() over (partition by o_custkey order by o_orderkey) as rank, o_orderkey % 5 as p, o_orderkey as id from orders where o_custkey % 10 = 0),
-f as (select query_id, p, min(rank) as spot, (case when p = 4 then null else 700 + p * 500 end) as cost from h group by query_id, p),
+@query("""with h as (select o_custkey as query_id, row_number() over (partition by o_custkey order by o_orderkey) as rank, o_orderkey % 7 as p, o_orderkey as id from orders),
+f as (select query_id, p, min(rank) as spot, (case when p >= 4 then null else 700 + p * 500 end) as cost from h group by query_id, p),
 c as (select *, row_number() over (partition by query_id order by spot) as n from f where cost is not null),
 r as (with recursive g as (select distinct query_id, 0::bigint as n, 3000::bigint as room, []::bigint[] as ps from c union all
  select c.query_id, c.n, case when cost <= room then room - cost else room end, case when cost <= room then list_append(ps, c.p) else ps end from g join c on c.query_id = g.query_id and c.n = g.n + 1)
  select query_id, ps from (select *, row_number() over (partition by query_id order by n desc) as k from g) where k = 1)
-select h.query_id, h.rank::int as rank, coalesce(list_contains(r.ps, h.p), false) as expanded from h left join r using (query_id)""")
+select query_id, rank, expanded, case when expanded then 'b' || p end as block_id, case when expanded then p end::int as first_row from (select h.query_id, h.rank::int as rank, h.p, coalesce(list_contains(r.ps, h.p), false) as expanded from h left join r using (query_id))""")
 def parent_attachment(spark, sf_dir) -> DataFrame:
-    return _parent_attachment(spark, roles.table(spark, sf_dir, "orders").where("o_custkey % 10 = 0"))
-
-
-@query("""with h as (select o_custkey as query_id, row_number() over (partition by o_custkey order by o_orderkey) as rank, o_orderkey % 5 as p, o_orderkey as id from orders),
-f as (select query_id, p, min(rank) as spot, (case when p = 4 then null else 700 + p * 500 end) as cost from h group by query_id, p),
-c as (select *, row_number() over (partition by query_id order by spot) as n from f where cost is not null),
-r as (with recursive g as (select distinct query_id, 0::bigint as n, 3000::bigint as room, []::bigint[] as ps from c union all
- select c.query_id, c.n, case when cost <= room then room - cost else room end, case when cost <= room then list_append(ps, c.p) else ps end from g join c on c.query_id = g.query_id and c.n = g.n + 1)
- select query_id, ps from (select *, row_number() over (partition by query_id order by n desc) as k from g) where k = 1)
-select h.query_id, h.rank::int as rank, coalesce(list_contains(r.ps, h.p), false) as expanded from h left join r using (query_id)""")
-def parent_attachment_all(spark, sf_dir) -> DataFrame:
     return _parent_attachment(spark, roles.table(spark, sf_dir, "orders"))
 
 
 def _parent_attachment(spark, o: DataFrame) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
-    p = F.col("o_orderkey") % 5
+    p = F.col("o_orderkey") % 7
     hits = o.select(F.col("o_custkey").alias("query_id"), rank.alias("rank"), F.lit(1).cast("long").alias("document_id"), F.lit("v1").alias("version"), F.concat(F.lit("p"), p.cast("string")).alias("parent_id"), F.lit(7).alias("user_id"))
-    # a prefix line and a body of 700 + 500 p bytes together; the last belongs to someone else
-    parents = spark.range(5).select(F.lit(1).cast("long").alias("document_id"), F.lit("v1").alias("version"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("chunk_id"), F.when(F.col("id") == 4, 8).otherwise(7).alias("user_id"), F.lit("head\n\n").alias("context_prefix"), F.repeat(F.lit("x"), (F.col("id") * 500 + 695).cast("int")).alias("body_text"))
-    return R.attach_parents(hits, parents).select("query_id", "rank", F.col("parent_text").isNotNull().alias("expanded"))
+    # a prefix line and a body of 700 + 500 p bytes together; then one of someone else, one that is no parent, one without a place
+    k = F.col("id")
+    place = F.struct(F.concat(F.lit("b"), k.cast("string")).alias("block_id"), F.lit(1).alias("page_no"), F.lit(0).alias("start"), F.lit(9).alias("end"))
+    parents = spark.range(7).select(
+        F.lit(1).cast("long").alias("document_id"), F.lit("v1").alias("version"), F.concat(F.lit("p"), k.cast("string")).alias("chunk_id"), F.when(k == 4, 8).otherwise(7).alias("user_id"), (k != 5).alias("is_parent"), F.lit("head\n\n").alias("context_prefix"),
+        F.repeat(F.lit("x"), F.when(k < 4, k * 500 + 695).otherwise(1).cast("int")).alias("body_text"), F.filter(F.array(place), lambda x: k != 6).alias("source_spans"), F.array(k.cast("int"), (k + 1).cast("int")).alias("row_range"), F.array().cast("array<array<string>>").alias("column_paths"),
+    )
+    out = R.attach_parents(hits, parents)
+    return out.select("query_id", "rank", F.col("parent_text").isNotNull().alias("expanded"), F.get("parent_spans", F.lit(0))["block_id"].alias("block_id"), F.get("parent_row_range", F.lit(0)).alias("first_row"))
 
 
 SPANS_SQL = """sp as (select l_orderkey // 8 as doc, 'b' || l_partkey % 3 as block_id, l_orderkey * 10 + l_linenumber as span_id, (l_suppkey % 40)::int as start, (l_suppkey % 40 + l_linenumber * 6)::int as stop, case when l_partkey % 4 = 0 then null else (l_partkey % 2)::int end as page_no from lineitem)"""
@@ -308,6 +342,3 @@ def span_containment(spark, sf_dir) -> DataFrame:
 def context_texts(spark, sf_dir) -> DataFrame:
     prefix = F.when(F.col("doc_id") % 3 == 0, "").otherwise("file / h\n\n")
     return roles.table(spark, sf_dir, "documents").select("doc_id", context_text(prefix, F.coalesce(F.col("text"), F.lit(""))).alias("context"))
-
-
-__all__ = ["QUERIES", "SQL", "TOKEN_SQL", "tokens"]

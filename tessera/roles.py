@@ -10,7 +10,7 @@ from .session import ship, spread
 SQL = {
     "files": """files as (select doc_id + 1 as id, md5(coalesce(text, '')) as file_md5, 'doc-' || doc_id || '.txt' as file_name, strlen(coalesce(text, ''))::bigint as total_size,
   case doc_id % 10 when 0 then 3 when 1 then 4 when 2 then 0 else 1 end as status, doc_id % 7 + 1 as user_id, 'ORG_' || lang as org_tag, doc_id % 9 = 0 as is_public, lang from documents)""",
-    "states": """states as (select doc_id + 1 as document_id, doc_id % 7 + 1 as user_id, case when doc_id % 5 = 0 then '' else 'v' || (doc_id % 3) end as active_version,
+    "states": """states as (select doc_id + 1 as document_id, case when doc_id % 13 = 3 then 99 else doc_id % 7 + 1 end as user_id, case when doc_id % 5 = 0 then '' else 'v' || (doc_id % 3) end as active_version,
   case when doc_id % 4 = 0 then 'v9' else '' end as pending_version, case doc_id % 4 when 0 then 'parsing' when 1 then 'ready' when 2 then 'failed' else 'embedding' end as status,
   timestamp '2026-09-03 00:00:00' - to_minutes((doc_id % 11)::int) as updated_at from documents where doc_id % 8 <> 7)""",
     "hits": """hits as (select d.doc_id + 1 as document_id, 'v' || (d.doc_id % 3) as version, 'c0' as chunk_key, d.doc_id % 7 + 1 as user_id, md5(coalesce(d.text, '')) as file_md5, 'm' || (d.doc_id % 2) as model_version,
@@ -51,7 +51,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     return table(spark, sf_dir, "documents").where(d % 8 != 7).select(
-        (d + 1).alias("document_id"), (d % 7 + 1).alias("user_id"), F.when(d % 5 == 0, "").otherwise(F.concat(F.lit("v"), (d % 3).cast("string"))).alias("active_version"),
+        (d + 1).alias("document_id"), F.when(d % 13 == 3, 99).otherwise(d % 7 + 1).alias("user_id"), F.when(d % 5 == 0, "").otherwise(F.concat(F.lit("v"), (d % 3).cast("string"))).alias("active_version"),
         F.when(d % 4 == 0, "v9").otherwise("").alias("pending_version"), F.when(d % 4 == 0, "parsing").when(d % 4 == 1, "ready").when(d % 4 == 2, "failed").otherwise("embedding").alias("status"),
         (F.lit("2026-09-03 00:00:00").cast("timestamp_ntz") - F.make_dt_interval(mins=(d % 11).cast("int"))).alias("updated_at"),
     )

@@ -31,7 +31,7 @@ TABLES = {
 UPLOADING, COMPLETE, FAILED, DELETING, MERGING = range(5)
 
 # fixed values: limits
-CANDIDATES_PER_RESULT = 30
+CANDIDATES_PER_RESULT, MAX_RESULTS = 30, 100
 FUSED_RESULTS = 12
 RRF_OFFSET = 60
 PARENT_BYTES = 3000

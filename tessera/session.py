@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -37,6 +38,13 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """A frame as a table in the shared folder: rounds of a loop don't carry the plans of those before."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tessera-rounds/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A scan's rows over all cores, where its files give fewer parts than there are cores.
 

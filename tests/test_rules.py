@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import access, conversation, fusion, lifecycle, planning, retrieval
-from tessera.plans.search_queries import IDENTITY
+from tessera.plans.search_queries import BY_PLAN
 from tessera.sources import files as S
 from tessera.streaming import tasks
 
@@ -66,16 +66,16 @@ def test_recall(spark, query, recent, ids):
 
 
 def hits(spark, rows):
-    return spark.createDataFrame(rows, "step_id int, rank int, owner string, file_md5 string, document_id long, version string, chunk_key string, chunk int")
+    return spark.createDataFrame([(1, *r) for r in rows], "plan_id int, step_id int, rank int, owner string, file_md5 string, document_id long, version string, chunk_key string, chunk int")
 
 
 def test_fusion_with_pins(spark):
     rows = [(1, k + 1, "1", "a", 1, "v", f"a{k}", k) for k in range(5)] + [(2, k + 1, "1", "b", 2, "v", f"b{k}", k) for k in range(5)]
     third = [(3, 1, "9", "z", 3, "v", "bridge", 0)] + [(3, k + 2, "9", "z", 3, "v", f"z{k}", k + 1) for k in range(7)]
-    pins = hits(spark, [third[-1]]).select(*fusion.IDENTITY, F.lit(1).alias("pin_order"))
+    pins = hits(spark, [third[-1]]).select("plan_id", *fusion.IDENTITY, F.lit(1).alias("pin_order"))
     got = fusion.selected(hits(spark, rows + third), pins).orderBy("number").collect()
     assert len(got) == 12 and got[0]["chunk"] == 7 and got[1]["file_md5"] == "a" and got[2]["file_md5"] == "b"
-    assert fusion.selected(hits(spark, rows), pins).count() == 10 and IDENTITY.split(", ") == fusion.IDENTITY
+    assert fusion.selected(hits(spark, rows), pins).count() == 10 and BY_PLAN.split(", ") == fusion.IDENTITY
 
 
 def test_fusion_counts_a_step_once_and_keeps_gaps(spark):
@@ -104,7 +104,8 @@ def test_parents_share_one_budget(spark):
     h = spark.createDataFrame([(1, 1, 1, "v", "p0", 7), (1, 2, 1, "v", "p1", 7), (1, 3, 1, "v", "p0", 7)], "query_id int, rank int, document_id long, version string, parent_id string, user_id long")
 
     def attached(bodies):
-        p = spark.createDataFrame([(1, "v", f"p{k}", 7, "", b) for k, b in enumerate(bodies)], "document_id long, version string, chunk_id string, user_id long, context_prefix string, body_text string")
+        places = "source_spans array<struct<block_id:string,page_no:int,start:int,end:int>>, row_range array<int>, column_paths array<array<string>>"
+        p = spark.createDataFrame([(1, "v", f"p{k}", 7, True, "", b, [("b0", None, 0, 1)], None, None) for k, b in enumerate(bodies)], f"document_id long, version string, chunk_id string, user_id long, is_parent boolean, context_prefix string, body_text string, {places}")
         return [r["parent_text"] is not None for r in retrieval.attach_parents(h, p).orderBy("rank").collect()]
 
     assert attached(["x" * 2000, "y" * 2000]) == [True, False, True]
