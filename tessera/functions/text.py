@@ -124,6 +124,42 @@ def object_key(*parts: Column | str) -> Column:
     return F.concat_ws("/", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+def document_upload_prefix(kind: str, user_id: Column, document_id: Column) -> Column:
+    """Where a document's parts (``chunks``) or its whole file (``merged``) lie."""
+    return F.concat(object_key(kind, user_id, document_id), F.lit("/"))
+
+
+def document_ir_prefix(user_id: Column, document_id: Column) -> Column:
+    return document_upload_prefix("document-ir", user_id, document_id)
+
+
+def part_key(user_id: Column, document_id: Column, index: Column) -> Column:
+    return F.concat(document_upload_prefix("chunks", user_id, document_id), index.cast("string"))
+
+
+def attempt_key(user_id: Column, document_id: Column, index: Column, attempt: Column) -> Column:
+    """Where one try at a part lies until it counts."""
+    return F.concat(document_upload_prefix("chunks", user_id, document_id), F.lit("attempts/"), index.cast("string"), F.lit("/"), attempt)
+
+
+def merged_key(user_id: Column, document_id: Column, token: Column) -> Column:
+    return F.concat(document_upload_prefix("merged", user_id, document_id), token)
+
+
+def artifact_key(user_id: Column, document_id: Column, version: Column) -> Column:
+    return F.concat(document_ir_prefix(user_id, document_id), version, F.lit("/ir.json"))
+
+
+def valid_user_name(name: Column) -> Column:
+    """1 to 32 letters, digits and _ - ."""
+    return F.coalesce(F.rlike(name, F.lit(r"^[\p{L}\p{Nd}_.-]{1,32}\z")), F.lit(False))
+
+
+def valid_conversation_id(name: Column) -> Column:
+    """1 to 64 visible ASCII signs."""
+    return F.coalesce(F.rlike(name, F.lit(r"^[!-~]{1,64}\z")), F.lit(False))
+
+
 def backoff_seconds(attempts: Column) -> Column:
     return F.least(F.pow(F.lit(2.0), F.least(F.greatest(attempts, F.lit(1)), F.lit(6))), F.lit(60.0))
 

@@ -91,11 +91,11 @@ def uploads_with_tag_name(spark, sf_dir) -> DataFrame:
 
 
 def _requests(spark, sf_dir) -> DataFrame:
-    return roles.files(spark, sf_dir).where("id % 3 = 0").select(F.col("id").alias("request_id"), "file_md5", "user_id")
+    return roles.files(spark, sf_dir).select(F.col("id").alias("request_id"), "file_md5", "user_id")
 
 
 def _uploaded(there: bool) -> str:
-    return roles.sql("files", body=f"""select r.id as request_id from files r where r.id % 3 = 0 and {"" if there else "not "}exists (select 1 from files f where f.status = 1 and f.file_md5 = r.file_md5 and f.user_id = r.user_id)""")
+    return roles.sql("files", body=f"""select r.id as request_id from files r where {"" if there else "not "}exists (select 1 from files f where f.status = 1 and f.file_md5 = r.file_md5 and f.user_id = r.user_id)""")
 
 
 @query(_uploaded(True))
@@ -109,12 +109,12 @@ def not_uploaded(spark, sf_dir) -> DataFrame:
 
 
 @query(roles.sql("files", "states", body=f"""select f.id as document_id, 'v' || ((f.id - 1) % 3) as version from files f join states s on s.document_id = f.id and s.user_id = f.user_id and s.active_version = 'v' || ((f.id - 1) % 3)
-where f.status = 1 and (f.id - 1) % 4 = 1 and {VISIBLE.replace("user_id", "f.user_id")}"""))
+where f.status = 1 and {VISIBLE.replace("user_id", "f.user_id")}"""))
 def parent_lookup(spark, sf_dir) -> DataFrame:
     f = roles.files(spark, sf_dir)
     version = F.concat(F.lit("v"), ((F.col("id") - 1) % 3).cast("string"))
     chunks = f.select(F.col("id").alias("document_id"), version.alias("version"), F.lit("p0").alias("chunk_id"), "user_id", F.lit(True).alias("is_parent"))
-    refs = chunks.where("(document_id - 1) % 4 = 1").select("document_id", "version", "chunk_id")
+    refs = chunks.select("document_id", "version", "chunk_id")
     return access.parents(chunks, f, roles.states(spark, sf_dir), refs.union(refs), USER, TAGS).select("document_id", "version")
 
 
@@ -186,10 +186,10 @@ def _chain(spark, sf_dir) -> DataFrame:
     return roles.table(spark, sf_dir, "customer").select(name.alias("tag_id"), name.alias("name"), F.when(k % 100 != 1, F.concat(F.lit("T"), (k - 1).cast("string"))).alias("parent_tag"), k.alias("k"))
 
 
-@query(f"""with recursive {CHAIN}, walk as (select k as user_id, tag_id as tag from chain where k % 100 = 0 union select w.user_id, c.parent_tag from walk w join chain c on c.tag_id = w.tag where c.parent_tag is not null) select user_id, tag from walk""")
+@query(f"""with recursive {CHAIN}, walk as (select k as user_id, tag_id as tag from chain union select w.user_id, c.parent_tag from walk w join chain c on c.tag_id = w.tag where c.parent_tag is not null) select user_id, tag from walk""")
 def deep_tags(spark, sf_dir) -> DataFrame:
     tags = _chain(spark, sf_dir)
-    return access.effective_tags(tags.where("k % 100 = 0").select(F.col("k").alias("id"), F.col("tag_id").alias("org_tags")), tags)
+    return access.effective_tags(tags.select(F.col("k").alias("id"), F.col("tag_id").alias("org_tags")), tags)
 
 
 @query(f"""with recursive {CHAIN}, tree as (select tag_id, 0 as depth from chain where parent_tag is null union all select c.tag_id, t.depth + 1 from chain c join tree t on c.parent_tag = t.tag_id) select tag_id, depth from tree""")

@@ -73,13 +73,12 @@ def legacy_turns(spark, sf_dir) -> DataFrame:
     return C.legacy_turns(m.select("conv_id", F.to_json("m").alias("json"))).select("conv_id", "turn_id", "turn_no")
 
 
-@query(roles.sql("turns", body="""select conv_id, 't' || turn_no as turn_id, arrival::int as arrival, case when arrival = 1 then 'repeated' when conv_id % 2 = 0 then 'conflict' else 'repeated' end as outcome, turn_no::bigint as turn_no from pairs, (values (1), (2)) a(arrival) where turn_no = 0
+@query(roles.sql("turns", body="""select conv_id, 't' || turn_no as turn_id, arrival::int as arrival, case when arrival = 1 then 'repeated' when conv_id % 2 = 0 then 'conflict' else 'repeated' end as outcome, turn_no::bigint as turn_no from pairs, (values (1), (2)) a(arrival)
 union all select conv_id, 'new', 3, 'appended', max(turn_no) + 1 from pairs group by conv_id"""))
 def append_turns(spark, sf_dir) -> DataFrame:
     t = turns(spark, sf_dir).withColumn("turn_id", F.concat(F.lit("t"), F.col("turn_no").cast("string")))
-    first = t.where("turn_no = 0")
-    again = first.select("conv_id", "turn_id", "question", "answer", F.lit(1).alias("arrival"))
-    other = first.select("conv_id", "turn_id", "question", F.when(F.col("conv_id") % 2 == 0, F.concat("answer", F.lit("!"))).otherwise(F.col("answer")).alias("answer"), F.lit(2).alias("arrival"))
+    again = t.select("conv_id", "turn_id", "question", "answer", F.lit(1).alias("arrival"))
+    other = t.select("conv_id", "turn_id", "question", F.when(F.col("conv_id") % 2 == 0, F.concat("answer", F.lit("!"))).otherwise(F.col("answer")).alias("answer"), F.lit(2).alias("arrival"))
     new = t.select("conv_id").distinct().select("conv_id", F.lit("new").alias("turn_id"), F.lit("q").alias("question"), F.lit("a").alias("answer"), F.lit(3).alias("arrival"))
     return C.append_turns(t, again.union(other).union(new))
 

@@ -22,12 +22,12 @@ def query(sql: str | None = None):
     return add
 
 
-PARTS_SQL = """parts as (select l_orderkey % 500 + 1 as document_id, (l_linenumber - 1)::int as chunk_index from lineitem where l_suppkey % 3 <> 0),
+PARTS_SQL = """parts as (select l_orderkey % 500 + 1 as document_id, (case when l_suppkey % 3 = 0 then -1 else l_linenumber - 1 end)::int as chunk_index from lineitem),
 up as (select doc_id + 1 as id, (doc_id % 9) * 5242880 - 7 as total_size from documents)"""
 
 
 def _parts(spark, sf_dir) -> DataFrame:
-    return roles.table(spark, sf_dir, "lineitem").where("l_suppkey % 3 <> 0").select((F.col("l_orderkey") % 500 + 1).alias("document_id"), (F.col("l_linenumber") - 1).cast("int").alias("chunk_index"))
+    return roles.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 500 + 1).alias("document_id"), F.when(F.col("l_suppkey") % 3 == 0, -1).otherwise(F.col("l_linenumber") - 1).cast("int").alias("chunk_index"))
 
 
 def _uploads(spark, sf_dir) -> DataFrame:
@@ -35,7 +35,7 @@ def _uploads(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""with {PARTS_SQL}, t as (select id, case when total_size <= 0 then 0 else (total_size - 1) // 5242880 + 1 end::bigint as total from up),
-d as (select p.document_id as id, count(distinct p.chunk_index) as uploaded from parts p join t on t.id = p.document_id where p.chunk_index < t.total group by 1)
+d as (select p.document_id as id, count(distinct p.chunk_index) as uploaded from parts p join t on t.id = p.document_id where p.chunk_index >= 0 and p.chunk_index < t.total group by 1)
 select t.id, total, coalesce(uploaded, 0)::bigint as uploaded, case when total = 0 then 0.0::double else round(coalesce(uploaded, 0) * 100.0::double / total, 6) end as percent, total > 0 and coalesce(uploaded, 0) >= total as complete from t left join d using (id)""")
 def upload_progress(spark, sf_dir) -> DataFrame:
     return L.progress(_uploads(spark, sf_dir), _parts(spark, sf_dir))

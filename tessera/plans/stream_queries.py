@@ -29,9 +29,12 @@ def scratch(spark) -> str:
 
 
 def events(spark, sf_dir) -> DataFrame:
-    path = f"{sf_dir}/event[s].parquet"  # a pattern, as a stream's plain path must be a folder
-    schema = roles.table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path)
+    """The events as a stream of five micro-batches; the last delivers a tenth of them again."""
+    rows, at = roles.table(spark, sf_dir, "events"), f"{scratch(spark)}/events"
+    for k in range(4):
+        rows.where(F.col("event_id") % 4 == k).coalesce(1).write.mode("append").parquet(at)
+    rows.where("event_id % 10 = 1").coalesce(1).write.mode("append").parquet(at)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(at)
 
 
 @query("select distinct event_id % 500 + 1 as document_id, 'v' || event_id % 3 as version from events where event_id % 10 <> 3")
@@ -42,7 +45,20 @@ def stream_tasks(spark, sf_dir) -> DataFrame:
     messages = events(spark, sf_dir).select(F.when(e % 10 == 3, '{"document_id":').otherwise(task).alias("value"))
     at = scratch(spark)
     T.consume(messages, lambda t: t.select("document_id", "version"), f"{at}/done", f"{at}/failed", f"{at}/checkpoint").awaitTermination()
-    return spark.read.schema("document_id long, version string").parquet(f"{at}/done")
+    return spark.read.parquet(f"{at}/done").select("document_id", "version")
+
+
+@query("""with t as (select distinct event_id % 500 + 1 as document_id, 'v' || event_id % 3 as version from events where event_id % 10 <> 3)
+select document_id, version, case when document_id % 50 = 7 then 'no parser' end as error from t""")
+def stream_failures(spark, sf_dir) -> DataFrame:
+    """Tasks that fail for good are kept apart from those that are done, each once whatever is delivered again."""
+    e = F.col("event_id")
+    task = F.to_json(F.struct((e % 500 + 1).alias("document_id"), F.col("user_id"), F.lit("m").alias("file_md5"), F.concat(F.lit("v"), (e % 3).cast("string")).alias("version")))
+    messages = events(spark, sf_dir).select(F.when(e % 10 == 3, "broken").otherwise(task).alias("value"))
+    at = scratch(spark)
+    T.consume(messages, lambda t: t.select("document_id", "version", F.when(F.col("document_id") % 50 == 7, "no parser").alias("error")), f"{at}/done", f"{at}/failed", f"{at}/checkpoint").awaitTermination()
+    done = spark.read.parquet(f"{at}/done").select("document_id", "version", F.lit(None).cast("string").alias("error"))
+    return done.union(spark.read.parquet(f"{at}/failed").select("document_id", "version", "error"))
 
 
 @query("select event_id % 400 as document_id, count(distinct event_id // 400 % 9) filter (event_id // 400 % 9 < 7)::int as uploaded, count(distinct event_id // 400 % 9) filter (event_id // 400 % 9 < 7) = 7 as complete from events group by 1")

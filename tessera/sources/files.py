@@ -10,8 +10,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import object_key
-from ..schemas import COMPLETE, EMBED_BATCH, MAX_FILE_BYTES
+from ..functions.text import artifact_key
+from ..schemas import COMPLETE, EMBED_BATCH, MAX_FILE_BYTES, MAX_TEXT_CHARS
+from .parse import Document, parse_html
 
 # fixed values: limits of an archive
 MAX_ENTRIES, ARCHIVE_FACTOR = 10_000, 8
@@ -54,14 +55,16 @@ def to_import(found: DataFrame, files: DataFrame, user_id: int) -> DataFrame:
 
 
 def write_artifacts(parsed: DataFrame, path: str, version: str) -> DataFrame:
-    """Parsed documents as Parquet by user-independent key and version; gives document_id, key and SHA-256.
+    """Parsed documents (document_id, user_id, ...) as Parquet, a folder for each version; gives document_id, key and SHA-256.
 
-    A version's folder is written once and never changed; readers find it by the published pointer.
+    The parse runs once: keys and digests are read from what was written. A version's folder is written once and never
+    changed; readers find it by the published pointer.
     """
+    spark, at = parsed.sparkSession, f"{path}/version={version}"
     body = F.to_json(F.struct("blocks", "tables", "parents", "children"))
-    rows = parsed.withColumn("version", F.lit(version)).withColumn("sha256", F.sha2(body, 256))
-    rows.write.mode("append").partitionBy("version").parquet(path)
-    return rows.select("document_id", object_key("document-ir", F.col("document_id"), F.col("version"), "ir.json").alias("key"), "sha256")
+    parsed.withColumn("sha256", F.sha2(body, 256)).write.parquet(at)
+    rows = spark.read.parquet(at)
+    return rows.select("document_id", artifact_key(F.col("user_id"), F.col("document_id"), F.lit(version)).alias("key"), "sha256")
 
 
 def append_chunks(chunks: DataFrame, path: str) -> None:
@@ -118,3 +121,22 @@ def acknowledged(sent: DataFrame, stored: DataFrame) -> DataFrame:
     """Ids that were sent but aren't stored, or are stored twice: an index write is complete when there are none."""
     counts = stored.groupBy("vector_id").agg(F.count("*").alias("n"))
     return sent.select("vector_id").join(counts, "vector_id", "left").where("n is null or n <> 1")
+
+
+def converted(fetch: Callable[[bytes], tuple[int, bytes]], most: int = 8 * MAX_TEXT_CHARS) -> Callable[[bytes], Document]:
+    """A parser for files that a service turns into XHTML; ``fetch`` gives its status and answer.
+
+    Redirects aren't followed, other answers than success are failures, and so is output beyond ``most`` bytes.
+    """
+
+    def parse(raw: bytes) -> Document:
+        status, answer = fetch(raw)
+        if 300 <= status < 400:
+            raise ValueError("the converter redirects")
+        if status != 200:
+            raise ValueError(f"the converter answers {status}")
+        if len(answer) > most:
+            raise ValueError("the converter gives too much")
+        return parse_html(answer)
+
+    return parse

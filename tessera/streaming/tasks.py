@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable, Iterator
 
@@ -9,8 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..schemas import COMPLETE, DELETING, MERGING, UPLOADING
+
 TASK = "document_id bigint, user_id bigint, file_md5 string, version string"
 ATTEMPTS = 3
+MERGE_LEASE_MS = 300_000
 
 
 def parsed_tasks(messages: DataFrame, column: str = "value") -> DataFrame:
@@ -25,29 +29,56 @@ def keyed(tasks: DataFrame) -> DataFrame:
 
 
 def consume(messages: DataFrame, work: Callable[[DataFrame], DataFrame], done: str, failed: str, checkpoint: str, delay: float = 0.0, attempts: int = ATTEMPTS):
-    """Start a query that works on each batch's tasks and appends results; gives the running query.
+    """Start a query that works on each batch's tasks; gives the running query.
 
-    Results are kept once for each (document_id, version), so a batch that is delivered again changes
-    nothing. A batch that fails is tried again, later each time; after the last attempt its tasks go to
-    ``failed`` with the error, and the stream goes on. Poison messages are left out.
+    Poison messages are left out, and a task (document_id, version) counts once: the stream remembers what it has seen,
+    and what other consumers have done is read from ``done``. ``work`` gives rows with document_id and version; rows with
+    a text in ``error``, if it has that column, are tasks that failed for good. Work that raises is tried again, later
+    each time; tasks it can't do together are then parted until those that fail are alone, and only these are failed.
+    A batch writes folders of its own, whole, so that a batch that is delivered again leaves what was there.
     """
+    name = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        tasks = parsed_tasks(rows).where("not poison").select("task.*").dropDuplicates(["document_id", "version"])
+        tasks = rows
         known = existing(spark, done)
         if known is not None:
-            tasks = tasks.join(known.select("document_id", "version"), ["document_id", "version"], "left_anti")
-        for attempt in range(1, attempts + 1):
-            try:
-                work(tasks).write.mode("append").parquet(done)
-                return
-            except Exception as e:  # noqa: BLE001  any failure of the work counts as one of the batch
-                error = str(e)[:1000]
-                time.sleep(delay * attempt)
-        tasks.withColumn("error", F.lit(error)).withColumn("batch", F.lit(number)).write.mode("append").parquet(failed)
-
-    return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+            others = known.where(F.col("consumer") != name).select("document_id", "version")
+            tasks = tasks.join(others, ["document_id", "version"], "left_anti")
+        tasks = tasks.persist()
+        try:
+            good, bad = settled(tasks, work, delay, attempts)
+            for part, path in ((good, done), (bad, failed)):
+                at = f"{path}/consumer={name}/batch={number}"
+                for k, frame in enumerate(part):
+                    frame.write.mode("append" if k else "overwrite").parquet(at)
+        finally:
+            tasks.unpersist()
+
+    tasks = parsed_tasks(messages).where("not poison").select("task.*").dropDuplicates(["document_id", "version"])
+    return tasks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def settled(tasks: DataFrame, work: Callable[[DataFrame], DataFrame], delay: float, attempts: int, depth: int = 0) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Results and failures of tasks; those that fail together are halved by hash, once tried as often as allowed."""
+    error = ""
+    for attempt in range(1, (attempts if depth == 0 else 1) + 1):
+        try:
+            out = work(tasks).persist()
+            out.count()
+            if "error" not in out.columns:
+                return [out], []
+            return [out.where("error is null").drop("error")], [out.where("error is not null").select("document_id", "version", F.substring("error", 1, 1000).alias("error"))]
+        except Exception as e:  # noqa: BLE001  any failure of the work counts as one of its tasks
+            error = str(e)[:1000]
+            time.sleep(delay * attempt)
+    n = tasks.count()
+    if n <= 1 or depth > 60:
+        return [], [tasks.select("document_id", "version", F.lit(error).alias("error"))]
+    half = F.pmod(F.xxhash64("document_id", "version", F.lit(depth)), F.lit(2))
+    low, high = (settled(tasks.where(half == k), work, delay, attempts, depth + 1) for k in (0, 1))
+    return low[0] + high[0], low[1] + high[1]
 
 
 def existing(spark: SparkSession, path: str) -> DataFrame | None:
@@ -86,6 +117,51 @@ def upload_sessions(parts: DataFrame) -> DataFrame:
     return parts.groupBy("document_id").applyInPandasWithState(step, SESSION, SESSION_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+UPLOAD_STATE = "parts array<int>, total int, status int, until bigint"
+UPLOAD = "document_id bigint, seq bigint, outcome string, uploaded int"
+
+
+def uploads(events: DataFrame) -> DataFrame:
+    """Whole upload sessions as a stream: (document_id, seq, outcome, uploaded) of each event.
+
+    events: document_id, seq, kind, chunk_index, total, at (milliseconds). Kinds: ``part`` (a part that is there is
+    replaced: it counts again only once its bytes are), ``merge`` (wants all parts and the lease, which another merge takes
+    over once it has run out), ``verified`` and ``corrupt`` (what the merge found: the file is complete, or all parts
+    have to come again), ``delete``. Events of a batch are taken in order of seq.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, total, status, until = state.get if state.exists else ([], 0, UPLOADING, 0)
+        parts, out = set(held), []
+        for e in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
+            outcome = "rejected"
+            if e.kind == "part" and status == COMPLETE or e.kind == "merge" and status == COMPLETE:
+                outcome = "complete"
+            elif e.kind == "part" and status == UPLOADING:
+                total = int(e.total)
+                if 0 <= e.chunk_index < total:
+                    outcome = "replaced" if e.chunk_index in parts else "part"
+                    parts.add(int(e.chunk_index))
+            elif e.kind == "merge" and (status == UPLOADING or status == MERGING and e.at >= until):
+                ready = total > 0 and len(parts) == total
+                outcome = "merging" if ready else "incomplete"
+                if ready:
+                    status, until = MERGING, int(e.at) + MERGE_LEASE_MS
+            elif e.kind == "merge" and status == MERGING:
+                outcome = "busy"
+            elif e.kind == "verified" and status == MERGING:
+                status, outcome = COMPLETE, "complete"
+            elif e.kind == "corrupt" and status == MERGING:
+                parts, status, outcome = set(), UPLOADING, "reset"
+            elif e.kind == "delete":
+                status, outcome = DELETING, "deleting"
+            out.append((key[0], int(e.seq), outcome, len(parts)))
+        state.update((sorted(parts), total, status, until))
+        yield pd.DataFrame(out, columns=["document_id", "seq", "outcome", "uploaded"])
+
+    return events.groupBy("document_id").applyInPandasWithState(step, UPLOAD, UPLOAD_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
 LEASE_STATE = "attempts int, leased boolean, due bigint"
 LEASE = "document_id bigint, action string, attempts int"
 

@@ -206,6 +206,74 @@ def test_stream_failure_is_terminal_and_kept(spark, tmp_path):
     assert [(r["document_id"], r["error"]) for r in spark.read.parquet(str(tmp_path / "failed")).collect()] == [(3, "never")]
 
 
+def test_stream_parts_tasks_that_fail_together(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, ids in (("1", range(1, 9)), ("2", range(5, 13))):
+        (tmp_path / f"in/{name}.txt").write_text("\n".join(f'{{"document_id":{k},"user_id":1,"file_md5":"m","version":"v1"}}' for k in ids))
+
+    def picky(df):
+        bad = [r["document_id"] for r in df.where("document_id in (3, 10)").collect()]
+        if bad:
+            raise RuntimeError(f"{bad[0]} is bad")
+        return df.select("document_id", "version")
+
+    stream = spark.readStream.option("maxFilesPerTrigger", 1).text(str(tmp_path / "in"))
+    tasks.consume(stream, picky, str(tmp_path / "done"), str(tmp_path / "failed"), str(tmp_path / "check"), attempts=2).awaitTermination()
+    assert sorted(r["document_id"] for r in spark.read.parquet(str(tmp_path / "done")).collect()) == [k for k in range(1, 13) if k not in (3, 10)]
+    assert sorted((r["document_id"], r["error"]) for r in spark.read.parquet(str(tmp_path / "failed")).collect()) == [(3, "3 is bad"), (10, "10 is bad")]
+
+
+def test_stream_of_whole_uploads(spark, tmp_path):
+    rows = [(1, 1, "part", 0, 2, 0), (1, 2, "merge", 0, 2, 1), (1, 3, "part", 0, 2, 2), (1, 4, "part", 1, 2, 3), (1, 5, "part", 5, 2, 3), (1, 6, "merge", 0, 2, 10), (1, 7, "merge", 0, 2, 20), (1, 8, "part", 1, 2, 21), (1, 9, "corrupt", 0, 2, 30)]
+    rows += [(1, 10, "merge", 0, 2, 31), (1, 11, "part", 1, 2, 32), (1, 12, "part", 0, 2, 33), (1, 13, "merge", 0, 2, 40), (1, 14, "merge", 0, 2, 40 + 300_000), (1, 15, "verified", 0, 2, 300_100), (1, 16, "part", 0, 2, 300_101), (1, 17, "delete", 0, 2, 300_102), (1, 18, "merge", 0, 2, 300_103)]
+    names = "document_id long, seq long, kind string, chunk_index int, total int, at long"
+    for k in range(0, len(rows), 6):
+        spark.createDataFrame(rows[k : k + 6], names).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(names).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in"))
+    tasks.uploads(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    got = [(r["outcome"], r["uploaded"]) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("seq").collect()]
+    assert got == [
+        ("part", 1), ("incomplete", 1), ("replaced", 1), ("part", 2), ("rejected", 2), ("merging", 2), ("busy", 2), ("rejected", 2), ("reset", 0), ("incomplete", 0), ("part", 1), ("part", 2), ("merging", 2), ("merging", 2), ("complete", 2), ("complete", 2),
+        ("deleting", 2), ("rejected", 2),
+    ]
+
+
+def test_converted_files(spark):
+    answers = {b"a": (200, b"<p>x</p>"), b"b": (302, b""), b"c": (500, b""), b"d": (200, b"<p>" + b"x" * 100)}
+    parse = S.converted(answers.get, most=50)
+    assert [b["text"] for b in parse(b"a").blocks] == ["x"]
+    for bad in (b"b", b"c", b"d"):
+        with pytest.raises(ValueError, match="converter"):
+            parse(bad)
+
+
+def test_artifacts_have_keys_and_digests(spark, tmp_path):
+    from tessera.operators import chunking
+
+    files = spark.createDataFrame([(1, "a.txt", b"alpha"), (2, "b.txt", b"beta")], "document_id long, file_name string, content binary")
+    parsed = chunking.parse_and_chunk(files).withColumn("user_id", F.lit(7))
+    got = {r["document_id"]: r for r in S.write_artifacts(parsed, str(tmp_path / "ir"), "v1").collect()}
+    assert got[1]["key"] == "document-ir/7/1/v1/ir.json" and len(got[1]["sha256"]) == 64 and got[1]["sha256"] != got[2]["sha256"]
+    S.append_chunks(chunking.chunk_rows(parsed), str(tmp_path / "chunks"))
+    assert spark.read.parquet(str(tmp_path / "chunks")).count() == 4
+    with pytest.raises(ValueError, match="identity"):
+        S.append_chunks(chunking.chunk_rows(parsed).withColumn("chunk_id", F.lit("other")), str(tmp_path / "chunks"))
+
+
+def test_text_rules(spark):
+    from tessera.functions import text as X
+
+    row = spark.createDataFrame([("a,b , c", "x" * 1200)], "t string, long string")
+    got = row.select(X.has_tag(F.col("t"), F.lit("b")), X.has_tag(F.col("t"), F.lit("d")), F.length(X.error_text(F.col("long"))), X.shortened(F.col("t"), 3), X.shortened(F.col("t"), 30)).first()
+    assert tuple(got) == (True, False, 1000, "a,b…", "a,b , c")
+    keyed = tasks.keyed(spark.createDataFrame([(5, 7, "m", "v1")], tasks.TASK)).first()
+    assert keyed["key"] == "7:5:m" and '"document_id":5' in keyed["value"]
+    refs = spark.range(1001).select(F.col("id").alias("document_id"), F.lit("v").alias("version"), F.lit("p").alias("chunk_id"))
+    assert access.too_many_refs(refs) and not access.too_many_refs(refs.limit(1000))
+    late = lifecycle.retried(spark.createDataFrame([(1, 2)], "document_id long, attempts int"), F.lit("2026-01-01 00:00:00").cast("timestamp")).first()
+    assert late["attempts"] == 3 and str(late["available_at"]) == "2026-01-01 00:00:08" and late["lease_token"] is None
+
+
 def test_stream_of_leases(spark, tmp_path):
     import time
 
