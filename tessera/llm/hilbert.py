@@ -129,32 +129,35 @@ def search(
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column(2))
-            own = [pa.array(key) for key in curve(standing(x, longest))]
-            asks = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False)
-            where = np.cumsum(asks) - 1
-            asked = [pa.array(key[where] if asks.any() else np.zeros(len(x), np.int64), mask=~asks) for key in curve(asking(x[asks]))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), *own, *asked], names=["vec_id", "vector", *[f"{c}{o}" for c in ("key", "ask") for o in range(orderings)]])
+            yield pa.RecordBatch.from_arrays([pa.array(key) for key in curve(standing(matrix(batch.column(0)), longest))], names=[f"key{o}" for o in range(orderings)])
 
-    every = ", ".join(f"{c}{o} long" for c in ("key", "ask") for o in range(orderings))
-    keyed = materialize(rows.mapInArrow(keys, f"vec_id long, vector binary, {every}"), "curve-keys")
     cuts = [i / ranges for i in range(1, ranges)] or [0.5]
+    keyed = rows.select("embedding").mapInArrow(keys, ", ".join(f"key{o} long" for o in range(orderings)))
     found = keyed.agg(*[F.percentile_approx(f"key{o}", cuts, 10_000).alias(f"e{o}") for o in range(orderings)]).first()
     edges = [sorted({int(c) for c in found[f"e{o}"] or []}) if ranges > 1 else [] for o in range(orderings)]
+
+    def numbers(position: np.ndarray) -> np.ndarray:
+        """The range of each position (rows) in each ordering."""
+        return np.stack([np.searchsorted(e, key) for e, key in zip(edges, curve(position), strict=True)], 1).astype(np.int32)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix(batch.column(2))
+            asks = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False)
+            centers = np.zeros((len(x), orderings), np.int32)
+            centers[asks] = numbers(asking(x[asks]))
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), orderings).cast(pa.list_(pa.int32())) for v in (numbers(standing(x, longest)), centers)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(asks), pa.array([r.tobytes() for r in x], pa.binary()), *lists], names=["vec_id", "asks", "vector", "ranges", "centers"])
+
+    based = materialize(rows.mapInArrow(place, "vec_id long, asks boolean, vector binary, ranges array<int>, centers array<int>"), "curve-places")
     if reach is None:
         # a window holds some times what is asked for, and what the sample needs
         least = -(-(4 * k * ranges // count + 1) // 2)
-        reach = min(ranges, max(least, needed_reach(rows, keyed, edges, k, recall, tuning, orderings)))
+        reach = min(ranges, max(least, needed_reach(rows, based, [len(e) for e in edges], k, recall, tuning)))
     discard(rows)
-
-    def number(column: str, o: int) -> Column:
-        own, at = F.col(f"{column}{o}"), F.lit(0)
-        for cut in edges[o]:
-            at = at + (own > F.lit(cut)).cast("int")
-        return at
-
-    parts = [F.struct(F.lit(o).alias("ordering"), number("key", o).alias("range"), number("ask", o).alias("center"), F.lit(len(edges[o])).alias("last")) for o in range(orderings)]
-    placed = keyed.select("vec_id", "vector", F.explode(F.array(*parts)).alias("at")).select("vec_id", "vector", "at.*")
+    placed = based.select("vec_id", "vector", "asks", "centers", F.posexplode("ranges").alias("ordering", "range"))
+    last = F.get(F.array(*[F.lit(len(e)) for e in edges]), F.col("ordering"))
+    placed = placed.select("vec_id", "vector", "ordering", "range", F.when(F.col("asks"), F.get("centers", F.col("ordering"))).alias("center"), last.alias("last"))
     begin = F.greatest(F.least(F.col("center") - reach, F.col("last") - 2 * reach), F.lit(0))
     asked = placed.where("center is not null").select("vec_id", "vector", "ordering", F.explode(F.sequence(begin, F.least(begin + 2 * reach, F.col("last")))).alias("range"))
     sizes = placed.groupBy("ordering", "range").agg(F.count("*").alias("members"), F.lit(0).cast("long").alias("askers"))
@@ -207,13 +210,12 @@ def ranked(pairs: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def needed_reach(rows: DataFrame, keyed: DataFrame, edges: list[list[int]], k: int, recall: float, tuning: int, orderings: int) -> int:
-    """The least reach at which the share ``recall`` of true neighbours of ``tuning`` queries is seen.
+def needed_reach(rows: DataFrame, based: DataFrame, last: list[int], k: int, recall: float, tuning: int) -> int:
+    """The least reach at which the share ``recall`` of true neighbours of ``tuning`` queries is seen; last: each ordering's last range.
 
     The queries are those with the smallest hashes of their ids; each task scans its own candidates.
     """
-    asked = [f"ask{o}" for o in range(orderings)]
-    some = keyed.where("ask0 is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(tuning).select("vec_id", "vector", *asked).collect()
+    some = based.where("asks").orderBy(F.xxhash64("vec_id"), "vec_id").limit(tuning).select("vec_id", "vector", "centers").collect()
     if not some:
         return 0
     qid = np.array([r["vec_id"] for r in some], np.int64)
@@ -226,16 +228,15 @@ def needed_reach(rows: DataFrame, keyed: DataFrame, edges: list[list[int]], k: i
 
     true = ranked(rows.select("vec_id", "embedding").mapInArrow(near, FOUND), k).select("query_id", "vec_id")
     # at most ``tuning`` times k rows
-    pairs = keyed.join(F.broadcast(true), "vec_id").select("query_id", *[f"key{o}" for o in range(orderings)]).collect()
+    pairs = based.join(F.broadcast(true), "vec_id").select("query_id", "ranges").collect()
     if not pairs:
         return 0
-    centers = {r["vec_id"]: r for r in some}
-    last = np.array([len(e) for e in edges])
-    at = np.array([[np.searchsorted(edges[o], r[f"key{o}"]) for o in range(orderings)] for r in pairs])
-    center = np.array([[np.searchsorted(edges[o], centers[r["query_id"]][f"ask{o}"]) for o in range(orderings)] for r in pairs])
+    centers = {r["vec_id"]: r["centers"] for r in some}
+    ends = np.array(last)
+    at, center = np.array([r["ranges"] for r in pairs]), np.array([centers[r["query_id"]] for r in pairs])
     reach = 0
-    while reach < last.max():
-        begin = np.maximum(np.minimum(center - reach, last - 2 * reach), 0)
+    while reach < ends.max():
+        begin = np.maximum(np.minimum(center - reach, ends - 2 * reach), 0)
         if ((begin <= at) & (at <= begin + 2 * reach)).any(1).mean() >= recall:
             break
         reach += 1
