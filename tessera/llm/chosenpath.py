@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .common import discard, materialize, order_id, release, shown_id, sized_broadcast
 from .components import components
 from .substrings import Words
-from .textbytes import mix, ragged, slices
+from .textbytes import PIECE_BYTES, mix, ragged, slices
 
 _U = np.uint64
 BINS = 64
@@ -44,13 +44,15 @@ NOTHING = 15
 LEVELS = 4
 LEVEL_BITS, PARENT_BITS = 2, 16
 SHINGLE = 5
+#: Bytes of text whose sets are made at once.
+SLICE = 2 * PIECE_BYTES
 
 
 class Sets:
     """Distinct shingles of each row: ``tokens`` ordered by row, ``at`` where each row's begin."""
 
     def __init__(self, column: pa.Array, n: int = SHINGLE) -> None:
-        w = Words(column, 4 * n)
+        w = Words(column, 4 * n, doubled=False)
         count = w.count
         h = w.quarter  # windows of n words
         s = np.arange(len(h))
@@ -104,7 +106,7 @@ def describe(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 2):
+            for batch in slices(whole, 2, SLICE):
                 s = Sets(batch.column(2))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s.node), pa.array(s.size.astype(np.int32))], names=[x.split()[0] for x in ABOUT.split(", ")])
 
@@ -118,7 +120,7 @@ def paths(rows: DataFrame, runs: int, sample: float, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for whole in batches:
-            for batch in slices(whole, 2):
+            for batch in slices(whole, 2, SLICE):
                 s = Sets(batch.column(2))
                 fresh = np.zeros(len(s.size), bool)
                 for r, (node, n) in enumerate(zip(s.node.tolist(), s.size.tolist(), strict=True)):

@@ -302,14 +302,19 @@ def identify(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
     ``row``, if ``carry`` names columns, is a struct of these, as they are in that row.
     """
     told = [F.col(doc_id).cast("long").alias("doc_id"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else [])]
-    rows = docs.select(F.col(text).cast("string").alias("text"), *told)
-    schema = T.StructType([*rows.schema[1:], *(T.StructField(*x) for x in PREDICTED)])
+    inside = text in carry and isinstance(docs.schema[text].dataType, T.StringType)  # no text moves twice
+    rows = docs.select(*told, *([] if inside else [F.col(text).cast("string").alias("text")]))
+    own = len(told)
+    schema = T.StructType([*rows.schema[:own], *(T.StructField(*x) for x in PREDICTED)])
+
+    def texts(batch: pa.RecordBatch) -> pa.Array:
+        return batch.column("row").field(text) if inside else batch.column("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 0):
-                names, score, words, turns = _documents(batch.column(0), model)
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), *map(pa.array, (score, words, turns))], names=schema.names)
+            for batch in slices(whole, texts(whole)):
+                names, score, words, turns = _documents(texts(batch), model)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:own], pa.array(names, pa.string()), *map(pa.array, (score, words, turns))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 

@@ -45,7 +45,7 @@ EMPTY = hashlib.sha256(b"").hexdigest()
 class Words:
     """Words of the rows of a string column, their hashes, and hashes of windows of doubling lengths."""
 
-    def __init__(self, column: pa.Array, window: int) -> None:
+    def __init__(self, column: pa.Array, window: int, doubled: bool = True) -> None:
         raw, at = strings(column)
         self.data, self.at = raw[at[0] : at[-1]], at - at[0]
         self.starts, self.ends, self.before = word_spans(self.data, self.at)
@@ -58,6 +58,8 @@ class Words:
         for k in range(self.base):
             h[: n - k] = h[: n - k] * _U(0x9E3779B97F4A7C15) + self.words[k:]
         self.quarter = mix(h + _U(1))
+        if not doubled:
+            return
         self.half = self._doubled(self.quarter, self.base)
         self.full = self._doubled(self.half, 2 * self.base)
 

@@ -110,9 +110,9 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - before, lengths)
 
 
-def slices(batch: pa.RecordBatch, column: int, limit: int = 4 * PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int | pa.Array, limit: int = 4 * PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows whose texts hold about ``limit`` bytes, one row at least."""
-    _, at = strings(batch.column(column))
+    _, at = strings(batch.column(column) if isinstance(column, int) else column)
     row = 0
     while row < batch.num_rows:
         end = int(np.searchsorted(at, at[row] + limit, side="right")) - 1
