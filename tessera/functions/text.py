@@ -150,6 +150,25 @@ def artifact_key(user_id: Column, document_id: Column, version: Column) -> Colum
     return F.concat(document_ir_prefix(user_id, document_id), version, F.lit("/ir.json"))
 
 
+def shown_time(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd HH:mm:ss")
+
+
+def iso_time(at: Column) -> Column:
+    """Without a zone."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def day_of(text: Column) -> Column:
+    """The day a text names, null where it names none."""
+    return F.try_to_date(text, "yyyy-MM-dd")
+
+
+def eight_hours_east(at: Column) -> Column:
+    """A moment of UTC as clocks at UTC+8 show it."""
+    return at + F.expr("interval 8 hours")
+
+
 def valid_user_name(name: Column) -> Column:
     """1 to 32 letters, digits and _ - ."""
     return F.coalesce(F.rlike(name, F.lit(r"^[\p{L}\p{Nd}_.-]{1,32}\z")), F.lit(False))

@@ -198,6 +198,36 @@ def page(rows: DataFrame, size: int, number: int, *order: Column) -> DataFrame:
     return rows.orderBy(*order).offset(size * (number - 1)).limit(size)
 
 
+def oldest_first(rows: DataFrame, *order: Column) -> DataFrame:
+    """A page, which holds few rows, with ``place`` from its oldest row on: it is read forwards though it is found backwards."""
+    return rows.withColumn("place", F.row_number().over(W.orderBy(*order)))
+
+
+def with_users(turns: DataFrame, users: DataFrame) -> DataFrame:
+    """Turns with the name of their user; a user who isn't there fails the whole request."""
+    names = users.select(F.col("id").alias("user_id"), "username")
+    rows = turns.join(names, "user_id", "left")
+    missing = F.raise_error(F.concat(F.lit("no user "), F.col("user_id").cast("string"))).cast("string")
+    return rows.withColumn("username", F.when(F.col("username").isNull(), missing).otherwise(F.col("username")))
+
+
+def summaries_advanced(states: DataFrame, writes: DataFrame) -> DataFrame:
+    """(conv_id, summary_until, version) after summaries that batches write (conv_id, seq, expected, first, until).
+
+    A write counts if it expects the version that is there, begins right behind the watermark, and moves it on.
+    """
+    log = writes.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seq", "expected", "first", "until"))).alias("log"))
+    start = F.struct(F.col("summary_until").cast("long").alias("until"), F.col("version").cast("long").alias("version"))
+
+    def step(s: Column, w: Column) -> Column:
+        ok = (w["expected"] == s["version"]) & (w["first"] == s["until"] + 1) & (w["until"] > s["until"])
+        return F.struct(F.when(ok, w["until"].cast("long")).otherwise(s["until"]).alias("until"), F.when(ok, s["version"] + 1).otherwise(s["version"]).alias("version"))
+
+    none = F.array().cast("array<struct<seq:bigint,expected:bigint,first:bigint,until:bigint>>")
+    rows = states.join(log, "conv_id", "left").withColumn("s", F.aggregate(F.coalesce(F.col("log").cast("array<struct<seq:bigint,expected:bigint,first:bigint,until:bigint>>"), none), start, step))
+    return rows.select("conv_id", F.col("s.until").alias("summary_until"), "s.version")
+
+
 def within_days(rows: DataFrame, at: str, first: str, last: str) -> DataFrame:
     """Rows from the first day to 23:59:59 of the last; what lies within that day's last second is out."""
     end = F.lit(f"{last} 23:59:59").cast("timestamp_ntz")

@@ -13,6 +13,10 @@ from .chunking import CHILD_MAX, PARENT_MAX
 ID = r"^[A-Za-z0-9_-]{1,96}$"
 
 
+# fixed values: kinds of chunks
+KINDS = ["text", "code", "row_group"]
+
+
 def count_if(array: Column, bad) -> Column:
     return F.size(F.filter(array, bad))
 
@@ -71,7 +75,7 @@ def rules() -> dict[str, Column]:
     def chunk_faults(c: Column, most: int) -> Column:
         spans = c["source_spans"]
         return (
-            (c["token_count"] <= 0) | (c["token_count"] > most) | (F.trim(c["body_text"]) == "") | (F.size(spans) == 0) | (F.size(c["block_ids"]) == 0)
+            ~F.coalesce(c["kind"].isin(KINDS), F.lit(False)) | ~F.is_valid_utf8(c["body_text"]) | (c["token_count"] <= 0) | (c["token_count"] > most) | (F.trim(c["body_text"]) == "") | (F.size(spans) == 0) | (F.size(c["block_ids"]) == 0)
             | (F.size(F.array_distinct(c["block_ids"])) < F.size(c["block_ids"])) | (F.size(F.array_except(c["block_ids"], names)) > 0)
             | (F.size(F.array_except(F.transform(spans, lambda s: s["block_id"]), c["block_ids"])) > 0) | (F.size(F.array_except(c["block_ids"], F.transform(spans, lambda s: s["block_id"]))) > 0)
         )

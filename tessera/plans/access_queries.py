@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import roles
-from ..functions.text import extension, file_type
+from ..functions.text import day_of, eight_hours_east, extension, file_type, iso_time, shown_time
 from ..operators import access, conversation, lifecycle
 
 USER, TAGS = 3, ["ORG_en", "ORG_fr"]
@@ -170,10 +170,11 @@ def input_validation(spark, sf_dir) -> DataFrame:
     return lifecycle.upload_faults(rows).select("id", "fault")
 
 
-@query("""select * from (select o_orderkey, o_custkey, o_orderdate from orders where o_orderdate >= timestamp '1995-01-01' and o_orderdate <= timestamp '1996-12-31 23:59:59' order by o_orderdate desc, o_orderkey desc limit 20 offset 20)""")
+@query("""select *, row_number() over (order by o_orderdate, o_orderkey)::int as place from (select o_orderkey, o_custkey, o_orderdate from orders where o_orderdate >= timestamp '1995-01-01' and o_orderdate <= timestamp '1996-12-31 23:59:59' order by o_orderdate desc, o_orderkey desc limit 20 offset 20)""")
 def archive_page(spark, sf_dir) -> DataFrame:
     rows = conversation.within_days(roles.table(spark, sf_dir, "orders"), "o_orderdate", "1995-01-01", "1996-12-31")
-    return conversation.page(rows.select("o_orderkey", "o_custkey", "o_orderdate"), 20, 2, F.desc("o_orderdate"), F.desc("o_orderkey"))
+    found = conversation.page(rows.select("o_orderkey", "o_custkey", "o_orderdate"), 20, 2, F.desc("o_orderdate"), F.desc("o_orderkey"))
+    return conversation.oldest_first(found, F.asc("o_orderdate"), F.asc("o_orderkey"))
 
 
 CHAIN = "chain as (select c_custkey as k, 'T' || c_custkey as tag_id, case when c_custkey % 100 = 1 then null else 'T' || (c_custkey - 1) end as parent_tag from customer)"
@@ -207,14 +208,17 @@ def users_page(spark, sf_dir) -> DataFrame:
     return conversation.page(roles.users(spark, sf_dir).select("id", "username"), 10, 4, F.asc("id"))
 
 
-@query("select o_orderkey as turn_id, c_name as username, c_custkey is null as missing from orders left join customer on c_custkey = o_custkey")
+@query("select o_orderkey as turn_id, c_name as username from orders join customer on c_custkey = o_custkey")
 def admin_conversation(spark, sf_dir) -> DataFrame:
-    return _admin_conversation(spark, sf_dir, roles.table(spark, sf_dir, "orders"))
+    turns = roles.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("turn_id"), F.col("o_custkey").alias("user_id"))
+    return conversation.with_users(turns, roles.users(spark, sf_dir)).select("turn_id", "username")
 
 
-def _admin_conversation(spark, sf_dir, o: DataFrame) -> DataFrame:
-    c = roles.table(spark, sf_dir, "customer")
-    return o.join(c, o["o_custkey"] == c["c_custkey"], "left").select(F.col("o_orderkey").alias("turn_id"), F.col("c_name").alias("username"), F.col("c_custkey").isNull().alias("missing"))
+@query("""select o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as shown, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as iso, strftime(o_orderdate + interval 8 hours, '%Y-%m-%d %H:%M:%S') as there, (o_orderdate::date)::timestamp as day from (select o_orderkey, o_orderdate::timestamp + to_minutes((o_orderkey % 1440)::int) as o_orderdate from orders)""")
+def time_texts(spark, sf_dir) -> DataFrame:
+    at = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(mins=(F.col("o_orderkey") % 1440).cast("int"))
+    rows = roles.table(spark, sf_dir, "orders").select("o_orderkey", at.alias("at"))
+    return rows.select("o_orderkey", shown_time(F.col("at")).alias("shown"), iso_time(F.col("at")).alias("iso"), shown_time(eight_hours_east(F.col("at"))).alias("there"), day_of(F.substring(shown_time(F.col("at")), 1, 10)).cast("timestamp_ntz").alias("day"))
 
 
 @query(roles.sql("files", "states", body="""select f.id, coalesce(s.status, 'not_processed') as status, coalesce(s.pending_version <> '' and s.updated_at > timestamp '2026-09-03 00:00:00' - interval 5 minutes

@@ -83,6 +83,20 @@ def append_turns(spark, sf_dir) -> DataFrame:
     return C.append_turns(t, again.union(other).union(new))
 
 
+@query("""select c_custkey as conv_id, (case when c_custkey % 2 = 0 and c_custkey % 3 <> 0 then 4 else 8 end)::bigint as summary_until, (case when c_custkey % 6 = 0 then 3 else 2 end)::bigint as version from customer""")
+def summary_advance(spark, sf_dir) -> DataFrame:
+    """Batches that write summaries: stale versions, gaps and watermarks that don't move change nothing."""
+    k = F.col("c_custkey")
+    c = roles.table(spark, sf_dir, "customer").select(k.alias("conv_id"))
+
+    def write(seq, expected, first, until):
+        return F.struct(*[F.lit(x).cast("long").alias(n) for n, x in (("seq", seq), ("expected", expected), ("first", first), ("until", until))])
+
+    both = F.filter(F.array(write(0, 1, 3, 4), write(1, 1, 1, 4), write(2, 1, 1, 8), write(3, 2, 5, 4), write(4, 2, 5, 8)), lambda w: ((w["seq"] != 1) | (F.col("conv_id") % 2 == 0)) & ((w["seq"] != 4) | (F.col("conv_id") % 3 == 0)))
+    writes = c.select("conv_id", F.explode(both).alias("w")).select("conv_id", "w.*")
+    return C.summaries_advanced(c.withColumn("summary_until", F.lit(0)).withColumn("version", F.lit(1)), writes)
+
+
 @query(roles.sql("turns", body="""select conv_id, (n // 4)::int as batch, list(turn_no order by turn_no) as turns, bool_or(turn_no - before > 1) as gap from
 (select conv_id, turn_no, row_number() over w - 1 as n, coalesce(lag(turn_no) over w, -1) as before from pairs where turn_no <= 6 window w as (partition by conv_id order by turn_no)) where n < 8 group by conv_id, n // 4"""))
 def pending_summary(spark, sf_dir) -> DataFrame:

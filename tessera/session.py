@@ -52,7 +52,7 @@ def spread(scan: DataFrame) -> DataFrame:
     many parts stay where they lie, so nothing large is shuffled.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    parts = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    parts = scan.rdd.getNumPartitions()
     return scan if parts >= cores else scan.repartition(cores)
 
 

@@ -260,6 +260,14 @@ def test_artifacts_have_keys_and_digests(spark, tmp_path):
         S.append_chunks(chunking.chunk_rows(parsed).withColumn("chunk_id", F.lit("other")), str(tmp_path / "chunks"))
 
 
+def test_a_missing_user_fails_the_request(spark):
+    turns = spark.createDataFrame([(1, 7), (2, 8)], "turn_id long, user_id long")
+    users = spark.createDataFrame([(7, "ana")], "id long, username string")
+    assert [r["username"] for r in conversation.with_users(turns.where("user_id = 7"), users).collect()] == ["ana"]
+    with pytest.raises(Exception, match="no user 8"):
+        conversation.with_users(turns, users).collect()
+
+
 def test_text_rules(spark):
     from tessera.functions import text as X
 
