@@ -346,6 +346,18 @@ def test_join_recall_at_the_deepest_level(spark):
     assert met.select("pair").distinct().count() >= 0.998 * n
 
 
+def test_join_recall_at_the_bound(spark):
+    # pairs at 0.8 and little above, beside a large group that makes the buckets of common shingles split
+    rng, rows = random.Random(12), near_copies(150, 3)
+    n = 500
+    for i in range(n):
+        words = [f"w{i}_{k}" for k in range(104)]
+        rows += [(10_000 + 2 * i, " ".join(words)), (10_001 + 2 * i, " ".join(words[: 84 + rng.randrange(3)]))]
+    got = joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), limit=50)
+    found = sum(got[10_001 + 2 * i][0] == 10_000 + 2 * i and got[10_000 + 2 * i][2] == 1 for i in range(n))
+    assert found >= 0.998 * n
+
+
 def test_join_of_texts_that_share_an_id(spark):
     # ids 0 to 19 have two texts each, every one with a near copy under an id of its own
     rows = []
