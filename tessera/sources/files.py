@@ -123,6 +123,22 @@ def acknowledged(sent: DataFrame, stored: DataFrame) -> DataFrame:
     return sent.select("vector_id").join(counts, "vector_id", "left").where("n is null or n <> 1")
 
 
+def append_index(rows: DataFrame, path: str, dims: int) -> DataFrame:
+    """Append embedded chunks (vector_id, vector, ...) to an index and give them as they are stored.
+
+    Vectors of another length or with values that aren't finite stop it before anything is written; afterwards every id
+    has to be there once, else it fails.
+    """
+    sound = (F.size("vector") == dims) & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    if not rows.where(~F.coalesce(sound, F.lit(False)) | (F.coalesce("vector_id", F.lit("")) == "")).isEmpty():
+        raise ValueError("a vector or an id doesn't fit the index")
+    rows.write.mode("append").parquet(path)
+    stored = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    if not acknowledged(rows, stored).isEmpty():
+        raise RuntimeError("the index didn't acknowledge every chunk once")
+    return stored
+
+
 def converted(fetch: Callable[[bytes], tuple[int, bytes]], most: int = 8 * MAX_TEXT_CHARS) -> Callable[[bytes], Document]:
     """A parser for files that a service turns into XHTML; ``fetch`` gives its status and answer.
 

@@ -170,6 +170,12 @@ def test_files_in_and_out(spark, tmp_path):
     rows = spark.createDataFrame([(str(k), f"text {k}") for k in range(70)], "vector_id string, embedding_text string")
     out = S.embedded(rows, lambda: S.hashing_embedder(16), "m1", 16)
     assert out.count() == 70 and out.where(F.size("vector") != 16).count() == 0
+    at = str(tmp_path / "index")
+    assert S.append_index(out, at, 16).count() == 70
+    with pytest.raises(ValueError, match="index"):
+        S.append_index(out, at, 8)
+    with pytest.raises(RuntimeError, match="acknowledge"):
+        S.append_index(out, at, 16)  # a second time: ids are there twice
     assert S.acknowledged(rows, out).count() == 0 and S.acknowledged(rows, out.limit(60)).count() == 10
 
 
