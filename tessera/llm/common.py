@@ -76,5 +76,30 @@ def hash_thinned(df: DataFrame, wanted: int, doc_id: str = "doc_id") -> DataFram
     return df if total <= 8 * wanted else df.where(unit <= 8.0 * wanted / total)
 
 
+def range_parts(rows: int, spark: SparkSession, most: int = 500_000) -> int:
+    """Ranges for a sorted table: at least the session's shuffle partitions, and none of many more than ``most`` rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // most))
+
+
+def numbered(df: DataFrame, order: list[Column], what: str, rows: int) -> DataFrame:
+    """The rows with ``number``, their place from 0 in a total order: sorted in ranges, ranges counted, counts added up.
+
+    No task holds more than its range; only one count a range reaches the driver. ``order`` has to tell rows apart
+    as far as their numbers matter.
+    """
+    spark = df.sparkSession
+    ranged = df.repartitionByRange(range_parts(rows, spark), *order).sortWithinPartitions(*order)
+    ranged = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_within", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    ranged = materialize(ranged, what)
+    before, at = [], 0
+    for r in sorted(ranged.groupBy("_part").count().collect()):
+        before.append((r["_part"], at))
+        at += r["count"]
+    known = F.broadcast(spark.createDataFrame(before, "_part int, _before long"))
+    out = ranged.join(known, "_part").withColumn("number", F.col("_before") + F.col("_within")).drop("_part", "_within", "_before")
+    out._tessera_scratch = ranged._tessera_scratch
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")

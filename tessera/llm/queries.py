@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chosenpath, cotraining, hilbert, langid, matroska, mixing, packing, substrings, toxicity, wordpiece
+from . import bestfit, chosenpath, cotraining, hardneg, hilbert, langid, matroska, mixing, packing, resample, substrings, toxicity, wordpiece
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -59,13 +59,27 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_language_id, op2_token_counts, op3_media_columns, op4_toxicity, op5_jaccard_join,
         op6_substring_dedup, op7_quality, op8_mix_sources, op9_neighbours, op10_pack,
+        op11_resample, op12_hard_negatives, op13_best_fit,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix_sources": mixing.oracle_sql()}
+    return {"op8_mix_sources": mixing.oracle_sql(), "op11_resample": resample.oracle_sql(), "op12_hard_negatives": hardneg.oracle_sql()}
