@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from ..functions.text import bounded, substituted
 
@@ -14,12 +18,46 @@ PLAN = f"struct<standalone_question:string,clarification_question:string,steps:a
 PLAN_FIELDS, STEP_FIELDS = ["clarification_question", "standalone_question", "steps"], ["depends_on", "id", "question"]
 
 
+#: fixed value: bytes of an answer that may hold a plan
+MAX_PLAN_BYTES = 16 * 1024
+
+
+def strict_plan(text: str) -> dict | None:
+    """A plan as it is written, or nothing: one JSON object of known fields, each of its type, and nothing behind it."""
+
+    def refuse(word: str):
+        raise ValueError(word)
+
+    def holds(value, kind: type) -> bool:
+        return value is None or type(value) is kind
+
+    try:
+        plan = json.loads(text, parse_constant=refuse)
+    except (ValueError, RecursionError):
+        return None
+    if type(plan) is not dict or not set(plan) <= set(PLAN_FIELDS) or not all(holds(plan.get(f), str) for f in PLAN_FIELDS[:2]) or not holds(plan.get("steps"), list):
+        return None
+    for step in plan.get("steps") or []:
+        if type(step) is not dict or not set(step) <= set(STEP_FIELDS) or not holds(step.get("question"), str) or not holds(step.get("depends_on"), list):
+            return None
+        numbers = [0 if step.get("id") is None else step["id"], *(step.get("depends_on") or [])]
+        if not all(type(n) is int and abs(n) < 1 << 31 for n in numbers):
+            return None
+    steps = [{"id": x.get("id") or 0, "question": x.get("question") or "", "depends_on": x.get("depends_on") or []} for x in plan.get("steps") or []]
+    return {"standalone_question": plan.get("standalone_question") or "", "clarification_question": plan.get("clarification_question") or "", "steps": steps}
+
+
 def parsed_plans(plans: DataFrame) -> DataFrame:
-    """Plans (plan_id, json) with ``plan``, null where the JSON is broken or holds unknown fields."""
-    known = F.size(F.array_except(F.coalesce(F.json_object_keys("json"), F.array(F.lit("?"))), F.array(*[F.lit(x) for x in PLAN_FIELDS]))) == 0
-    raw_steps = F.from_json(F.get_json_object("json", "$.steps"), "array<map<string,string>>")
-    steps_known = F.forall(F.coalesce(raw_steps, F.array().cast("array<map<string,string>>")), lambda s: F.size(F.array_except(F.map_keys(s), F.array(*[F.lit(x) for x in STEP_FIELDS]))) == 0)
-    return plans.withColumn("plan", F.when(known & steps_known, F.from_json("json", PLAN)))
+    """Plans (plan_id, json) with ``plan``, null where the text is no UTF-8, longer than 16 KiB, or anything but one plan."""
+
+    kind = to_arrow_type(_parse_datatype_string(PLAN))
+
+    @F.arrow_udf(PLAN)
+    def read(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else strict_plan(t) for t in texts.to_pylist()], kind)
+
+    fits = F.is_valid_utf8("json") & (F.octet_length("json") <= MAX_PLAN_BYTES)
+    return plans.withColumn("plan", read(F.when(fits, F.col("json"))))
 
 
 def holder(n: Column) -> Column:

@@ -154,18 +154,31 @@ def memory_recall(spark, sf_dir) -> DataFrame:
     return C.recalled(memories(spark), q, 1500, F.lit(NOW).cast("timestamp_ntz"))
 
 
-@query(f"with {MEMORY_SQL} select user_id, count(*) as active from mem where expires_at is null or expires_at > timestamp '{NOW}' group by user_id")
+#: A memory for each order, of its customer, as text that both engines read.
+KEPT = f"""select o_orderkey as id, o_custkey as user_id, case when o_orderkey % 3 = 0 then 'global' else concat('topic ', o_custkey) end as scope, case o_orderkey % 4 when 0 then 'preference' when 1 then 'decision' else 'project' end as kind, concat('k', o_orderkey) as key,
+concat(case when o_orderkey % 17 = 0 then 'password: ' else 'note ' end, repeat('x', cast(o_orderkey % 50 as int)), o_custkey) as content, case when o_orderkey % 5 = 0 then '' else concat('word', o_orderkey % 7) end as word,
+case when o_orderkey % 2 = 0 then timestamp '{NOW}' + make_interval(0, 0, 0, cast(o_orderkey % 11 - 5 as int)) end as expires_at, o_orderkey % 19 <> 0 as confirmed from orders"""
+KEPT_SQL = KEPT.replace("make_interval(0, 0, 0, cast(o_orderkey % 11 - 5 as int))", "to_days(cast(o_orderkey % 11 - 5 as int))")
+
+
+def kept_memories(spark, sf_dir) -> DataFrame:
+    roles.table(spark, sf_dir, "orders").createOrReplaceTempView("orders_of_memories")
+    rows = spark.sql(KEPT.replace("from orders", "from orders_of_memories").replace("timestamp '", "timestamp_ntz '"))
+    return rows.withColumn("keywords", F.when(F.col("word") == "", F.array().cast("array<string>")).otherwise(F.array("word"))).drop("word")
+
+
+@query(f"select user_id, count(*) as active from ({KEPT_SQL}) where expires_at is null or expires_at > timestamp '{NOW}' group by user_id")
 def memory_expiry(spark, sf_dir) -> DataFrame:
-    return C.unexpired(memories(spark), F.lit(NOW).cast("timestamp_ntz")).groupBy("user_id").agg(F.count("*").alias("active"))
+    return C.unexpired(kept_memories(spark, sf_dir), F.lit(NOW).cast("timestamp_ntz")).groupBy("user_id").agg(F.count("*").alias("active"))
 
 
-@query(f"""with {MEMORY_SQL} select id, case when user_id = 3 then 'unconfirmed' when expires_at <= timestamp '{NOW}' then 'expired' when user_id = 5 and len(keywords) = 0 and kind <> 'preference' then 'no keyword'
-when user_id = 6 then 'credential' when user_id = 7 then 'too many' end as fault from mem""")
+@query(f"""with mem as ({KEPT_SQL}), held as (select user_id, 5 * count(*) as active from mem where expires_at is null or expires_at > timestamp '{NOW}' group by user_id)
+select id, case when not confirmed then 'unconfirmed' when expires_at <= timestamp '{NOW}' then 'expired' when word = '' and not (kind = 'preference' and scope = 'global') then 'no keyword'
+when starts_with(content, 'password: ') then 'credential' when coalesce(active, 0) >= 50 then 'too many' end as fault from mem left join held using (user_id)""")
 def memory_cap(spark, sf_dir) -> DataFrame:
-    u = F.col("user_id")
-    rows = memories(spark).withColumn("confirmed", u != 3).withColumn("content", F.when(u == 6, "password: hunter2").otherwise(F.col("content")))
-    counts = spark.createDataFrame([(7, 50), (8, 49)], "user_id long, active long")
-    return C.memory_faults(rows, counts, F.lit(NOW).cast("timestamp_ntz"), 1500).select("id", "fault")
+    rows, now = kept_memories(spark, sf_dir), F.lit(NOW).cast("timestamp_ntz")
+    counts = C.unexpired(rows, now).groupBy("user_id").agg((5 * F.count("*")).alias("active"))
+    return C.memory_faults(rows, counts, now, 1500).select("id", "fault")
 
 
 CREDENTIAL_SQL = r"(?i)(-----BEGIN [A-Z ]*PRIVATE KEY-----|\bsk-[a-z0-9_-]{16,}|\bBearer\s+[a-z0-9_.-]{16,}|(?:password|passwd|api[_ -]?key|access[_ -]?token|secret|密码|密钥|令牌)\s*[:=：]\s*\S+)"

@@ -167,62 +167,105 @@ def upsert_latest(spark, sf_dir) -> DataFrame:
     return L.latest(roles.table(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("status")))
 
 
-PLANS = [
-    ("single", '{"standalone_question":"q","steps":[{"id":1,"question":"a","depends_on":[]}]}', None),
-    ("multihop", '{"standalone_question":"q","steps":[{"id":1,"question":"a"},{"id":2,"question":"of {{step:1}}","depends_on":[1]}]}', None),
-    ("clarify", '{"standalone_question":"q","clarification_question":"which?","steps":[]}', None),
-    ("clarify_with_steps", '{"standalone_question":"q","clarification_question":"which?","steps":[{"id":1,"question":"a"}]}', "clarification"),
-    ("blank", '{"standalone_question":"  ","steps":[{"id":1,"question":"a"}]}', "question"),
-    ("none", '{"standalone_question":"q","steps":[]}', "steps"),
-    ("four", '{"standalone_question":"q","steps":[{"id":1,"question":"a"},{"id":2,"question":"a"},{"id":3,"question":"a"},{"id":4,"question":"a"}]}', "steps"),
-    ("ids", '{"standalone_question":"q","steps":[{"id":2,"question":"a"}]}', "step"),
-    ("self", '{"standalone_question":"q","steps":[{"id":1,"question":"{{step:1}}","depends_on":[1]}]}', "dependency"),
-    ("deep", '{"standalone_question":"q","steps":[{"id":1,"question":"a"},{"id":2,"question":"{{step:1}}","depends_on":[1]},{"id":3,"question":"{{step:2}}","depends_on":[2]}]}', "dependency"),
-    ("twice", '{"standalone_question":"q","steps":[{"id":1,"question":"a"},{"id":2,"question":"{{step:1}}","depends_on":[1,1]}]}', "dependency"),
-    ("unplaced", '{"standalone_question":"q","steps":[{"id":1,"question":"a"},{"id":2,"question":"b","depends_on":[1]}]}', "placeholder"),
-    ("undeclared", '{"standalone_question":"q","steps":[{"id":1,"question":"of {{step:2}}"}]}', "undeclared"),
-    ("unknown_field", '{"standalone_question":"q","mode":"x","steps":[{"id":1,"question":"a"}]}', "json"),
-    ("broken", '{"standalone_question":', "json"),
-]
-
-
-@query("select * from (values " + ", ".join(f"('{a}', {'null' if c is None else repr(c)})" for a, _, c in PLANS) + ") t(plan_id, fault)")
+#: What a model might answer to the question of an order, as text that both engines build alike.
+ANSWERS = """case o_orderkey % 28
+when 1 then concat('{"standalone_question":"q","steps":[{"id":1,"question":"who is ', o_custkey, '"},{"id":2,"question":"of {{step:1}}","depends_on":[1]}]}')
+when 2 then concat('{"standalone_question":"q","clarification_question":"which of ', o_orderkey, '?","steps":[]}')
+when 3 then concat('{"standalone_question":"q","clarification_question":"which of ', o_orderkey, '?","steps":[{"id":1,"question":"a"}]}')
+when 4 then '{"standalone_question":"  ","steps":[{"id":1,"question":"a"}]}'
+when 5 then '{"standalone_question":"q","steps":[]}'
+when 6 then concat('{"standalone_question":"q","steps":[', repeat(concat('{"id":1,"question":"', o_custkey, '"},'), 3), '{"id":4,"question":"a"}]}')
+when 7 then concat('{"standalone_question":"q","steps":[{"id":', o_orderkey % 3, ',"question":"a"}]}')
+when 8 then '{"standalone_question":"q","steps":[{"id":1,"question":"{{step:1}}","depends_on":[1]}]}'
+when 9 then '{"standalone_question":"q","steps":[{"id":1,"question":"a"},{"id":2,"question":"{{step:1}}","depends_on":[1]},{"id":3,"question":"{{step:2}}","depends_on":[2]}]}'
+when 10 then concat('{"standalone_question":"q","steps":[{"id":1,"question":"a"},{"id":2,"question":"{{step:1}}","depends_on":[1,', o_custkey % 2 + 1, ']}]}')
+when 11 then concat('{"standalone_question":"q","steps":[{"id":1,"question":"a"},{"id":2,"question":"b {{step:', o_custkey % 2, '}}","depends_on":[1]}]}')
+when 12 then '{"standalone_question":"q","steps":[{"id":1,"question":"of {{step:2}}"}]}'
+when 13 then concat('{"standalone_question":"q","mode":"', o_custkey, '","steps":[{"id":1,"question":"a"}]}')
+when 14 then concat('{"standalone_question":"', o_custkey)
+when 15 then '{"standalone_question":"q","steps":[{"id":1,"question":"a"}]}{}'
+when 16 then '{"standalone_question":"q","steps":[{"id":1,"question":"a"}]} x'
+when 17 then concat('{"standalone_question":"q","steps":[{"id":1,"question":"a"}]}', repeat(' ', 16320 + cast(o_custkey % 9 as int)))
+when 18 then '{"standalone_question":"q","steps":[{"id":"1","question":"a"}]}'
+when 19 then '{"standalone_question":"q","steps":[{"id":1.0,"question":"a"}]}'
+when 20 then concat('{"standalone_question":', o_custkey, ',"steps":[{"id":1,"question":"a"}]}')
+when 21 then '{"standalone_question":"q","steps":[{"id":1,"question":"a","depends_on":null}]}'
+when 22 then '{"standalone_question":"q","steps":[{"id":1,"question":"a","why":"b"}]}'
+when 23 then '{"standalone_question":"q","steps":[5]}'
+when 24 then '[]'
+when 25 then '{"standalone_question":"q","steps":[{"id":1,"question":"a"},{"id":2,"question":"b"},{"id":3,"question":"{{step:1}} {{step:2}}","depends_on":[1,2]}]}'
+when 26 then concat('{"standalone_question":"q","steps":[{"id":1,"question":"', repeat('x', 1020 + cast(o_custkey % 9 as int)), '"}]}')
+when 27 then '{"standalone_question":"q","steps":[{"id":1,"question":"a","depends_on":["1"]}]}'
+else concat('{"standalone_question":"about ', o_custkey, '","clarification_question":null,"steps":[{"id":1,"question":"what is ', o_orderkey, '","depends_on":[]}]}') end"""
+
+KINDS = "coalesce(json_type({0}, '{1}'), 'NULL') in ({2}, 'NULL')"
+INTEGER, TEXT_TYPE, LIST = "'UBIGINT', 'BIGINT'", "'VARCHAR'", "'ARRAY'"
+STEP_OK = " and ".join(
+    ["json_type(x) = 'OBJECT'", "len(list_filter(json_keys(x), lambda k: k not in ('id', 'question', 'depends_on'))) = 0", KINDS.format("x", "$.id", INTEGER), KINDS.format("x", "$.question", TEXT_TYPE), KINDS.format("x", "$.depends_on", LIST),
+     f"len(list_filter(json_extract(x, '$.depends_on[*]'), lambda d: json_type(d) not in ({INTEGER}))) = 0"]
+)
+
+
+@query(f"""with raw as (select o_orderkey as plan_id, {ANSWERS} as t from orders),
+valid as (select *, strlen(t) <= 16384 and json_valid(t) as ok from raw),
+plain as (select plan_id, case when ok then t else '[]' end as t from valid),
+top as (select *, json_type(t) = 'OBJECT' and len(list_filter(json_keys(t), lambda k: k not in ('standalone_question', 'clarification_question', 'steps'))) = 0
+  and {KINDS.format('t', '$.standalone_question', TEXT_TYPE)} and {KINDS.format('t', '$.clarification_question', TEXT_TYPE)} and {KINDS.format('t', '$.steps', LIST)} as ok, json_extract(t, '$.steps[*]') as xs from plain),
+typed as (select plan_id, coalesce(ok and len(list_filter(xs, lambda x: not ({STEP_OK}))) = 0, false) as ok, t, xs from top),
+p as (select plan_id, ok, coalesce(t->>'$.standalone_question', '') as q, coalesce(t->>'$.clarification_question', '') as c,
+  case when ok then list_transform(xs, lambda x: {{'id': coalesce((x->>'$.id')::bigint, 0), 'q': coalesce(x->>'$.question', ''), 'd': list_transform(json_extract(x, '$.depends_on[*]'), lambda d: d::bigint)}}) end as st from typed)
+select plan_id, case when not ok then 'json' when trim(q) = '' or length(q) > 4096 then 'question'
+ when c <> '' then case when trim(c) = '' or length(c) > 1024 or len(st) > 0 then 'clarification' end
+ when len(st) < 1 or len(st) > 3 then 'steps'
+ when len(list_filter(range(1, len(st) + 1), lambda i: not (st[i].id = i and trim(st[i].q) <> '' and length(st[i].q) <= 1024))) > 0 then 'step'
+ when len(list_filter(st, lambda s: len(list_distinct(s.d)) <> len(s.d) or len(list_filter(s.d, lambda d: not (d >= 1 and d < s.id and coalesce(len(st[d].d), 0) = 0))) > 0)) > 0 then 'dependency'
+ when len(list_filter(st, lambda s: len(list_filter(s.d, lambda d: not contains(s.q, '{{{{step:' || d || '}}}}'))) > 0)) > 0 then 'placeholder'
+ when len(list_filter(st, lambda s: contains(list_reduce(list_concat([s.q], list_transform(s.d, lambda d: '{{{{step:' || d || '}}}}')), lambda a, b: replace(a, b, '')), '{{{{step:'))) > 0 then 'undeclared' end as fault from p""")
 def plan_validation(spark, sf_dir) -> DataFrame:
-    plans = spark.createDataFrame([(a, b) for a, b, _ in PLANS], "plan_id string, json string")
+    """A model's answer to each order's question: the first rule it breaks."""
+    plans = roles.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("plan_id"), F.expr(ANSWERS).alias("json"))
     return P.parsed_plans(plans).select("plan_id", P.plan_fault(F.col("plan")).alias("fault"))
 
 
-EVIDENCE = "array<struct<source_id:string,quote:string,value:string>>"
-BINDINGS = [
-    ("good", False, None, [("s1:1", "of Anna", "Anna")], None),
-    ("two", False, None, [("s1:1", "of Anna", "Anna"), ("s1:2", "Anna is", "Anna")], None),
-    ("no_evidence", True, None, [], None),
-    ("asks", False, "which Anna?", [], None),
-    ("both", True, "which?", [], "state"),
-    ("empty", False, None, [], "evidence"),
-    ("other_source", False, None, [("s9:1", "of Anna", "Anna")], "grounding"),
-    ("not_quoted", False, None, [("s1:1", "of Bert", "Bert")], "grounding"),
-    ("value_out", False, None, [("s1:1", "daughter of", "Anna")], "grounding"),
-    ("conflict", False, None, [("s1:1", "of Anna", "Anna"), ("s1:2", "Anna is", "is")], "conflict"),
-]
+#: Plans of two steps, one for each order: what was found for the first, and how a model binds the second to it.
+FOUND = """select o_orderkey as plan_id, concat('s1:', k) as source_id, 1 as step_id, case when k = 1 then concat('the daughter of Anna', o_custkey) when o_orderkey % 5 = 0 then '' else concat('Anna', o_custkey, ' is old') end as text from orders cross join (select explode(array(1, 2)) as k)"""
+BOUND = """select o_orderkey as plan_id, case when o_orderkey % 13 = 12 then 3 else 2 end as step_id, o_orderkey % 13 in (2, 4) as no_evidence, case when o_orderkey % 13 in (3, 4) then concat('which Anna of ', o_custkey, '?') end as clarification,
+ case when o_orderkey % 13 = 6 then 's9:1' else 's1:1' end as s1, case when o_orderkey % 13 = 7 then 'of Bert' when o_orderkey % 13 = 8 then 'daughter of' else concat('of Anna', o_custkey) end as q1, case when o_orderkey % 13 = 7 then 'Bert' else concat('Anna', o_custkey) end as v1,
+ 's1:2' as s2, concat('Anna', o_custkey, ' is') as q2, case when o_orderkey % 13 = 9 then 'is' else concat('Anna', o_custkey) end as v2,
+ case when o_orderkey % 13 in (2, 3, 4, 5) then 0 when o_orderkey % 13 in (1, 9) then 2 else 1 end as n from orders where o_orderkey % 13 <> 10"""
 
 
-def binding_case(spark):
-    ids = [b[0] for b in BINDINGS] + ["absent"]
-    pending = spark.createDataFrame([(i, 2, "age of {{step:1}}", [1]) for i in ids], "plan_id string, step_id int, question string, depends_on array<int>")
-    sources = spark.createDataFrame([(i, s, 1, t) for i in ids for s, t in (("s1:1", "the daughter of Anna"), ("s1:2", "Anna is old"))], "plan_id string, source_id string, step_id int, text string")
-    bindings = spark.createDataFrame([(i, 2, n, c, e) for i, n, c, e, _ in BINDINGS], f"plan_id string, step_id int, no_evidence boolean, clarification string, evidence {EVIDENCE}")
-    return pending, sources, bindings
+def binding_case(spark, sf_dir):
+    roles.table(spark, sf_dir, "orders").createOrReplaceTempView("orders_of_bindings")
+    read = lambda text: spark.sql(text.replace("from orders", "from orders_of_bindings"))
+    pending = read("select o_orderkey as plan_id, 2 as step_id, concat('age of {{step:1}} in ', o_custkey) as question, array(1) as depends_on from orders")
+    each = F.array(*[F.struct(F.col(f"s{k}").alias("source_id"), F.col(f"q{k}").alias("quote"), F.col(f"v{k}").alias("value")) for k in (1, 2)])
+    bindings = read(BOUND).select("plan_id", "step_id", "no_evidence", "clarification", F.slice(each, F.lit(1), F.col("n")).alias("evidence"))
+    return pending, read(FOUND), bindings
 
 
-@query("select * from (values " + ", ".join(f"('{b[0]}', '{b[4]}')" for b in BINDINGS if b[4]) + ", ('empty', 'parent'), ('other_source', 'parent'), ('not_quoted', 'parent'), ('value_out', 'parent'), ('absent', 'missing')) t(plan_id, rule)")
+_BIND = f"""src as ({FOUND.replace("(select explode(array(1, 2)) as k)", "(select unnest([1, 2]) as k)")}),
+b as (select *, coalesce(clarification, '') <> '' as asks, step_id = 2 as known from ({BOUND})),
+e as (select plan_id, s1 as source_id, q1 as quote, v1 as value from b where known and not asks and not no_evidence and n >= 1 union all select plan_id, s2, q2, v2 from b where known and not asks and not no_evidence and n >= 2),
+g as (select e.*, src.step_id as parent, coalesce(src.step_id = 1 and trim(quote) <> '' and length(quote) <= 1000 and trim(value) <> '' and length(value) <= 256 and contains(text, quote) and contains(quote, value) and not contains(value, '{{{{step:'), false) as grounded from e left join src using (plan_id, source_id)),
+faults as (
+ select o_orderkey as plan_id, 'missing' as rule from orders where o_orderkey not in (select plan_id from b)
+ union select plan_id, 'unknown' from b where not known
+ union select plan_id, 'state' from b where known and ((asks or no_evidence) and n > 0 or asks and no_evidence)
+ union select plan_id, 'evidence' from b where known and not asks and not no_evidence and n < 1
+ union select plan_id, 'grounding' from g where not grounded
+ union select plan_id, 'conflict' from g where grounded group by plan_id, parent having count(distinct value) > 1
+ union select plan_id, 'parent' from b where known and not asks and not no_evidence and plan_id not in (select plan_id from g where grounded and parent = 1))"""
+
+
+@query(f"with {_BIND} select plan_id, rule from faults")
 def binding_validation(spark, sf_dir) -> DataFrame:
-    return P.binding_faults(*binding_case(spark))
+    return P.binding_faults(*binding_case(spark, sf_dir))
 
 
-@query("select * from (values ('good', 2, 'age of Anna'), ('two', 2, 'age of Anna')) t(plan_id, step_id, question)")
+@query(f"""with {_BIND} select distinct plan_id, 2 as step_id, 'age of ' || value || ' in ' || o_custkey as question from g join orders on o_orderkey = plan_id where plan_id not in (select plan_id from faults)""")
 def bound_questions(spark, sf_dir) -> DataFrame:
-    return P.bound_questions(*binding_case(spark))
+    return P.bound_questions(*binding_case(spark, sf_dir))
 
 
 @query("""select plan_id, place, step_id from (select *, sum(case when n = 1 then cost else 0 end) over (partition by plan_id) as fixed, sum(case when n > 1 then cost else 0 end) over (partition by plan_id order by place rows between unbounded preceding and current row) as others

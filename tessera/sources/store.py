@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
@@ -33,6 +34,7 @@ class Tables:
     """Tables below one folder, each in numbered generations; readers see the last one that was written whole.
 
     A replacement writes the next generation beside the current one, so a writer that dies leaves the table as it was.
+    The generation before stays until the one after next, for those who still read it.
     One writer at a time is taken for granted.
     """
 
@@ -49,7 +51,7 @@ class Tables:
     def write(self, name: str, rows: DataFrame) -> None:
         old = self.generations(name)
         rows.write.mode("overwrite").parquet(f"{self.root}/{name}/g{old[-1] + 1 if old else 0}")
-        for g in old:
+        for g in old[:-1]:
             remove(self.spark, f"{self.root}/{name}/g{g}")
 
     def change(self, name: str, f: Callable[[DataFrame], DataFrame]) -> None:
@@ -87,63 +89,113 @@ def without_prefixes(objects: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 class Versions:
-    """Documents in versions: artifacts and chunks are staged under a version nobody reads, then a pointer is moved.
+    """Documents in versions: artifacts and chunks are staged where nobody reads them, then a pointer is moved.
 
-    The log of events (document_id, user_id, seq, kind, version) is the truth; ``lifecycle.folded`` says what is active.
+    Each call of ``process`` is a batch with folders of its own, so batches of one version, and reruns of one, never touch
+    each other's rows. The log of events (document_id, seq, kind, version, batch) is the truth: a document's pointer names
+    a version and the batch that staged it. Folders are written in generations; readers take the last whole one.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _log(self, documents: DataFrame, kind: str, version: str) -> None:
-        seq = len(names_in(self.spark, f"{self.root}/log"))
-        rows = documents.select(F.col("document_id").cast("long").alias("document_id"), F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), F.lit(version).alias("version"))
-        rows.write.parquet(f"{self.root}/log/{seq:08}-{kind}-{uuid.uuid4().hex[:8]}")
+    def _log(self, documents: DataFrame, kind: str, version: str, batch: str) -> None:
+        # writers may share a moment: what they log differs in the batch, and only a document's pending batch counts
+        last = max((int(n.split("-")[0]) for n in names_in(self.spark, f"{self.root}/log")), default=0)
+        seq = max(time.time_ns(), last + 1)
+        rows = documents.select(F.col("document_id").cast("long").alias("document_id"), F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), F.lit(version).alias("version"), F.lit(batch).alias("batch"))
+        rows.write.parquet(f"{self.root}/log/{seq:020}-{kind}-{batch}")
 
-    def states(self) -> DataFrame:
-        return lifecycle.folded(self.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.root}/log"))
+    def _events(self) -> DataFrame:
+        """Of the log, the last snapshot and what came after it."""
+        names = [n for n in names_in(self.spark, f"{self.root}/log") if "_SUCCESS" in names_in(self.spark, f"{self.root}/log/{n}")]
+        since = max((k for k, n in enumerate(names) if "-snapshot-" in n), default=0)
+        return self.spark.read.schema(EVENT).parquet(*[f"{self.root}/log/{n}" for n in names[since:]])
 
-    def process(self, files: DataFrame, parse: Callable[[DataFrame], DataFrame], index: Callable[[DataFrame], DataFrame], version: str) -> None:
-        """Begin, stage, index and publish a version of the given files (document_id, file_name, content).
+    def states(self) -> DataFrame:
+        """document_id, active_version, active_batch, pending_version, pending_batch, status."""
+        folded = lifecycle.folded(self._events().withColumn("version", F.concat_ws("@", "version", "batch")))
+        out = [F.col("document_id")]
+        for c in ("active", "pending"):
+            whole = F.col(f"{c}_version")
+            named = F.when(whole == "", "").otherwise(F.substring_index(whole, "@", -1))
+            out += [F.when(whole == "", "").otherwise(F.expr(f"left({c}_version, length({c}_version) - length(substring_index({c}_version, '@', -1)) - 1)")).alias(f"{c}_version"), named.alias(f"{c}_batch")]
+        return folded.select(*out, "status")
+
+    def snapshot(self) -> None:
+        """Write the states as the few events that lead to them, and let the log before go: reading no longer folds all history."""
+        before = names_in(self.spark, f"{self.root}/log")
+        if not before:
+            return
+        s = self.states()
+
+        def event(at: int, kind: str, which: str):
+            return F.struct(F.lit(at).cast("long").alias("seq"), F.lit(kind).alias("kind"), F.col(f"{which}_version").alias("version"), F.col(f"{which}_batch").alias("batch"))
+
+        none = F.array().cast("array<struct<seq:bigint,kind:string,version:string,batch:string>>")
+        active = F.when(F.col("active_version") != "", F.array(*[event(k, kind, "active") for k, kind in enumerate(("begin", "stage", "publish"))])).otherwise(none)
+        staged = F.when(F.col("status") == "embedding", F.array(event(4, "stage", "pending"))).when(F.col("status") == "failed", F.array(event(4, "fail", "pending"))).otherwise(none)
+        pending = F.when(F.col("pending_version") != "", F.concat(F.array(event(3, "begin", "pending")), staged)).otherwise(none)
+        rows = s.select("document_id", F.explode(F.concat(active, pending)).alias("e")).select("document_id", "e.*")
+        last = int(before[-1].split("-")[0])
+        rows.write.parquet(f"{self.root}/log/{last:020}-snapshot-{uuid.uuid4().hex}")
+        # readers may still hold the log before: it goes with the next snapshot
+        for name in before[: max((k for k, n in enumerate(before) if "-snapshot-" in n), default=0)]:
+            remove(self.spark, f"{self.root}/log/{name}")
+
+    def process(self, files: DataFrame, parse: Callable[[DataFrame], DataFrame], index: Callable[[DataFrame], DataFrame], version: str) -> str:
+        """Begin, stage, index and publish a version of the given files (document_id, file_name, content); gives the batch's name.
 
         Documents whose parse fails, or whose chunks the index doesn't acknowledge (``index`` gives the document_ids it
         has whole), are marked failed: their active version stays, and what was staged of them is discarded.
         """
-        self._log(files, "begin", version)
-        parse(files).write.mode("overwrite").parquet(f"{self.root}/artifacts/version={version}")
-        parsed = self.spark.read.parquet(f"{self.root}/artifacts/version={version}")
+        batch = uuid.uuid4().hex
+        self._log(files, "begin", version, batch)
+        parse(files).write.parquet(f"{self.root}/artifacts/{batch}")
+        parsed = self.spark.read.parquet(f"{self.root}/artifacts/{batch}")
         good, bad = parsed.where("error is null"), parsed.where("error is not null")
-        self._log(bad, "fail", version)
-        chunk_rows(good, version).drop("version").write.mode("overwrite").parquet(f"{self.root}/chunks/version={version}")
-        self._log(good, "stage", version)
-        staged = self.chunks().where(F.col("version") == version)
-        whole = index(staged).select("document_id").distinct()
-        self._log(good.join(whole, "document_id", "left_semi"), "publish", version)
-        self._log(good.join(whole, "document_id", "left_anti"), "fail", version)
+        self._log(bad, "fail", version, batch)
+        chunk_rows(good, version).withColumns({"version": F.lit(version), "batch": F.lit(batch)}).write.parquet(f"{self.root}/chunks/{batch}/g0")
+        self._log(good, "stage", version, batch)
+        whole = index(self.spark.read.parquet(f"{self.root}/chunks/{batch}/g0").drop("batch")).select("document_id").distinct()
+        self._log(good.join(whole, "document_id", "left_semi"), "publish", version, batch)
+        self._log(good.join(whole, "document_id", "left_anti"), "fail", version, batch)
+        return batch
+
+    def _generations(self, batch: str) -> list[int]:
+        at = f"{self.root}/chunks/{batch}"
+        return sorted(int(g.removeprefix("g")) for g in names_in(self.spark, at) if "_SUCCESS" in names_in(self.spark, f"{at}/{g}"))
 
     def chunks(self) -> DataFrame:
-        rows = self.spark.read.option("basePath", f"{self.root}/chunks").parquet(f"{self.root}/chunks")
-        return rows.withColumn("version", F.col("version").cast("string"))
+        """All stored chunks, with version and batch as they were given."""
+        held = {b: self._generations(b) for b in names_in(self.spark, f"{self.root}/chunks")}
+        return self.spark.read.parquet(*[f"{self.root}/chunks/{b}/g{g[-1]}" for b, g in held.items() if g])
 
     def readable(self) -> DataFrame:
-        """Chunks of active versions."""
-        return lifecycle.readable(self.chunks(), self.states())
+        """Chunks that documents' pointers name."""
+        active = self.states().where("active_version <> ''").select("document_id", F.col("active_version").alias("version"), F.col("active_batch").alias("batch"))
+        return self.chunks().join(active, ["document_id", "version", "batch"], "left_semi")
 
     def discard(self) -> list[str]:
-        """Rewrite versions that hold chunks neither active nor pending; those left with none go. Gives their names."""
-        dead = lifecycle.stale(self.chunks(), self.states().withColumn("pending_version", F.when(F.col("status") != "failed", F.col("pending_version")).otherwise("")))
-        # as many as there are versions
-        versions = [r["version"] for r in dead.select("version").distinct().collect()]
-        for version in versions:
-            at = f"{self.root}/chunks/version={version}"
-            kept = self.spark.read.parquet(at).join(dead.where(F.col("version") == version).select("document_id"), "document_id", "left_anti")
-            kept.write.mode("overwrite").parquet(f"{self.root}/rewritten/{version}")
-            remove(self.spark, at)
-            left = self.spark.read.parquet(f"{self.root}/rewritten/{version}")
-            if not left.isEmpty():
-                left.write.parquet(at)
-            remove(self.spark, f"{self.root}/rewritten/{version}")
-        return sorted(versions)
+        """Let chunks go that no pointer and no run under way names; gives the names of the batches written anew.
 
+        The rows that stay are written beside those there are, as the next generation. What that one replaces is read
+        by nobody new, and is removed by the next call: a run that dies at any point leaves one whole generation.
+        """
+        for batch in names_in(self.spark, f"{self.root}/chunks"):
+            for g in self._generations(batch)[:-1]:
+                remove(self.spark, f"{self.root}/chunks/{batch}/g{g}")
+        s = self.states()
+        live = s.select("document_id", F.col("active_batch").alias("batch")).union(s.where("status <> 'failed'").select("document_id", "pending_batch")).where("batch <> ''")
+        # as many as there are batches
+        batches = [r["batch"] for r in self.chunks().select("document_id", "batch").distinct().join(live, ["document_id", "batch"], "left_anti").select("batch").distinct().collect()]
+        for batch in sorted(batches):
+            g = self._generations(batch)[-1]
+            kept = self.spark.read.parquet(f"{self.root}/chunks/{batch}/g{g}").join(live, ["document_id", "batch"], "left_semi")
+            kept.write.mode("overwrite").parquet(f"{self.root}/chunks/{batch}/g{g + 1}")
+        return sorted(batches)
+
+
+EVENT = "document_id long, seq long, kind string, version string, batch string"
 
 __all__ = ["CASCADE", "Tables", "Versions", "delete_documents", "names_in", "remove", "without_prefixes"]

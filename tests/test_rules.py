@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import access, conversation, fusion, lifecycle, planning, retrieval
+from tessera.operators import access, chunking, conversation, fusion, lifecycle, planning, retrieval
 from tessera.plans.search_queries import BY_PLAN
-from tessera.sources import files as S
+from tessera.sources import files as S, store
 from tessera.streaming import tasks
 
 
@@ -318,3 +318,57 @@ def test_stream_of_leases(spark, tmp_path):
         query.stop()
     assert seen.count((1, "claim", 0)) == 1 and (1, "ack", 0) in seen
     assert not any(r[0] == 3 for r in seen) and (2, "claim", 2) in seen
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "", "not JSON", "null", "[]", "5", "{}{}", '{"steps":[]} x', "```json\n{}\n```", '{"standalone_question":"q","steps":[],"extra":1}', "x" * 17_000, '{"standalone_question":"q","steps":[{"id":1,"question":"a"}]}' + " " * 16_384,
+        '{"standalone_question":5}', '{"standalone_question":"q","steps":{}}', '{"standalone_question":"q","steps":[{"id":"1","question":"a"}]}', '{"standalone_question":"q","steps":[{"id":1.0,"question":"a"}]}', '{"standalone_question":"q","steps":[{"id":true,"question":"a"}]}',
+        '{"standalone_question":"q","steps":[{"id":1,"question":["a"]}]}', '{"standalone_question":"q","steps":[{"id":1,"question":"a","depends_on":[1.0]}]}', '{"standalone_question":"q","steps":[{"id":NaN,"question":"a"}]}', '{"standalone_question":"q","steps":[{"id":99999999999,"question":"a"}]}', "[" * 9000,
+    ],
+)
+def test_what_is_no_plan_is_refused(spark, text):
+    got = planning.parsed_plans(spark.createDataFrame([(1, text), (2, '{"standalone_question":"q","steps":[{"id":1,"question":"a"}]} \n'), (3, None)], "plan_id long, json string")).orderBy("plan_id").collect()
+    assert got[0]["plan"] is None and got[1]["plan"]["steps"][0]["id"] == 1 and got[2]["plan"] is None
+
+
+def staged(spark, folder, rows):
+    return spark.createDataFrame([(i, f"d{i}.txt", t.encode()) for i, t in rows], "document_id long, file_name string, content binary")
+
+
+def test_batches_of_one_version_and_reruns_keep_what_others_published(spark, tmp_path):
+    held = store.Versions(spark, str(tmp_path))
+    run = lambda rows, version, index=lambda c: c: held.process(staged(spark, tmp_path, rows), chunking.parse_and_chunk, index, version)
+    said = lambda: {r["document_id"]: r["data"]["body_text"] for r in held.readable().where("is_parent").collect()}
+    run([(1, "one"), (2, "two")], "007")
+    run([(3, "three")], "007")
+    assert said() == {1: "one", 2: "two", 3: "three"} and {r["version"] for r in held.readable().collect()} == {"007"}
+    run([(2, "two again")], "007")
+    assert said() == {1: "one", 2: "two again", 3: "three"}
+    run([(1, "never whole")], "007", lambda c: c.where("false"))
+    assert said()[1] == "one"
+    before = {(r["document_id"], r["active_version"], r["status"]) for r in held.states().collect()}
+    assert before == {(1, "007", "failed"), (2, "007", "ready"), (3, "007", "ready")}
+    held.snapshot()
+    assert {(r["document_id"], r["active_version"], r["status"]) for r in held.states().collect()} == before
+    reader = held.readable()
+    assert len(held.discard()) == 2 and held.chunks().select("document_id").distinct().count() == 3
+    assert reader.count() > 0 and said() == {1: "one", 2: "two again", 3: "three"}
+    held.snapshot()
+    assert held.discard() == [] and said() == {1: "one", 2: "two again", 3: "three"}
+
+
+def test_a_run_that_dies_while_it_discards_loses_nothing(spark, tmp_path, monkeypatch):
+    held = store.Versions(spark, str(tmp_path))
+    batch = held.process(staged(spark, tmp_path, [(1, "one"), (2, "two")]), chunking.parse_and_chunk, lambda c: c.where("document_id = 1"), "v")
+    whole = store.names_in
+    # the second generation was begun, and never finished
+    held.chunks().where("false").write.parquet(str(tmp_path / "chunks" / batch / "g1"))
+    (tmp_path / "chunks" / batch / "g1" / "_SUCCESS").unlink()
+    assert [r["document_id"] for r in held.readable().select("document_id").distinct().collect()] == [1]
+    assert held.discard() == [batch] and [r["document_id"] for r in held.chunks().select("document_id").distinct().collect()] == [1]
+    monkeypatch.setattr(store, "remove", lambda *a: (_ for _ in ()).throw(OSError("gone")))
+    with pytest.raises(OSError):
+        held.discard()
+    assert [r["document_id"] for r in held.readable().select("document_id").distinct().collect()] == [1] and whole is store.names_in
