@@ -10,6 +10,7 @@ from .. import roles
 from ..functions.text import context_text, normalized
 from ..operators import access, fusion, retrieval as R
 from ..operators.retrieval import KEY
+from ..operators.segments import Segments, Viewer
 from ..session import shared_folder
 from .access_queries import TAGS, USER
 
@@ -36,8 +37,19 @@ def questions(spark, sf_dir) -> DataFrame:
     return e.join(F.broadcast(q), "v", "right").drop("v")
 
 
-#: Stored indexes of this process, by application and folder of tables.
-_stored: dict[tuple[str, str], R.Index] = {}
+#: Stored indexes of this process, by application and what the files of the tables are.
+_stored: dict[tuple, object] = {}
+
+
+def as_they_are(spark, sf_dir, *names: str) -> tuple:
+    """Names, sizes and times of the tables' files: rewritten tables aren't taken for what they were."""
+    out = [spark.sparkContext.applicationId]
+    for name in names:
+        for f in sorted(roles.table(spark, sf_dir, name).inputFiles()):
+            at = spark._jvm.org.apache.hadoop.fs.Path(f)
+            s = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
+            out.append((f, s.getLen(), s.getModificationTime()))
+    return tuple(out)
 
 
 def chunks(spark, sf_dir) -> DataFrame:
@@ -48,7 +60,7 @@ def chunks(spark, sf_dir) -> DataFrame:
 
 def stored(spark, sf_dir) -> R.Index:
     """The index of these tables: written once a session, in the shared folder, and read by all its searches."""
-    key = spark.sparkContext.applicationId, sf_dir
+    key = as_they_are(spark, sf_dir, "documents", "embeddings")
     if key not in _stored:
         _stored[key] = R.store_index(chunks(spark, sf_dir), f"{shared_folder(spark).rstrip('/')}/tessera-index/{uuid.uuid4().hex}")
     return _stored[key]
@@ -91,7 +103,7 @@ def tokens_per_doc(spark, sf_dir) -> DataFrame:
 def stored_index(spark, sf_dir) -> DataFrame:
     """Writes an index anew and reads its terms."""
     held = R.store_index(chunks(spark, sf_dir), f"{shared_folder(spark).rstrip('/')}/tessera-index/{uuid.uuid4().hex}")
-    _stored[spark.sparkContext.applicationId, sf_dir] = held
+    _stored[as_they_are(spark, sf_dir, "documents", "embeddings")] = held
     return held.postings.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("uses"))
 
 
@@ -152,6 +164,77 @@ def knn_filtered(spark, sf_dir) -> DataFrame:
     return R.nearest(seen, questions(spark, sf_dir), 10).select("query_id", F.col("rank").cast("int").alias("rank"), "document_id", "cos")
 
 
+def fresh_segments(spark) -> Segments:
+    return Segments(spark, f"{shared_folder(spark).rstrip('/')}/tessera-index/{uuid.uuid4().hex}")
+
+
+def segments(spark, sf_dir) -> Segments:
+    """These tables in two segments, with the chunks that may be read just now: written once a session, as ``stored``."""
+    key = "segments", *as_they_are(spark, sf_dir, "documents", "embeddings")
+    if key not in _stored:
+        held, c = fresh_segments(spark), chunks(spark, sf_dir)
+        for k in range(2):
+            held.append(c.where(F.col("document_id") % 2 == k))
+        held.open_to(roles.files(spark, sf_dir), roles.states(spark, sf_dir))
+        _stored[key] = held
+    return _stored[key]
+
+
+VIEWER = Viewer(USER, TAGS, MODEL)
+_BEST = "select query_id, rank::int as rank, document_id, score from (select *, row_number() over (partition by query_id order by score desc, document_id) as rank from (select query_id, document_id, round(bm_or, 6) as score from bm{where})) where rank <= 10"
+
+
+@query(f"with {_search()} {_BEST.format(where='')}")
+def bm25_pruned(spark, sf_dir) -> DataFrame:
+    """The best chunks by their words, from blocks of postings of which those that can't hold one aren't read."""
+    return segments(spark, sf_dir).bm25(questions(spark, sf_dir), 10)[0].drop("version", "chunk_key")
+
+
+@query(f"with {_search()} {_BEST.format(where=' where document_id in (select document_id from ok)')}")
+def bm25_in_access(spark, sf_dir) -> DataFrame:
+    """The best chunks among those the user may see, by bitmaps that are met before postings are read."""
+    return segments(spark, sf_dir).bm25(questions(spark, sf_dir), 10, VIEWER)[0].drop("version", "chunk_key")
+
+
+@query(_knn(""))
+def knn_indexed(spark, sf_dir) -> DataFrame:
+    """The nearest chunks by the index of vectors, all cells probed: exact."""
+    return segments(spark, sf_dir).nearest(questions(spark, sf_dir), 10)[0].select("query_id", "rank", "document_id", "cos")
+
+
+@query(_knn("and document_id in (select document_id from ok)"))
+def knn_indexed_in_access(spark, sf_dir) -> DataFrame:
+    return segments(spark, sf_dir).nearest(questions(spark, sf_dir), 10, viewer=VIEWER)[0].select("query_id", "rank", "document_id", "cos")
+
+
+def knn_probed(spark, sf_dir) -> DataFrame:
+    """The nearest chunks found in as many cells as 95 of 100 true neighbours need."""
+    held = segments(spark, sf_dir)
+    return held.nearest(questions(spark, sf_dir), 10, held.probes(10))[0].select("query_id", "rank", "document_id", "cos")
+
+
+QUERIES["knn_probed"] = knn_probed
+
+
+_CHANGED = _search().replace("hits as (", "hits0 as (", 1).replace(
+    "ok as (", "hits as (select document_id, version, chunk_key, user_id, file_md5, model_version, case when document_id % 10 = 3 then 'of the und ' || text_content else text_content end as text_content, lang, vector from hits0 where document_id % 10 <> 7),\nok as (", 1
+)
+
+
+@query(f"with {_CHANGED} {_BEST.format(where=' where document_id in (select document_id from ok)')}")
+def index_changes(spark, sf_dir) -> DataFrame:
+    """Three batches appended, a tenth of the documents replaced, a tenth deleted, small segments merged: a search finds what a new index would."""
+    held, c, d = fresh_segments(spark), chunks(spark, sf_dir), F.col("document_id")
+    held.append(c.where(d % 4 < 2))
+    held.append(c.where(d % 4 == 2))
+    held.append(c.where(d % 4 == 3))
+    held.replace(c.where(d % 10 == 3).withColumn("text_content", F.concat(F.lit("of the und "), "text_content")))
+    held.delete(c.where(d % 10 == 7))
+    held.merge(held.statistics()[0] // 4 + 1)
+    held.open_to(roles.files(spark, sf_dir), roles.states(spark, sf_dir))
+    return held.bm25(questions(spark, sf_dir), 10, VIEWER)[0].drop("version", "chunk_key")
+
+
 def _hybrid(k: int, body: str) -> str:
     return f"""with {_search()}, qv as (select query_id, embedding::double[] as v from qs join embeddings on vec_id = qs.v),
 vr as (select *, row_number() over (partition by query_id order by cos desc, document_id) as r from (select query_id, document_id, version, chunk_key, list_cosine_similarity(vector::double[], v) as raw, round(raw, 6) as cos from hits, qv where vector is not null and document_id in (select document_id from ok))),
