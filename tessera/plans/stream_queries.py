@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import roles
 from ..session import shared_folder
-from ..streaming import tasks as T
+from ..streaming import tasks as T, topic, turns
 
 QUERIES, SQL = {}, {}
 
@@ -78,3 +78,43 @@ def stream_deduplicated(spark, sf_dir) -> DataFrame:
     at = scratch(spark)
     T.once(events(spark, sf_dir).select("user_id", "event_type"), ["user_id", "event_type"]).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("user_id long, event_type string").parquet(f"{at}/out")
+
+
+def run_to_end(stream: DataFrame, at: str, schema: str) -> DataFrame:
+    stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(schema).parquet(f"{at}/out")
+
+
+@query("""select user_id::varchar as key, count(*)::int as messages, 1 as partitions, true as in_order, count(distinct event_id)::int as events from (select event_id, user_id from events union all select event_id, user_id from events where event_id % 10 = 1) group by user_id""")
+def topic_round_trip(spark, sf_dir) -> DataFrame:
+    """The events' stream into a topic, and from there, in bounded micro-batches, restarted in between, into a table: nothing lost, repeated or out of order."""
+    topic.register(spark)
+    at = scratch(spark)
+    e = events(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), F.to_json(F.struct("event_id")).alias("value"))
+    for _ in range(2):  # the second run finds nothing new
+        e.writeStream.format("topic").option("path", f"{at}/topic").option("partitions", 3).option("query", "events").option("checkpointLocation", f"{at}/written").trigger(availableNow=True).start().awaitTermination()
+    messages = spark.readStream.format("topic").option("path", f"{at}/topic").option("maxOffsetsPerTrigger", 20_000).load()
+    for _ in range(2):
+        out = run_to_end(messages, at, topic.SCHEMA)
+    seen = out.withColumn("event_id", F.get_json_object("value", "$.event_id").cast("long"))
+    # a key's messages of one file come in the file's order
+    return seen.groupBy("key").agg(F.count("*").cast("int").alias("messages"), F.countDistinct("topic_partition").cast("int").alias("partitions"), (F.countDistinct("offset") == F.count("*")).alias("in_order"), F.countDistinct("event_id").cast("int").alias("events"))
+
+
+@query("""with t as (select user_id % 200 as c, event_id % 40 as t, min(event_id) as first, count(*) as n, count(*) filter (event_id % 3 = f) as same from
+ (select *, first_value(event_id % 3) over (partition by user_id % 200, event_id % 40 order by event_id) as f from events) group by all)
+select c::varchar as conversation_id, 't' || t as turn_id, row_number() over (partition by c order by first) as turn_no, n::int as times, (n - same)::int as conflicts from t""")
+def stream_appended_turns(spark, sf_dir) -> DataFrame:
+    """Turns that come again, as they were or otherwise: numbered once, with state that ends."""
+    turns.use_rocksdb(spark)
+    at, e = scratch(spark), F.col("event_id")
+    rows = roles.table(spark, sf_dir, "events")
+    n = rows.agg(F.max("event_id")).first()[0] // 3 + 1
+    for k in range(3):  # in order of their ids, the stream started anew each time
+        rows.where(F.floor(e / n) == k).coalesce(1).write.mode("append").parquet(f"{at}/events")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{at}/events")
+        said = stream.select((F.col("user_id") % 200).cast("string").alias("conversation_id"), F.concat(F.lit("t"), (e % 40).cast("string")).alias("turn_id"), e.alias("seq"), (e % 3).cast("string").alias("digest"))
+        writer = turns.appended(said, 86_400_000).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint")
+        writer.outputMode("append").trigger(once=True).start().awaitTermination()
+    out = spark.read.schema(turns.APPENDED).parquet(f"{at}/out")
+    return out.groupBy("conversation_id", "turn_id", "turn_no").agg(F.count("*").cast("int").alias("times"), F.count_if(F.col("outcome") == "conflict").cast("int").alias("conflicts"))

@@ -46,26 +46,31 @@ def consume(messages: DataFrame, work: Callable[[DataFrame], DataFrame], done: s
         if known is not None:
             others = known.where(F.col("consumer") != name).select("document_id", "version")
             tasks = tasks.join(others, ["document_id", "version"], "left_anti")
-        tasks = tasks.persist()
+        tasks, held = tasks.persist(), []
         try:
-            good, bad = settled(tasks, work, delay, attempts)
+            good, bad = settled(tasks, work, delay, attempts, held)
             for part, path in ((good, done), (bad, failed)):
                 at = f"{path}/consumer={name}/batch={number}"
                 for k, frame in enumerate(part):
                     frame.write.mode("append" if k else "overwrite").parquet(at)
         finally:
-            tasks.unpersist()
+            for frame in (tasks, *held):
+                frame.unpersist()
 
     tasks = parsed_tasks(messages).where("not poison").select("task.*").dropDuplicates(["document_id", "version"])
     return tasks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def settled(tasks: DataFrame, work: Callable[[DataFrame], DataFrame], delay: float, attempts: int, depth: int = 0) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Results and failures of tasks; those that fail together are halved by hash, once tried as often as allowed."""
-    error = ""
-    for attempt in range(1, (attempts if depth == 0 else 1) + 1):
+def settled(tasks: DataFrame, work: Callable[[DataFrame], DataFrame], delay: float, attempts: int, held: list[DataFrame], depth: int = 0) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Results and failures of tasks; those that fail together are halved by hash, once tried as often as allowed.
+
+    A task that is alone is tried as often again. ``held`` gets what is kept until the results are written.
+    """
+    error, n = "", tasks.count() if depth else 0
+    for attempt in range(1, (attempts if depth == 0 or n == 1 else 1) + 1):
         try:
             out = work(tasks).persist()
+            held.append(out)
             out.count()
             if "error" not in out.columns:
                 return [out], []
@@ -73,11 +78,11 @@ def settled(tasks: DataFrame, work: Callable[[DataFrame], DataFrame], delay: flo
         except Exception as e:  # noqa: BLE001  any failure of the work counts as one of its tasks
             error = str(e)[:1000]
             time.sleep(delay * attempt)
-    n = tasks.count()
+    n = n or tasks.count()
     if n <= 1 or depth > 60:
         return [], [tasks.select("document_id", "version", F.lit(error).alias("error"))]
     half = F.pmod(F.xxhash64("document_id", "version", F.lit(depth)), F.lit(2))
-    low, high = (settled(tasks.where(half == k), work, delay, attempts, depth + 1) for k in (0, 1))
+    low, high = (settled(tasks.where(half == k), work, delay, attempts, held, depth + 1) for k in (0, 1))
     return low[0] + high[0], low[1] + high[1]
 
 
