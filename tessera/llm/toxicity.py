@@ -38,7 +38,7 @@ LOOK_ALIKES = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ё": "e", "һ": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "ӏ": "i", "м": "m", "н": "h", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "ԝ": "w", "х": "x",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ɑ": "a", "ɡ": "g", "ⅼ": "i", "ⅰ": "i", "ß": "s", "ø": "o", "đ": "d", "ł": "i", "æ": "a",
 }
-SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
+SUBSTITUTES = {"0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g"}
 SIGNS = re.compile(r"[@$](?=\w)(?<![@$].)")
 SIGN_LETTERS = {"@": "a", "$": "s"}
 #: Signs that readers don't see, dropped within words.
@@ -47,22 +47,29 @@ INVISIBLE = {0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF}
 
 class _Fold(dict):
     def __missing__(self, code: int):
-        out: str | None
-        if code in INVISIBLE or unicodedata.combining(chr(code)):
-            out = None
-        else:
-            c = unicodedata.normalize("NFKD", chr(code)).lower()[:1]
-            c = LOOK_ALIKES.get(chr(code).lower(), LOOK_ALIKES.get(c, SUBSTITUTES.get(c, c)))
-            out = "i" if c == "l" else c if c.isalpha() else " "
-        self[code] = out
-        return out
+        """All letters a character stands for: its marks go, ligatures come apart, syllables stay whole."""
+        own = unicodedata.normalize("NFKD", chr(code))
+        if code in INVISIBLE or all(unicodedata.combining(c) for c in own):
+            self[code] = None
+            return None
+        plain = unicodedata.normalize("NFC", "".join(c for c in own if not unicodedata.combining(c))).lower()
+        known = LOOK_ALIKES.get(chr(code).lower())
+        self[code] = _letters(plain) if known is None else known
+        return self[code]
+
+
+def _letters(plain: str) -> str:
+    alike = (LOOK_ALIKES.get(c, SUBSTITUTES.get(c, c)) for c in plain)
+    return "".join("i" if c == "l" else c if c.isalpha() else " " for c in alike)
 
 
 _FOLD = _Fold()
 
 
 def fold(text: str) -> str:
-    """Folded text between spaces."""
+    """Folded text between spaces; however a character is composed, it folds alike."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
     if "$" in text or "@" in text:
         text = SIGNS.sub(lambda m: SIGN_LETTERS[m[0]], text)
     return f" {text.translate(_FOLD)} "
@@ -113,13 +120,21 @@ def matched(automaton, folded: str) -> tuple[float, int]:
     return sum(w for _, w in best.values()), len(best)
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, per_class: int, label: str = "toxic", doc_id: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
-    """At most ``per_class`` labelled texts of each class outside the held-out fold, by hash of the id."""
+#: Bytes of a text up to which it is learned from; what reaches the driver is at most this times two times ``per_class``.
+LONGEST = 1 << 17
+
+
+def sample_labelled(docs: DataFrame, labels: DataFrame, per_class: int, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", longest: int = LONGEST) -> list[tuple[str, int]]:
+    """At most ``per_class`` labelled texts of each class outside the held-out fold, by hash of the id; one text an id.
+
+    Longer texts than ``longest`` bytes aren't learned from; they are scored as all others.
+    """
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("label is not null").where(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
     order = F.md5(F.col("doc_id").cast("string"))
     picked = known.where("label = 1").orderBy(order).limit(per_class).union(known.where("label = 0").orderBy(order).limit(per_class))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(picked), "doc_id").select("text", "label")
-    return sorted((r["text"] or "", r["label"]) for r in rows.toLocalIterator())  # so that sums don't depend on how rows are dealt
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= longest)
+    once = rows.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return sorted((r["text"], r["label"]) for r in once.select("text", "label").toLocalIterator())  # so that sums don't depend on how rows are dealt
 
 
 def label_share(labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id") -> float:

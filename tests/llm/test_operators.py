@@ -759,3 +759,25 @@ def test_packing_of_shared_and_null_ids(spark):
         for r in got:
             have[r["doc_id"]] = have.get(r["doc_id"], 0) + r["length"]
         assert have == want
+
+
+@pytest.mark.parametrize(
+    ("text", "folded"),
+    [
+        ("사과 시간 상자", "사과 시간 상자"), ("ﬁne ﬂoor", "fine fioor"), ("“quoted”—dash", " quoted  dash"), ("ÉÈ ünïcode", "ee unicode"), ("h3ll0 6ood 2oo", "heiio good zoo"), ("ｆｕｌｌ", "fuii"), ("а漢字", "a漢字"), ("Ⅷ", "viii"),
+    ],
+)
+def test_folding_keeps_every_letter_however_it_is_composed(text, folded):
+    import unicodedata
+
+    for form in ("NFC", "NFD"):
+        assert toxicity.fold(unicodedata.normalize(form, text)) == f" {folded} "
+
+
+def test_what_toxicity_learns_from_is_bounded(spark):
+    docs = spark.range(4000).select((F.col("id") % 4).alias("doc_id"), F.lit("bad words here").alias("text"))
+    long = spark.createDataFrame([(5, "bad " * 2_000_000), (6, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
+    got = toxicity.sample_labelled(docs.union(long), labels, 3000)
+    held = {i for i in range(8) if zlib.crc32(str(i).encode()) % 3 == 1}
+    assert got == sorted([("bad words here", i % 2) for i in range(4) if i not in held] + ([("", 0)] if 6 not in held else []))
