@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .. import roles
 from ..operators import chunking, validation
 from ..session import spread
+from ..sources.parse import Document
 
 QUERIES, SQL = {}, {}
 
@@ -139,3 +140,61 @@ def span_coverage(spark, sf_dir) -> DataFrame:
     start = F.struct(F.lit(0).alias("reach"), F.lit(False).alias("gap"))
     walk = F.aggregate(F.array_sort("spans"), start, lambda s, x: F.struct(F.greatest(s["reach"], x["end"]).alias("reach"), (s["gap"] | (x["start"] > s["reach"])).alias("gap")))
     return rows.select("doc", (validation.covered(F.col("spans"), F.lit(0), F.lit(25)) & ~walk["gap"]).alias("covered"))
+
+
+def pages_of_text(raw: bytes) -> Document:
+    """A stand-in for a parser that is plugged in: what follows the signature, a page for each form feed."""
+    out = Document()
+    for number, text in enumerate(raw[8:].decode().split("\f"), 1):
+        if text.strip():
+            out.add("paragraph", text, number)
+    return out
+
+
+KINDS_SQL = """k as (select doc_id + 1 as document_id, doc_id % 6 as kind, coalesce(text, '') as text from documents)"""
+
+
+@query(f"""with {KINDS_SQL} select document_id, case when kind = 1 then 'ValueError: a PDF file without its signature' when kind = 3 then 'ValueError: no parser for files of type xyz' when kind = 4 then 'ValueError: an archive that can''t be read: broken archive'
+ when kind = 5 then 'ValueError: a document has too many pages' when trim(text) = '' then 'ValueError: a document has no chunks, or too many' end as error,
+ case when kind in (0, 2) and trim(text) <> '' then 2 else 0 end::int as blocks, case when kind in (0, 2) and trim(text) <> '' then 2 end::int as last_page from k""")
+def plugged_parsers(spark, sf_dir) -> DataFrame:
+    """Files of kinds that have a parser plugged in, and files that no parser may see."""
+    d, text = roles.table(spark, sf_dir, "documents"), F.coalesce("text", F.lit(""))
+    kind = F.col("doc_id") % 6
+    name = F.concat(F.lit("f."), F.when(kind.isin(0, 1, 5), "pdf").when(kind == 2, "docx").when(kind == 3, "xyz").otherwise("docx"))
+    twice = F.concat(text, F.lit("\f"), text)
+    body = F.when(kind == 4, F.unhex(F.lit("504B0304"))).when(kind == 3, F.lit("x").cast("binary")).when(kind == 1, text.cast("binary")).when(kind == 2, F.concat(F.lit("DOCX 1.0"), twice).cast("binary")).when(kind == 5, F.concat(F.lit("%PDF-1.7"), F.repeat(F.lit("page\f"), 201)).cast("binary")).otherwise(F.concat(F.lit("%PDF-1.7"), twice).cast("binary"))
+    # an empty file is refused before its kind is looked at
+    body = F.when((kind == 1) & (text == ""), F.lit(" ").cast("binary")).otherwise(body)
+    files = d.select((F.col("doc_id") + 1).alias("document_id"), name.alias("file_name"), body.alias("content"))
+    parsed = chunking.parse_and_chunk(files, plugged={"pdf": pages_of_text, "office": pages_of_text}, max_chunks=10**6)
+    last = F.array_max(F.transform(F.flatten(F.col("blocks.source_spans")), lambda s: s["page_no"]))
+    return parsed.select("document_id", "error", F.size("blocks").alias("blocks"), last.alias("last_page"))
+
+
+@query("""with li as (select l_orderkey as o, l_linenumber as n, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity) as r, l_partkey::varchar as part, l_quantity::int::varchar || ' \\| ' || l_linenumber as qty from lineitem),
+rows_ as (select distinct o, 0 as row, 'line' as a, 'part' as b, 'amount | line' as c from li union all select o, r, n::varchar, part, replace(qty, '\\|', '|') from li),
+cells as (select o, row, unnest([0, 1, 2])::int as col, [a, b, c] as v from rows_)
+select o as document_id, 't0' as table_id, row::int as row, col as "column", v[col + 1] as text, row = 0 as header, (case col when 0 then 0 when 1 then length(v[1]) + 3 else length(v[1]) + length(v[2]) + 6 end)::int as start, ['Order ' || o] as heading from cells""")
+def markdown_tables(spark, sf_dir) -> DataFrame:
+    """An order's lines as a Markdown file with a table; its cells, with their places in the rows' blocks."""
+    li = roles.table(spark, sf_dir, "lineitem")
+    line = F.concat(F.lit("| "), F.col("l_linenumber").cast("string"), F.lit(" | "), F.col("l_partkey").cast("string"), F.lit(" | "), F.col("l_quantity").cast("int").cast("string"), F.lit(" \\| "), F.col("l_linenumber").cast("string"), F.lit(" |"))
+    rows = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", line.alias("line")))).alias("rows"))
+    text = F.concat(F.lit("# Order "), F.col("l_orderkey").cast("string"), F.lit("\n\nLines:\n\n| line | part | amount \\| line |\n| --- | :---: | --- |\n"), F.array_join(F.col("rows.line"), "\n"))
+    parsed = chunking.parse_and_chunk(rows.select(F.col("l_orderkey").alias("document_id"), F.lit("order.md").alias("file_name"), text.cast("binary").alias("content")))
+    cells = parsed.select("document_id", F.explode("tables").alias("t")).select("document_id", "t.table_id", "t.heading_path", F.explode("t.cells").alias("c"))
+    return cells.select("document_id", "table_id", "c.row", "c.column", F.col("c.raw_text").alias("text"), F.col("c.column_header").alias("header"), F.get("c.source_spans", F.lit(0))["start"].alias("start"), F.col("heading_path").alias("heading"))
+
+
+@query("""with li as (select l_orderkey as o, l_linenumber as n, l_partkey::varchar as part, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as r from lineitem)
+select o as document_id, 'row_group' as kind, [0, max(r) + 1]::int[] as row_range, 'table=t0; rows=0:' || max(r) + 1 || '; columns=0:2' || chr(10) || 'order.md / Order ' || o || chr(10) || chr(10) || 'line | part' || chr(10) ||
+ string_agg('row ' || r || ': ' || n, chr(10) order by r) || chr(10) || chr(10) as context_prefix, 'line | part' || chr(10) || chr(10) || string_agg(n || ' | ' || part, chr(10) || chr(10) order by r) as body_text from li group by o""")
+def table_chunks(spark, sf_dir) -> DataFrame:
+    """Tables as parent chunks: rows and columns they cover, labels of columns and rows before their text."""
+    li = roles.table(spark, sf_dir, "lineitem")
+    line = F.concat(F.lit("| "), F.col("l_linenumber").cast("string"), F.lit(" | "), F.col("l_partkey").cast("string"), F.lit(" |"))
+    rows = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("line")))).alias("rows"))
+    text = F.concat(F.lit("# Order "), F.col("l_orderkey").cast("string"), F.lit("\n\n| line | part |\n| --- | --- |\n"), F.array_join(F.col("rows.line"), "\n"))
+    chunks = chunking.chunk_rows(chunking.parse_and_chunk(rows.select(F.col("l_orderkey").alias("document_id"), F.lit("order.md").alias("file_name"), text.cast("binary").alias("content"))))
+    return chunks.where("is_parent").select("document_id", "data.kind", "data.row_range", "data.context_prefix", "data.body_text")
