@@ -221,10 +221,13 @@ class Segments:
         same.mapInArrow(coded, VECTOR).repartition("cell", F.pmod(F.col("block"), F.lit(4))).sortWithinPartitions("cell", "block").write.partitionBy("cell").parquet(f"{at}/vectors")
 
     def delete(self, documents: DataFrame) -> None:
-        """Chunks of the given documents (document_id) go: a set of tombstones, no segment is written."""
+        """Chunks of the given documents (document_id) go."""
+        self.delete_chunks(self.live().join(documents.select("document_id").distinct(), "document_id", "left_semi"))
+
+    def delete_chunks(self, gone: DataFrame) -> None:
+        """Live chunks (rows of ``live``) go: a set of tombstones, no segment is written."""
         name = uuid.uuid4().hex
-        gone = self.live().join(documents.select("document_id").distinct(), "document_id", "left_semi").select("segment", "doc", "block", "n_tokens")
-        gone.write.parquet(f"{self.root}/tombstones/{name}/chunks")
+        gone.select("segment", "doc", "block", "n_tokens").write.parquet(f"{self.root}/tombstones/{name}/chunks")
         n = self.spark.read.parquet(f"{self.root}/tombstones/{name}/chunks").agg(F.count("*"), F.sum("n_tokens")).first()
         if n[0]:
             self._commit([*self.manifest(), ("tombstones", name, int(n[0]), int(n[1] or 0))])
@@ -260,6 +263,12 @@ class Segments:
 
     # what is there
 
+    def opened(self) -> DataFrame:
+        """Live chunks that may be read just now, whoever asks."""
+        names = self._names("open")
+        bits = self.spark.read.parquet(f"{self.root}/open/{names[0]}/chunks")
+        return self.live().join(bits, ["segment", "block"]).where(F.expr(f"shiftright(bits, cast(doc % {BLOCK} as int)) & 1 = 1")).drop("bits")
+
     def _dead(self) -> DataFrame:
         names = self._names("tombstones")
         empty = self.spark.createDataFrame([], "segment string, doc long, block long, n_tokens int")

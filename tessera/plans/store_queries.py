@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import roles
 from ..functions import text as X
-from ..operators import chunking
+from ..operators import chunking, segments
 from ..session import shared_folder
 from ..sources import store
-from .document_queries import documents
+from ..sources.files import hashing_embedder
+from ..sources.ingest import ingest, retire
+from .document_queries import CHUNKS_SQL, documents
+from .search_queries import _tokens_sql
 
 QUERIES, SQL = {}, {}
 
@@ -46,6 +49,28 @@ def staged_versions(spark, sf_dir) -> DataFrame:
     return states.where("coalesce(version, '') = active_version").select("document_id", "active_version", "status", F.coalesce("versions", F.lit(0)).cast("int").alias("versions"))
 
 
+@query(f"""with ck as (select document_id, body_text from ({CHUNKS_SQL}) where not is_parent),
+n as (select document_id, count(*) as chunks, sum(len({_tokens_sql('body_text')}))::bigint as words from ck group by document_id),
+f as ({roles.SQL['files'].removeprefix('files as (').removesuffix(')')})
+select f.id as document_id, case when n.chunks is null then '' when f.id % 6 = 0 and f.id % 12 <> 0 then 'v2' else 'v1' end as active_version, coalesce(n.chunks, 0) as chunks, coalesce(n.words, 0)::bigint as words,
+ coalesce(f.status = 1 and n.chunks > 0, false) as open from f left join n on n.document_id = f.id where n.chunks is not null""")
+def ingested(spark, sf_dir) -> DataFrame:
+    """All documents through parse, chunk, embed, index and publish; a sixth again as v2, half of which has lost its owner and fails; then what nothing names is retired. What the index holds and opens is read back."""
+    held, index = store.Versions(spark, scratch(spark)), segments.Segments(spark, scratch(spark))
+    d, files = documents(spark, sf_dir), roles.files(spark, sf_dir)
+    owners = files.select(F.col("id").alias("document_id"), "user_id", "file_md5", "org_tag", "is_public")
+    make = lambda: hashing_embedder(32)
+    ingest(held, index, d, owners, make, "v1", "m", 32)
+    ingest(held, index, d.where("document_id % 6 = 0"), owners.where("document_id % 12 <> 0"), make, "v2", "m", 32)
+    retire(held, index)
+    states = held.states()
+    index.open_to(files, states.join(owners.select("document_id", "user_id"), "document_id"))
+    rows = index.live().groupBy("document_id", "version").agg(F.count("*").alias("chunks"), F.sum("n_tokens").alias("words"))
+    opened = index.opened().select("document_id").distinct().withColumn("open", F.lit(True))
+    out = rows.join(states.select("document_id", "active_version"), "document_id").join(opened, "document_id", "left")
+    return out.select("document_id", "active_version", "chunks", "words", F.coalesce("open", F.lit(False)).alias("open"))
+
+
 DELETED_SQL = """gone as (select id from files where status = 3 or id % 4 = 1 and (id % 3 = 0 or id % 5 = 0))"""
 
 

@@ -69,7 +69,7 @@ def write_artifacts(parsed: DataFrame, path: str, version: str) -> DataFrame:
 
 def append_chunks(chunks: DataFrame, path: str) -> None:
     """Stage chunk rows of a version; their identity is checked before anything is written."""
-    bad = chunks.where("document_id is null or version = '' or length(chunk_id) > 128 or chunk_id <> data.chunk_id or parent_id <> data.parent_id").limit(1).count()
+    bad = chunks.where("not coalesce(document_id is not null and version <> '' and length(chunk_id) <= 128 and chunk_id = data.chunk_id and parent_id = data.parent_id, false)").limit(1).count()
     if bad:
         raise ValueError("a chunk's identity differs from its payload")
     chunks.write.mode("append").partitionBy("version").parquet(path)

@@ -372,3 +372,12 @@ def test_a_run_that_dies_while_it_discards_loses_nothing(spark, tmp_path, monkey
     with pytest.raises(OSError):
         held.discard()
     assert [r["document_id"] for r in held.readable().select("document_id").distinct().collect()] == [1] and whole is store.names_in
+
+
+def test_chunks_without_an_identity_are_not_staged(spark, tmp_path):
+    good = spark.createDataFrame([(1, "v1", "c0", "p0", ("c0", "p0"))], "document_id long, version string, chunk_id string, parent_id string, data struct<chunk_id:string,parent_id:string>")
+    S.append_chunks(good, str(tmp_path / "c"))
+    for bad in ("null as chunk_id", "'c1' as chunk_id", "repeat('c', 129) as chunk_id"):
+        rows = good.selectExpr("document_id", "version", bad, "parent_id", "data")
+        with pytest.raises(ValueError, match="identity"):
+            S.append_chunks(rows, str(tmp_path / "c"))
