@@ -225,8 +225,8 @@ def test_best_fit_of_documents(spark, sf_dir):
 @pytest.mark.parametrize(
     "lengths",
     [
-        [600] * 50, [341] * 300 + [1023, 1, 1, 1], [1] * 3000 + [700] * 9, [512] * 40 + [511] * 40 + [1] * 40,
-        [random.Random(1).randrange(1, 1024) for _ in range(1500)], [random.Random(2).randrange(1, 60) for _ in range(2000)], [300] * 500 + [random.Random(3).randrange(1, 1024) for _ in range(150)], [5],
+        [1] * 3000 + [700] * 9, [600] * 50 + [512] * 40 + [511] * 40 + [341] * 300 + [1023, 1, 1, 1], [random.Random(1).randrange(1, 1024) for _ in range(1500)] + [random.Random(2).randrange(1, 60) for _ in range(500)],
+        [300] * 500 + [random.Random(3).randrange(1, 1024) for _ in range(150)], [5],
     ],
 )
 def test_rounds_place_every_item_once(spark, lengths):
