@@ -12,8 +12,8 @@ smaller by what they took, gaps that hold nothing any more are closed, and the r
 items that are left. A gap that holds ``k`` of the largest item takes up to ``k`` items in one round, so that
 many small items don't take many rounds.
 
-Items longer than every gap begin sequences: the largest of them, as many as their tokens fill, and all that
-are longer than half a sequence (no two of these share one).
+Items longer than every gap begin sequences, the largest first: of items of which no more than ``k`` fit into a sequence,
+one in ``k`` (for ``k`` up to 3; so all that are longer than half a sequence), of smaller ones as many as their tokens fill.
 
 Edge cases: null or empty text is one end token; a null id is given back as null; rows with the same id,
 repeated or not, are packed each; very long texts are tokenized whole; an empty table gives an empty result;
@@ -144,13 +144,15 @@ def best_fit(items: DataFrame, size: int) -> list[DataFrame]:
         g = gaps.agg(F.count("*"), F.sum("gap"), F.max("gap")).first()
         free, most = int(g[1] or 0), int(g[2] or 0)
         over = F.col("length") > most
-        i = left.agg(F.count("*"), F.sum("length"), F.min("length"), F.count_if(over), F.sum(F.when(over, F.col("length"))), F.count_if(over & (2 * F.col("length") > size))).first()
-        n, tokens, least, long_, long_tokens, halves = (int(x or 0) for x in i)
+        few = [F.count_if(over & ((k + 1) * F.col("length") > size)) for k in (1, 2, 3)]
+        i = left.agg(F.count("*"), F.sum("length"), F.min("length"), F.max("length"), F.count_if(over), F.sum(F.when(over, F.col("length"))), *few).first()
+        n, tokens, least, top, long_, long_tokens, *few = (int(x or 0) for x in i)
         if not n:
             break
         begun = 0
         if long_:
-            begun = min(long_, max(1, halves, -(-long_tokens // size), -(-(tokens - free) // size)))
+            k = size // top
+            begun = min(long_, -(-few[k - 1] // k) if k <= 3 else max(1, -(-long_tokens // size), -(-(tokens - free) // size)))
             # numbers are in order of length, so the first ``begun`` are the largest
             first = materialize(left.where(F.col("number") < begun).select("uid", F.col("uid").alias("seq"), F.lit(0).cast("long").alias("offset"), "length"), "fit-begun")
             placed.append(first.select("uid", "seq", "offset"))
