@@ -274,8 +274,15 @@ def _switching(rng: np.random.Generator, sizes: list[int], sequences: int, lengt
     return lang, word
 
 
-def sample(docs: DataFrame, per_language: int, max_languages: int, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
-    """The bounded sample of labelled texts to learn from."""
+#: Characters of a text that are learned from; what reaches the driver is at most this times ``per_language`` times ``max_languages``.
+LONGEST = 1 << 14
+
+
+def sample(docs: DataFrame, per_language: int, max_languages: int, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", longest: int = LONGEST) -> list[tuple[str, str]]:
+    """The bounded sample of labelled texts to learn from: one text an id and language, of a longer one than ``longest`` a stretch.
+
+    Where a stretch begins follows from the id's hash. All texts are predicted whole, these too.
+    """
     known = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang")).where("lang is not null").where(~held_out())
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
@@ -285,12 +292,15 @@ def sample(docs: DataFrame, per_language: int, max_languages: int, doc_id: str =
     # a share of each language that holds several times the documents wanted, so that few rows are ranked
     unit = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("double") / 2.0**32
     share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, 8.0 * per_language / n))])
-    known = known.where(unit <= share[F.col("lang")])
+    known = known.where(unit <= share[F.col("lang")]).distinct()
     order = W.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
     picked = known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id", F.col("lang").alias("picked_lang"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    rows = rows.join(F.broadcast(picked.distinct()), "doc_id").where("lang = picked_lang and text is not null").select("doc_id", "lang", "text")
-    return [(r["lang"], r["text"]) for r in sorted(rows.toLocalIterator(), key=lambda r: (r["doc_id"], r["text"]))]
+    rows = rows.join(F.broadcast(picked), "doc_id").where("lang = picked_lang and text is not null")
+    begin = F.lit(1) + F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - longest, F.lit(0)) + 1).cast("int")
+    stretch = F.substring(F.col("text"), begin, F.lit(longest))
+    once = rows.groupBy("doc_id", "lang").agg(F.min_by(stretch, F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
+    return [(r["lang"], r["text"]) for r in sorted(once.toLocalIterator(), key=lambda r: (r["doc_id"], r["lang"]))]
 
 
 PREDICTED = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("n_words", T.LongType()), ("switches", T.LongType())]

@@ -102,6 +102,19 @@ def test_languages_beyond_the_bound_are_learned_too(spark):
     assert {x for x, _ in got} == {f"l{k}" for k in range(6)} and len(got) <= 12
 
 
+def test_language_sample_is_bounded_in_bytes(spark):
+    """An id given very often counts once, and of a very long text a stretch that follows from the id is learned from."""
+    often = spark.range(100_000).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("ein satz "), F.col("id").cast("string")).alias("text"), F.lit("de").alias("lang"))
+    long = spark.range(6).select((F.col("id") + 100).alias("doc_id"), F.repeat(F.lit("one more word "), 700_000).alias("text"), F.lit("en").alias("lang"))
+    few = spark.range(200, 240).select(F.col("id").alias("doc_id"), F.lit("kurz").alias("text"), F.lit("de").alias("lang"))
+    docs = often.union(long).union(few)
+    got = langid.sample(docs, 20, 4)
+    assert sorted(got) == sorted(langid.sample(docs.repartition(7), 20, 4))
+    assert {x for x, _ in got} == {"de", "en"} and sum(x == "de" for x, _ in got) <= 20
+    assert sum(t.startswith("ein satz") for _, t in got) <= 1
+    assert all(len(t) <= langid.LONGEST and (x != "en" or set(t.split()[1:-1]) == {"one", "more", "word"}) for x, t in got)
+
+
 def test_sequences_to_learn_from_grow_with_languages(monkeypatch):
     rng, made, whole = random.Random(6), [], langid._switching
     monkeypatch.setattr(langid, "_switching", lambda *args: made.append(whole(*args)) or made[-1])
