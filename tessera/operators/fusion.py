@@ -6,6 +6,9 @@ side: every window and every join goes by plan, and a plan's few steps bound wha
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..schemas import FUSED_RESULTS, RRF_OFFSET
@@ -77,11 +80,38 @@ def citation_numbers(results: DataFrame) -> DataFrame:
     return children.union(parents)
 
 
+#: Bits of a position that one window of ``contained`` covers: no window holds more rows than 2 to this.
+STRIDE = 11
+
+
 def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """Spans of ``inner`` (span_id, doc, block_id, page_no, start, end) that a span of ``outer`` of the same block and page holds."""
-    i, o = inner.alias("i"), outer.alias("o")
-    held = i.join(o, F.expr("i.doc = o.doc and i.block_id = o.block_id and i.page_no <=> o.page_no and o.start <= i.start and o.end >= i.end and i.block_id <> ''"), "left_semi")
-    return held
+    """Spans of ``inner`` (span_id, doc, block_id, page_no, start, end) that a span of ``outer`` of the same block and page holds.
+
+    A span is held where the farthest end of the outer spans that begin no later reaches its own end, so no pair of spans
+    is ever looked at. That farthest end is a running maximum over a block's distinct beginnings. It is taken inside
+    stretches of 2048 positions, over the stretches of a stretch of stretches, and over these: a block of any number of
+    spans is many small windows. Nulls in doc, block, start or end, and an empty block, hold nothing and aren't held;
+    pages without a number are one page. Rows are given as they came, repeated ones too.
+    """
+    block = ["_doc", "_block", "_paged", "_page"]
+    keys = [F.col("doc").alias("_doc"), F.col("block_id").alias("_block"), F.col("page_no").isNotNull().alias("_paged"), F.coalesce("page_no", F.lit(0)).alias("_page"), F.col("start").cast("int").alias("_start")]
+    known = "doc is not null and block_id <> '' and start is not null and `end` is not null"
+    # beginnings with the farthest end that starts there; inner ones only ask
+    asks = inner.where(known).select(*keys, F.lit(None).cast("int").alias("_end"))
+    points = outer.where(known).select(*keys, F.col("end").cast("int").alias("_end")).union(asks).groupBy(*block, "_start").agg(F.max("_end").alias("_end"))
+    points = points.withColumn("_s1", F.shiftright("_start", STRIDE))
+    upto = W.partitionBy(*block, "_s1").orderBy("_start").rowsBetween(W.unboundedPreceding, W.currentRow)
+    here = points.withColumn("_here", F.max("_end").over(upto))
+
+    def before(order: str, *within: str) -> Column:
+        return F.max("_end").over(W.partitionBy(*block, *within).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+
+    s1 = points.groupBy(*block, "_s1").agg(F.max("_end").alias("_end")).withColumn("_s2", F.shiftright("_s1", STRIDE))
+    s2 = s1.groupBy(*block, "_s2").agg(F.max("_end").alias("_end")).withColumn("_before2", before("_s2")).drop("_end")
+    s1 = s1.withColumn("_before1", before("_s1", "_s2")).join(s2, [*block, "_s2"]).select(*block, "_s1", F.greatest("_before1", "_before2").alias("_before"))
+    reach = here.join(s1, [*block, "_s1"]).select(*block, "_start", F.greatest("_here", "_before").alias("_reach")).where("_reach is not null")
+    same = [F.col("doc") == F.col("_doc"), F.col("block_id") == F.col("_block"), F.col("page_no").isNotNull() == F.col("_paged"), F.coalesce("page_no", F.lit(0)) == F.col("_page"), F.col("start").cast("int") == F.col("_start"), F.col("end") <= F.col("_reach")]
+    return inner.join(reach, reduce(and_, same), "left_semi")
 
 
 def covers(parent_text: Column, parent_spans: Column, text: Column, spans: Column) -> Column:

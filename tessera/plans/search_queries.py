@@ -421,6 +421,18 @@ def span_containment(spark, sf_dir) -> DataFrame:
     return fusion.contained(s.where("span_id % 2 = 0"), s.where("span_id % 2 = 1")).select("span_id")
 
 
+@query("""with sp as (select l_orderkey * 10 + l_linenumber as span_id, (l_partkey * 37 + l_suppkey * 11 + l_orderkey)::int as start, (l_partkey * 37 + l_suppkey * 11 + l_orderkey + l_quantity)::int as stop, l_linenumber % 2 = 0 as inside from lineitem),
+r as (select *, max(case when not inside then stop end) over (order by start range between unbounded preceding and current row) as reach from sp) select span_id from r where inside and reach >= stop""")
+def span_containment_one_block(spark, sf_dir) -> DataFrame:
+    """All lines as spans of one block of one document."""
+    begin = (F.col("l_partkey") * 37 + F.col("l_suppkey") * 11 + F.col("l_orderkey")).cast("int")
+    s = roles.table(spark, sf_dir, "lineitem").select(
+        F.lit(1).alias("doc"), F.lit("b").alias("block_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("span_id"), F.lit(None).cast("int").alias("page_no"),
+        begin.alias("start"), (begin + F.col("l_quantity")).cast("int").alias("end"), (F.col("l_linenumber") % 2 == 0).alias("inside"),
+    )
+    return fusion.contained(s.where("inside"), s.where("not inside")).select("span_id")
+
+
 @query("select doc_id, case when doc_id % 3 = 0 then coalesce(text, '') else 'file / h' || chr(10) || coalesce(text, '') end as context from documents")
 def context_texts(spark, sf_dir) -> DataFrame:
     prefix = F.when(F.col("doc_id") % 3 == 0, "").otherwise("file / h\n\n")

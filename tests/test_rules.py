@@ -1,5 +1,7 @@
 """Budgets, fusion, recall, access, evidence, tasks: known values."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +80,25 @@ def test_fusion_with_pins(spark):
     assert fusion.selected(hits(spark, rows), pins).count() == 10 and BY_PLAN.split(", ") == fusion.IDENTITY
 
 
+def test_containment_equals_all_pairs(spark):
+    """Made spans over several strides, nulls, empty blocks, ties, repeated rows and clashing columns."""
+    rng = random.Random(3)
+    schema = "span_id long, doc long, block_id string, page_no int, start int, end int, reach int"
+
+    def made(n):
+        out = []
+        for k in range(n):
+            start = rng.choice([rng.randrange(50), rng.randrange(1 << 13), rng.randrange(1 << 24), 2**31 - 600 + rng.randrange(300), -rng.randrange(5000)])
+            out.append((k, rng.choice([1, 1, 1, 2, None]), rng.choice(["b", "b", "b", "c", "", None]), rng.choice([None, 0, 3]), start, start + rng.randrange(200), 0))
+        return [*out, out[0], (n, 1, "b", None, None, 3, 0), (n + 1, 1, "b", None, 3, None, 0), (n + 2, 1, "b", None, 0, 2**31 - 1, 0)]
+
+    inner, outer = made(800), [r for r in made(500) if r[4] != 0]
+    for o in (outer, [*outer, (9, 1, "b", 0, 40, 1 << 23, 0)], []):
+        want = sorted(i[0] for i in inner if None not in (i[1], i[2], i[4], i[5]) and i[2] and any(x[1:4] == i[1:4] and None not in x[4:6] and x[4] <= i[4] and x[5] >= i[5] for x in o))
+        got = fusion.contained(spark.createDataFrame(inner, schema), spark.createDataFrame(o, schema))
+        assert sorted(r["span_id"] for r in got.collect()) == want and got.columns == schema.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
+
+
 def test_fusion_counts_a_step_once_and_keeps_gaps(spark):
     rows = [(1, 1, "1", "a", 1, "v", "x", 0), (1, 2, "1", "a", 1, "v", "x", 0), (1, 3, "1", "a", 1, "v", "y", 1)]
     got = {r["chunk_key"]: r["score"] for r in fusion.fused(hits(spark, rows)).collect()}
