@@ -10,8 +10,8 @@ from .. import roles
 from ..functions import text as X
 from ..operators import chunking, segments
 from ..session import shared_folder
-from ..sources import store
-from ..sources.files import hashing_embedder
+from ..sources import artifacts, store
+from ..sources.files import hashing_embedder, write_artifacts
 from ..sources.ingest import ingest, retire
 from .document_queries import CHUNKS_SQL, documents
 from .search_queries import _tokens_sql
@@ -71,6 +71,26 @@ def ingested(spark, sf_dir) -> DataFrame:
     return out.select("document_id", "active_version", "chunks", "words", F.coalesce("open", F.lit(False)).alias("open"))
 
 
+@query("""with d as (select doc_id + 1 as document_id, text from documents where trim(coalesce(text, '')) <> ''),
+f as (select *, case when document_id % 13 = 0 then 'missing' when document_id % 17 = 0 then 'repeated' when document_id % 11 = 0 or document_id % 19 = 0 then 'identity' when document_id % 7 = 0 then 'digest' end as fault from d)
+select document_id, document_id % 5 as user_id, 'v1' as version, case when fault is null then text end as text, fault, fault in ('repeated', 'identity', 'digest') as set_aside from f""")
+def stored_documents(spark, sf_dir) -> DataFrame:
+    """All documents stored, then some changed, renamed, lost or stored twice by somebody else; read back by their pointers."""
+    at, changed, aside = scratch(spark), scratch(spark), scratch(spark)
+    parsed = chunking.parse_and_chunk(documents(spark, sf_dir)).where("error is null").withColumn("user_id", F.col("document_id") % 5)
+    pointers = write_artifacts(parsed, at, "v1").select("document_id", (F.col("document_id") % 5).alias("user_id"), F.lit("v1").alias("version"), "shown_sha256")
+    d = F.col("document_id")
+    rows = spark.read.parquet(f"{at}/version=v1").where(d % 13 != 0)
+    envelope = F.when(d % 11 == 0, F.col("envelope").withField("document_id", d + 1)).when(d % 19 == 0, F.col("envelope").withField("version", F.lit("v0"))).otherwise(F.col("envelope"))
+    blocks = F.transform("blocks", lambda b: F.when(d % 7 == 0, b.withField("text", F.concat(b["text"], F.lit("!")))).otherwise(b))
+    rows = rows.withColumns({"envelope": envelope, "blocks": blocks})
+    rows.union(rows.where(d % 17 == 0)).write.parquet(f"{changed}/version=v1")
+    answers = artifacts.stored_previews(spark, changed, pointers)
+    artifacts.set_aside(spark, changed, answers, aside)
+    put = spark.read.parquet(aside).select("key").distinct().select(F.split("key", "/")[2].cast("long").alias("document_id"), F.lit(True).alias("set_aside"))
+    return answers.join(put, "document_id", "left").withColumn("set_aside", F.when(F.col("fault").isNotNull(), F.coalesce("set_aside", F.lit(False))).otherwise(F.col("set_aside")))
+
+
 DELETED_SQL = """gone as (select id from files where status = 3 or id % 4 = 1 and (id % 3 = 0 or id % 5 = 0))"""
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import artifact_key
 from ..schemas import COMPLETE, EMBED_BATCH, MAX_FILE_BYTES, MAX_TEXT_CHARS
@@ -16,6 +16,8 @@ from .parse import Document, parse_html
 
 # fixed values: limits of an archive
 MAX_ENTRIES, ARCHIVE_FACTOR = 10_000, 8
+# fixed value: schema of stored documents
+ARTIFACT_SCHEMA = "document-v1"
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -58,13 +60,21 @@ def write_artifacts(parsed: DataFrame, path: str, version: str) -> DataFrame:
     """Parsed documents (document_id, user_id, ...) as Parquet, a folder for each version; gives document_id, key and SHA-256.
 
     The parse runs once: keys and digests are read from what was written. A version's folder is written once and never
-    changed; readers find it by the published pointer.
+    changed; readers find it by the published pointer, which names the key and has the digests: ``sha256`` of the whole,
+    ``shown_sha256`` of what a preview needs (``sources.artifacts`` reads no more than that).
     """
     spark, at = parsed.sparkSession, f"{path}/version={version}"
     body = F.to_json(F.struct("blocks", "tables", "parents", "children"))
-    parsed.withColumn("sha256", F.sha2(body, 256)).write.parquet(at)
-    rows = spark.read.parquet(at)
-    return rows.select("document_id", artifact_key(F.col("user_id"), F.col("document_id"), F.lit(version)).alias("key"), "sha256")
+    user, document = F.col("user_id").cast("long"), F.col("document_id").cast("long")
+    envelope = F.struct(document.alias("document_id"), user.alias("user_id"), F.lit(version).alias("version"), F.lit(ARTIFACT_SCHEMA).alias("schema_version"))
+    named = parsed.withColumns({"sha256": F.sha2(body, 256), "shown_sha256": shown_digest(F.col("blocks")), "key": artifact_key(user, document, F.lit(version)), "envelope": envelope})
+    named.write.parquet(at)
+    return spark.read.parquet(at).select("document_id", "key", "sha256", "shown_sha256")
+
+
+def shown_digest(blocks: Column) -> Column:
+    """SHA-256 of what a preview is made of."""
+    return F.sha2(F.to_json(F.arrays_zip(blocks["text"].alias("text"), blocks["table_id"].alias("table_id"), blocks["table_caption"].alias("table_caption")), {"ignoreNullFields": "false"}), 256)
 
 
 def append_chunks(chunks: DataFrame, path: str) -> None:

@@ -287,6 +287,33 @@ def test_artifacts_have_keys_and_digests(spark, tmp_path):
         S.append_chunks(chunking.chunk_rows(parsed).withColumn("chunk_id", F.lit("other")), str(tmp_path / "chunks"))
 
 
+def test_stored_documents_are_read_by_identity(spark, tmp_path):
+    from tessera.sources import artifacts
+
+    files = spark.createDataFrame([(1, "a.html", b"<h1>A</h1><table><caption>Tides</caption><tr><th>k</th><th>v</th></tr><tr><td>x</td><td>1</td></tr></table>"), (2, "b.txt", "beta\n\nγ".encode())], "document_id long, file_name string, content binary")
+    parsed = chunking.parse_and_chunk(files).withColumn("user_id", F.lit(7))
+    at = str(tmp_path / "ir")
+    refs = S.write_artifacts(parsed, at, "007").union(S.write_artifacts(parsed.where("document_id = 2"), at, "v2").withColumn("document_id", F.lit(9).cast("long")))
+    wanted = refs.selectExpr("document_id", "7 as user_id", "case when document_id = 9 then 'v2' else '007' end as version", "shown_sha256")
+    wanted = wanted.union(wanted.where("document_id = 2")).union(spark.createDataFrame([(2, 8, "007", "x"), (2, 7, "v2", None), (None, 7, "v2", "x")], wanted.schema))
+    got = {(r["document_id"], r["user_id"], r["version"]): (r["text"], r["fault"]) for r in artifacts.stored_previews(spark, at, wanted).collect()}
+    assert got[1, 7, "007"][1] is None and got[1, 7, "007"][0].startswith("A\n\nTides\n") and got[1, 7, "007"][0].count("Tides") == 1
+    assert got[2, 7, "007"] == ("beta\n\nγ", None)
+    assert got[9, 7, "v2"] == got[2, 8, "007"] == got[None, 7, "v2"] == (None, "missing") and got[2, 7, "v2"] == (None, "digest") and len(got) == 6
+    answers = artifacts.stored_previews(spark, at, wanted)
+    artifacts.set_aside(spark, at, answers, str(tmp_path / "aside"))
+    aside = spark.read.parquet(str(tmp_path / "aside")).collect()
+    assert [(r["key"], r["fault"], r["version"]) for r in aside] == [("document-ir/7/2/v2/ir.json", "digest", "v2")] and aside[0]["children"]
+    assert artifacts.stored_previews(spark, at, wanted.limit(0)).count() == 0
+
+
+def test_blank_blocks_and_captions_in_previews(spark):
+    block = "text string, table_id string, table_caption string"
+    rows = [(1, [("\u3000\n\t", None, None), ("a", None, None), ("r1", "t0", "C"), ("r2", "t0", "C"), ("r3", "t1", "C")]), (2, [])]
+    got = dict(chunking.preview(spark.createDataFrame(rows, f"document_id long, blocks array<struct<{block.replace(' string', ':string')}>>")).collect())
+    assert got == {1: "a\n\nC\nr1\n\nr2\n\nC\nr3", 2: ""}
+
+
 def test_a_missing_user_fails_the_request(spark):
     turns = spark.createDataFrame([(1, 7), (2, 8)], "turn_id long, user_id long")
     users = spark.createDataFrame([(7, "ana")], "id long, username string")
