@@ -1,4 +1,4 @@
-"""Tables that are replaced as a whole, versions that are staged and then published, and deletion in order."""
+"""Tables in buckets by document, versions that are staged and then published, and deletion in order."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import document_ir_prefix, document_upload_prefix
 from ..operators import lifecycle
@@ -31,32 +31,70 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 class Tables:
-    """Tables below one folder, each in numbered generations; readers see the last one that was written whole.
+    """Tables below one folder, in buckets by document, each bucket in generations; readers see the last one written whole.
 
-    A replacement writes the next generation beside the current one, so a writer that dies leaves the table as it was.
-    The generation before stays until the one after next, for those who still read it.
-    One writer at a time is taken for granted.
+    A change names the documents it is about: only their buckets are read and written, as the next generation beside what
+    is there, so all other files stay as they are and a writer that dies leaves the table as it was. What a bucket held
+    before stays until its change after next, for those who still read it. A document's rows may be any share of a table:
+    a bucket is written by as many tasks as its size asks for. One writer at a time is taken for granted, and that every
+    change is given the same number of buckets. The document is ``document_id``, else ``id``, else the third part of ``key``.
     """
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64) -> None:
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
-    def generations(self, name: str) -> list[int]:
-        whole = [g for g in names_in(self.spark, f"{self.root}/{name}") if "_SUCCESS" in names_in(self.spark, f"{self.root}/{name}/{g}")]
-        return sorted(int(g.removeprefix("g")) for g in whole)
+    def bucket(self, document: Column) -> Column:
+        return F.pmod(F.xxhash64(document.cast("long")), F.lit(self.buckets)).cast("int")
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}/g{self.generations(name)[-1]}")
+    def _bucketed(self, rows: DataFrame) -> DataFrame:
+        named = next((c for c in ("document_id", "id") if c in rows.columns), None)
+        return rows.withColumn("_bucket", self.bucket(F.col(named) if named else F.split("key", "/")[2]))
 
-    def write(self, name: str, rows: DataFrame) -> None:
-        old = self.generations(name)
-        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/g{old[-1] + 1 if old else 0}")
-        for g in old[:-1]:
-            remove(self.spark, f"{self.root}/{name}/g{g}")
+    def generations(self, name: str) -> dict[int, list[int]]:
+        """By bucket, the generations that hold it, the last one last."""
+        held: dict[int, list[int]] = {}
+        at = f"{self.root}/{name}"
+        whole = sorted(int(g.removeprefix("g")) for g in names_in(self.spark, at) if g.startswith("g") and "_SUCCESS" in names_in(self.spark, f"{at}/{g}"))
+        for g in whole:
+            for b in names_in(self.spark, f"{at}/g{g}"):
+                if b.startswith("_bucket="):
+                    held.setdefault(int(b.removeprefix("_bucket=")), []).append(g)
+        return held
 
-    def change(self, name: str, f: Callable[[DataFrame], DataFrame]) -> None:
-        if self.generations(name):
-            self.write(name, f(self.read(name)))
+    def exists(self, name: str) -> bool:
+        return "schema" in names_in(self.spark, f"{self.root}/{name}")
+
+    def read(self, name: str, only: set[int] | None = None) -> DataFrame:
+        """A table, or some of its buckets."""
+        schema = self.spark.read.parquet(f"{self.root}/{name}/schema").schema
+        paths = [f"{self.root}/{name}/g{g[-1]}/_bucket={b}" for b, g in sorted(self.generations(name).items()) if only is None or b in only]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def write(self, name: str, rows: DataFrame) -> None:
+        """Replace a table as a whole."""
+        rows.limit(0).write.mode("overwrite").parquet(f"{self.root}/{name}/schema")
+        self._put(name, rows, set(range(self.buckets)))
+
+    def change(self, name: str, f: Callable[[DataFrame], DataFrame], documents: DataFrame) -> set[int]:
+        """Replace rows of the buckets that documents (document_id) lie in; ``f`` must leave other documents' rows alone. Gives the buckets."""
+        touched = self.touched(documents) if self.exists(name) else set()
+        if touched:
+            self._put(name, f(self.read(name, touched)), touched)
+        return touched
+
+    def touched(self, documents: DataFrame) -> set[int]:
+        return {r[0] for r in documents.select(self.bucket(F.col("document_id"))).distinct().collect()}  # at most as many as there are buckets
+
+    def _put(self, name: str, rows: DataFrame, touched: set[int]) -> None:
+        held = self.generations(name)
+        at = f"{self.root}/{name}/g{max((g[-1] for g in held.values()), default=-1) + 1}"
+        self._bucketed(rows).hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(at)
+        for b in touched - {int(n.removeprefix("_bucket=")) for n in names_in(self.spark, at) if n.startswith("_bucket=")}:
+            files, empty = _folder(self.spark, f"{at}/_bucket={b}")
+            files.mkdirs(empty)  # nothing is left in this one: until it stands here its old rows are read, and a change that is given again mends that
+        for b in touched:
+            for g in held.get(b, [])[:-1]:
+                remove(self.spark, f"{self.root}/{name}/g{g}/_bucket={b}")
 
 
 #: Tables that hold rows of a document, in the order they are cleared; the file's own row goes last.
@@ -67,17 +105,18 @@ def delete_documents(tables: Tables, requests: DataFrame) -> None:
     """Delete documents (document_id, by_user, role) that the owner or an administrator asks for.
 
     They are marked first, then what belongs to them goes from table to table, then they go themselves. What a run that
-    failed has marked is finished by the next one, asked for or not.
+    failed has marked is finished by the next one, asked for or not. In each table only the documents' buckets are rewritten.
     """
-    asked = lifecycle.deletable(tables.read("files"), requests).select(F.col("document_id").alias("id")).distinct().withColumn("asked", F.lit(True))
-    tables.change("files", lambda f: f.join(asked, "id", "left").withColumn("status", F.when(F.col("asked"), DELETING).otherwise(F.col("status"))).drop("asked").select(f.columns))
+    asked = lifecycle.deletable(tables.read("files"), requests).select("document_id").distinct()
+    marks = asked.select(F.col("document_id").alias("id"), F.lit(True).alias("asked"))
+    tables.change("files", lambda f: f.join(marks, "id", "left").withColumn("status", F.when(F.col("asked"), DELETING).otherwise(F.col("status"))).drop("asked").select(f.columns), asked)
     gone = tables.read("files").where(F.col("status") == DELETING).select(F.col("id").alias("document_id"), "user_id")
     for name in CASCADE:
         if name == "objects":
-            tables.change(name, lambda rows: without_prefixes(rows, gone))
+            tables.change(name, lambda rows: without_prefixes(rows, gone), gone)
         else:
-            tables.change(name, lambda rows: lifecycle.without(rows, gone))
-    tables.change("files", lambda f: f.where(F.col("status") != DELETING))
+            tables.change(name, lambda rows: lifecycle.without(rows, gone), gone)
+    tables.change("files", lambda f: f.where(f"coalesce(status, 0) <> {DELETING}"), gone)
 
 
 def without_prefixes(objects: DataFrame, gone: DataFrame) -> DataFrame:

@@ -314,6 +314,50 @@ def test_blank_blocks_and_captions_in_previews(spark):
     assert got == {1: "a\n\nC\nr1\n\nr2\n\nC\nr3", 2: ""}
 
 
+def stored_tables(spark, root, documents=40, buckets=8):
+    tables = store.Tables(spark, str(root), buckets)
+    ids = spark.range(documents)
+    tables.write("files", ids.select("id", (F.col("id") % 5).alias("user_id"), F.when(F.col("id") == 3, 3).otherwise(1).alias("status")))
+    tables.write("chunks", ids.select(F.col("id").alias("document_id"), F.explode(F.array(F.lit("p0"), F.lit("c0"))).alias("chunk_id"), F.lit(None).cast("int").alias("_note")))
+    tables.write("objects", ids.select(F.explode(F.array(T.part_key(F.col("id") % 5, F.col("id"), F.lit(0)), T.artifact_key(F.col("id") % 5, F.col("id"), F.lit("v1")))).alias("key")))
+    tables.write("outbox", spark.createDataFrame([], "document_id long, attempts int"))
+    return tables
+
+
+def test_deletion_rewrites_its_buckets_alone(spark, tmp_path):
+    """Files of other buckets keep their names, a reader of the table before finishes, and a table may become empty."""
+    tables = stored_tables(spark, tmp_path)
+    names = ("files", "chunks", "objects")
+    before = {n: set(tables.read(n).inputFiles()) for n in names}
+    reader = tables.read("chunks")
+    requests = spark.createDataFrame([(7, 2, "USER"), (8, 4, "USER"), (99, 0, "ADMIN"), (None, 0, "ADMIN")], "document_id long, by_user long, role string")
+    store.delete_documents(tables, requests)  # 8 isn't its owner's request; 3 was marked before
+    touched = {f"_bucket={b}/" for b in tables.touched(spark.createDataFrame([(3,), (7,)], "document_id long"))}
+    for n in names:
+        after = set(tables.read(n).inputFiles())
+        rewritten = before[n] - after
+        assert rewritten and all(any(b in f for b in touched) for f in rewritten | (after - before[n]))
+    left = sorted(set(range(40)) - {3, 7})
+    assert sorted(r["id"] for r in tables.read("files").collect()) == left
+    assert sorted({r["document_id"] for r in tables.read("chunks").collect()}) == left and tables.read("chunks").count() == 2 * len(left)
+    assert tables.read("objects").count() == 2 * len(left) and tables.read("outbox").count() == 0
+    assert reader.count() == 80
+    store.delete_documents(tables, tables.read("files").selectExpr("id as document_id", "user_id as by_user", "'USER' as role"))
+    assert tables.read("files").count() == tables.read("chunks").count() == tables.read("objects").count() == 0
+    assert tables.read("chunks").columns == ["document_id", "chunk_id", "_note"]
+
+
+def test_a_deletion_that_dies_is_finished_by_the_next(spark, tmp_path, monkeypatch):
+    tables, whole = stored_tables(spark, tmp_path), store.without_prefixes
+    monkeypatch.setattr(store, "without_prefixes", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.delete_documents(tables, spark.createDataFrame([(7, 2, "USER")], "document_id long, by_user long, role string"))
+    assert tables.read("files").where("status = 3").count() == 2 and tables.read("chunks").count() == 80
+    monkeypatch.setattr(store, "without_prefixes", whole)
+    store.delete_documents(tables, spark.createDataFrame([], "document_id long, by_user long, role string"))
+    assert tables.read("files").count() == 38 and tables.read("chunks").count() == tables.read("objects").count() == 76
+
+
 def test_a_missing_user_fails_the_request(spark):
     turns = spark.createDataFrame([(1, 7), (2, 8)], "turn_id long, user_id long")
     users = spark.createDataFrame([(7, "ana")], "id long, username string")
