@@ -101,6 +101,15 @@ def chunk_documents(spark, sf_dir) -> DataFrame:
     return rows.select("document_id", "version", "chunk_id", "parent_id", "is_parent", "data.kind", "data.body_text", "data.context_prefix", "data.token_count", "data.prev_id", "data.next_id")
 
 
+@query()
+def chunk_documents_bpe(spark, sf_dir) -> DataFrame:
+    """All documents in chunks sized by a public byte-level BPE; tests compare them with chunks that are encoded at each probe."""
+    import public_tokenizers
+
+    rows = chunking.chunk_rows(chunking.parse_and_chunk(documents(spark, sf_dir), tokenizer=str(public_tokenizers.path("byte_bpe_50k.json"))))
+    return rows.select("document_id", "version", "chunk_id", "parent_id", "is_parent", "data.body_text", "data.context_prefix", "data.token_count", "data.prev_id", "data.next_id")
+
+
 @query("""with d as (select doc_id + 1 as id, text from documents where trim(coalesce(text, '')) <> '')
 select id as document_id, unnest(case id % 7 when 1 then ['V4 chunk'] when 2 then ['V5 embedding text'] when 3 then ['V10 body'] when 4 then ['V11 document'] when 5 then ['V7 overlap'] when 6 then ['V3 ids'] else [] end) as rule, 1::bigint as count from d""")
 def chunk_quality_report(spark, sf_dir) -> DataFrame:
