@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import access_queries, context_queries, conversation_queries, document_queries, lifecycle_queries, search_queries, store_queries, stream_queries
+from .plans import access_queries, context_queries, conversation_queries, document_queries, ingest_queries, lifecycle_queries, search_queries, store_queries, stream_queries
 
-FAMILIES = [access_queries, context_queries, conversation_queries, document_queries, lifecycle_queries, search_queries, store_queries, stream_queries]
+FAMILIES = [access_queries, context_queries, conversation_queries, document_queries, ingest_queries, lifecycle_queries, search_queries, store_queries, stream_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -51,9 +51,13 @@ def unpack_fault(raw: bytes, most: int) -> str | None:
 
 
 def to_import(found: DataFrame, files: DataFrame, user_id: int) -> DataFrame:
-    """Files of a folder that the user hasn't completed before, each content once."""
+    """Files of a folder (path, md5, ...) that the user hasn't completed before; of one content, the file of the first path.
+
+    Contents are compared by MD5 and move once, after what goes is known.
+    """
     done = files.where((F.col("status") == COMPLETE) & (F.col("user_id") == user_id)).select(F.col("file_md5").alias("md5"))
-    return found.join(done, "md5", "left_anti").dropDuplicates(["md5"])
+    first = found.groupBy("md5").agg(F.min("path").alias("path")).join(done, "md5", "left_anti")
+    return found.join(first, ["md5", "path"], "left_semi").select("md5", *[c for c in found.columns if c != "md5"])
 
 
 def write_artifacts(parsed: DataFrame, path: str, version: str) -> DataFrame:
