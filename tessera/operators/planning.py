@@ -126,9 +126,10 @@ def binding_faults(pending: DataFrame, sources: DataFrame, bindings: DataFrame)
     return out.distinct()
 
 
-def bound_questions(pending: DataFrame, sources: DataFrame, bindings: DataFrame) -> DataFrame:
-    """(plan_id, step_id, question) of plans without a fault, with the values in their places."""
-    good = bindings.where(~F.col("no_evidence") & (F.coalesce("clarification", F.lit("")) == "")).join(binding_faults(pending, sources, bindings), "plan_id", "left_anti")
+def bound_questions(pending: DataFrame, sources: DataFrame, bindings: DataFrame, faults: DataFrame | None = None) -> DataFrame:
+    """(plan_id, step_id, question) of plans without a fault, with the values in their places; ``faults`` where they are known."""
+    faults = binding_faults(pending, sources, bindings) if faults is None else faults
+    good = bindings.where(~F.col("no_evidence") & (F.coalesce("clarification", F.lit("")) == "")).join(faults, "plan_id", "left_anti")
     each = good.select("plan_id", "step_id", F.explode("evidence").alias("e")).select("plan_id", "step_id", "e.source_id", "e.value")
     met = each.join(sources.select("plan_id", "source_id", F.col("step_id").alias("parent")), ["plan_id", "source_id"])
     values = met.select("plan_id", "step_id", "parent", "value").distinct().groupBy("plan_id", "step_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("parent", "value")))).alias("v"))
@@ -149,26 +150,28 @@ def trimmed_sources(sources: DataFrame, budget: int) -> DataFrame:
     return rows.withColumn("fixed", fixed).withColumn("others", others).where((F.col("n") == 1) | (F.col("fixed") + F.col("others") <= budget)).drop("n", "fixed", "others")
 
 
-def execute(plans: DataFrame, bindings: DataFrame, search: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def execute(plans: DataFrame, bindings: DataFrame, search: Callable[[DataFrame, str], DataFrame], keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> tuple[DataFrame, DataFrame]:
     """Run plans in two layers, each one job for all plans: (steps with status, hits).
 
     plans: plan_id, steps; ``search`` takes (plan_id, step_id, question) and top-k's name, and gives hits
     (plan_id, step_id, rank, source_id, text, ...). A plan of one step asks for ten results, others for five.
+    ``keep`` gives rows back as they are stored: each layer's hits, the steps that wait and the faults are read several times.
     """
     steps = plans.select("plan_id", F.size("steps").alias("n"), F.explode("steps").alias("s")).select("plan_id", F.when(F.col("n") == 1, 10).otherwise(5).alias("top_k"), F.col("s.id").alias("step_id"), F.col("s.question").alias("question"), F.coalesce("s.depends_on", F.array().cast("array<int>")).alias("depends_on"))
     roots = steps.where(F.size("depends_on") == 0)
-    first = search(roots, "top_k").where(F.trim("text") != "")
+    first = keep(search(roots, "top_k").where(F.trim("text") != ""))
     found = first.select("plan_id", "step_id").distinct().withColumn("hit", F.lit(True))
     done = roots.join(found, ["plan_id", "step_id"], "left").select("plan_id", "step_id", "depends_on", F.when(F.col("hit"), "retrieved").otherwise("empty").alias("status"))
     waiting = steps.where(F.size("depends_on") > 0).select("plan_id", "step_id", "depends_on", F.lit("pending").alias("status"))
-    state = propagated(done.union(waiting))
-    pending = steps.join(state.where("status = 'pending'").select("plan_id", "step_id"), ["plan_id", "step_id"])
+    state = keep(propagated(done.union(waiting)))
+    pending = keep(steps.join(state.where("status = 'pending'").select("plan_id", "step_id"), ["plan_id", "step_id"]))
     sources = first.select("plan_id", F.concat(F.lit("s"), F.col("step_id").cast("string"), F.lit(":"), F.col("rank").cast("string")).alias("source_id"), "step_id", "text")
-    questions = bound_questions(pending, sources, bindings)
-    second = search(questions.join(steps.select("plan_id", "step_id", "top_k"), ["plan_id", "step_id"]), "top_k").where(F.trim("text") != "")
+    broken = keep(binding_faults(pending, sources, bindings).select("plan_id").distinct())
+    questions = keep(bound_questions(pending, sources, bindings, broken))
+    second = keep(search(questions.join(steps.select("plan_id", "step_id", "top_k"), ["plan_id", "step_id"]), "top_k").where(F.trim("text") != ""))
     hit_again = second.select("plan_id", "step_id").distinct().withColumn("hit", F.lit(True))
     asked = questions.select("plan_id", "step_id").withColumn("asked", F.lit(True))
-    faults = binding_faults(pending, sources, bindings).select("plan_id").distinct().withColumn("fault", F.lit(True))
+    faults = broken.withColumn("fault", F.lit(True))
     later = state.join(asked, ["plan_id", "step_id"], "left").join(hit_again, ["plan_id", "step_id"], "left").join(faults, "plan_id", "left")
     status = F.when(F.col("status") != "pending", F.col("status")).when(F.col("fault"), "failed_binding").when(F.col("hit"), "retrieved").when(F.col("asked"), "empty").otherwise("blocked_no_evidence")
     return done.select("plan_id", "step_id", "status").union(later.select("plan_id", "step_id", status)), first.unionByName(second, allowMissingColumns=True)

@@ -92,7 +92,12 @@ def executed_plans(spark, sf_dir) -> DataFrame:
         ranked = questions.join(answers, "question").withColumn("rank", F.row_number().over(W.partitionBy("plan_id", "step_id").orderBy("place", "tie")))
         return ranked.where(F.col("rank") <= F.col(top_k)).select("plan_id", "step_id", "rank", "text")
 
-    status, hits = planning.execute(plans, bindings, search)
+    def keep(rows: DataFrame) -> DataFrame:
+        at = scratch(spark)
+        rows.write.parquet(at)
+        return spark.read.schema(rows.schema).parquet(at)
+
+    status, hits = planning.execute(plans, bindings, search, keep)
     found = hits.groupBy("plan_id", "step_id").agg(F.count("*").alias("hits"), F.min("rank").alias("first_rank"))
     return status.join(found, ["plan_id", "step_id"], "left").select("plan_id", "step_id", "status", F.coalesce("hits", F.lit(0).cast("long")).alias("hits"), "first_rank")
 

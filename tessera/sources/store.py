@@ -75,14 +75,13 @@ class Tables:
         rows.limit(0).write.mode("overwrite").parquet(f"{self.root}/{name}/schema")
         self._put(name, rows, set(range(self.buckets)))
 
-    def change(self, name: str, f: Callable[[DataFrame], DataFrame], documents: DataFrame) -> set[int]:
-        """Replace rows of the buckets that documents (document_id) lie in; ``f`` must leave other documents' rows alone. Gives the buckets."""
-        touched = self.touched(documents) if self.exists(name) else set()
-        if touched:
+    def change(self, name: str, f: Callable[[DataFrame], DataFrame], touched: set[int]) -> None:
+        """Replace rows of the buckets that are touched; ``f`` must leave rows of other documents than it is about alone."""
+        if touched and self.exists(name):
             self._put(name, f(self.read(name, touched)), touched)
-        return touched
 
     def touched(self, documents: DataFrame) -> set[int]:
+        """The buckets that documents (document_id) lie in."""
         return {r[0] for r in documents.select(self.bucket(F.col("document_id"))).distinct().collect()}  # at most as many as there are buckets
 
     def _put(self, name: str, rows: DataFrame, touched: set[int]) -> None:
@@ -109,14 +108,15 @@ def delete_documents(tables: Tables, requests: DataFrame) -> None:
     """
     asked = lifecycle.deletable(tables.read("files"), requests).select("document_id").distinct()
     marks = asked.select(F.col("document_id").alias("id"), F.lit(True).alias("asked"))
-    tables.change("files", lambda f: f.join(marks, "id", "left").withColumn("status", F.when(F.col("asked"), DELETING).otherwise(F.col("status"))).drop("asked").select(f.columns), asked)
+    tables.change("files", lambda f: f.join(marks, "id", "left").withColumn("status", F.when(F.col("asked"), DELETING).otherwise(F.col("status"))).drop("asked").select(f.columns), tables.touched(asked))
     gone = tables.read("files").where(F.col("status") == DELETING).select(F.col("id").alias("document_id"), "user_id")
+    touched = tables.touched(gone)
     for name in CASCADE:
         if name == "objects":
-            tables.change(name, lambda rows: without_prefixes(rows, gone), gone)
+            tables.change(name, lambda rows: without_prefixes(rows, gone), touched)
         else:
-            tables.change(name, lambda rows: lifecycle.without(rows, gone), gone)
-    tables.change("files", lambda f: f.where(f"coalesce(status, 0) <> {DELETING}"), gone)
+            tables.change(name, lambda rows: lifecycle.without(rows, gone), touched)
+    tables.change("files", lambda f: f.where(f"coalesce(status, 0) <> {DELETING}"), touched)
 
 
 def without_prefixes(objects: DataFrame, gone: DataFrame) -> DataFrame:
