@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -140,17 +141,25 @@ def acknowledged(sent: DataFrame, stored: DataFrame) -> DataFrame:
 def append_index(rows: DataFrame, path: str, dims: int) -> DataFrame:
     """Append embedded chunks (vector_id, vector, ...) to an index and give them as they are stored.
 
-    Vectors of another length or with values that aren't finite stop it before anything is written; afterwards every id
-    has to be there once, else it fails.
+    Vectors of another length or with values that aren't finite stop it before anything is appended; afterwards every id
+    has to be there once, else it fails. Rows are made once: they are staged beside the index, where no reader looks.
     """
+    from .store import remove
+
+    spark, staged = rows.sparkSession, f"{path}/_staged/{uuid.uuid4().hex}"
     sound = (F.size("vector") == dims) & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    if not rows.where(~F.coalesce(sound, F.lit(False)) | (F.coalesce("vector_id", F.lit("")) == "")).isEmpty():
-        raise ValueError("a vector or an id doesn't fit the index")
-    rows.write.mode("append").parquet(path)
-    stored = rows.sparkSession.read.schema(rows.schema).parquet(path)
-    if not acknowledged(rows, stored).isEmpty():
-        raise RuntimeError("the index didn't acknowledge every chunk once")
-    return stored
+    try:
+        rows.write.parquet(staged)
+        sent = spark.read.schema(rows.schema).parquet(staged)
+        if not sent.where(~F.coalesce(sound, F.lit(False)) | (F.coalesce("vector_id", F.lit("")) == "")).isEmpty():
+            raise ValueError("a vector or an id doesn't fit the index")
+        sent.write.mode("append").parquet(path)
+        stored = spark.read.schema(rows.schema).parquet(path)
+        if not acknowledged(sent, stored).isEmpty():
+            raise RuntimeError("the index didn't acknowledge every chunk once")
+        return stored
+    finally:
+        remove(spark, staged)
 
 
 def converted(fetch: Callable[[bytes], tuple[int, bytes]], most: int = 8 * MAX_TEXT_CHARS) -> Callable[[bytes], Document]:
