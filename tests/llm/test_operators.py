@@ -448,6 +448,12 @@ def test_repeats_edges(odd, empty):
             assert kept[i][1] == (t or "")
 
 
+def test_repeats_of_tables_with_fewer_words_than_a_quarter_window(spark):
+    for n in range(6):
+        rows = [(1, " ".join("abcdef"[:n])), (2, None), (3, "")]
+        assert removed(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)) == brute.repeats(rows)
+
+
 def clashing(seed=8, n=60):
     """Rows of shared and null ids, with texts of their own, repeated rows and passages in common."""
     rng = random.Random(seed)
