@@ -7,8 +7,12 @@ below each top-k, where Catalyst can't move them by itself. Ties go to the small
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import StructType
 
@@ -35,22 +39,50 @@ def lengths(chunks: DataFrame) -> DataFrame:
     return chunks.select(*KEY, F.size(tokens(F.col("text_content"))).alias("n_tokens"))
 
 
+#: Words that a Python worker looks at together, whole chunks at a time.
+WORDS_AT_ONCE = 1 << 18
+
+
+def runs(batch: pa.RecordBatch, words: int, borders: np.ndarray | None = None, limit: int = WORDS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose lists (column ``words``) hold about ``limit`` words, one row at least; cut only before rows that ``borders`` names, if given."""
+    before = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column(words)).fill_null(0).to_numpy())])
+    cuts = np.arange(1, batch.num_rows + 1) if borders is None else np.append(borders[borders > 0], batch.num_rows)
+    row = 0
+    while row < batch.num_rows:
+        fits = int(np.searchsorted(before[cuts], before[row] + limit, side="right")) - 1
+        end = int(cuts[max(fits, int(np.searchsorted(cuts, row, side="right")))])
+        yield batch.slice(row, end - row)
+        row = end
+
+
+def word_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of chunks (key, words): a row for each word of a chunk, with its places in order."""
+    for whole in batches:
+        for batch in runs(whole, len(KEY)):
+            lists = batch.column(len(KEY))
+            count = pc.list_value_length(lists).to_numpy()
+            coded = lists.flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(count)), count)
+            place = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
+            own = row * len(coded.dictionary) + coded.indices.to_numpy()
+            order = np.argsort(own, kind="stable")
+            own = own[order]
+            at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+            row, ends = row[order][at], np.append(at, len(own))
+            keys = [batch.column(k).take(pa.array(row)) for k in range(len(KEY))]
+            terms = coded.dictionary.take(coded.indices.take(pa.array(order[at])))
+            positions = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(place[order]))
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(count[row].astype(np.int32)), terms, pa.array(np.diff(ends)), positions], names=[*KEY, "n_tokens", "term", "tf", "positions"])
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """(key, n_tokens, term, tf, positions) of every chunk's body; positions count from 0.
 
-    Each chunk's words are grouped where it lies: no row of it moves.
+    Each chunk's words are grouped where it lies, a bounded number of words at a time: no row of it moves.
     """
     words = chunks.select(*KEY, tokens(F.col("text_content")).alias("words")).where(F.size("words") > 0)
-    # sorting (word, place) puts a word's places together, in order
-    placed = F.array_sort(F.arrays_zip(F.col("words").alias("term"), F.sequence(F.lit(0), F.size("words") - 1).alias("pos")))
-    rows = words.select(*KEY, F.size("words").alias("n_tokens"), placed.alias("placed"))
-    at = F.sequence(F.lit(0), F.col("n_tokens") - 1)
-    firsts = F.filter(at, lambda i: (i == 0) | (F.get("placed", i)["term"] != F.get("placed", i - 1)["term"]))
-    begins = rows.withColumn("firsts", firsts)
-    ends = F.concat(F.slice("firsts", 2, F.size("firsts")), F.array("n_tokens"))
-    each = begins.select(*KEY, "n_tokens", "placed", F.explode(F.arrays_zip(F.col("firsts").alias("a"), ends.alias("z"))).alias("run"))
-    own = F.slice("placed", F.col("run.a") + 1, F.col("run.z") - F.col("run.a"))
-    return each.select(*KEY, "n_tokens", F.get("placed", F.col("run.a"))["term"].alias("term"), (F.col("run.z") - F.col("run.a")).cast("long").alias("tf"), F.transform(own, lambda x: x["pos"]).alias("positions"))
+    made = "n_tokens int, term string, tf long, positions array<int>"
+    return words.mapInArrow(word_places, StructType([*words.select(*KEY).schema, *StructType.fromDDL(made)]))
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,35 @@ def test_an_index_without_vectors_or_words(spark, tmp_path):
     held.append(frame(spark, [(1, "v1", "c", 1, "m", "m0", None, False, None, None)]))
     q = spark.createDataFrame([(1, "the", [1.0])], "query_id long, question string, vector array<float>")
     assert held.bm25(q, 3)[0].count() == 0 and held.nearest(q, 3)[0].count() == 0 and held.probes(3) == 1
+
+
+def batch_of_words(n: int, words: int, seed: int = 3) -> pa.RecordBatch:
+    rng = np.random.default_rng(seed)
+    texts = [[f"w{k}" for k in rng.integers(0, 50, rng.integers(0, 2 * words))] for _ in range(n)]
+    return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(["v"] * n), pa.array([f"c{k}" for k in range(n)]), pa.array(texts, pa.list_(pa.string()))], names=[*R.KEY, "words"])
+
+
+def test_postings_look_at_a_bounded_number_of_words(monkeypatch):
+    whole = batch_of_words(200, 20)
+    monkeypatch.setattr(R.runs, "__defaults__", (None, 100))
+    parts = list(R.word_places(iter([whole.slice(0, 0), whole, whole.slice(150, 5)])))
+    assert max(sum(p.column(5).to_pylist()) for p in parts) <= 100
+    got = [tuple(r.values()) for p in parts for r in p.to_pylist()]
+    want = []
+    for r in [*whole.to_pylist(), *whole.slice(150, 5).to_pylist()]:
+        for term in set(r["words"]):
+            places = [k for k, w in enumerate(r["words"]) if w == term]
+            want.append((r["document_id"], r["version"], r["chunk_key"], len(r["words"]), term, len(places), places))
+    assert sorted(got) == sorted(want)
+
+
+def test_blocks_are_written_from_a_bounded_number_of_words(monkeypatch):
+    whole = batch_of_words(1000, 20).select(["document_id", "words"])
+    monkeypatch.setattr(R.runs, "__defaults__", (None, 2000))
+    parts = list(S.written_blocks(iter([whole])))
+    assert len(parts) > 5
+    places = [sum(len(x) // 4 for x in p.column(7).to_pylist()) for p in parts]
+    # whole blocks only: a term has one row for each of its blocks
+    assert max(places) <= 64 * 40 and sum(places) == sum(len(w) for w in whole.column(1).to_pylist())
+    rows = [(r["term"], r["block"]) for p in parts for r in p.to_pylist()]
+    assert len(rows) == len(set(rows)) and sum(r["n"] for p in parts for r in p.to_pylist()) == sum(len(set(w)) for w in whole.column(1).to_pylist())
