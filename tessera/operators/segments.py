@@ -23,12 +23,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.text import tokens
 from ..sources.store import names_in
 from .access import gated
-from .retrieval import B, DIGITS, K1, KEY, best, cosine, idf, part_of, query_terms, saturation
+from .retrieval import B, DIGITS, K1, KEY, best, cosine, idf, part_of, query_terms, runs, saturation
 
 BLOCK = 64
 TERM_PARTS = 16
@@ -50,45 +51,47 @@ class Viewer:
 
 
 def written_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of chunks (doc, words): sorted by term, block and chunk, cut where term or block change."""
-    for batch in batches:
-        lists = batch.column(1)
-        count = np.diff(lists.offsets.to_numpy())
-        words = lists.flatten()
-        if not len(words):
-            continue
-        doc = np.repeat(batch.column(0).to_numpy(), count)
-        place = np.arange(len(words)) - np.repeat(np.cumsum(count) - count, count)
-        length = np.repeat(count, count)
-        coded = words.dictionary_encode()
-        term = coded.indices.to_numpy()
-        order = np.lexsort((place, doc, term))
-        term, doc, place, length = term[order], doc[order], place[order].astype("<u4"), length[order]
-        new_doc = np.concatenate([[True], (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])])
-        at = np.flatnonzero(new_doc)  # where a chunk's own run of the term begins
-        tf = np.diff(np.append(at, len(term)))
-        t, d, n = term[at], doc[at], length[at]
-        block = d // BLOCK
-        first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (block[1:] != block[:-1])]))
-        ends = np.append(first[1:], len(t))
-        offsets = (d % BLOCK).astype(np.uint8)
-        tfs, lens = tf.astype("<u4"), n.astype("<u4")
-        from_, to = at[first], np.append(at, len(term))[ends]
-        # from the largest frequency down, lengths below all before: a group's own begin anew, as each group counts from further below
-        group = np.repeat(np.arange(len(first)), ends - first)
-        down = np.lexsort((n, -tf, group))
-        low = n[down] - group[down] * (1 << 40)
-        peak = down[np.concatenate([[True], low[1:] < np.minimum.accumulate(low)[:-1]])]
-        many = np.searchsorted(group[peak], np.arange(len(first) + 1)).astype(np.int32)
-        pairs = pa.StructArray.from_arrays([pa.array(x[peak].astype(np.int32)) for x in (tf, n)], ["tf", "len"])
-        cut = lambda x, a, b: pa.array([x[i:j].tobytes() for i, j in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays(
-            [
-                coded.dictionary.take(pa.array(t[first])), pa.array(block[first]), pa.array((ends - first).astype(np.int32)), pa.ListArray.from_arrays(pa.array(many), pairs),
-                cut(offsets, first, ends), cut(tfs, first, ends), cut(lens, first, ends), cut(place, from_, to),
-            ],
-            names=["term", "block", "n", "peaks", "docs", "tfs", "lens", "places"],
-        )
+    """Postings of chunks (doc, words): sorted by term, block and chunk, cut where term or block change; a bounded number of words, or one block, at a time."""
+    for whole in batches:
+        number = whole.column(0).to_numpy() // BLOCK
+        for batch in runs(whole, 1, np.flatnonzero(np.diff(number)) + 1):
+            lists = batch.column(1)
+            count = pc.list_value_length(lists).to_numpy()
+            words = lists.flatten()
+            if not len(words):
+                continue
+            doc = np.repeat(batch.column(0).to_numpy(), count)
+            place = np.arange(len(words)) - np.repeat(np.cumsum(count) - count, count)
+            length = np.repeat(count, count)
+            coded = words.dictionary_encode()
+            term = coded.indices.to_numpy()
+            order = np.lexsort((place, doc, term))
+            term, doc, place, length = term[order], doc[order], place[order].astype("<u4"), length[order]
+            new_doc = np.concatenate([[True], (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])])
+            at = np.flatnonzero(new_doc)  # where a chunk's own run of the term begins
+            tf = np.diff(np.append(at, len(term)))
+            t, d, n = term[at], doc[at], length[at]
+            block = d // BLOCK
+            first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (block[1:] != block[:-1])]))
+            ends = np.append(first[1:], len(t))
+            offsets = (d % BLOCK).astype(np.uint8)
+            tfs, lens = tf.astype("<u4"), n.astype("<u4")
+            from_, to = at[first], np.append(at, len(term))[ends]
+            # from the largest frequency down, lengths below all before: a group's own begin anew, as each group counts from further below
+            group = np.repeat(np.arange(len(first)), ends - first)
+            down = np.lexsort((n, -tf, group))
+            low = n[down] - group[down] * (1 << 40)
+            peak = down[np.concatenate([[True], low[1:] < np.minimum.accumulate(low)[:-1]])]
+            many = np.searchsorted(group[peak], np.arange(len(first) + 1)).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array(x[peak].astype(np.int32)) for x in (tf, n)], ["tf", "len"])
+            cut = lambda x, a, b: pa.array([x[i:j].tobytes() for i, j in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    coded.dictionary.take(pa.array(t[first])), pa.array(block[first]), pa.array((ends - first).astype(np.int32)), pa.ListArray.from_arrays(pa.array(many), pairs),
+                    cut(offsets, first, ends), cut(tfs, first, ends), cut(lens, first, ends), cut(place, from_, to),
+                ],
+                names=["term", "block", "n", "peaks", "docs", "tfs", "lens", "places"],
+            )
 
 
 def units(column: pa.Array) -> np.ndarray:
