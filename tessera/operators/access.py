@@ -58,18 +58,23 @@ def of_model(hits: DataFrame, model: str) -> DataFrame:
 def ancestors(tags: DataFrame) -> DataFrame:
     """(tag, ancestor) over the parent relation, each tag with a parent its own ancestor too, however deep.
 
-    Rounds double the distance: what is found is joined with itself, so rounds are the logarithm of the longest
-    chain, and they end where nothing new is found, cycles or not.
+    Rounds double the distance: what lies just as far as the last round reached is joined with all found so far, so each
+    pair on a chain is made once. Rounds are the logarithm of the longest chain, and end where nothing new is found, cycles
+    or not. A round writes what it finds; nothing is written again.
     """
     parent = tags.where(F.coalesce("parent_tag", F.lit("")) != "").select(F.col("tag_id").alias("tag"), F.col("parent_tag").alias("ancestor")).distinct()
-    found = written(parent, "ancestors")
-    fresh = found
-    while not fresh.isEmpty():
-        upper = found.select(F.col("tag").alias("middle"), F.col("ancestor").alias("above"))
-        further = fresh.join(upper, fresh["ancestor"] == upper["middle"]).select("tag", F.col("above").alias("ancestor")).distinct()
-        fresh = written(further.join(found, ["tag", "ancestor"], "left_anti"), "ancestors-new")
-        found = written(found.union(fresh), "ancestors")
-    return found.union(found.select("tag", F.col("tag").alias("ancestor"))).distinct()
+    found = farthest = written(parent, "ancestors")
+    own = found.select("tag", F.col("tag").alias("ancestor")).distinct()
+
+    def above(rows: DataFrame) -> DataFrame:
+        upper = rows.select(F.col("tag").alias("middle"), F.col("ancestor").alias("above"))
+        return farthest.join(upper, farthest["ancestor"] == upper["middle"]).select("tag", F.col("above").alias("ancestor")).distinct()
+
+    while True:
+        fresh = written(above(found).join(found, ["tag", "ancestor"], "left_anti"), "ancestors-new")
+        if fresh.isEmpty():
+            return found.where("tag <> ancestor").union(own)
+        farthest, found = written(above(farthest), "ancestors-farthest"), found.union(fresh)
 
 
 def effective_tags(users: DataFrame, tags: DataFrame) -> DataFrame:

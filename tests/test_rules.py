@@ -473,3 +473,33 @@ def test_chunks_without_an_identity_are_not_staged(spark, tmp_path):
         rows = good.selectExpr("document_id", "version", bad, "parent_id", "data")
         with pytest.raises(ValueError, match="identity"):
             S.append_chunks(rows, str(tmp_path / "c"))
+
+
+def test_ancestors_of_chains_cycles_and_several_parents_are_written_once(spark, monkeypatch):
+    from tessera.operators import access
+
+    chain = [(f"c{k}", f"c{k - 1}") for k in range(1, 70)] + [("c0", None)]
+    others = [("a", "b"), ("b", "c"), ("c", "a"), ("s", "s"), ("d", "c"), ("m", "c3"), ("m", "a"), ("m", "gone"), ("r", "")]
+    rows = [0]
+    plain = access.written
+
+    def counting(df, what):
+        out = plain(df, what)
+        rows[0] += out.count()
+        return out
+
+    monkeypatch.setattr(access, "written", counting)
+    got = [tuple(r) for r in access.ancestors(spark.createDataFrame(chain + others, "tag_id string, parent_tag string")).collect()]
+    up = {}
+    for tag, parent in chain + others:
+        if parent:
+            up.setdefault(tag, set()).add(parent)
+    want = set()
+    for tag in up:
+        seen, todo = set(), {tag}
+        while todo:
+            todo = {p for t in todo for p in up.get(t, ())} - seen
+            seen |= todo
+        want |= {(tag, x) for x in seen | {tag}}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert rows[0] < 1.5 * len(want)
