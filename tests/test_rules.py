@@ -503,3 +503,14 @@ def test_ancestors_of_chains_cycles_and_several_parents_are_written_once(spark,
         want |= {(tag, x) for x in seen | {tag}}
     assert len(got) == len(set(got)) and set(got) == want
     assert rows[0] < 1.5 * len(want)
+
+
+def test_embedded_rows_leave_a_task_in_small_batches(spark):
+    # how many rows a task holds shows in the batches that leave it
+    rows = spark.createDataFrame([(k, "a b" if k % 3 else None) for k in range(100)], "id long, embedding_text string").coalesce(1)
+    made = S.embedded(rows, lambda: S.hashing_embedder(4), "m", 4)
+    assert made.columns == ["id", "embedding_text", "vector", "model_version"] and made.count() == 100
+    got = {r["id"]: r["vector"] for r in made.collect()}
+    plain = S.hashing_embedder(4)(["a b", ""])
+    assert all(got[k] == plain[0 if k % 3 else 1].tolist() for k in range(100))
+    assert "MapInArrow" in made._jdf.queryExecution().toString()
