@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from pyspark.sql.types import StructType
 
 from ..functions.text import context_text, estimate, normalized, search_text, tokens
+from ..functions.words import worded
 from ..schemas import CANDIDATES_PER_RESULT, MAX_RESULTS, PARENT_BYTES
 
 #: fixed values: the ranking function's defaults and the weights of its parts
@@ -36,7 +37,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def lengths(chunks: DataFrame) -> DataFrame:
-    return chunks.select(*KEY, F.size(tokens(F.col("text_content"))).alias("n_tokens"))
+    """(key, n_tokens); a chunk without a text has no length."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pc.list_value_length(batch.column(len(KEY)))], names=[*KEY, "n_tokens"])
+
+    made = StructType([*chunks.select(*KEY).schema, *StructType.fromDDL("n_tokens int")])
+    return worded(chunks, F.col("text_content"), KEY, counted, made).union(chunks.where("text_content is null").select(*KEY, F.lit(None).cast("int")))
 
 
 #: Words that a Python worker looks at together, whole chunks at a time.
@@ -78,11 +86,10 @@ def word_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def postings(chunks: DataFrame) -> DataFrame:
     """(key, n_tokens, term, tf, positions) of every chunk's body; positions count from 0.
 
-    Each chunk's words are grouped where it lies, a bounded number of words at a time: no row of it moves.
+    Each chunk's words are found and grouped where it lies, a bounded number of them at a time: no row of it moves.
     """
-    words = chunks.select(*KEY, tokens(F.col("text_content")).alias("words")).where(F.size("words") > 0)
     made = "n_tokens int, term string, tf long, positions array<int>"
-    return words.mapInArrow(word_places, StructType([*words.select(*KEY).schema, *StructType.fromDDL(made)]))
+    return worded(chunks, F.col("text_content"), KEY, word_places, StructType([*chunks.select(*KEY).schema, *StructType.fromDDL(made)]))
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
