@@ -32,9 +32,10 @@ def events(spark, sf_dir) -> DataFrame:
     """The events as a stream of five micro-batches; the last delivers a tenth of them again."""
     rows, at = roles.table(spark, sf_dir, "events"), f"{scratch(spark)}/events"
     for k in range(4):
-        rows.where(F.col("event_id") % 4 == k).coalesce(1).write.mode("append").parquet(at)
-    rows.where("event_id % 10 = 1").coalesce(1).write.mode("append").parquet(at)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(at)
+        rows.where(F.col("event_id") % 4 == k).write.mode("append").parquet(at)
+    rows.where("event_id % 10 = 1").write.mode("append").parquet(at)
+    # each part of the table writes a file of its own: a micro-batch takes as many as the table has parts
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", rows.rdd.getNumPartitions()).parquet(at)
 
 
 @query("select distinct event_id % 500 + 1 as document_id, 'v' || event_id % 3 as version from events where event_id % 10 <> 3")
@@ -111,7 +112,7 @@ def stream_appended_turns(spark, sf_dir) -> DataFrame:
     rows = roles.table(spark, sf_dir, "events")
     n = rows.agg(F.max("event_id")).first()[0] // 3 + 1
     for k in range(3):  # in order of their ids, the stream started anew each time
-        rows.where(F.floor(e / n) == k).coalesce(1).write.mode("append").parquet(f"{at}/events")
+        rows.where(F.floor(e / n) == k).write.mode("append").parquet(f"{at}/events")
         stream = spark.readStream.schema(rows.schema).parquet(f"{at}/events")
         said = stream.select((F.col("user_id") % 200).cast("string").alias("conversation_id"), F.concat(F.lit("t"), (e % 40).cast("string")).alias("turn_id"), e.alias("seq"), (e % 3).cast("string").alias("digest"))
         writer = turns.appended(said, 86_400_000).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint")

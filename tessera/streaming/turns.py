@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -36,18 +37,23 @@ class Appender(StatefulProcessor):
         self.said = handle.getMapState("said", "turn_id string", "turn_no long, digest string", ttlDurationMs=self.ttl_ms or None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = int(self.last.get()[0]) if self.last.exists() else 0
-        out = []
-        for row in pd.concat(list(rows)).sort_values(["seq", "digest"]).itertuples():
-            if self.said.containsKey((row.turn_id,)):
-                number, digest = self.said.getValue((row.turn_id,))
-                out.append((key[0], row.turn_id, int(number), "repeated" if digest == row.digest else "conflict"))
+        before = last = int(self.last.get()[0]) if self.last.exists() else 0
+        said = pd.concat(list(rows)).sort_values(["seq", "digest"], ignore_index=True)
+        # state is asked and told once for each turn_id of the batch, however often it came
+        first, known = said.drop_duplicates("turn_id"), {}
+        for turn, digest in zip(first["turn_id"].tolist(), first["digest"].tolist(), strict=True):
+            if self.said.containsKey((turn,)):
+                known[turn] = self.said.getValue((turn,))
             else:
                 last += 1
-                self.said.updateValue((row.turn_id,), (last, row.digest))
-                out.append((key[0], row.turn_id, last, "appended"))
+                known[turn] = (last, digest)
+                self.said.updateValue((turn,), known[turn])
+        told = [known[t] for t in said["turn_id"].tolist()]
+        number = np.array([int(k[0]) for k in told], np.int64)
+        same = [k[1] == d for k, d in zip(told, said["digest"].tolist(), strict=True)]
+        outcome = np.where((number > before) & ~said.duplicated("turn_id").to_numpy(), "appended", np.where(same, "repeated", "conflict"))
         self.last.update((last,))
-        yield pd.DataFrame(out, columns=["conversation_id", "turn_id", "turn_no", "outcome"])
+        yield pd.DataFrame({"conversation_id": key[0], "turn_id": said["turn_id"], "turn_no": number, "outcome": outcome})
 
     def close(self) -> None:
         pass

@@ -3,6 +3,7 @@
 import json
 import time
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -143,3 +144,51 @@ def test_a_consumer_keeps_no_table_and_tries_a_lone_task_again(spark, tmp_path):
     tasks.consume(stream, work, str(tmp_path / "done"), str(tmp_path / "failed"), str(tmp_path / "check")).awaitTermination()
     assert sorted(r["document_id"] for r in spark.read.parquet(str(tmp_path / "done")).collect()) == list(range(1, 10))
     assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before
+
+
+def test_state_is_asked_once_for_each_turn_of_a_batch():
+    class Held(dict):
+        asked = 0
+
+        def exists(self):
+            return bool(self)
+
+        def get(self):
+            return self[0]
+
+        def update(self, value):
+            self[0] = value
+
+        def containsKey(self, key):
+            self.asked += 1
+            return key in self
+
+        def getValue(self, key):
+            return self[key]
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+    class Handle:
+        getValueState = getMapState = lambda self, *a, **k: Held()
+
+    a = turns.Appender(0)
+    a.init(Handle())
+    rows = pd.DataFrame({"turn_id": ["t2", "t1"] * 50, "seq": range(100), "digest": ["x", "y"] * 49 + ["z", None]})
+    out = pd.concat(a.handleInputRows(("c",), iter([rows[50:], rows[:50]]), None))
+    assert a.said.asked == 2 and out["turn_no"].tolist() == [1, 2] * 50
+    assert out["outcome"].tolist() == ["appended"] * 2 + ["repeated"] * 96 + ["conflict"] * 2
+    again = pd.concat(a.handleInputRows(("c",), iter([pd.DataFrame({"turn_id": ["t3", "t1", "t3"], "seq": [7, 8, 9], "digest": ["n", "y", "m"]})]), None))
+    assert [tuple(r) for r in again.to_numpy()] == [("c", "t3", 3, "appended"), ("c", "t1", 2, "repeated"), ("c", "t3", 3, "conflict")]
+
+
+def test_events_are_written_by_as_many_tasks_as_the_table_has_parts(spark, tmp_path, monkeypatch):
+    from tessera.plans import stream_queries as Q
+
+    spark.range(400).select(F.col("id").alias("event_id")).repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    parts = spark.read.parquet(str(tmp_path / "events.parquet")).rdd.getNumPartitions()
+    seen = []
+    monkeypatch.setattr(Q, "scratch", lambda _: str(tmp_path / "made"))
+    stream = Q.events(spark, str(tmp_path))
+    stream.writeStream.foreachBatch(lambda rows, k: seen.append(rows.count())).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [100] * 4 + [40] and parts > 1 and len(list((tmp_path / "made" / "events").glob("*.parquet"))) == 5 * parts
