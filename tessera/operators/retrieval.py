@@ -7,7 +7,7 @@ below each top-k, where Catalyst can't move them by itself. Ties go to the small
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -63,24 +63,55 @@ def runs(batch: pa.RecordBatch, words: int, borders: np.ndarray | None = None, l
         row = end
 
 
+def grouped(batch: pa.RecordBatch, row: np.ndarray, place: np.ndarray, code: np.ndarray, words: pa.Array) -> pa.RecordBatch:
+    """Postings of words at these rows and places of a batch (key, words), in order of them; ``code`` is a word's place in ``words``."""
+    count = pc.list_value_length(batch.column(len(KEY))).to_numpy()
+    own = row * len(words) + code
+    order = np.argsort(own, kind="stable")
+    own = own[order]
+    at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    of, ends = row[order][at], np.append(at, len(own))
+    keys = [batch.column(k).take(pa.array(of)) for k in range(len(KEY))]
+    terms = words.take(pa.array(code[order[at]]))
+    positions = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(place[order]))
+    return pa.RecordBatch.from_arrays([*keys, pa.array(count[of].astype(np.int32)), terms, pa.array(np.diff(ends)), positions], names=POSTED)
+
+
+POSTED = [*KEY, "n_tokens", "term", "tf", "positions"]
+
+
+def placed(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of a batch (key, words), with their rows and their places there."""
+    lists = batch.column(len(KEY))
+    count = pc.list_value_length(lists).to_numpy()
+    row = np.repeat(np.arange(len(count)), count)
+    return lists.flatten(), row, (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
+
+
 def word_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings of chunks (key, words): a row for each word of a chunk, with its places in order."""
     for whole in batches:
         for batch in runs(whole, len(KEY)):
-            lists = batch.column(len(KEY))
-            count = pc.list_value_length(lists).to_numpy()
-            coded = lists.flatten().dictionary_encode()
-            row = np.repeat(np.arange(len(count)), count)
-            place = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
-            own = row * len(coded.dictionary) + coded.indices.to_numpy()
-            order = np.argsort(own, kind="stable")
-            own = own[order]
-            at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
-            row, ends = row[order][at], np.append(at, len(own))
-            keys = [batch.column(k).take(pa.array(row)) for k in range(len(KEY))]
-            terms = coded.dictionary.take(coded.indices.take(pa.array(order[at])))
-            positions = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(place[order]))
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(count[row].astype(np.int32)), terms, pa.array(np.diff(ends)), positions], names=[*KEY, "n_tokens", "term", "tf", "positions"])
+            flat, row, place = placed(batch)
+            coded = flat.dictionary_encode()
+            yield grouped(batch, row, place, coded.indices.to_numpy(), coded.dictionary)
+
+
+def asked_places(terms: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What ``word_places`` gives of these words alone, and for each chunk a row without a term, with its length."""
+    asked = pa.array(terms, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in runs(whole, len(KEY)):
+                count, none = pc.list_value_length(batch.column(len(KEY))), [pa.nulls(batch.num_rows, t) for t in (pa.string(), pa.int64(), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], count, *none], names=POSTED)
+                flat, row, place = placed(batch)
+                code = pc.index_in(flat, value_set=asked).fill_null(-1).to_numpy()
+                met = np.flatnonzero(code >= 0)
+                yield grouped(batch, row[met], place[met], code[met], asked)
+
+    return run
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -88,8 +119,11 @@ def postings(chunks: DataFrame) -> DataFrame:
 
     Each chunk's words are found and grouped where it lies, a bounded number of them at a time: no row of it moves.
     """
-    made = "n_tokens int, term string, tf long, positions array<int>"
-    return worded(chunks, F.col("text_content"), KEY, word_places, StructType([*chunks.select(*KEY).schema, *StructType.fromDDL(made)]))
+    return worded(chunks, F.col("text_content"), KEY, word_places, _posted(chunks))
+
+
+def _posted(chunks: DataFrame) -> StructType:
+    return StructType([*chunks.select(*KEY).schema, *StructType.fromDDL("n_tokens int, term string, tf long, positions array<int>")])
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
@@ -127,6 +161,22 @@ def index(chunks: DataFrame) -> Index:
     return Index(postings(chunks), corpus_stats(chunks), chunks)
 
 
+def batch_index(chunks: DataFrame, queries: DataFrame, path: str) -> Index:
+    """What one batch of questions asks of an index: postings of its words, written by one pass over the texts.
+
+    Every chunk is read and counts in the statistics, but words that nobody asks for are neither sorted nor stored. It costs
+    a fraction of ``store_index``, which pays where many batches search the same chunks.
+    """
+    # a batch has a plan's few steps, so these are as many words as their questions have
+    terms = [r[0] for r in query_terms(queries).select(F.explode("terms")).distinct().collect()]
+    schema = _posted(chunks)
+    worded(chunks, F.col("text_content"), KEY, asked_places(sorted(terms)), schema).write.parquet(path)
+    held = chunks.sparkSession.read.schema(schema).parquet(path)
+    # a chunk without a text counts, but has no length
+    stats = chunks.agg(F.count("*").alias("n_docs")).crossJoin(held.where("term is null").agg(F.avg("n_tokens").alias("avg_len")))
+    return Index(held.where("term is not null"), stats, chunks)
+
+
 def store_index(chunks: DataFrame, path: str, term_parts: int = 64) -> Index:
     """Write an index once, for any number of searches, and give what reads it.
 

@@ -40,3 +40,23 @@ def test_postings_find_a_text_s_words_once(spark):
     rows = spark.createDataFrame([(1, "v", "c", "a b a")], "document_id long, version string, chunk_key string, text_content string")
     plan = R.postings(rows)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan and R.postings(rows).count() == 2
+
+
+def test_a_batch_s_index_holds_what_it_asks_and_finds_what_a_whole_index_finds(spark, tmp_path, monkeypatch):
+    # a search wrote postings of every word of every chunk, though its batch asks for a few
+    monkeypatch.setattr(R, "WORDS_AT_ONCE", 7)
+    texts = ["the cat and the dog", "the the dog", "", None, "of the cat sat on the mat " * 5, "nothing here", "Cat, 区 the"]
+    data = [(n, "v", "c", t, None) for n, t in enumerate(texts)]
+    chunks = spark.createDataFrame(data, "document_id long, version string, chunk_key string, text_content string, vector array<float>")
+    asked = spark.createDataFrame([(1, "the cat", None), (2, "dog 区", None), (3, "?", None), (4, "absent", None)], "query_id int, question string, vector array<float>")
+    held = R.batch_index(chunks, asked, str(tmp_path / "batch"))
+    assert {r[0] for r in held.postings.select("term").distinct().collect()} == {"the", "cat", "dog", "区"}
+    want = R.postings(chunks).where("term in ('the', 'cat', 'dog', '区')")
+    assert want.count() == held.postings.count() and want.exceptAll(held.postings.select(*want.columns)).isEmpty()
+    assert held.stats.collect() == R.corpus_stats(chunks).collect()
+    found = R.matches(held, asked).orderBy("query_id", *R.KEY).collect()
+    assert found and found == R.matches(R.index(chunks), asked).orderBy("query_id", *R.KEY).collect()
+    kept = R.store_index(chunks, str(tmp_path / "whole"))
+    assert found == R.matches(kept, asked).orderBy("query_id", *R.KEY).collect()
+    nobody = R.batch_index(chunks, asked.where("query_id = 3"), str(tmp_path / "nobody"))
+    assert nobody.postings.isEmpty() and R.matches(nobody, asked.where("query_id = 3")).isEmpty()
