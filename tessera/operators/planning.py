@@ -11,6 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
 from ..functions.text import bounded, substituted
+from ..session import parts
 
 STEP = "struct<id:int,question:string,depends_on:array<int>>"
 PLAN = f"struct<standalone_question:string,clarification_question:string,steps:array<{STEP}>>"
@@ -107,33 +108,40 @@ def binding_faults(pending: DataFrame, sources: DataFrame, bindings: DataFrame)
     pending: plan_id, step_id, question, depends_on; sources: plan_id, source_id, step_id, text;
     bindings: plan_id, step_id, no_evidence, clarification, evidence (array of source_id, quote, value).
     """
-    counts = pending.groupBy("plan_id").agg(F.count("*").alias("n")).join(bindings.groupBy("plan_id").agg(F.count("*").alias("m"), F.countDistinct("step_id").alias("d")), "plan_id", "left")
+    n = parts(pending, sources, bindings)
+    by_plan = bindings.repartition(n, "plan_id").groupBy("plan_id").agg(F.count("*").alias("m"), F.countDistinct("step_id").alias("d"))
+    counts = pending.repartition(n, "plan_id").groupBy("plan_id").agg(F.count("*").alias("n")).join(by_plan, "plan_id", "left")
     out = counts.where("m is null or n <> m or d <> m").select("plan_id", F.lit("missing").alias("rule"))
-    out = out.union(bindings.join(pending, ["plan_id", "step_id"], "left_anti").select("plan_id", F.lit("unknown")))
-    b = bindings.withColumn("asks", F.coalesce("clarification", F.lit("")) != "").join(pending, ["plan_id", "step_id"])
+    waiting, given = [x.repartition(n, "plan_id", "step_id") for x in (pending, bindings)]
+    out = out.union(given.join(waiting, ["plan_id", "step_id"], "left_anti").select("plan_id", F.lit("unknown")))
+    b = given.withColumn("asks", F.coalesce("clarification", F.lit("")) != "").join(waiting, ["plan_id", "step_id"])
     open_ = F.col("asks") | F.col("no_evidence")
     out = out.union(b.where(open_ & ((F.size("evidence") > 0) | (F.col("asks") & F.col("no_evidence")) | (F.col("asks") & ~bounded(F.col("clarification"), 1024)))).select("plan_id", F.lit("state")))
     bound = b.where(~open_)
     out = out.union(bound.where((F.size("evidence") < 1) | (F.size("evidence") > 6)).select("plan_id", F.lit("evidence")))
     each = bound.select("plan_id", "step_id", "depends_on", F.explode("evidence").alias("e")).select("plan_id", "step_id", "depends_on", "e.*")
-    met = each.join(sources.select("plan_id", "source_id", F.col("step_id").alias("parent"), "text"), ["plan_id", "source_id"], "left")
+    found = sources.select("plan_id", "source_id", F.col("step_id").alias("parent"), "text").repartition(n, "plan_id", "source_id")
+    met = each.repartition(n, "plan_id", "source_id").join(found, ["plan_id", "source_id"], "left")
     grounded = F.coalesce(F.array_contains("depends_on", F.col("parent")) & bounded(F.col("quote"), 1000) & bounded(F.col("value"), 256) & F.contains("text", F.col("quote")) & F.contains("quote", F.col("value")) & ~F.contains("value", F.lit("{{step:")), F.lit(False))
     out = out.union(met.where(~grounded).select("plan_id", F.lit("grounding")))
-    values = met.where(grounded).groupBy("plan_id", "step_id", "parent").agg(F.countDistinct("value").alias("n"), F.min("value").alias("value"))
+    step = ["plan_id", "step_id", "parent"]
+    values = met.where(grounded).select(*step, "value").repartition(n, *step).groupBy(*step).agg(F.countDistinct("value").alias("n"), F.min("value").alias("value"))
     out = out.union(values.where("n > 1").select("plan_id", F.lit("conflict")))
-    needed = bound.select("plan_id", "step_id", F.explode("depends_on").alias("parent"))
-    out = out.union(needed.join(values, ["plan_id", "step_id", "parent"], "left_anti").select("plan_id", F.lit("parent")))
-    return out.distinct()
+    needed = bound.select("plan_id", "step_id", F.explode("depends_on").alias("parent")).repartition(n, *step)
+    out = out.union(needed.join(values, step, "left_anti").select("plan_id", F.lit("parent")))
+    return out.repartition(n, "plan_id").distinct()
 
 
 def bound_questions(pending: DataFrame, sources: DataFrame, bindings: DataFrame, faults: DataFrame | None = None) -> DataFrame:
     """(plan_id, step_id, question) of plans without a fault, with the values in their places; ``faults`` where they are known."""
-    faults = binding_faults(pending, sources, bindings) if faults is None else faults
-    good = bindings.where(~F.col("no_evidence") & (F.coalesce("clarification", F.lit("")) == "")).join(faults, "plan_id", "left_anti")
-    each = good.select("plan_id", "step_id", F.explode("evidence").alias("e")).select("plan_id", "step_id", "e.source_id", "e.value")
-    met = each.join(sources.select("plan_id", "source_id", F.col("step_id").alias("parent")), ["plan_id", "source_id"])
-    values = met.select("plan_id", "step_id", "parent", "value").distinct().groupBy("plan_id", "step_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("parent", "value")))).alias("v"))
-    return pending.join(values, ["plan_id", "step_id"]).select("plan_id", "step_id", substituted(F.col("question"), F.col("v")).alias("question"))
+    n = parts(pending, sources, bindings)
+    faults = binding_faults(pending, sources, bindings) if faults is None else faults.repartition(n, "plan_id")
+    good = bindings.where(~F.col("no_evidence") & (F.coalesce("clarification", F.lit("")) == "")).repartition(n, "plan_id").join(faults, "plan_id", "left_anti")
+    each = good.select("plan_id", "step_id", F.explode("evidence").alias("e")).select("plan_id", "step_id", "e.source_id", "e.value").repartition(n, "plan_id", "source_id")
+    found = sources.select("plan_id", "source_id", F.col("step_id").alias("parent")).repartition(n, "plan_id", "source_id")
+    met = each.join(found, ["plan_id", "source_id"]).select("plan_id", "step_id", "parent", "value").repartition(n, "plan_id", "step_id")
+    values = met.distinct().groupBy("plan_id", "step_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("parent", "value")))).alias("v"))
+    return pending.repartition(n, "plan_id", "step_id").join(values, ["plan_id", "step_id"]).select("plan_id", "step_id", substituted(F.col("question"), F.col("v")).alias("question"))
 
 
 def trimmed_sources(sources: DataFrame, budget: int) -> DataFrame:

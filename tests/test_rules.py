@@ -514,3 +514,17 @@ def test_embedded_rows_leave_a_task_in_small_batches(spark):
     plain = S.hashing_embedder(4)(["a b", ""])
     assert all(got[k] == plain[0 if k % 3 else 1].tolist() for k in range(100))
     assert "MapInArrow" in made._jdf.queryExecution().toString()
+
+
+def test_bindings_are_dealt_so_that_no_task_s_share_grows(spark, monkeypatch):
+    # parts were joined by their compressed bytes: one task held as many plans as compress well
+    monkeypatch.setattr("tessera.session.ROWS_A_TASK", 250)
+    ids = spark.range(3000).withColumnRenamed("id", "plan_id")
+    step = (F.col("plan_id") % 2 + 2).cast("int")
+    pending = ids.select("plan_id", step.alias("step_id"), F.lit("of {{step:1}}").alias("question"), F.array(F.lit(1)).alias("depends_on"))
+    sources = ids.select("plan_id", F.concat(F.lit("s"), (F.col("plan_id") % 3).cast("string")).alias("source_id"), F.lit(1).alias("step_id"), F.lit("the Anna").alias("text"))
+    evidence = F.array(F.struct(F.concat(F.lit("s"), (F.col("plan_id") % 3).cast("string")).alias("source_id"), F.lit("Anna").alias("quote"), F.lit("Anna").alias("value")))
+    bindings = ids.select("plan_id", step.alias("step_id"), (F.col("plan_id") % 2 == 0).alias("no_evidence"), F.lit(None).cast("string").alias("clarification"), evidence.alias("evidence"))
+    for out, rows in ((planning.binding_faults(pending, sources, bindings), 1500), (planning.bound_questions(pending, sources, bindings), 1500)):
+        held = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(held) == rows and max(held) < 300
