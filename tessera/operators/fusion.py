@@ -12,6 +12,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..schemas import FUSED_RESULTS, RRF_OFFSET
+from ..session import parts
 from .retrieval import DIGITS
 
 PLAN = "plan_id"
@@ -98,18 +99,21 @@ def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
     known = "doc is not null and block_id <> '' and start is not null and `end` is not null"
     # beginnings with the farthest end that starts there; inner ones only ask
     asks = inner.where(known).select(*keys, F.lit(None).cast("int").alias("_end"))
-    points = outer.where(known).select(*keys, F.col("end").cast("int").alias("_end")).union(asks).groupBy(*block, "_start").agg(F.max("_end").alias("_end"))
-    points = points.withColumn("_s1", F.shiftright("_start", STRIDE))
-    upto = W.partitionBy(*block, "_s1").orderBy("_start").rowsBetween(W.unboundedPreceding, W.currentRow)
+    # dealt by stretches, so that no task's share grows: all but the last step of a stretch is done where its rows lie
+    n = parts(inner, outer)
+    stretch, wide = [*block, "_s1"], [*block, "_s2"]
+    points = outer.where(known).select(*keys, F.col("end").cast("int").alias("_end")).union(asks).withColumn("_s1", F.shiftright("_start", STRIDE))
+    points = points.repartition(n, *stretch).groupBy(*stretch, "_start").agg(F.max("_end").alias("_end"))
+    upto = W.partitionBy(*stretch).orderBy("_start").rowsBetween(W.unboundedPreceding, W.currentRow)
     here = points.withColumn("_here", F.max("_end").over(upto))
 
     def before(order: str, *within: str) -> Column:
         return F.max("_end").over(W.partitionBy(*block, *within).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
 
-    s1 = points.groupBy(*block, "_s1").agg(F.max("_end").alias("_end")).withColumn("_s2", F.shiftright("_s1", STRIDE))
-    s2 = s1.groupBy(*block, "_s2").agg(F.max("_end").alias("_end")).withColumn("_before2", before("_s2")).drop("_end")
-    s1 = s1.withColumn("_before1", before("_s1", "_s2")).join(s2, [*block, "_s2"]).select(*block, "_s1", F.greatest("_before1", "_before2").alias("_before"))
-    reach = here.join(s1, [*block, "_s1"]).select(*block, "_start", F.greatest("_here", "_before").alias("_reach")).where("_reach is not null")
+    s1 = points.groupBy(*stretch).agg(F.max("_end").alias("_end")).withColumn("_s2", F.shiftright("_s1", STRIDE)).repartition(n, *wide)
+    s2 = s1.groupBy(*wide).agg(F.max("_end").alias("_end")).repartition(n, *block).withColumn("_before2", before("_s2")).drop("_end")
+    s1 = s1.withColumn("_before1", before("_s1", "_s2")).join(s2.repartition(n, *wide), wide).select(*stretch, F.greatest("_before1", "_before2").alias("_before"))
+    reach = here.join(s1.repartition(n, *stretch), stretch).select(*block, "_start", F.greatest("_here", "_before").alias("_reach")).where("_reach is not null").repartition(n, *block, "_start")
     same = [F.col("doc") == F.col("_doc"), F.col("block_id") == F.col("_block"), F.col("page_no").isNotNull() == F.col("_paged"), F.coalesce("page_no", F.lit(0)) == F.col("_page"), F.col("start").cast("int") == F.col("_start"), F.col("end") <= F.col("_reach")]
     return inner.join(reach, reduce(and_, same), "left_semi")
 
