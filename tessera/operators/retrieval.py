@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 from ..functions.text import context_text, estimate, normalized, search_text, tokens
 from ..functions.words import worded
 from ..schemas import CANDIDATES_PER_RESULT, MAX_RESULTS, PARENT_BYTES
+from ..session import parts
 
 #: fixed values: the ranking function's defaults and the weights of its parts
 K1, B = 1.2, 0.75
@@ -341,11 +342,15 @@ def attach_parents(hits: DataFrame, parents: DataFrame, budget: int = PARENT_BYT
         "document_id", "version", F.col("chunk_id").alias("parent_id"), F.col("user_id").alias("parent_owner"),
         F.struct(context_text(F.col("context_prefix"), F.col("body_text")).alias("text"), "source_spans", "row_range", "column_paths").alias("parent"),
     )
-    joined = hits.join(p, ["document_id", "version", "parent_id"], "left").withColumn("usable", F.coalesce(F.col("parent_owner").cast("string") == F.col("user_id").cast("string"), F.lit(False)))
+    place = ["document_id", "version", "parent_id"]
+    own = F.coalesce(F.col("parent_owner").cast("string") == F.col("user_id").cast("string"), F.lit(False))
     ref = F.concat_ws("/", F.col("document_id").cast("string"), "version", "parent_id")
-    first = joined.where("usable").groupBy("query_id", ref.alias("ref")).agg(F.min("rank").alias("at"), F.first(estimate(F.col("parent.text"))).alias("cost"))
+    # texts are joined to hits when it is known which stay: none is sorted with them
+    dealt = hits.repartition(parts(hits), "query_id")
+    priced = dealt.select("query_id", "rank", *place, "user_id").join(p.select(*place, "parent_owner", estimate(F.col("parent.text")).alias("cost")), place)
+    first = priced.where(own).groupBy("query_id", ref.alias("ref")).agg(F.min("rank").alias("at"), F.first("cost").alias("cost"))
     chosen = first.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("at", F.col("ref").alias("id"), "cost"))).alias("items")).select("query_id", greedy(F.col("items"), budget).alias("chosen"))
-    keep = F.col("usable") & F.array_contains("chosen", ref)
-    out = joined.join(chosen, "query_id", "left").withColumn("parent", F.when(keep, F.col("parent")))
+    taken = dealt.join(chosen, "query_id", "left").withColumn("taken", F.coalesce(F.array_contains("chosen", ref), F.lit(False))).drop("chosen")
+    out = taken.join(p, place, "left").withColumn("parent", F.when(own & F.col("taken"), F.col("parent")))
     given = [("text", "parent_text"), ("source_spans", "parent_spans"), ("row_range", "parent_row_range"), ("column_paths", "parent_column_paths")]
     return out.select(*hits.columns, *[F.col(f"parent.{a}").alias(b) for a, b in given])

@@ -528,3 +528,24 @@ def test_bindings_are_dealt_so_that_no_task_s_share_grows(spark, monkeypatch):
     for out, rows in ((planning.binding_faults(pending, sources, bindings), 1500), (planning.bound_questions(pending, sources, bindings), 1500)):
         held = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(held) == rows and max(held) < 300
+
+
+def test_parents_texts_are_not_sorted_with_hits_and_parts_are_bounded(spark, monkeypatch):
+    # every hit was sorted with its parent's text before it was known which fit
+    monkeypatch.setattr("tessera.session.ROWS_A_TASK", 250)
+    hits = spark.range(3000).select(F.floor(F.col("id") / 3).alias("query_id"), (F.col("id") % 3 + 1).cast("int").alias("rank"), F.lit(1).cast("long").alias("document_id"), F.lit("v").alias("version"), F.concat(F.lit("p"), (F.col("id") % 2).cast("string")).alias("parent_id"), F.lit(7).alias("user_id"))
+    place = F.array(F.struct(F.lit("b").alias("block_id")))
+    parents = spark.range(2).select(F.lit(1).cast("long").alias("document_id"), F.lit("v").alias("version"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("chunk_id"), F.lit(7).alias("user_id"), F.lit(True).alias("is_parent"), F.lit("").alias("context_prefix"), F.repeat(F.lit("x"), F.lit(60)).alias("body_text"), place.alias("source_spans"), F.array(F.lit(1)).alias("row_range"), F.array().cast("array<array<string>>").alias("column_paths"))
+    out = retrieval.attach_parents(hits, parents, budget=100)
+    held = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == 3000 and max(held) < 500
+    assert out.groupBy("query_id").agg(F.count("parent_text").alias("n")).where("n < 1 or n > 2").isEmpty()
+
+
+def test_spans_are_dealt_so_that_no_task_s_share_grows(spark, monkeypatch):
+    # parts were joined by their compressed bytes
+    monkeypatch.setattr("tessera.session.ROWS_A_TASK", 250)
+    spans = spark.range(3000).select("id", F.floor(F.col("id") / 4).alias("doc"), F.lit("b").alias("block_id"), F.lit(1).alias("page_no"), (F.col("id") % 4).cast("int").alias("start"), F.lit(9).alias("end"))
+    out = fusion.contained(spans.where("id % 2 = 1"), spans.where("id % 2 = 0"))
+    held = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == 1500 and max(held) < 400
