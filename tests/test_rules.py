@@ -549,3 +549,35 @@ def test_spans_are_dealt_so_that_no_task_s_share_grows(spark, monkeypatch):
     out = fusion.contained(spans.where("id % 2 = 1"), spans.where("id % 2 = 0"))
     held = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(held) == 1500 and max(held) < 400
+
+
+def test_a_document_s_text_is_stored_as_artifact_and_as_chunks_that_share_it(spark, tmp_path):
+    rng = random.Random(3)
+    texts = [(k, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(900))) for k in range(40)]
+    held = store.Versions(spark, str(tmp_path))
+    held.process(staged(spark, tmp_path, texts), chunking.parse_and_chunk, lambda c: c, "v1")
+    size = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    assert size < 2.2 * sum(len(t) for _, t in texts)  # seven copies were 7.9 times the text
+    got = {r["document_id"]: r for r in held.chunks().where("is_parent").collect()}
+    assert {k: got[k]["data"]["body_text"] for k, _ in texts} == dict(texts)
+    kept = spark.read.parquet(str(tmp_path / "artifacts")).select("document.document_id", F.col("document.blocks")[0]["text"]).collect()
+    assert {tuple(r) for r in kept} == set(texts)
+
+
+def test_chunks_are_read_as_they_were_given(spark, tmp_path):
+    held = store.Versions(spark, str(tmp_path))
+
+    def parse(files):
+        rows = chunking.parse_and_chunk(files)
+        text = F.when(F.col("document_id") == 2, "other").when(F.col("document_id") != 3, F.col("children")[0]["embedding_text"])
+        return rows.withColumn("children", F.transform("children", lambda c: c.withField("embedding_text", text)))
+
+    files = staged(spark, tmp_path, [(1, "one"), (2, "two"), (3, "three"), (4, "four"), (5, "")])
+    rows = lambda c: sorted(map(repr, c.select("document_id", "version", "chunk_id", "parent_id", "is_parent", "data").collect()))
+    given, seen = chunking.chunk_rows(parse(files), "007"), []
+    held.process(files, parse, lambda c: seen.append(rows(c)) or c.where("document_id <> 4"), "007")
+    assert seen == [rows(given)] and len(seen[0]) == 8
+    assert held.discard() and rows(held.chunks()) == rows(given.where("document_id <> 4"))
+    # nothing could be parsed
+    batch = held.process(staged(spark, tmp_path, [(6, "")]), chunking.parse_and_chunk, lambda c: c, "008")
+    assert held.chunks().where(F.col("batch") == batch).count() == 0 and {r["document_id"]: r["status"] for r in held.states().collect()}[6] == "failed"
