@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.text import tokens
-from ..sources.store import names_in
+from ..sources.store import names_in, packed
 from .access import gated
 from .retrieval import B, DIGITS, K1, KEY, best, cosine, idf, part_of, query_terms, runs, saturation
 
@@ -168,10 +168,11 @@ class Segments:
     def _write(self, chunks: DataFrame, name: str) -> tuple[int, int]:
         at = f"{self.root}/segments/{name}"
         rows = chunks.select(*KEY, "user_id", "file_md5", "model_version", "org_tag", "is_public", "text_content", "vector", F.size(tokens(F.coalesce("text_content", F.lit("")))).alias("n_tokens"))
-        rows.withColumn("doc", F.monotonically_increasing_id()).withColumn("block", F.floor(F.col("doc") / BLOCK)).write.parquet(f"{at}/chunks")
+        packed(rows.withColumn("doc", F.monotonically_increasing_id()).withColumn("block", F.floor(F.col("doc") / BLOCK))).parquet(f"{at}/chunks")
         held = self.spark.read.parquet(f"{at}/chunks")
         posted = held.select("doc", tokens(F.coalesce("text_content", F.lit(""))).alias("words")).mapInArrow(written_blocks, POSTING).withColumn("part", part_of("term", TERM_PARTS))
-        posted.repartition("part", F.pmod(F.xxhash64("block"), F.lit(4))).sortWithinPartitions("part", "term", "block").write.partitionBy("part").parquet(f"{at}/postings")
+        # postings are several times their text when they move: each task writes those of its own blocks
+        packed(posted.sortWithinPartitions("part", "term", "block")).partitionBy("part").parquet(f"{at}/postings")
         marks = F.array(
             F.struct(F.lit("owner").alias("attr"), F.col("user_id").cast("string").alias("value")), F.struct(F.lit("tag").alias("attr"), F.col("org_tag").alias("value")),
             F.struct(F.lit("public").alias("attr"), F.col("is_public").cast("string").alias("value")), F.struct(F.lit("model").alias("attr"), F.col("model_version").alias("value")),

@@ -24,8 +24,12 @@ def ingest(
     """
 
     def into_index(staged: DataFrame) -> DataFrame:
-        children = staged.where("not is_parent").select("document_id", "version", F.col("chunk_id").alias("chunk_key"), F.col("data.embedding_text").alias("embedding_text"), F.col("data.body_text").alias("text_content"))
-        owned = children.join(owners.select("document_id", "user_id", "file_md5", "org_tag", "is_public"), "document_id")
+        children = staged.where("not is_parent").select("document_id", "version", F.col("chunk_id").alias("chunk_key"), F.col("data.context_prefix").alias("prefix"), F.col("data.embedding_text").alias("embedding_text"), F.col("data.body_text").alias("text_content"))
+        # a text moves once: what is embedded is made of it again behind the join
+        joined = F.concat("prefix", "text_content")
+        lean = children.withColumn("same", F.coalesce(F.col("embedding_text") == joined, F.lit(False))).withColumn("embedding_text", F.when(~F.col("same"), F.col("embedding_text")))
+        owned = lean.join(owners.select("document_id", "user_id", "file_md5", "org_tag", "is_public"), "document_id")
+        owned = owned.withColumn("embedding_text", F.when(F.col("same"), joined).otherwise(F.col("embedding_text"))).drop("same", "prefix")
         name = index.append(embedded(owned, embedder, model, dims))
         held = index.live().where(F.col("segment") == name).groupBy("document_id").agg(F.count("*").alias("n"))
         sent = children.groupBy("document_id").agg(F.count("*").alias("n"))

@@ -581,3 +581,12 @@ def test_chunks_are_read_as_they_were_given(spark, tmp_path):
     # nothing could be parsed
     batch = held.process(staged(spark, tmp_path, [(6, "")]), chunking.parse_and_chunk, lambda c: c, "008")
     assert held.chunks().where(F.col("batch") == batch).count() == 0 and {r["document_id"]: r["status"] for r in held.states().collect()}[6] == "failed"
+
+
+def test_rows_stay_by_documents_however_they_are_looked_up(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (3, "d"), (None, "e")], "document_id long, t string")
+    kept = spark.createDataFrame([(2,), (3,), (3,), (9,), (None,)], "document_id long")
+    for most, way in ((10, "LeftAnti"), (3, "LeftAnti"), (0, "LeftSemi")):
+        monkeypatch.setattr(store, "SHOWN_TO_ALL", most)
+        got = store.of_documents(rows, kept)
+        assert sorted(r["t"] for r in got.collect()) == ["b", "c", "d"] and way in got._jdf.queryExecution().analyzed().toString()

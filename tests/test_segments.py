@@ -164,3 +164,24 @@ def test_blocks_are_written_from_a_bounded_number_of_words(monkeypatch):
     assert max(places) <= 64 * 40 and sum(places) == sum(len(w) for w in whole.column(1).to_pylist())
     rows = [(r["term"], r["block"]) for p in parts for r in p.to_pylist()]
     assert len(rows) == len(set(rows)) and sum(r["n"] for p in parts for r in p.to_pylist()) == sum(len(set(w)) for w in whole.column(1).to_pylist())
+
+
+def moved(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    none = spark._jvm.java.util.ArrayList
+    stages = context.statusStore().stageList(none(), False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.length()))
+
+
+def test_postings_are_written_where_they_are_made(spark, tmp_path):
+    rng = random.Random(7)
+    text = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(200)) for _ in range(200)]
+    chunks = frame(spark, [(k, "v1", "c0", 1, f"m{k}", "m0", None, True, t, None) for k, t in enumerate(text)])
+    before = moved(spark)
+    index = S.Segments(spark, str(tmp_path))
+    index.append(chunks)
+    assert moved(spark) - before < 0.1 * sum(map(len, text))  # they were 2.8 times the text
+    found = index.postings(spark.createDataFrame([(text[9].split()[3],)], "term string"), "docs", "n").collect()
+    assert [r["n"] for r in found] == [1]
