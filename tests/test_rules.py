@@ -590,3 +590,41 @@ def test_rows_stay_by_documents_however_they_are_looked_up(spark, monkeypatch):
         monkeypatch.setattr(store, "SHOWN_TO_ALL", most)
         got = store.of_documents(rows, kept)
         assert sorted(r["t"] for r in got.collect()) == ["b", "c", "d"] and way in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_setting_documents_aside_moves_few_but_the_faulty_ones(spark, tmp_path):
+    from tessera.sources import artifacts
+
+    def moved():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        none = spark._jvm.java.util.ArrayList
+        stages = context.statusStore().stageList(none(), False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none())
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.length()))
+
+    rng = random.Random(5)
+    texts = [(k, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(300))) for k in range(200)]
+    parsed = chunking.parse_and_chunk(staged(spark, tmp_path, texts)).withColumn("user_id", F.lit(7))
+    refs = S.write_artifacts(parsed, str(tmp_path / "ir"), "v1")
+    wanted = refs.selectExpr("document_id", "7 as user_id", "'v1' as version", "if(document_id % 50 = 0, 'other', shown_sha256) as shown_sha256")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many faults
+    try:
+        before = moved()
+        artifacts.set_aside(spark, str(tmp_path / "ir"), artifacts.stored_previews(spark, str(tmp_path / "ir"), wanted), str(tmp_path / "aside"))
+        assert moved() - before < 0.5 * sum(len(t) for _, t in texts)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    aside = {r["document_id"]: r for r in spark.read.parquet(str(tmp_path / "aside")).withColumn("document_id", F.col("envelope.document_id")).collect()}
+    assert {k: (r["fault"], r["blocks"][0]["text"], len(r["children"]) > 0) for k, r in aside.items()} == {k: ("digest", texts[k][1], True) for k in (0, 50, 100, 150)}
+
+
+def test_documents_too_large_or_repeated_are_named_before_their_text_is_read(spark, tmp_path, monkeypatch):
+    from tessera.sources import artifacts
+
+    monkeypatch.setattr(artifacts, "MOST_BYTES", 10)
+    parsed = chunking.parse_and_chunk(staged(spark, tmp_path, [(1, "short"), (2, "much longer than that"), (3, "twice")])).withColumn("user_id", F.lit(7))
+    at = str(tmp_path / "ir")
+    refs = S.write_artifacts(parsed, at, "v1").selectExpr("document_id", "7 as user_id", "'v1' as version", "shown_sha256")
+    spark.read.parquet(f"{at}/version=v1").where("document_id = 3").write.mode("append").parquet(f"{at}/version=v1")
+    got = {r["document_id"]: (r["text"], r["fault"]) for r in artifacts.stored_previews(spark, at, refs).collect()}
+    assert got == {1: ("short", None), 2: (None, "too large"), 3: (None, "repeated")}
